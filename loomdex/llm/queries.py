@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .mixing import op5_entropy_mix
+from .sharding import op8_kd_shards
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
+QUERIES = {
+    "op5_entropy_mix": op5_entropy_mix,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_kd_shards": op8_kd_shards,
+}
 ORACLES = {"op7_exact_dedup": OP7_SQL}
