@@ -5,8 +5,10 @@ from __future__ import annotations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import op5_entropy_mix
 from .sharding import op8_kd_shards
+from .simhash import op3_simhash_components
 
 QUERIES = {
+    "op3_simhash_components": op3_simhash_components,
     "op5_entropy_mix": op5_entropy_mix,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_kd_shards": op8_kd_shards,
