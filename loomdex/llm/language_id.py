@@ -39,6 +39,12 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
     return sorted({p for p in pieces if 0 < len(p) <= PIECE_CHARS and p.removeprefix(MARK).isalpha() and p == p.lower()} | {MARK})
 
 
+def numbered(pieces: list[str]) -> dict[str, int]:
+    """Piece to number; -1 for what only begins a piece."""
+    begins = {p[:i]: -1 for p in pieces for i in range(1, len(p))}
+    return begins | {p: i for i, p in enumerate(pieces)}
+
+
 def words_of(text: str | None) -> list[str]:
     found = WORD.findall((text or "").lower())
     if any(len(w) > WORD_CHARS for w in found):
@@ -49,19 +55,21 @@ def words_of(text: str | None) -> list[str]:
 class Lattice:
     """All segmentations of a list of words as arrays of arcs (word, start, end, piece)."""
 
-    def __init__(self, words: list[str], ids: dict[str, int]):
+    def __init__(self, words: list[str], ids: dict[str, int], unknown: int):
         word, start, end, piece = [], [], [], []
-        get, unknown = ids.get, len(ids)
+        get = ids.get
         self.ends = np.array([len(w) + 1 for w in words], np.int64)
         for n, w in enumerate(words):
             s = MARK + w
             size = len(s)
             for i in range(size):
-                one = get(s[i : i + 1], unknown)
-                word.append(n), start.append(i), end.append(i + 1), piece.append(one)
+                one = get(s[i], -1)
+                word.append(n), start.append(i), end.append(i + 1), piece.append(one if one >= 0 else unknown)
                 for j in range(i + 2, min(i + PIECE_CHARS, size) + 1):
                     p = get(s[i:j])
-                    if p is not None:
+                    if p is None:
+                        break
+                    if p >= 0:
                         word.append(n), start.append(i), end.append(j), piece.append(p)
         self.n = len(words)
         self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word, start, end, piece))
@@ -130,7 +138,7 @@ def train(docs: DataFrame, pieces: list[str], docs_per_language: int = 4000, rou
 
     counted = labelled.where(taken).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
     words = stage(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    ids = spark.sparkContext.broadcast({p: i for i, p in enumerate(pieces)})
+    ids = spark.sparkContext.broadcast(numbered(pieces))
     number, size = {lang: i for i, lang in enumerate(languages)}, len(pieces)
     model = np.full((size + 1, len(languages)), 1 / (size + 1))
     model[size] = UNKNOWN
@@ -146,7 +154,7 @@ def train(docs: DataFrame, pieces: list[str], docs_per_language: int = 4000, rou
                     rows = np.flatnonzero(lang == at)
                     for a in range(0, len(rows), 4096):
                         part = rows[a : a + 4096]
-                        use = Lattice([word[i] for i in part], ids.value).expected(now.value[:, at], n[part].astype(float))
+                        use = Lattice([word[i] for i in part], ids.value, size).expected(now.value[:, at], n[part].astype(float))
                         sums[at] = sums.get(at, 0) + use
             for at, use in sums.items():
                 hit = np.flatnonzero(use)
@@ -172,14 +180,12 @@ class _Scorer:
         self.scores = np.zeros((1 << 12, model.shape[1]), np.float64)
 
     def learn(self, words: list[str]) -> None:
-        if len(self.rows) + len(words) > CACHE_WORDS:
-            self.rows.clear()
         for a in range(0, len(words), 4096):
             part = words[a : a + 4096]
             first = len(self.rows)
             while first + len(part) > len(self.scores):
                 self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
-            self.scores[first : first + len(part)] = Lattice(part, self.ids).log_probabilities(self.model)
+            self.scores[first : first + len(part)] = Lattice(part, self.ids, len(self.model) - 1).log_probabilities(self.model)
             self.rows.update(zip(part, range(first, first + len(part)), strict=True))
 
     def sums(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -187,10 +193,11 @@ class _Scorer:
         out = []
         for a in range(0, len(texts), 200):
             split = [words_of(t) for t in texts[a : a + 200]]
-            new = list({w for words in split for w in words} - self.rows.keys())
+            met = {w for words in split for w in words}
+            new = [w for w in met if w not in self.rows]
             if len(self.rows) + len(new) > CACHE_WORDS:
                 self.rows.clear()
-                new = list({w for words in split for w in words})
+                new = list(met)
             self.learn(new)
             row = self.rows.__getitem__
             for words in split:
@@ -210,7 +217,7 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: l
     gives no rows; other columns are ignored.
     """
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(({p: i for i, p in enumerate(pieces)}, model, languages))  # vocabulary times languages
+    shared = context.broadcast((numbered(pieces), model, languages))  # vocabulary times languages
 
     def run(batches):
         ids, model, languages = shared.value

@@ -28,7 +28,8 @@ CACHE_WORDS = 500_000
 #: Shape of a word that repeats the one before it.
 REPEAT = np.uint64(xxhash.xxh64_intdigest("=", 1))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_IDS: dict[str, tuple[int, int]] = {}
+_WORDS: dict[str, int] = {}
+_SHAPES: dict[str, int] = {}
 
 
 def shape(token: str) -> str:
@@ -42,14 +43,15 @@ def shape(token: str) -> str:
 def token_ids(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit ids of the words and of their shapes."""
     tokens = TOKEN.findall(text or "")
-    if len(_IDS) > CACHE_WORDS:
-        _IDS.clear()
-    for t in set(tokens) - _IDS.keys():
-        _IDS[t] = (xxhash.xxh64_intdigest(t.lower()), xxhash.xxh64_intdigest(shape(t), 1))
-    pairs = np.array([_IDS[t] for t in tokens], np.uint64).reshape(-1, 2)
-    shapes = pairs[:, 1].copy()
-    shapes[1:][pairs[1:, 0] == pairs[:-1, 0]] = REPEAT
-    return pairs[:, 0], shapes
+    if len(_WORDS) > CACHE_WORDS:
+        _WORDS.clear(), _SHAPES.clear()
+    for t in set(tokens):
+        if t not in _WORDS:
+            _WORDS[t], _SHAPES[t] = xxhash.xxh64_intdigest(t.lower()), xxhash.xxh64_intdigest(shape(t), 1)
+    words = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    shapes = np.fromiter(map(_SHAPES.__getitem__, tokens), np.uint64, len(tokens))
+    shapes[1:][words[1:] == words[:-1]] = REPEAT
+    return words, shapes
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
