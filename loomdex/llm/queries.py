@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .html_text import op9_main_text
 from .language_id import op10_language_id
 from .licenses import op6_license_scan
 from .lm_score import op2_lm_score
@@ -12,6 +13,7 @@ from .sharding import op8_kd_shards
 from .simhash import op3_simhash_components
 
 QUERIES = {
+    "op9_main_text": op9_main_text,
     "op6_license_scan": op6_license_scan,
     "op2_lm_score": op2_lm_score,
     "op10_language_id": op10_language_id,
