@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_text import op9_main_text
 from .language_id import op10_language_id
@@ -13,6 +14,7 @@ from .sharding import op8_kd_shards
 from .simhash import op3_simhash_components
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op9_main_text": op9_main_text,
     "op6_license_scan": op6_license_scan,
     "op2_lm_score": op2_lm_score,
