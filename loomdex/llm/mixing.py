@@ -10,6 +10,7 @@ copy more or less until the source's words are near its target.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -68,16 +69,17 @@ def solve_dual(counts: DataFrame, sizes: dict[int, int], means: dict[int, float]
     return found | {s: x[0] for s, x in state.items()}
 
 
-def balanced_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = MAX_RATE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
+def balanced_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = MAX_RATE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", hash_col: str | None = None, seed: int = 42) -> DataFrame:
     """A row per row of ``docs``: id_col, source, size, source_size, target, rate, copies, taken.
 
     Size counts words (null text: 0). A null source is a source of its own, last in order. A source
     without words has target 0 and its documents the rate 1. Rows that repeat an id share its hash,
     hence its copies; null ids are never adjusted. An empty table gives no rows. Other columns are
-    ignored; the same input gives the same copies in any order and partitioning.
+    ignored; the same input gives the same copies in any
+    order and partitioning. ``hash_col`` gives the hash where the id is another one.
     """
     spark = docs.sparkSession
-    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(JAVA_WORD)).cast("long").alias("size")), "mix-sizes")
+    rows = stage(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(hash_col or id_col), F.lit(seed)).alias("hash"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(JAVA_WORD)).cast("long").alias("size")), "mix-sizes")
     counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("w"), F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -94,7 +96,7 @@ def balanced_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
 
     solved = spark.createDataFrame([(s, number[s], sizes[s], targets[s], mean[s], None if math.isinf(m := multipliers.get(number[s], 0.0)) else m) for s in number], "named string, s int, source_size long, target double, mean double, m double")
     rate = F.when(F.col("m").isNull(), F.lit(float(max_rate))).otherwise(F.least(F.lit(float(max_rate)), F.exp(F.least(F.lit(MAX_EXPONENT), F.col("m") * F.col("size") / F.col("mean")))))
-    chance = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    chance = F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))
     rated = rows.join(F.broadcast(solved), by_source).select("id", "source", "s", "size", "source_size", "target", rate.alias("rate"), chance.alias("u"))
     rounded = stage(rated.withColumn("copies", (F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("int")).cast("long")), "mix-rounded")
     changes = spark.createDataFrame(adjustments(rounded, {number[s]: targets[s] for s in sizes}, max_rate), "s int, id long, change int")
@@ -110,19 +112,37 @@ def adjustments(rounded: DataFrame, targets: dict[int, float], max_rate: int) ->
     power-of-two size class, so at most 4 * 64 rows per source reach the driver.
     """
     grows, shrinks = F.col("copies") < max_rate, F.col("copies") > 0
-    pick = F.struct("u", "id", "size")
+    pick = F.struct("u", "id", "size", "copies")
     wanted: list[Column] = [f(F.when(ok, pick)).alias(f"{n}{i}") for n, ok in (("add", grows), ("cut", shrinks)) for i, f in enumerate((F.min, F.max))]
     classes = rounded.where("id IS NOT NULL AND size > 0").groupBy("s", F.floor(F.log2(F.col("size").cast("double"))).alias("c")).agg(*wanted).collect()
     gaps = {r["s"]: targets[r["s"]] - r["t"] for r in rounded.groupBy("s").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()}
-    changes: dict[tuple[int, int], int] = {}
-    for r in sorted(classes, key=lambda r: (r["s"], -r["c"])):
-        picks = sorted({(x["size"], x["id"], sign) for n, sign in (("add", 1), ("cut", -1)) for i in (0, 1) if (x := r[f"{n}{i}"])}, reverse=True)
-        for size, doc, sign in picks:
-            gap = gaps[r["s"]]
-            if (r["s"], doc) not in changes and abs(gap - sign * size) < abs(gap):
-                changes[r["s"], doc] = sign
-                gaps[r["s"]] = gap - sign * size
-    return [(s, doc, change) for (s, doc), change in changes.items()]
+    candidates: dict[int, dict[int, tuple[int, int]]] = {}
+    for r in classes:
+        for x in (r["add0"], r["add1"], r["cut0"], r["cut1"]):
+            if x:
+                candidates.setdefault(r["s"], {})[x["id"]] = (x["size"], x["copies"])
+    return [(s, doc, change) for s, rows in candidates.items() for doc, change in closest_changes(rows, gaps[s], max_rate).items()]
+
+
+def closest_changes(rows: dict[int, tuple[int, int]], gap: float, max_rate: int, rounds: int = 64) -> dict[int, int]:
+    """Changes of copies by id (``rows``: id to size and copies) that bring ``gap`` near 0, one or two documents at a time."""
+    change = dict.fromkeys(rows, 0)
+    for _ in range(rounds):
+        moves = sorted((sign * size, doc, sign) for doc, (size, copies) in rows.items() for sign in (1, -1) if 0 <= copies + change[doc] + sign <= max_rate)
+        sizes = [m[0] for m in moves]
+        best = (abs(gap), ())
+        for words, doc, sign in [(0, None, 0), *moves]:
+            at = bisect.bisect_left(sizes, gap - words)
+            for other in moves[max(0, at - 2) : at + 2]:
+                if other[1] != doc and abs(gap - words - other[0]) < best[0] - 1e-9:
+                    best = (abs(gap - words - other[0]), ((doc, sign), other[1:]))
+        if not best[1]:
+            break
+        for doc, sign in best[1]:
+            if doc is not None:
+                change[doc] += sign
+                gap -= sign * rows[doc][0]
+    return {doc: c for doc, c in change.items() if c}
 
 
 def op5_entropy_mix(spark, sf_dir):
