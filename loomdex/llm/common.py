@@ -43,3 +43,8 @@ def held_out(doc_id: Column, modulus: int, remainder: int = 2) -> Column:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def numbered_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a row number ``name``, written once so that it never changes: ids may be null or repeat."""
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "rows")

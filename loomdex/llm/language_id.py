@@ -9,6 +9,7 @@ a text's is the product over its words.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +171,7 @@ def train(docs: DataFrame, pieces: list[str], docs_per_language: int = 4000, rou
     return languages, model
 
 
+#: The scorer of the latest model in a Python worker.
 _MEMORY: dict = {}
 
 
@@ -216,29 +218,57 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: l
     languages give 'und' and 0. Repeated rows and null ids are scored like others; an empty table
     gives no rows; other columns are ignored.
     """
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((numbered(pieces), model, languages))  # vocabulary times languages
+    predict = _predictor(docs, languages, model, pieces)
 
     def run(batches):
-        ids, model, languages = shared.value
-        scorer = _MEMORY.get(shared.value[1].tobytes()[:4096])
-        if scorer is None:
-            _MEMORY.clear()
-            scorer = _MEMORY[model.tobytes()[:4096]] = _Scorer(ids, model)
         for batch in batches:
-            names, scores = [], []
-            for s in scorer.sums(batch.column(1).to_pylist()) if languages else [None] * batch.num_rows:
-                if s is None:
-                    names.append("und"), scores.append(0.0)
-                else:
-                    best = int(s.argmax())
-                    names.append(languages[best]), scores.append(float(1 / np.exp(s - s[best]).sum()))
+            names, scores = predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     found = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, lang_pred string, score double")
     return found.withColumnRenamed("id", id_col)
 
 
+def _remembered(key: str, ids: dict[str, int], model: np.ndarray) -> _Scorer:
+    """The worker's scorer of this model, with the words that it has met in earlier tasks."""
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[key] = _Scorer(ids, model)
+    return _MEMORY[key]
+
+
+def _predictor(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: list[str]):
+    """A function for workers from a column of texts to languages and scores."""
+    shared = docs.sparkSession.sparkContext.broadcast((numbered(pieces), model, languages))  # vocabulary times languages
+    key = uuid.uuid4().hex
+
+    def predict(texts: pa.Array) -> tuple[list[str], list[float]]:
+        ids, model, languages = shared.value
+        scorer = _remembered(key, ids, model)
+        names, scores = [], []
+        for s in scorer.sums(texts.to_pylist()) if languages else [None] * len(texts):
+            if s is None:
+                names.append("und"), scores.append(0.0)
+            else:
+                best = int(s.argmax())
+                names.append(languages[best]), scores.append(float(1 / np.exp(s - s[best]).sum()))
+        return names, scores
+
+    return predict
+
+
+def identified(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: list[str], least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that have a language and a score of ``least_score`` or more (see ``identify``)."""
+    predict = _predictor(docs, languages, model, pieces)
+
+    def run(batches):
+        for batch in batches:
+            names, scores = predict(batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array([n != "und" and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_language_id(spark, sf_dir, vocabulary_path: str = VOCABULARY):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     pieces = vocabulary(vocabulary_path)
