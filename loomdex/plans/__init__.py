@@ -1,8 +1,8 @@
 """The registered queries with the SQL that checks them."""
 
-from . import relational
+from . import graphs, ranking, relational
 
-MODULES = (relational,)
+MODULES = (graphs, ranking, relational)
 
 
 def queries():
