@@ -66,8 +66,9 @@ def approximate_tokens(text: Column, chars_per_token: float = 4.0) -> Column:
 
 def reduced_token_cost(raw: Column, extension: Column, level: str) -> Column:
     """Tokens expected after reduction: fixed retention by level for C#, 0.95 for others; half away from zero."""
-    kept = {"none": 0.92, "standard": 0.92, "aggressive": 0.70, "skeleton": 0.15, "publicApi": 0.10}[level]
-    return F.round(raw * F.when(F.lower(extension) == ".cs", F.lit(kept)).otherwise(F.lit(0.95))).cast("long")
+    kept = {"none": 92, "standard": 92, "aggressive": 70, "skeleton": 15, "publicApi": 10}[level]
+    percent = F.when(F.lower(extension) == ".cs", F.lit(kept)).otherwise(F.lit(95))
+    return F.floor((raw * percent + 50) / 100).cast("long")
 
 
 def comments(text: Column) -> Column:

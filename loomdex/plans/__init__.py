@@ -1,8 +1,8 @@
 """The registered queries with the SQL that checks them."""
 
-from . import graphs, ranking, relational
+from . import graphs, ranking, relational, texts
 
-MODULES = (graphs, ranking, relational)
+MODULES = (graphs, ranking, relational, texts)
 
 
 def queries():
