@@ -29,7 +29,7 @@ def script_symbols(files: DataFrame) -> DataFrame:
 def csharp_types(files: DataFrame) -> DataFrame:
     """(file_path, line_no, access, kind, name, bases) of the type declarations."""
     found = lines(files).withColumn("name", F.regexp_extract("line", CSHARP_TYPE, 3)).where("name <> ''")
-    bases = F.transform(F.filter(F.split(F.regexp_replace(F.regexp_extract("line", CSHARP_TYPE, 4), r"<[^>]*>|\bwhere\b.*", ""), ","), lambda b: F.trim(b) != ""), F.trim)
+    bases = F.transform(F.filter(F.split(F.regexp_replace(F.regexp_extract("line", CSHARP_TYPE, 4), r"<[^>]*>|\bwhere\b.*", ""), ","), lambda b: F.trim(b) != ""), lambda b: F.trim(b))
     return found.select("file_path", "line_no", F.regexp_extract("line", CSHARP_TYPE, 1).alias("access"), F.regexp_extract("line", CSHARP_TYPE, 2).alias("kind"), "name", bases.alias("bases"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import saved
+
 # Weights of edge types in expansion, and of any other type.
 EDGE_WEIGHTS = {
     "route_handles": 1.00, "mediatr_handles": 0.95, "di_resolves_to": 0.95, "implements": 0.90, "di_depends_on_impl": 0.85, "options_binds": 0.85, "config_impacts": 0.80, "inherits": 0.75,
@@ -17,20 +17,6 @@ OTHER_WEIGHT, HOP_DECAY, THRESHOLD = 0.10, 0.65, 0.10
 DAMPING, PAGERANK_ROUNDS = 0.85, 20
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage: written in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def edge_weight(kind):
     pairs = [x for k, w in EDGE_WEIGHTS.items() for x in (F.lit(k), F.lit(w))]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), kind), F.lit(OTHER_WEIGHT))

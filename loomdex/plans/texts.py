@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import delta, extract, metrics, packing, reduce
+from ..operators.shared import new_path
 from ..streaming import changes
 from .fixtures import SYMBOLS_SQL, table
 
@@ -221,13 +219,7 @@ def str2(spark, d):
 @query("str3_stream_to_batches", "SELECT user_id, count(*) AS events FROM events GROUP BY 1")
 def str3(spark, d):
     """The events as a stream of files, applied batch by batch to a table in the shared folder, as far as they go."""
-    from ..operators.graph import saved
-
-    base = saved(spark.range(0)).inputFiles()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.dirname(base[0]) if base else tempfile.gettempdir()
-    import uuid
-
-    out = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = new_path(spark, "stream")
     source = table(spark, d, "events").select("event_id", "user_id")
     source.write.parquet(f"{out}/in")
     stream = spark.readStream.schema(source.schema).parquet(f"{out}/in")

@@ -16,7 +16,7 @@ def change_log(logs: DataFrame, extensions: tuple[str, ...] = (".cs",), most_fil
     # each log is split at its markers, so no ordering over lines is needed
     commits = logs.select("log", F.posexplode(F.split("text", "\u0001")).alias("commit", "body")).where("commit > 0")
     dated = commits.select("log", "commit", F.to_timestamp(F.trim(F.substring_index("body", "\n", 1))).alias("date"), F.split(F.regexp_replace("body", r"\A[^\n]*\n?", ""), "\r?\n").alias("paths"))
-    wanted = F.array_distinct(F.filter(F.transform("paths", F.trim), lambda p: F.lower(p).rlike("(" + "|".join(e.replace(".", r"\.") for e in extensions) + ")$")))
+    wanted = F.array_distinct(F.filter(F.transform("paths", lambda p: F.trim(p)), lambda p: F.lower(p).rlike("(" + "|".join(e.replace(".", r"\.") for e in extensions) + ")$")))
     return dated.withColumn("paths", wanted).where((F.size("paths") > 0) & (F.size("paths") <= most_files)).select("log", "commit", "date", F.explode("paths").alias("path"))
 
 
