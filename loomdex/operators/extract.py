@@ -73,3 +73,46 @@ def test_edges(uses: DataFrame, resolves: DataFrame, nodes: DataFrame) -> DataFr
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+
+
+# Wiring by line as (edge type, pattern, from, to, weight); "" is the enclosing type, a number a group, and config: and
+# route: prefixes make nodes of their own.
+WIRING = [
+    ("mediatr_handles", r"IRequestHandler\s*<\s*([\w.]+)", "1", "", 0.95),
+    ("sends_request", r"\.(?:Send|Publish)\s*\(\s*new\s+([\w.]+)", "", "1", 0.70),
+    ("options_binds", r"Configure\s*<\s*[\w.]+\s*>\s*\([^\"]*GetSection\s*\(\s*\"([^\"]+)", "config:1", "type", 0.85),
+    ("options_consumes", r"IOptions(?:Snapshot|Monitor)?\s*<\s*([\w.]+)", "", "1", 0.75),
+    ("hosted_service", r"AddHostedService\s*<\s*([\w.]+)", "service:hosted", "1", 0.90),
+    ("pipeline_behavior", r":\s*.*IPipelineBehavior\s*<\s*([\w.]+)", "service:pipeline", "", 0.90),
+    ("ef_entity", r"DbSet\s*<\s*([\w.]+)", "", "1", 0.90),
+    ("ef_configures", r"IEntityTypeConfiguration\s*<\s*([\w.]+)", "1", "", 0.90),
+    ("grpc_endpoint", r"MapGrpcService\s*<\s*([\w.]+)", "service:grpc", "1", 0.95),
+    ("signalr_endpoint", r"MapHub\s*<\s*([\w.]+)", "service:signalr", "1", 0.95),
+]
+
+
+def wiring_edges(files: DataFrame) -> DataFrame:
+    """Typed edges (from, to, type, weight, file_path, line_no) that the wiring patterns find.
+
+    The enclosing type of a line is the nearest declaration at or above it in its file.
+    """
+    name = F.nullif(F.regexp_extract("line", CSHARP_TYPE, 3), F.lit(""))
+    inside = lines(files).withColumn("inside", F.last(name, ignorenulls=True).over(Window.partitionBy("file_path").orderBy("line_no")))
+    hits = []
+    for kind, pattern, start, end, weight in WIRING:
+        group = F.regexp_extract("line", pattern, 1)
+        asked = F.regexp_extract("line", r"Configure\s*<\s*([\w.]+)", 1)
+
+        def node(side: str, group=group, asked=asked):
+            return {"": F.col("inside"), "1": group, "type": asked, "config:1": F.concat(F.lit("config:"), group)}.get(side, F.lit(side))
+
+        hits.append(F.when(group != "", F.struct(node(start).alias("from"), node(end).alias("to"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"))))
+    each = inside.select("file_path", "line_no", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("e"))
+    return each.select("e.from", "e.to", "e.type", "e.weight", "file_path", "line_no").where("`from` IS NOT NULL AND `to` IS NOT NULL").distinct()
+
+
+def reference_uses(files: DataFrame, types: DataFrame, weight: float = 0.15) -> DataFrame:
+    """references edges from the types of a file to other declared types that its text names, each once."""
+    names = files.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("to"))
+    used = names.join(types.select(F.col("name").alias("to")).distinct(), "to", "left_semi")
+    return used.join(types.select("file_path", F.col("name").alias("from")), "file_path").where("`from` <> `to`").select("from", "to", F.lit("references").alias("type"), F.lit(weight).alias("weight")).distinct()

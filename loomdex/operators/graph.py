@@ -61,17 +61,18 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = PAGERANK_
     return ranks.crossJoin(F.broadcast(most)).select("node", (F.col("rank") / F.col("most")).alias("rank"))
 
 
-def expand(edges: DataFrame, seeds: DataFrame, depth: int, threshold: float = THRESHOLD, decay: float = HOP_DECAY, weight=edge_weight, max_rounds: int = 50) -> DataFrame:
+def expand(edges: DataFrame, seeds: DataFrame, depth: int, threshold: float = THRESHOLD, decay: float = HOP_DECAY, weight=edge_weight, fan_out: bool = True, ways: str = "both", max_rounds: int = 50) -> DataFrame:
     """Best-first decayed expansion of (node, score) seeds: node, score, hop, via (type of the last edge).
 
     A step costs weight(type) * decay / sqrt(edges of that type at the parent, in and out). A node
     keeps its best path's hop, and is not expanded at the depth limit, so a label can be withdrawn when
     its parent's hop rises: every round rebuilds all labels from the current ones until they are stable.
-    Ties go to the smaller hop, then the smaller parent.
+    Ties go to the smaller hop, then the smaller parent. ``ways`` limits the steps to edges out or in.
     """
-    both = edges.select("from", "to", "type").unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"), "type"))
+    there, back = edges.select("from", "to", "type"), edges.select(F.col("to").alias("from"), F.col("from").alias("to"), "type")
+    both = {"out": there, "in": back, "both": there.unionByName(back)}[ways]
     fan = both.groupBy("from", "type").agg(F.count(F.lit(1)).alias("fan"))
-    steps = saved(both.distinct().join(fan, ["from", "type"]).select("from", "to", "type", (weight(F.col("type")) * decay / F.sqrt("fan")).alias("factor")))
+    steps = saved(both.distinct().join(fan, ["from", "type"]).select("from", "to", "type", (weight(F.col("type")) * decay / (F.sqrt("fan") if fan_out else F.lit(1.0))).alias("factor")))
     start = saved(seeds.groupBy("node").agg(F.max("score").alias("score")).select("node", "score", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("parent")))
     labels, before = start, None
     for _ in range(max_rounds):
@@ -175,3 +176,11 @@ def seed_cascade(files: DataFrame, types: DataFrame, seed: str) -> DataFrame:
 
 def rank_dense(rows: DataFrame, by: str, key: str) -> DataFrame:
     return rows.withColumn("rank", F.dense_rank().over(Window.partitionBy(by).orderBy(F.desc(key))))
+
+
+def focus(edges: DataFrame, seeds: DataFrame, depth: int, ways: str = "both", centrality: DataFrame | None = None, share: float = 0.0) -> DataFrame:
+    """Files around focus files: half the score per hop, whatever the edge; blended with a share of centrality (node, rank)."""
+    found = expand(edges, seeds, depth, threshold=0.0, decay=0.5, weight=lambda kind: F.when(kind.isNotNull(), F.lit(1.0)).otherwise(F.lit(1.0)), fan_out=False, ways=ways)
+    if centrality is None:
+        return found
+    return found.join(centrality, "node", "left").withColumn("score", F.col("score") + share * F.coalesce("rank", F.lit(0.0))).drop("rank")

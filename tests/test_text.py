@@ -108,3 +108,27 @@ def test_headers(spark):
     rows = [(1, head + "a"), (2, head + "b"), (3, "c")]
     got = {r["pos"]: r["header_id"] for r in delta.header_dedup(spark.createDataFrame(rows, "pos int, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: None}
+
+
+def test_wiring(spark):
+    code = """public class PayHandler : IRequestHandler<Pay, bool> {
+  public PayHandler(IOptions<PayOptions> o) { }
+  void F() { mediator.Send(new Ship(1)); }
+}
+public class Db { DbSet<Order> Orders; }
+public class Start { void C() { s.Configure<PayOptions>(c.GetSection("Pay")); s.AddHostedService<Worker>(); } }
+class Pay { } class PayOptions { }"""
+    src = spark.createDataFrame([("a.cs", code)], "file_path string, text string")
+    got = {(r["from"], r["to"], r["type"]) for r in extract.wiring_edges(src).collect()}
+    assert got == {("Pay", "PayHandler", "mediatr_handles"), ("PayHandler", "PayOptions", "options_consumes"), ("PayHandler", "Ship", "sends_request"), ("Db", "Order", "ef_entity"), ("config:Pay", "PayOptions", "options_binds"), ("service:hosted", "Worker", "hosted_service")}
+    uses = {(r["from"], r["to"]) for r in extract.reference_uses(src, extract.csharp_types(src)).collect()}
+    assert ("PayHandler", "Pay") in uses and ("Pay", "Pay") not in uses
+
+
+def test_focus(spark):
+    from loomdex.operators import graph
+
+    edges = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r"), ("d", "a", "r")], "from string, to string, type string")
+    seeds = spark.createDataFrame([("a", 1.0)], "node string, score double")
+    assert {(r["node"], r["score"]) for r in graph.focus(edges, seeds, 2, "out").collect()} == {("a", 1.0), ("b", 0.5), ("c", 0.25)}
+    assert {r["node"] for r in graph.focus(edges, seeds, 1).collect()} == {"a", "b", "d"}
