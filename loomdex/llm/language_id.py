@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stage
+from .common import held_out, kind_of, stage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = re.compile(r"[^\W\d_]+")
-#: Longer words are scored as several words of this many characters, so that no product underflows.
-WORD_CHARS = 24
-PIECE_CHARS = 8
+#: Longer words are scored on their own with a scaled forward pass, so that no product underflows;
+#: the learner, which reads a bounded sample, takes them as several words of this many characters.
+WORD_CHARS = 32
 MARK = "▁"
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-8
@@ -37,7 +37,7 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(len(model)))
-    return sorted({p for p in pieces if 0 < len(p) <= PIECE_CHARS and p.removeprefix(MARK).isalpha() and p == p.lower()} | {MARK})
+    return sorted({p for p in pieces if p.removeprefix(MARK).isalpha() and p == p.lower()} | {MARK})
 
 
 def numbered(pieces: list[str]) -> dict[str, int]:
@@ -47,10 +47,12 @@ def numbered(pieces: list[str]) -> dict[str, int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    found = WORD.findall((text or "").lower())
-    if any(len(w) > WORD_CHARS for w in found):
-        found = [w[i : i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
-    return found
+    return WORD.findall((text or "").lower())
+
+
+def stretches(words: list[str]) -> list[str]:
+    """The words, those over WORD_CHARS characters in several parts."""
+    return [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
 
 
 class Lattice:
@@ -66,7 +68,7 @@ class Lattice:
             for i in range(size):
                 one = get(s[i], -1)
                 word.append(n), start.append(i), end.append(i + 1), piece.append(one if one >= 0 else unknown)
-                for j in range(i + 2, min(i + PIECE_CHARS, size) + 1):
+                for j in range(i + 2, size + 1):
                     p = get(s[i:j])
                     if p is None:
                         break
@@ -110,6 +112,31 @@ class Lattice:
         return np.bincount(self.piece, use, len(probabilities))
 
 
+def long_word(word: str, ids: dict[str, int], probabilities: np.ndarray) -> np.ndarray:
+    """Log probability by model of a word of any length: the forward pass with each position scaled to one."""
+    s, unknown = MARK + word, len(probabilities) - 1
+    total = np.zeros(probabilities.shape[1])
+    reach: list[list[tuple[int, int]]] = [[] for _ in s]  # by end: start and piece
+    for i in range(len(s)):
+        one = ids.get(s[i], -1)
+        reach[i].append((i, one if one >= 0 else unknown))
+        for j in range(i + 2, len(s) + 1):
+            p = ids.get(s[i:j])
+            if p is None:
+                break
+            if p >= 0:
+                reach[j - 1].append((i, p))
+    longest = max(end + 1 - i for end, arcs in enumerate(reach) for i, _ in arcs)
+    # by position: its probability over that of the latest one
+    scaled = {0: np.ones(probabilities.shape[1])}
+    for end, arcs in enumerate(reach):
+        now = sum(scaled[i] * probabilities[p] for i, p in arcs)
+        total += np.log(now)
+        scaled = {i: a / now for i, a in scaled.items() if i + longest >= end + 2}
+        scaled[end + 1] = np.ones(len(now))
+    return total
+
+
 def train(docs: DataFrame, pieces: list[str], docs_per_language: int = 4000, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities [pieces + 1, languages] from the labelled rows of ``docs``.
 
@@ -133,7 +160,7 @@ def train(docs: DataFrame, pieces: list[str], docs_per_language: int = 4000, rou
         seen: dict[tuple[str, str], int] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in words_of(text):
+                for w in stretches(words_of(text)):
                     seen[lang, w] = seen.get((lang, w), 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -161,13 +188,13 @@ def train(docs: DataFrame, pieces: list[str], docs_per_language: int = 4000, rou
                 hit = np.flatnonzero(use)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), at, np.int32)), pa.array(hit.astype(np.int32)), pa.array(use[hit])], ["lang", "piece", "uses"])
 
-        uses = words.mapInArrow(expect, "lang int, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).collect()  # at most pieces * languages rows
+        uses = words.mapInArrow(expect, "lang int, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toArrow()  # at most pieces * languages rows
         found = np.zeros_like(model)
-        for r in uses:
-            found[r["piece"], r["lang"]] = r["uses"]
+        found[uses["piece"].to_numpy(), uses["lang"].to_numpy()] = uses["uses"].to_numpy()
         known = found[:size] + 0.01
         model = np.vstack([known / known.sum(axis=0), np.full((1, len(languages)), UNKNOWN)])
-        now.unpersist()
+        now.destroy()
+    ids.destroy()
     return languages, model
 
 
@@ -187,7 +214,11 @@ class _Scorer:
             first = len(self.rows)
             while first + len(part) > len(self.scores):
                 self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
-            self.scores[first : first + len(part)] = Lattice(part, self.ids, len(self.model) - 1).log_probabilities(self.model)
+            short = [w if len(w) <= WORD_CHARS else "" for w in part]
+            self.scores[first : first + len(part)] = Lattice(short, self.ids, len(self.model) - 1).log_probabilities(self.model)
+            for i, w in enumerate(part):
+                if len(w) > WORD_CHARS:
+                    self.scores[first + i] = long_word(w, self.ids, self.model)
             self.rows.update(zip(part, range(first, first + len(part)), strict=True))
 
     def sums(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -215,7 +246,7 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: l
 
     Score is the posterior of the likeliest language under equal priors; ties go to the first
     language by name. Null texts, texts without letters and any text under a model without
-    languages give 'und' and 0. Repeated rows and null ids are scored like others; an empty table
+    languages give 'und' and 0. Ids have any type. Repeated rows and null ids are scored like others; an empty table
     gives no rows; other columns are ignored.
     """
     predict = _predictor(docs, languages, model, pieces)
@@ -223,9 +254,10 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: l
     def run(batches):
         for batch in batches:
             names, scores = predict(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
-    found = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
+    found = rows.mapInArrow(run, f"id {kind_of(rows, 'id')}, lang_pred string, score double")
     return found.withColumnRenamed("id", id_col)
 
 

@@ -33,6 +33,17 @@ def test_forward_sums_all_segmentations():
     for m in range(2):
         table = dict(zip(PIECES, model[:-1, m], strict=True))
         assert np.allclose(got[:, m], [brute(w, table, language.UNKNOWN) for w in words])
+    for i, w in enumerate(words):
+        assert np.allclose(np.exp(language.long_word(w, language.numbered(PIECES), model)), got[i])
+
+
+def test_long_words_do_not_underflow():
+    pieces = language.vocabulary()
+    ids, model = language.numbered(pieces), np.random.default_rng(2).random((len(pieces) + 1, 2)) * 1e-4
+    word = "unbelievable" * 2
+    short = language.Lattice([word], ids, len(pieces)).log_probabilities(model)[0]
+    assert np.allclose(language.long_word(word, ids, model), short)
+    assert np.isfinite(language.long_word("ab" * 10_000, ids, model)).all()
 
 
 def test_expected_uses_are_those_of_the_posterior():
@@ -58,6 +69,39 @@ def test_language_query_is_right_on_held_out_texts(spark, sf_dir):
     assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) >= 0.97 * len(held)
 
 
+def test_language_query_equals_brute_force(spark, sf_dir):
+    """Posteriors recomputed by a plain forward pass over each word, with the same fitted model."""
+    from loomdex.llm.common import held_out
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    pieces = language.vocabulary()
+    languages, model = language.train(docs.where(~held_out(F.col("doc_id"), 4)), pieces)
+    tables = [dict(zip(pieces, model[:-1, m].tolist(), strict=True)) for m in range(len(languages))]
+    seen = {}
+
+    def word(w):
+        if w not in seen:
+            s, out = language.MARK + w, []
+            for table in tables:
+                reach = [1.0] + [0.0] * len(s)
+                for i in range(len(s)):
+                    for j in range(i + 1, len(s) + 1):
+                        reach[j] += reach[i] * table.get(s[i:j], language.UNKNOWN if j == i + 1 else 0.0)
+                out.append(np.log(reach[-1]))
+            seen[w] = np.array(out)
+        return seen[w]
+
+    got = {r["doc_id"]: r for r in language.op10_language_id(spark, sf_dir).collect()}
+    for r in docs.limit(60).collect():
+        words = language.words_of(r["text"])
+        if not words:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        sums = sum(word(w) for w in words)
+        assert got[r["doc_id"]]["lang_pred"] == languages[int(sums.argmax())]
+        assert abs(got[r["doc_id"]]["score"] - 1 / np.exp(sums - sums.max()).sum()) < 1e-6
+
+
 def test_language_of_odd_rows(spark):
     rows = [(1, "the cat and the dog", "en", 1), (2, "le chat et le chien", "fr", 2), (3, None, "en", 3), (4, "12 !? ² _", None, 4), (4, "12 !? ² _", None, 4), (None, "the " * 50000, None, 5), (6, "", "en", 6), (7, "x" * 5000, None, 7)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
