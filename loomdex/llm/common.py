@@ -36,6 +36,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kind_of(df: DataFrame, column: str) -> str:
+    """The column's type as SQL text, for the schemas of Python stages that pass it on."""
+    return df.schema[column].dataType.simpleString()
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or the first one with underscores before it that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int = 2) -> Column:
     """True where crc32 of the id as text leaves ``remainder``; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
