@@ -3,8 +3,11 @@
 Counts of words and word pairs are gathered from the training texts, quantised on a
 logarithmic scale, and an n-gram of level q enters the filter once for each level 1 to q.
 A lookup probes level 1, 2, ... until one is missing; the last present level gives the
-count. Workers get the filter by broadcast and turn such counts into smoothed
-probabilities. Beside the model's score a base score is computed from exact word counts.
+count. The filter has the same bits for each entry at every size. Workers get it by
+broadcast as long as it fits in one; a larger filter stays in its segments, and the
+distinct n-grams of some texts at a time travel to the segment of their key range and
+their levels back, with the same scores. Beside the model's score a base score is computed
+from exact word counts.
 """
 
 from __future__ import annotations
@@ -17,18 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stage
+from .common import held_out, kind_of, stage
 
 #: Stands for the end of a text; no word has a space.
 END = b" "
-#: Bound of the broadcast filter. A corpus with more n-grams gets fewer bits each, then loses its rarest pairs.
+#: Bound of the broadcast filter; the segments of a larger one are probed where they are.
 MAX_FILTER_BYTES = 128 << 20
-BITS_PER_ENTRY, LEAST_BITS, PROBES = 8.0, 5.0, 4
-#: Words whose exact counts are broadcast; the others' are joined.
+BITS_PER_ENTRY, PROBES = 8.0, 4
+#: Words whose exact counts are broadcast as (hash, count), 16 bytes each; the others' are joined.
 HOT_WORDS = 150_000
-CACHE_WORDS = 400_000
-#: Tokens counted or scored at a time.
-CHUNK = 1 << 20
+#: Distinct words and pairs of words that a task adds up before it passes them on; tokens scored at a time.
+WORDS_AT_A_TIME, PAIRS_AT_A_TIME, CHUNK = 1 << 17, 1 << 20, 1 << 17
 TOKENS_PER_PART = 1 << 21
 #: Weight of the word's own probability against that given the word before.
 KAPPA = 4.0
@@ -64,15 +66,15 @@ LEVEL_COUNTS = np.array([0.0, 1.0, *[2.0 ** (q - 1) * math.sqrt(1.5 if q == 2 el
 class Filter:
     """Segments by the leading bits of the key, each a Bloom filter of (key, level) entries."""
 
-    def __init__(self, segments: list[bytes], part_bits: int):
-        self.part_bits = part_bits
-        self.sizes = np.array([8 * len(s) for s in segments], np.uint64)
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, part_bits: int):
+        """``bits``: the segments' bytes in turn; ``sizes``: the bytes of each."""
+        self.part_bits, self.bytes = part_bits, bits if len(bits) else np.zeros(1, np.uint8)
+        self.sizes = sizes.astype(np.uint64) * np.uint64(8)
         self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]].astype(np.uint64)
-        self.bytes = np.frombuffer(b"".join(segments) or b"\0", np.uint8)
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Approximate counts by probing level after level; never below the stored level's."""
-        level = np.zeros(len(keys), np.int64)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels by probing one after the other; never below the stored level."""
+        level = np.zeros(len(keys), np.uint8)
         part = part_of(keys, self.part_bits)
         sizes, starts = self.sizes[part], self.starts[part]
         alive = np.flatnonzero(sizes)
@@ -84,7 +86,10 @@ class Filter:
             if not len(alive):
                 break
             level[alive] = q
-        return LEVEL_COUNTS[level]
+        return level
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        return LEVEL_COUNTS[self.levels(keys)]
 
 
 def part_of(keys: np.ndarray, part_bits: int) -> np.ndarray:
@@ -147,7 +152,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for text in batch.column(0):
                 for t in tokens_of(text.as_py()):
                     seen[t] = seen.get(t, 0) + 1
-                if len(seen) > CHUNK:
+                if len(seen) > WORDS_AT_A_TIME:
                     yield out()
                     seen.clear()
         yield out()
@@ -155,36 +160,30 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _hashes(tokens: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    for t in set(tokens):
-        if t not in known:
-            known[t] = xxhash.xxh64_intdigest(t)
-    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+def hashes_of(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
 
 
 def pair_blobs(texts: DataFrame, part_bits: int) -> DataFrame:
     """Counts of word pairs (the start of a text counts as a word before) as blobs by key range."""
 
     def run(batches):
-        known: dict[bytes, int] = {}
-        tokens, firsts = [], []
+        keys, size = [], 0
 
         def out():
-            h = _hashes(tokens, known)
-            before = np.r_[START, h[:-1]]
-            before[firsts] = START
-            return blobs(*summed(pair_keys(before, h), np.ones(len(h), np.int64)), part_bits)
+            found = np.concatenate(keys)
+            keys.clear()
+            return blobs(*summed(found, np.ones(len(found), np.int32)), part_bits)
 
         for batch in batches:
             for text in batch.column(0):
-                firsts.append(len(tokens))
-                tokens += tokens_of(text.as_py())
-                if len(tokens) > CHUNK:
+                h = hashes_of(tokens_of(text.as_py()))
+                keys.append(pair_keys(np.r_[START, h[:-1]], h))
+                size += len(h)
+                if size > PAIRS_AT_A_TIME:
                     yield out()
-                    tokens, firsts = [], []
-        if tokens:
+                    size = 0
+        if keys:
             yield out()
 
     return texts.mapInArrow(run, BLOB)
@@ -200,140 +199,226 @@ def word_blobs(words: DataFrame, part_bits: int) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, BLOB)
 
 
-def build_filter(texts: DataFrame, words: DataFrame, n_tokens: int, max_bytes: int = MAX_FILTER_BYTES) -> Filter:
-    part_bits = max(4, math.ceil(math.log2(max(1, n_tokens / TOKENS_PER_PART))) + 1)
+def build_segments(texts: DataFrame, words: DataFrame, part_bits: int) -> DataFrame:
+    """(part, bits): the filter's segments, a row for each key range that has n-grams, written in the shared folder."""
 
     def merge(table: pa.Table) -> pa.Table:
         read = [_read(k.as_py(), c.as_py()) for k, c in zip(table.column("keys"), table.column("counts"), strict=True)]
         keys, counts = summed(np.concatenate([k for k, _ in read]), np.concatenate([c for _, c in read]))
-        levels = levels_of(counts)
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "levels": pa.array([levels.astype(np.uint8).tobytes()], pa.binary()), "by_level": pa.array([np.bincount(levels, minlength=64).tolist()], pa.list_(pa.int64()))})
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([segment(keys, levels_of(counts), BITS_PER_ENTRY)], pa.binary())})
 
     blobbed = pair_blobs(texts, part_bits).unionByName(word_blobs(words, part_bits))
-    merged = stage(blobbed.groupBy("part").applyInArrow(merge, "part int, keys binary, levels binary, by_level array<long>"), "lm-ngrams")
-    by_level = np.zeros(64, np.int64)
-    for r in merged.select(F.posexplode("by_level")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
-        by_level[r["pos"]] = r["n"]
-    least = 1
-    while (entries := int((by_level * np.arange(64))[least:].sum())) * LEAST_BITS > 8 * max_bytes:
-        least += 1
-    bits = min(BITS_PER_ENTRY, 8 * max_bytes / max(1, entries))
-
-    def build(batches):
-        for batch in batches:
-            out = []
-            for k, v in zip(batch.column(1), batch.column(2), strict=True):
-                keys, levels = np.frombuffer(k.as_py(), np.uint64), np.frombuffer(v.as_py(), np.uint8)
-                out.append(segment(keys[levels >= least], levels[levels >= least].astype(np.int64), bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["part", "bits"])
-
-    segments = [b""] * (1 << part_bits)
-    for r in merged.select("part", "keys", "levels").mapInArrow(build, "part int, bits binary").collect():  # max_bytes in all
-        segments[r["part"]] = bytes(r["bits"])
-    return Filter(segments, part_bits)
-
-
-class Scorer:
-    """Scores lists of tokens; remembers hashes, exact hot counts and unigram probabilities of words."""
-
-    def __init__(self, model: Filter, hot: dict[bytes, int], n: int, v: int):
-        self.model, self.hot, self.n, self.v = model, hot, n, v
-        self.clear()
-        self.starts = float(model.count(word_keys(np.array([xxhash.xxh64_intdigest(END)], np.uint64)))[0])
-
-    def clear(self):
-        self.at: dict[bytes, int] = {}
-        self.names: list[bytes] = []
-        self.hash, self.seen, self.exact = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        met = set(tokens)
-        new = [t for t in met if t not in self.at]
-        if self.at and len(self.at) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(met)
-        if new:
-            self.at.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
-            self.names += new
-            h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-            self.hash = np.r_[self.hash, h]
-            self.seen = np.r_[self.seen, self.model.count(word_keys(h))]
-            self.exact = np.r_[self.exact, np.fromiter((self.hot.get(t, -1) for t in new), float, len(new))]
-        return np.fromiter(map(self.at.__getitem__, tokens), np.int64, len(tokens))
-
-    def score(self, texts: list[str | None]):
-        """Per text: tokens, log10 probability, sum of log10(c + 1) and number of known hot tokens, and (text, word, times) of the others."""
-        tokens, sizes = [], []
+    return stage(blobbed.groupBy("part").applyInArrow(merge, "part int, bits binary"), "lm-segments")
+
+
+def gathered(segments: DataFrame, sizes: np.ndarray, part_bits: int) -> Filter:
+    """The whole filter on the driver, from one partition of the segments at a time."""
+    ends = np.cumsum(sizes)
+    bits = np.empty(int(sizes.sum()), np.uint8)
+    for r in segments.toLocalIterator(prefetchPartitions=True):
+        end = int(ends[r["part"]])
+        bits[end - int(sizes[r["part"]]) : end] = np.frombuffer(r["bits"], np.uint8)
+    return Filter(bits, sizes, part_bits)
+
+
+def log_probabilities(seen: np.ndarray, pair: np.ndarray, first: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 probabilities of tokens, from the counts of their words, of their pairs and of the words before.
+
+    ``first`` are the texts' first tokens. Before them stands the end of another text: the last
+    token's count, for every text ends with it.
+    """
+    context = np.r_[seen[-1:], seen[:-1]]
+    context[first] = seen[-1] if len(seen) else 0
+    own = (seen + 1) / (n + v + 1)
+    trust = context / (context + KAPPA)
+    return np.log10(np.minimum(trust * np.minimum(pair, context) / np.maximum(context, 1) + (1 - trust) * own, 1.0))
+
+
+class Chunk:
+    """The tokens of some texts: hashes, distinct words, and the keys of words and pairs."""
+
+    def __init__(self, texts: list[str | None]):
+        self.tokens: list[bytes] = []
+        sizes = []
         for text in texts:
             found = tokens_of(text)
-            tokens += found
+            self.tokens += found
             sizes.append(len(found))
-        sizes = np.array(sizes)
-        i, doc = self.numbers(tokens), np.repeat(np.arange(len(sizes)), sizes)
-        first = np.r_[0, np.cumsum(sizes)[:-1]]
-        h, seen = self.hash[i], self.seen[i]
-        before, context = np.r_[START, h[:-1]], np.r_[self.starts, seen[:-1]]
-        before[first], context[first] = START, self.starts
-        pair = np.minimum(self.model.count(pair_keys(before, h)), context)
-        own = (seen + 1) / (self.n + self.v + 1)
-        trust = context / (context + KAPPA)
-        p = trust * pair / np.maximum(context, 1) + (1 - trust) * own
-        score = np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(sizes))
-        exact = self.exact[i]
-        hot = exact >= 0
-        base = np.bincount(doc[hot], np.log10(exact[hot] + 1), len(sizes))
-        known = np.bincount(doc[hot], minlength=len(sizes))
-        code, times = np.unique(doc[~hot] * (len(self.names) + 1) + i[~hot], return_counts=True)
-        return sizes, score, base, known, code // (len(self.names) + 1), [self.names[x] for x in code % (len(self.names) + 1)], times
+        self.sizes = np.array(sizes)
+        self.first = np.r_[0, np.cumsum(self.sizes)[:-1]]
+        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        h = hashes_of(self.tokens)
+        self.words, self.where, self.word = np.unique(h, return_index=True, return_inverse=True)
+        before = np.r_[START, h[:-1]]
+        before[self.first] = START
+        self.pairs = pair_keys(before, h)
+
+    def base(self, hot: np.ndarray, counts: np.ndarray):
+        """Sum of log10(c + 1) and number of the tokens that are hot words, and (text, word, times) of the others."""
+        at = np.minimum(np.searchsorted(hot, self.words), max(len(hot) - 1, 0))
+        known = hot[at] == self.words if len(hot) else np.zeros(len(self.words), bool)
+        logs = np.where(known, np.log10(counts[at] + 1.0), 0.0) if len(hot) else np.zeros(len(self.words))
+        known, n = known[self.word], len(self.sizes)
+        code, times = np.unique(self.doc[~known] * len(self.words) + self.word[~known], return_counts=True)
+        names = [self.tokens[i] for i in self.where[code % max(len(self.words), 1)].tolist()]
+        return np.bincount(self.doc, logs[self.word], n), np.bincount(self.doc[known], minlength=n), code // max(len(self.words), 1), names, times
+
+
+def chunks(texts: pa.Array):
+    """(first, end) of runs of texts of about CHUNK characters."""
+    size = 0
+    first = 0
+    for i, t in enumerate(texts):
+        size += len(t.as_py() or "")
+        if size >= CHUNK * 4:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
+BASE = ["row", "id", "n_tokens", "hot_log", "hot_known", "words", "times"]
+BASE_TYPES = "row long, id {}, n_tokens long, hot_log double, hot_known long, words array<binary>, times array<long>"
+
+
+def base_columns(batch: pa.RecordBatch, a: int, b: int, chunk: Chunk, hot: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+    base, known, doc, names, times = chunk.base(*hot)
+    offsets = pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32))
+    words, times = (pa.ListArray.from_arrays(offsets, x) for x in (pa.array(names, pa.binary()), pa.array(times, pa.int64())))
+    return [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(chunk.sizes, pa.int64()), pa.array(base.astype(float)), pa.array(known, pa.int64()), words, times]
+
+
+def scored_by_broadcast(rows: DataFrame, model: Filter, hot: tuple[np.ndarray, np.ndarray], n: int, v: int) -> DataFrame:
+    """BASE and score for each of ``rows`` (row, id, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, hot))  # max_filter_bytes and hot_words
+
+    def run(batches):
+        for batch in batches:
+            model, hot = shared.value
+            for a, b in chunks(batch.column(2)):
+                chunk = Chunk(batch.column(2)[a:b].to_pylist())
+                seen = model.count(word_keys(chunk.words))[chunk.word]
+                score = np.bincount(chunk.doc, log_probabilities(seen, model.count(chunk.pairs), chunk.first, n, v), b - a)
+                yield pa.RecordBatch.from_arrays([*base_columns(batch, a, b, chunk, hot), pa.array(score)], [*BASE, "score"])
+
+    return stage(rows.mapInArrow(run, BASE_TYPES.format(kind_of(rows, "id")) + ", score double"), "lm-scored")
+
+
+def scored_by_segment(rows: DataFrame, segments: DataFrame, part_bits: int, hot: tuple[np.ndarray, np.ndarray], n: int, v: int) -> DataFrame:
+    """What ``scored_by_broadcast`` gives, for a filter of any size.
+
+    Texts are tokenised once. The distinct keys of some texts at a time go to their segment, which a
+    task holds one after the other, and the levels found go back to those texts' tokens.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+    bounds = np.arange((1 << part_bits) + 1)
+
+    def tokenise(batches):
+        for batch in batches:
+            for a, b in chunks(batch.column(2)):
+                chunk = Chunk(batch.column(2)[a:b].to_pylist())
+                keys, back = np.unique(np.r_[word_keys(chunk.words), chunk.pairs], return_inverse=True)
+                size = len(chunk.words)
+                places = np.c_[back[:size][chunk.word], back[size:]].astype(np.int32).tobytes()
+                number = batch.column(0)[a].as_py()
+                base = base_columns(batch, a, b, chunk, shared.value)
+                yield pa.RecordBatch.from_arrays([*base, pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], [*BASE, "chunk", "part", "data"])
+                cuts = np.searchsorted(part_of(keys, part_bits), bounds)
+                parts = [(p, keys[i:j].tobytes()) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                # the tokens' places among the keys and the texts' sizes come before all parts
+                parts += [(-1, places), (-2, np.array(batch.column(0)[a:b].to_pylist(), np.int64).tobytes() + chunk.sizes.astype(np.int64).tobytes())]
+                none = [pa.nulls(len(parts), x.type) for x in base]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([number] * len(parts), pa.int64()), pa.array([p for p, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], [*BASE, "chunk", "part", "data"])
+
+    tokenised = stage(rows.mapInArrow(tokenise, BASE_TYPES.format(kind_of(rows, "id")) + ", chunk long, part int, data binary"), "lm-tokens")
+    asked = tokenised.where("part >= 0").select("part", F.lit(1).alias("asked"), "chunk", "data")
+    there = segments.select("part", F.lit(0).alias("asked"), F.lit(0).cast("long").alias("chunk"), F.col("bits").alias("data"))
+
+    def probe(batches):
+        model, held = None, -1
+        for batch in batches:
+            chunk, part, found = [], [], []
+            for p, is_asked, c, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if not is_asked:
+                    model, held = Filter(np.frombuffer(data, np.uint8), np.array([len(data)]), 0), p
+                    continue
+                keys = np.frombuffer(data, np.uint64)
+                level = model.levels(keys) if held == p else np.zeros(len(keys), np.uint8)
+                chunk.append(c), part.append(p), found.append(level.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array(found, pa.binary())], ["chunk", "part", "data"])
+
+    together = there.unionByName(asked).repartition("part").sortWithinPartitions("part", "asked")
+    levels = stage(together.mapInArrow(probe, "chunk long, part int, data binary"), "lm-levels")
+
+    def finish(batches):
+        number, parts = None, []
+
+        def out():
+            ids, sizes = np.frombuffer(parts[0], np.int64).reshape(2, -1)
+            places = np.frombuffer(parts[1], np.int32).reshape(-1, 2)
+            counts = LEVEL_COUNTS[np.frombuffer(b"".join(parts[2:]), np.uint8)]
+            first = np.r_[0, np.cumsum(sizes)[:-1]]
+            logs = log_probabilities(counts[places[:, 0]], counts[places[:, 1]], first, n, v)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes)))], ["row", "score"])
+
+        for batch in batches:
+            for c, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if c != number and parts:
+                    yield out()
+                    parts = []
+                number = c
+                parts.append(data)
+        if parts:
+            yield out()
+
+    back = levels.unionByName(tokenised.where("part < 0").select("chunk", "part", "data")).repartition("chunk").sortWithinPartitions("chunk", "part")
+    scores = back.mapInArrow(finish, "row long, score double")
+    return stage(tokenised.where("chunk IS NULL").select(*BASE).join(scores, "row"), "lm-scored")
+
+
+def hot_counts(words: DataFrame, hot_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the commonest words, at most ``hot_words``."""
+    # the smallest count whose words, and those above it, are at most hot_words
+    counts = words.groupBy("n").count().orderBy(F.desc("n")).limit(hot_words + 1).toArrow()
+    above = np.cumsum(counts["count"].to_numpy())
+    fit = int(np.searchsorted(above, hot_words, side="right"))
+    if not fit:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(hashes_of(batch.column(0).to_pylist()).view(np.int64)), batch.column(1)], ["h", "n"])
+
+    found = words.where(F.col("n") >= int(counts["n"][fit - 1].as_py())).select("word", "n").mapInArrow(run, "h long, n long").toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def score_texts(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``; ``trained`` gives the counts.
 
-    Null text is empty: its only token is the end. Repeated rows are scored one by one, null ids
-    are kept, other columns are ignored, an empty ``docs`` gives no rows; with an empty ``trained``
-    every word is unknown (N = V = 0).
+    Null text is empty: its only token is the end. Ids have any type; repeated rows are scored one by
+    one, null ids are kept, other columns are ignored, an empty ``docs`` gives no rows; with an empty
+    ``trained`` every word is unknown (N = V = 0). Scores don't depend on ``hot_words`` or
+    ``max_filter_bytes``, which only bound what is broadcast.
     """
-    spark = docs.sparkSession
     texts = trained.select(F.col(text_col).cast("string").alias("text"))
     words = stage(word_counts(texts), "lm-words")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    model = build_filter(texts, words, n, max_filter_bytes)
-    # the smallest count whose words, and those above it, are at most hot_words
-    above, least = 0, None
-    for r in words.groupBy("n").count().orderBy(F.desc("n")).limit(hot_words + 1).collect():
-        above += r["count"]
-        if above > hot_words:
-            break
-        least = r["n"]
-    hot = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= least).collect()} if least is not None else {}
-    shared = spark.sparkContext.broadcast((model.bytes, model.sizes, model.starts, model.part_bits, hot))  # max_filter_bytes and hot_words
-
-    def run(batches):
-        scorer = None
-        for batch in batches:
-            if scorer is None:
-                bits, sizes, starts, part_bits, counts = shared.value
-                model = Filter.__new__(Filter)
-                model.bytes, model.sizes, model.starts, model.part_bits = bits, sizes, starts, part_bits
-                scorer = Scorer(model, counts, n, v)
-            texts = batch.column(2)
-            size = np.array([len(t.as_py() or "") for t in texts])
-            cuts = np.searchsorted(np.cumsum(size), np.arange(CHUNK, size.sum() + CHUNK, CHUNK), side="right") if len(size) else []
-            for a, b in zip([0, *cuts], [*cuts, len(size)], strict=True):
-                a, b = int(a), int(b)
-                if a >= b:
-                    continue
-                sizes, score, base, known, doc, names, times = scorer.score([t.as_py() for t in texts[a:b]])
-                offsets = pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], batch.column(1)[a:b].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(score, pa.float64()), pa.array(base.astype(float)), pa.array(known, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(names, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))],
-                    ["row", "id", "n_tokens", "score", "hot_log", "hot_known", "words", "times"],
-                )
-
-    scored = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "row long, id long, n_tokens long, score double, hot_log double, hot_known long, words array<binary>, times array<long>")
-    rows = stage(scored, "lm-scored")
+    part_bits = max(4, math.ceil(math.log2(max(1, n / TOKENS_PER_PART))) + 1)
+    segments = build_segments(texts, words, part_bits)
+    lengths = segments.select("part", F.octet_length("bits").cast("long").alias("size")).toArrow()  # a row per 2**20 tokens
+    sizes = np.zeros(1 << part_bits, np.int64)
+    sizes[lengths["part"].to_numpy()] = lengths["size"].to_numpy()
+    hot = hot_counts(words, hot_words)
+    asked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if sizes.sum() <= max_filter_bytes:
+        rows = scored_by_broadcast(asked, gathered(segments, sizes, part_bits), hot, n, v)
+    else:
+        # numbered once: a row that is read again must keep its number
+        rows = scored_by_segment(stage(asked, "lm-rows"), segments, part_bits, hot, n, v)
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     counted = rare.join(words, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_log"), F.sum("times").alias("rare_known"))
     log_all = F.log10(F.lit(float(n)) + F.lit(float(v)) + 1.0)
