@@ -3,16 +3,17 @@
 Among all rates for the documents, take those nearest in entropy to one copy each whose
 words meet every source's target. The dual is convex with one multiplier per source:
 a document of x mean sizes gets the rate min(max_rate, exp(multiplier * x)). Safeguarded
-Newton steps solve it; each step is one distributed sum over (source, size) counts.
-Rates become whole copies by a hash, and few documents of each size class then take one
-copy more or less until the source's words are near its target.
+Newton steps solve it; each step is one distributed sum over (source, size) counts, and
+the multipliers stay in a table, so there may be any number of sources. Rates become whole
+copies by a hash, and few documents of each size class then take one copy more or less
+until the source's words are near its target.
 """
 
 from __future__ import annotations
 
 import bisect
-import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,107 +22,128 @@ from .common import JAVA_WORD, stage, text_of
 MAX_RATE = 3
 #: Exponents beyond this give the same clipped rates.
 MAX_EXPONENT = 60.0
-#: Sources are a dimension of the corpus; more than this in one mix is refused rather than broadcast.
-MAX_SOURCES = 100_000
 MAX_STEPS = 60
+#: Stands for a bracket that is open on one side.
+OPEN = 1e300
 
 
-def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (5, 2, 1), max_rate: int = MAX_RATE) -> dict[str | None, float]:
-    """Targets that share all words by weight; none above ``max_rate`` times its size, the excess reshared."""
-    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total, fixed = float(sum(sizes.values())), {}
+def ranked(totals: DataFrame) -> DataFrame:
+    """``totals`` with ``s``, the place of its source in code point order, null last, from 0; no task sees all sources."""
+    ordered = totals.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
+    placed = stage(ordered.withColumn("place", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("place", 33)
+    before, offsets = 0, []
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):  # a row per partition
+        offsets.append((r["part"], before))
+        before += r["count"]
+    starts = totals.sparkSession.createDataFrame(offsets, "part long, before long")
+    return placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("s", F.col("before") + F.col("place") - F.shiftleft("part", 33)).drop("part", "before", "place")
+
+
+def with_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = MAX_RATE) -> DataFrame:
+    """``sources`` (s, words, ...) with ``target``: shares of all words by weight, none above ``max_rate`` times its words, the excess reshared.
+
+    With L the words for each unit of weight, the sources that stop are those with max_rate * words
+    under L * weight; L only grows as more of them stop, so a few sums find it.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int"))
+    most = F.col("words") * float(max_rate)
+    left, share, stopped, stops = 0.0, 1.0, -1, F.lit(False)
     while True:
-        free = [s for s in order if s not in fixed]
-        share = sum(weight[s] for s in free)
-        left = total - sum(fixed.values())
-        targets = fixed | {s: left * weight[s] / share for s in free}
-        over = [s for s in free if targets[s] > max_rate * sizes[s]]
-        if not over:
-            return targets
-        fixed |= {s: float(max_rate * sizes[s]) for s in over}
-
-
-def solve_dual(counts: DataFrame, sizes: dict[int, int], means: dict[int, float], targets: dict[int, float], max_rate: int, tolerance: float = 1e-7) -> dict[int, float]:
-    """Multipliers by source number; ``counts`` has (s, size, n). Newton, kept within a bracket."""
-    spark = counts.sparkSession
-    found = {s: math.inf for s, t in targets.items() if t >= max_rate * sizes[s] * (1 - 1e-12)}
-    state = {s: [0.0, -math.inf, math.inf] for s in targets if s not in found}
+        sums = sources.agg(
+            F.count(F.when(stops, 1)).alias("stopped"),
+            F.sum(F.when(~stops, weight)).alias("share"),
+            (F.coalesce(F.sum("words"), F.lit(0)) - F.coalesce(F.sum(F.when(stops, most)), F.lit(0.0))).alias("left"),
+        ).first()
+        if sums["stopped"] == stopped or not sums["share"]:
+            return sources.withColumn("target", F.when(stops, most).otherwise(F.lit(left) * weight / F.lit(share)))
+        left, share, stopped = float(sums["left"]), float(sums["share"]), sums["stopped"]
+        stops = most < F.lit(left) * weight / F.lit(share)
+
+
+def rate_of(max_rate: int) -> Column:
+    """The rate of a document of ``size`` words; no multiplier stands for the largest rate."""
+    free = F.exp(F.least(F.lit(MAX_EXPONENT), F.col("m") * F.col("size") / F.col("mean")))
+    return F.when(F.col("m").isNull(), F.lit(float(max_rate))).otherwise(F.least(F.lit(float(max_rate)), free))
+
+
+def solve_dual(counts: DataFrame, sources: DataFrame, max_rate: int = MAX_RATE, tolerance: float = 1e-7) -> DataFrame:
+    """(s, m): multipliers of ``sources`` (s, words, mean, target) with words, for ``counts`` (s, size, n).
+
+    Newton's method, kept within a bracket; a step is a sum over the counts of the sources that are
+    not settled. A source that takes the largest rate throughout has no multiplier.
+    """
+    full = F.col("target") >= F.col("words") * max_rate * (1 - 1e-12)
+    number = lambda x: F.lit(float(x))
+    state = sources.where("words > 0").select("s", "mean", "target", F.when(~full, number(0)).alias("m"), number(-OPEN).alias("low"), number(OPEN).alias("high"), full.alias("settled"))
+    state = stage(state, "mix-dual")
     for _ in range(MAX_STEPS):
-        if not state:
+        if not state.where("NOT settled").limit(1).count():
             break
-        at = spark.createDataFrame([(s, x[0], means[s]) for s, x in state.items()], "s int, m double, mean double")
-        rate = F.exp(F.least(F.lit(MAX_EXPONENT), F.col("m") * F.col("size") / F.col("mean")))
-        inside = F.when(rate < max_rate, rate).otherwise(F.lit(0.0))
-        words = F.col("n") * F.col("size")
-        sums = counts.join(F.broadcast(at), "s").groupBy("s").agg(F.sum(words * F.least(rate, F.lit(float(max_rate)))).alias("g"), F.sum(words * inside * F.col("size") / F.col("mean")).alias("h")).collect()  # a row per source
-        for r in sums:
-            m, low, high = state[r["s"]]
-            gap = r["g"] - targets[r["s"]]
-            if abs(gap) <= tolerance * max(1.0, targets[r["s"]]):
-                found[r["s"]] = state.pop(r["s"])[0]
-                continue
-            low, high = (low, m) if gap > 0 else (m, high)
-            step = m - gap / r["h"] if r["h"] > 0 else math.nan
-            if not low < step < high or abs(step - m) > 4:
-                step = (low + high) / 2 if math.isfinite(low) and math.isfinite(high) else m + (-2.0 if gap > 0 else 2.0)
-            state[r["s"]] = [step, low, high]
-    return found | {s: x[0] for s, x in state.items()}
+        rate, words = rate_of(max_rate), F.col("n") * F.col("size")
+        inside = F.when(rate < max_rate, rate).otherwise(0.0)
+        sums = counts.join(state.where("NOT settled").drop("settled"), "s").groupBy("s", "mean", "target", "m", "low", "high").agg(F.sum(words * rate).alias("g"), F.sum(words * inside * F.col("size") / F.col("mean")).alias("h"))
+        gap = F.col("g") - F.col("target")
+        settled = F.abs(gap) <= tolerance * F.greatest(number(1), "target")
+        bound = sums.select("s", "mean", "target", "m", gap.alias("gap"), "h", settled.alias("settled"), F.when(gap > 0, F.col("low")).otherwise(F.col("m")).alias("low"), F.when(gap > 0, F.col("m")).otherwise(F.col("high")).alias("high"))
+        newton = F.col("m") - F.col("gap") / F.nullif(F.col("h"), number(0))
+        near = (newton > F.col("low")) & (newton < F.col("high")) & (F.abs(newton - F.col("m")) <= 4)
+        closed = (F.col("low") > -OPEN) & (F.col("high") < OPEN)
+        step = F.when(near, newton).when(closed, (F.col("low") + F.col("high")) / 2).otherwise(F.col("m") + F.when(F.col("gap") > 0, number(-2)).otherwise(number(2)))
+        moved = bound.select("s", "mean", "target", F.when(F.col("settled"), F.col("m")).otherwise(step).alias("m"), "low", "high", "settled")
+        state = stage(state.where("settled").unionByName(moved), "mix-dual")
+    return state.select("s", "m")
 
 
 def balanced_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = MAX_RATE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", hash_col: str | None = None, seed: int = 42) -> DataFrame:
     """A row per row of ``docs``: id_col, source, size, source_size, target, rate, copies, taken.
 
     Size counts words (null text: 0). A null source is a source of its own, last in order. A source
-    without words has target 0 and its documents the rate 1. Rows that repeat an id share its hash,
-    hence its copies; null ids are never adjusted. An empty table gives no rows. Other columns are
-    ignored; the same input gives the same copies in any
-    order and partitioning. ``hash_col`` gives the hash where the id is another one.
+    without words has target 0 and its documents the rate 1. Ids have any type; rows that repeat an
+    id share its hash, but each has copies of its own, 0 to ``max_rate``. An empty table gives no
+    rows. Other columns are ignored; the same input gives the same rows in any order and
+    partitioning. ``hash_col`` gives the hash where the id is another one.
     """
-    spark = docs.sparkSession
-    rows = stage(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(hash_col or id_col), F.lit(seed)).alias("hash"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(JAVA_WORD)).cast("long").alias("size")), "mix-sizes")
-    counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("w"), F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["source"]: r["w"] for r in totals}
-    targets = source_targets(sizes, weights, max_rate) if totals else {}
-    number = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode())))}
-    mean = {r["source"]: max(r["w"] / r["n"], 1e-9) for r in totals}
-    names = spark.createDataFrame([(s, i, sizes[s], targets[s], mean[s]) for s, i in number.items()], "named string, s int, source_size long, target double, mean double")
+    measured = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(hash_col or id_col), F.lit(seed)).alias("hash"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(JAVA_WORD)).cast("long").alias("size"))
+    rows = stage(measured.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    counts = stage(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    totals = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("n"))
+    totals = totals.withColumn("mean", F.greatest(F.col("words") / F.col("n"), F.lit(1e-9))).drop("n")
+    sources = stage(with_targets(ranked(totals), weights, max_rate).withColumnRenamed("source", "named"), "mix-targets")
     by_source = F.col("source").eqNullSafe(F.col("named"))
-    numbered = stage(counts.join(F.broadcast(names), by_source).select("s", "size", "n").where("size > 0"), "mix-counts")
-    asked = {number[s] for s, w in sizes.items() if w}
-    multipliers = solve_dual(numbered, {number[s]: w for s, w in sizes.items()}, {number[s]: x for s, x in mean.items()}, {number[s]: t for s, t in targets.items() if number[s] in asked}, max_rate)
+    numbered = stage(counts.where("size > 0").join(sources.select("named", "s"), by_source).select("s", "size", "n"), "mix-numbered")
+    multipliers = solve_dual(numbered, sources, max_rate)
+    # a source without words has no multiplier to solve for: 0, hence the rate 1
+    solved = stage(sources.join(multipliers.withColumn("solved", F.lit(True)), "s", "left").withColumn("m", F.when(F.col("solved").isNull(), F.lit(0.0)).otherwise(F.col("m"))).drop("solved"), "mix-solved")
 
-    solved = spark.createDataFrame([(s, number[s], sizes[s], targets[s], mean[s], None if math.isinf(m := multipliers.get(number[s], 0.0)) else m) for s in number], "named string, s int, source_size long, target double, mean double, m double")
-    rate = F.when(F.col("m").isNull(), F.lit(float(max_rate))).otherwise(F.least(F.lit(float(max_rate)), F.exp(F.least(F.lit(MAX_EXPONENT), F.col("m") * F.col("size") / F.col("mean")))))
     chance = F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))
-    rated = rows.join(F.broadcast(solved), by_source).select("id", "source", "s", "size", "source_size", "target", rate.alias("rate"), chance.alias("u"))
+    rated = rows.join(solved, by_source).select("row", "id", "source", "s", "size", F.col("words").alias("source_size"), "target", rate_of(max_rate).alias("rate"), chance.alias("u"))
     rounded = stage(rated.withColumn("copies", (F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("int")).cast("long")), "mix-rounded")
-    changes = spark.createDataFrame(adjustments(rounded, {number[s]: targets[s] for s in sizes}, max_rate), "s int, id long, change int")
-    # at most 4 candidates per source and size class; the ids' repeats change with them
-    final = rounded.join(F.broadcast(changes), ["s", "id"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
+    final = rounded.join(adjustments(rounded, max_rate), "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
     return final.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def adjustments(rounded: DataFrame, targets: dict[int, float], max_rate: int) -> list[tuple[int, int, int]]:
-    """Whole copies to add or remove so that each source's words come near its target.
+def adjustments(rounded: DataFrame, max_rate: int = MAX_RATE) -> DataFrame:
+    """(row, change): whole copies to add or remove so that each source's words come near its target.
 
-    Candidates are two documents that can take a copy and two that can give one, of every source and
-    power-of-two size class, so at most 4 * 64 rows per source reach the driver.
+    Candidates are two rows that can take a copy and two that can give one, of every source and
+    power-of-two size class, so at most 4 * 64 rows of a source meet in a task. Rows that tie in hash,
+    id, size and copies are alike, whichever of them changes.
     """
     grows, shrinks = F.col("copies") < max_rate, F.col("copies") > 0
-    pick = F.struct("u", "id", "size", "copies")
-    wanted: list[Column] = [f(F.when(ok, pick)).alias(f"{n}{i}") for n, ok in (("add", grows), ("cut", shrinks)) for i, f in enumerate((F.min, F.max))]
-    classes = rounded.where("id IS NOT NULL AND size > 0").groupBy("s", F.floor(F.log2(F.col("size").cast("double"))).alias("c")).agg(*wanted).collect()
-    gaps = {r["s"]: targets[r["s"]] - r["t"] for r in rounded.groupBy("s").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()}
-    candidates: dict[int, dict[int, tuple[int, int]]] = {}
-    for r in classes:
-        for x in (r["add0"], r["add1"], r["cut0"], r["cut1"]):
-            if x:
-                candidates.setdefault(r["s"], {})[x["id"]] = (x["size"], x["copies"])
-    return [(s, doc, change) for s, rows in candidates.items() for doc, change in closest_changes(rows, gaps[s], max_rate).items()]
+    pick = F.struct("u", "id", "size", "copies", "row")
+    wanted = [f(F.when(ok, pick)).alias(f"{n}{i}") for n, ok in (("add", grows), ("cut", shrinks)) for i, f in enumerate((F.min, F.max))]
+    classes = rounded.where("size > 0").groupBy("s", F.floor(F.log2(F.col("size").cast("double"))).alias("c")).agg(*wanted)
+    gaps = rounded.groupBy("s").agg((F.min("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    candidates = classes.select("s", F.explode(F.array(*[F.col(x) for x in ("add0", "add1", "cut0", "cut1")])).alias("x")).where("x IS NOT NULL").select("s", "x.row", "x.size", "x.copies", "x.u", F.col("x.id").cast("string").alias("id")).distinct()
+
+    def settle(table: pa.Table) -> pa.Table:
+        # in an order that doesn't depend on the rows' numbers
+        found = sorted(table.select(["u", "id", "size", "copies", "row"]).to_pylist(), key=lambda r: (r["u"], r["id"] or "", r["size"], r["copies"], r["row"]))
+        change = closest_changes({i: (r["size"], r["copies"]) for i, r in enumerate(found)}, table["gap"][0].as_py(), max_rate)
+        return pa.table({"row": pa.array([found[i]["row"] for i in change], pa.int64()), "change": pa.array(list(change.values()), pa.int32())})
+
+    return stage(candidates.join(gaps, "s").groupBy("s").applyInArrow(settle, "row long, change int"), "mix-changes")
 
 
 def closest_changes(rows: dict[int, tuple[int, int]], gap: float, max_rate: int, rounds: int = 64) -> dict[int, int]:

@@ -1,12 +1,14 @@
 import hashlib
+import pathlib
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from loomdex.llm.exact_dedup import build_directory, exact_duplicates, op7_exact_dedup
-from loomdex.llm.mixing import balanced_copies, op5_entropy_mix, source_targets
+from loomdex.llm.exact_dedup import build_directory, exact_duplicates, op7_exact_dedup, owners_of
+from loomdex.llm.mixing import balanced_copies, op5_entropy_mix, ranked, with_targets
 from loomdex.llm.sharding import kd_shards, op8_kd_shards
+from pyspark.sql import functions as F
 
 ODD = [(3, None, None, 1), (3, None, None, 1), (None, "a  b", "x", 2), (5, "a\t\x0bb", "x", 3), (7, "a b", None, 4), (8, "", "é", 5), (9, " ", "x", 6), (10, "word " * 60000, "x", 7), (None, "only null", "y", 8)]
 SCHEMA = "doc_id long, text string, source string, shard int"
@@ -41,15 +43,74 @@ def test_exact_duplicates_equal_brute_force(spark, sf_dir):
         assert r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_owners_have_runs_of_buckets():
+    _, slots = build_directory({0: 5, 1: 5, 2: 1, 15: 9}, 6, max_depth=4)
+    owners = owners_of(slots, 3)
+    assert list(owners.values())[::-1] == sorted(owners.values()) and set(owners) == {b for b, _ in slots} and max(owners.values()) <= 2
+
+
+def test_buckets_decide_files_and_not_rows(spark, sf_dir, monkeypatch):
+    import loomdex.llm.exact_dedup as module
+
+    paths = []
+    monkeypatch.setattr(module, "shared_path", lambda *a, f=module.shared_path: paths.append(f(*a)) or paths[-1])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    found = []
+    for chains in (7, 1 << 20):
+        got = exact_duplicates(docs, bucket_chains=chains).drop("bucket")
+        found.append(sorted(tuple(r) for r in got.collect()))
+    assert found[0] == found[1]
+    files = [list(pathlib.Path(p.removeprefix("file:")).glob("bucket=*")) for p in paths]
+    assert len(files[0]) > 16 > len(files[1])
+
+
+def test_texts_of_one_key_and_digest_are_told_apart_by_bytes(spark):
+    rows = spark.createDataFrame([(i, f"text {i % 3}" if i < 9 else "long text") for i in range(12)], "doc_id long, text string")
+    for digest, key in ((F.lit("x"), None), (None, F.lit(5).cast("long")), (F.length("norm").cast("string"), F.lit(5).cast("long"))):
+        got = exact_duplicates(rows, digest=digest, key=key).collect()
+        assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == [(i, i % 3 if i < 9 else 9, 3) for i in range(12)]
+        assert len({(r["chain"], r["text_sha256"]) for r in got}) == 4 and (key is None or {r["chain"] for r in got} == {1, 2, 3, 4})
+
+
 def test_exact_duplicates_of_odd_rows(odd):
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_duplicates(odd, bucket_chains=1).collect()), key=str)
     assert got == sorted([(3, 3, 3, True), (3, 3, 3, True), (8, 3, 3, False), (None, 5, 3, False), (5, 5, 3, True), (7, 5, 3, False), (9, 9, 1, True), (10, 10, 1, True), (None, None, 1, True)], key=str)
     assert exact_duplicates(odd.limit(0)).count() == 0
 
 
-def test_targets_share_all_words():
+def source_targets(sizes, weights=(5, 2, 1)):
+    order = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    fixed = {}
+    while True:
+        free = [x for x in order if x not in fixed]
+        left = sum(sizes.values()) - sum(fixed.values())
+        share = sum(weights[order.index(x) % 3] for x in free)
+        found = fixed | {x: left * weights[order.index(x) % 3] / share for x in free}
+        over = [x for x in free if found[x] > 3 * sizes[x]]
+        if not over:
+            return found
+        fixed |= {x: 3.0 * sizes[x] for x in over}
+
+
+def test_targets_share_all_words(spark):
     assert source_targets({"b": 100, "a": 10, None: 90}) == {"a": 30.0, "b": 170 * 2 / 3, None: 170 / 3}
-    assert sum(source_targets({"a": 1, "b": 1000, "c": 3}).values()) == 1004
+    for sizes in ({"b": 100, "a": 10, None: 90}, {"a": 1, "b": 1000, "c": 3}, {f"s{i}": i * i % 97 for i in range(300)}, {"only": 0}):
+        frame = spark.createDataFrame(list(sizes.items()), "source string, words long").repartition(3)
+        got = with_targets(ranked(frame)).collect()
+        order = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+        assert [r["source"] for r in sorted(got, key=lambda r: r["s"])] == order and sorted(r["s"] for r in got) == list(range(len(sizes)))
+        want = source_targets(sizes) if sum(sizes.values()) else {"only": 0.0}
+        assert all(abs(r["target"] - want[r["source"]]) < 1e-9 * max(1, want[r["source"]]) for r in got)
+
+
+def test_rows_that_repeat_an_id_have_copies_of_their_own(spark):
+    rows = [(f"d{i % 40}", "word " * (1 + i * 7 % 23), f"s{i % 300}") for i in range(1800)]
+    got = balanced_copies(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    assert len(got) == 1800 and all(0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in got)
+    again = balanced_copies(spark.createDataFrame(rows[::-1], "doc_id string, text string, source string").repartition(5)).collect()
+    # sums of rates may differ in their last digits
+    assert sorted(tuple(r)[:5] + tuple(r)[6:] for r in got) == sorted(tuple(r)[:5] + tuple(r)[6:] for r in again)
 
 
 def test_mix_comes_near_targets(spark, sf_dir):
@@ -99,4 +160,17 @@ def test_shards_of_odd_rows(odd):
     for s in {r["shard"] for r in got}:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     assert kd_shards(odd.limit(0), n_shards=4).count() == 0
-    assert max(r["shard"] for r in kd_shards(odd, target_bytes=100_000).collect()) >= 2
+    # one text is three times the target and a leaf of its own; all others fit into one
+    assert Counter(r["shard"] for r in kd_shards(odd, target_bytes=100_000).collect()) == {0: len(ODD) - 1, 1: 1}
+
+
+def test_leaves_reach_the_target_bytes(spark):
+    rows = spark.createDataFrame([(f"d{i}", "x" * (50 + i * 37 % 400), f"s{i % 5}") for i in range(600)] + [("big", "y" * 9000, "s1")], "doc_id string, text string, source string")
+    got = kd_shards(rows, target_bytes=4000).collect()
+    size, count = Counter(), Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+        count[r["shard"]] += 1
+    assert sorted(size) == list(range(len(size))) and len(got) == 601
+    assert all(b <= 4000 or count[s] == 1 for s, b in size.items())
+    assert sum(b >= 1500 for b in size.values()) >= 0.9 * len(size)
