@@ -1,27 +1,31 @@
 """Main-text extraction by template deduction from equivalence classes of page tokens.
 
 Pages of one host come from templates. A token is an element, told apart by its path, or a
-text under a path outside the article. Tokens with the same occurrence vector (uses in each
-page of the host) form a class; a class of several tokens that most pages share is valid,
-and the valid classes, nested by their paths, are the host's template. What a page holds
-beyond the template's own tokens are its slots; the slots of the article are its main text.
+text under a path. Tokens with the same occurrence vector (uses in each page of the host)
+form a class; a class of several tokens that most pages share is valid. The valid classes
+nest by their paths: a token belongs to the template if it and all elements around it are in
+valid classes. What a page holds beyond the template's own texts stands in slots, named by
+the deepest template element around it; the slots of the article are its main text.
+Elements and class names decide what the classes leave open: which slots are the article's,
+and, on hosts with too few pages for a template, what is an aside.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import kind_of, stage
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|select|xmp)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|select)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attributes>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attributes2>[^>]*)(?:>|\Z)",
@@ -31,7 +35,7 @@ _ATTRIBUTE = re.compile(r"([a-z][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 #: Elements without content or end, elements inside a line, elements that are never main text. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-ASIDE = frozenset("nav footer aside form head button menu dialog label fieldset option object".split())
+ASIDE = frozenset("nav footer aside form head button menu dialog fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 ASIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|banner|breadcrumbs?|comments?|commentlist|disqus|replies|consent|cookies?|cookiebar|footer|gdpr|login|menu|menubar|modal|nav|navbar|navigation|"
@@ -44,22 +48,38 @@ BLOCK_ENDS_P = frozenset("address article aside blockquote div dl fieldset foote
 
 #: A class belongs to the template if it has so many tokens and so large a part of the host's pages.
 LEAST_TOKENS, LEAST_SHARE, LEAST_PAGES = 2, 0.5, 4
+#: Template texts that are more than this part of an article are its own: the host's pages are copies of it.
+COPIED_SHARE = 0.5
+#: An article with less than this part of the text of a main element around or beside it is a teaser.
+TEASER_SHARE = 0.25
 #: Template tokens that are broadcast at most; more are joined by host.
 BROADCAST_TOKENS = 500_000
 
 
-def blocks(page: str | None) -> list[tuple[str, str, bool, int]]:
-    """Text blocks in page order as (path, text, aside, 2 within an article or 1 within a main element)."""
-    out: list[tuple[str, str, bool, int]] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, path, aside, main
+class Block(NamedTuple):
+    path: str
+    text: str
+    #: Within an element that is never main text.
+    aside: bool
+    #: Within an article: 2, within a main element: 1.
+    main: int
+    #: Path of the outermost element around it that has a name of asides.
+    named: str
+
+
+def parse(page: str | None) -> tuple[dict[str, int], list[Block]]:
+    """Uses of each element, by path, and the text blocks in page order."""
+    elements: dict[str, int] = {}
+    out: list[Block] = []
+    stack: list[tuple[str, str, bool, int, str]] = []  # tag, path, aside, main, named
     parts: list[str] = []
 
     def end_block() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, path, aside, main = stack[-1] if stack else ("", "", False, 0)
-            out.append((path, text, aside, main))
+            _, path, aside, main, named = stack[-1] if stack else ("", "", False, 0, "")
+            out.append(Block(path, text, aside, main, named))
 
     def close(tag: str) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -85,57 +105,88 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, int]]:
             continue
         while stack and ((stack[-1][0] == "p" and tag in BLOCK_ENDS_P) or tag in CLOSED_BY.get(stack[-1][0], "").split()):
             stack.pop()
-        _, path, aside, main = stack[-1] if stack else ("", "", False, 0)
+        _, path, aside, main, named = stack[-1] if stack else ("", "", False, 0, "")
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m["attributes"] or m["attributes2"] or "")}
-        names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip().replace("/", "|")
         role = attributes.get("role", "").lower()
         aside = (
             aside
             or tag in ASIDE
-            or (tag == "header" and not main)
+            or (tag in ("header", "label") and not main)
             or role in ASIDE_ROLES
-            or (tag not in ("html", "body", "article", "main") or "comment" in names.lower()) and bool(names and ASIDE_NAMES.search(names))
             or "hidden" in attributes
             or attributes.get("aria-hidden") == "true"
             or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         )
         main = 2 if tag == "article" else max(main, 1) if tag == "main" or role == "main" else main
-        stack.append((tag, f"{path}/{tag}.{names}" if names else f"{path}/{tag}", aside, main))
+        path = f"{path}/{tag}.{names}" if names else f"{path}/{tag}"
+        if not named and names and (tag not in ("html", "body", "article", "main") or "comment" in names.lower()) and ASIDE_NAMES.search(names):
+            named = path
+        elements[path] = elements.get(path, 0) + 1
+        stack.append((tag, path, aside, main, named))
     parts.append(source[at:])
     end_block()
-    return out
+    return elements, out
 
 
 def page_tokens(page: str | None) -> dict[int, int]:
-    """Uses of each token of a page: of the elements of its texts' paths, and of texts outside the article."""
-    uses: dict[str, int] = {}
-    last = ""
-    for path, text, _, main in blocks(page):
-        if path != last:
-            parent = path
-            while parent and parent != last[: len(parent)]:
-                uses[parent] = uses.get(parent, 0) + 1
-                parent = parent.rpartition("/")[0]
-            last = path
-        if not main:
-            key = f"{path}\n{text}"
-            uses[key] = uses.get(key, 0) + 1
-    return {token_hash(k): n for k, n in uses.items()}
+    """Uses of each token of a page: of its elements and of its texts."""
+    elements, blocks = parse(page)
+    uses = {token_hash(path): n for path, n in elements.items()}
+    for b in blocks:
+        key = token_hash(f"{b.path}\n{b.text}")
+        uses[key] = uses.get(key, 0) + 1
+    return uses
 
 
 def token_hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token) - (1 << 63)
 
 
-def main_text(page: str | None, template: set[int]) -> str:
-    """Texts of the slots of the article; of the main element, or of the page, where there is no article."""
-    found = [b for b in blocks(page) if not b[2]]
-    level = max((b[3] for b in found), default=0)
-    if level:
-        kept = [text for _, text, _, main in found if main >= level]
-    else:
-        kept = [text for path, text, _, _ in found if token_hash(f"{path}\n{text}") not in template]
-    return " ".join(kept)
+class Template:
+    """The valid tokens of a host, nested: a token counts if all elements around it do."""
+
+    def __init__(self, tokens: set[int]):
+        self.tokens = tokens
+        self.nested: dict[str, bool] = {"": True}
+
+    def holds(self, path: str) -> bool:
+        if path not in self.nested:
+            self.nested[path] = token_hash(path) in self.tokens and self.holds(path.rpartition("/")[0])
+        return self.nested[path]
+
+    def holds_text(self, block: Block) -> bool:
+        return self.holds(block.path) and token_hash(f"{block.path}\n{block.text}") in self.tokens
+
+    def slot(self, path: str) -> str:
+        """The deepest template element around a path."""
+        while not self.holds(path):
+            path = path.rpartition("/")[0]
+        return path
+
+
+def main_text(page: str | None, tokens: set[int]) -> str:
+    """Texts of the slots of the article; of the main element, or of the page, where there is no article.
+
+    A slot is left out if its element is one of asides. Names of asides count outside the article,
+    and inside it where the template has the element, or the host has no template: a page's own
+    element with such a name is part of its article.
+    """
+    template, slots = Template(tokens), {}
+    for number, b in enumerate(parse(page)[1]):
+        if b.aside or (b.named and (not b.main or not tokens or template.holds(b.named))):
+            continue
+        slots.setdefault((template.slot(b.path), b.main), []).append((number, b, template.holds_text(b)))
+    # characters of the slots' own texts by level: article, main element, page
+    own = [sum(len(b.text) for (_, main), found in slots.items() for _, b, fixed in found if main >= level and not fixed) for level in range(3)]
+    level = max((main for _, main in slots), default=0)
+    if level == 2 and any(main == 1 for _, main in slots) and own[2] < TEASER_SHARE * own[1]:
+        level = 1
+    kept = sorted((x for (_, main), found in slots.items() if main >= level for x in found), key=lambda x: x[0])
+    total = sum(len(b.text) for _, b, _ in kept)
+    if level and own[level] < (1 - COPIED_SHARE) * total:
+        return " ".join(b.text for _, b, _ in kept)
+    return " ".join(b.text for _, b, fixed in kept if not fixed)
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
@@ -171,11 +222,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """(id_col, url_col, text, n_chars) for each row of ``pages``.
 
     Text is '' for null or empty html and where nothing is left. A null url, or one without a host,
-    belongs to the host of the empty name. Repeated rows count as pages and are extracted one by
+    belongs to the host of the empty name. Ids have any type. Repeated rows count as pages and are extracted one by
     one; an empty table gives no rows; other columns are ignored.
     """
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit(""))))
-    named = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host)
+    named = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host)
     templates = deduce_templates(named.select("host", F.xxhash64("id", "url").alias("page"), "html"))
     by_host = templates.groupBy("host").agg(F.collect_set("token").alias("template"))  # at most twice a page's tokens per host
     small = templates.count() <= BROADCAST_TOKENS
@@ -186,7 +237,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             texts = [main_text(h.as_py(), set(t or ())) for h, t in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
 
-    found = joined.select("id", "url", "html", "template").mapInArrow(run, "id long, url string, text string, n_chars long")
+    found = joined.select("id", "url", "html", "template").mapInArrow(run, f"id {kind_of(named, 'id')}, url string, text string, n_chars long")
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 
 

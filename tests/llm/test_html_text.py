@@ -1,7 +1,7 @@
 import html
 import re
 
-from loomdex.llm.html_text import blocks, deduce_templates, extract_main_text, main_text, op9_main_text
+from loomdex.llm.html_text import deduce_templates, extract_main_text, main_text, op9_main_text, parse
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="nav-open">
 <header>Site</header><nav><ul><li><a href="/">Home</a><li>More</ul></nav><!-- <p>no</p> --><div class="ad box">Buy</div>
@@ -15,7 +15,7 @@ def test_article_without_the_rest():
     assert main_text(None, set()) == main_text("", set()) == main_text("<nav>x</nav>", set()) == ""
     assert main_text("<article>a < b & c <p title='>'>d</article", set()) == "a < b & c d"
     assert main_text("<main><p>m</p></main><div>out</div>", set()) == "m"
-    assert len(blocks("<div>" * 3000 + "x" + "y " * 100000)) == 1
+    assert len(parse("<div>" * 3000 + "x" + "y " * 100000)[1]) == 1
 
 
 def test_query_equals_the_articles(spark, sf_dir):
@@ -37,3 +37,34 @@ def test_template_texts_are_deduced_where_no_element_tells(spark):
     assert got == {(i, f"Story {i} begins and ends {i * 7}") for i in range(8)} | {(9, ""), (None, "x")}
     assert extract_main_text(frame.limit(0)).count() == 0
     assert deduce_templates(frame.selectExpr("1L AS host", "page_id AS page", "html").where("page < 8")).count() >= 4
+
+
+def extracted(spark, pages):
+    rows = [(f"p{i}", "http://h.example/", p) for i, p in enumerate(pages)]
+    return [r["text"] for r in sorted(extract_main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect(), key=lambda r: int(r["page_id"][1:]))]
+
+
+def test_the_template_decides_inside_the_article(spark):
+    """A notice that every article of the host has goes, without any name; a page's own element of a telling name stays."""
+    page = lambda i: f"<body><nav>Menu</nav><article><h1>Title {i}</h1><div>You may copy this page.</div><p>Story {i} goes on and on to its end.</p>{'<p class=share>A share of stock fell.</p>' if i == 3 else ''}<div class=related>Read this too</div></article></body>"
+    got = extracted(spark, [page(i) for i in range(8)])
+    assert got == [f"Title {i} Story {i} goes on and on to its end." + (" A share of stock fell." if i == 3 else "") for i in range(8)]
+    # without a template nothing tells the notice from the story, and names decide
+    assert main_text(page(3), set()) == "Title 3 You may copy this page. Story 3 goes on and on to its end."
+
+
+def test_copies_of_one_article_are_not_a_template(spark):
+    same = "<body><nav>Menu</nav><article><h1>One title</h1><p>One story that several pages tell.</p></article><footer>End</footer></body>"
+    other = lambda i: f"<body><nav>Menu</nav><article><h1>Title {i}</h1><p>Story {i}.</p></article><footer>End</footer></body>"
+    got = extracted(spark, [same] * 6 + [other(i) for i in range(3)])
+    assert got == ["One title One story that several pages tell."] * 6 + [f"Title {i} Story {i}." for i in range(3)]
+
+
+def test_templates_nest(spark):
+    """A text counts as the template's only if all elements around it do."""
+    page = lambda i: f"<body><div class=a><div>Top line</div><div>Second line</div></div><section class=s{i}><div>Top line</div><p>Tale {i}</p></section></body>"
+    assert extracted(spark, [page(i) for i in range(6)]) == [f"Top line Tale {i}" for i in range(6)]
+
+
+def test_main_beside_a_teaser():
+    assert main_text("<main><article><p>Tease</p></article><p>A long body text that is the page's own matter and goes on</p></main>", set()) == "Tease A long body text that is the page's own matter and goes on"
