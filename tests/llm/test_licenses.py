@@ -1,6 +1,8 @@
+import itertools
+import random
 import re
 
-from loomdex.llm.licenses import PHRASES, TEMPLATES, Scanner, op6_license_scan, scan_licenses, words_of
+from loomdex.llm.licenses import GAP, PHRASES, SKIP, TEMPLATES, Match, Scanner, chained, chains, op6_license_scan, scan_licenses, words_of
 
 
 def brute(text):
@@ -29,11 +31,12 @@ def test_matching_statistics_equal_brute_force():
     s = Scanner()
     coded = {n: [s.ids[w.encode()] for w in TEMPLATES[n].split()] for n in s.names}
     text = coded["bsd"][3:20] + coded["mit"][:9] + [s.ids[b"the"]] * 3 + coded["gpl"][30:50]
-    lengths, where = s.automaton.statistics(text)
+    lengths, states = s.automaton.statistics(text)
     for i in range(len(text)):
         runs = {n: max(k for k in range(i + 2) if k == 0 or any(c[j : j + k] == text[i + 1 - k : i + 1] for j in range(len(c) - k + 1))) for n, c in coded.items()}
         assert lengths[i] == max(runs.values())
-        assert {n for t, n in enumerate(s.names) if where[i] >> t & 1} == {n for n, k in runs.items() if k == lengths[i] and k}
+        k = lengths[i]
+        assert sorted(s.automaton.ends[states[i]] if k else []) == sorted((t, j + k) for t, n in enumerate(s.names) for j in range(len(coded[n]) - k + 1) if k and coded[n][j : j + k] == text[i + 1 - k : i + 1])
 
 
 def test_spans_of_templates_with_changes(spark):
@@ -47,3 +50,35 @@ def test_spans_of_templates_with_changes(spark):
     assert [h["word"] for r in got if r["doc_id"] is None for h in r["hits"]] == [2, 5]
     assert not [s for r in got if r["doc_id"] in (2, 3) for s in r["spans"]]
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chains_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        matches = sorted((Match(a, a + n, t + n) for a, n, t in ((rng.randrange(30), rng.randrange(5, 9), rng.randrange(40)) for _ in range(rng.randrange(1, 7)))), key=lambda m: m.end)
+        best = 0
+        for size in range(1, len(matches) + 1):
+            for chain in itertools.combinations(matches, size):
+                total = chain[0].end - chain[0].start
+                for a, b in itertools.pairwise(chain):
+                    gap, skip = b.start - a.end, b.to - (b.end - b.start) - a.to
+                    new = b.end - b.start - max(0, -gap, -skip)
+                    total = total + new if gap <= GAP and skip <= SKIP and new > 0 else -(10**6)
+                best = max(best, total)
+        assert max(chained(matches)[0]) == best and chains(matches, best)[0][2] == best and chains(matches, best + 1) == []
+
+
+def test_words_of_a_template_count_once():
+    """The same run of a template over and over covers no more of it; whole templates do, each on its own."""
+    s = Scanner()
+    run = "the software and to permit persons "
+    assert s.scan("".join(run + f"x{i} " for i in range(3)))[2] == []
+    whole = TEMPLATES["isc"] + " "
+    n = len(whole.split())
+    assert [x[:4] for x in s.scan(whole + whole + "and more")[2]] == [("isc", 0, n, n), ("isc", n, 2 * n, n)]
+    assert len(s.scan(whole * 3000)[2]) == 3000
+    # backwards parts are no span of the template
+    words = whole.split()
+    assert max((x[3] for x in s.scan(" ".join(words[20:30] + words[5:16]))[2]), default=0) <= 11
+    # the better covered one of two templates that share words
+    assert {x[0] for x in s.scan(TEMPLATES["lgpl"])[2]} == {"lgpl"} and {x[0] for x in s.scan(TEMPLATES["gpl"])[2]} == {"gpl"}
