@@ -7,7 +7,9 @@ the bytes at such a triple; a task tallies the shared positional bytes of the fi
 in a posting, keeps pairs with the guaranteed matches and verifies their distance.
 
 Only links that join two so far separate parts of a posting leave its task, so that a
-posting of m fingerprints yields fewer than m rows; components lose nothing by it.
+posting of m fingerprints yields fewer than m rows; components lose nothing by it. A posting
+of more than HEAVY fingerprints is split by one byte position more, which the pairs must
+share as well, and what is still as heavy into pairs of blocks, so that no task holds more.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import kind_of, stage
 from .components import components
 
 SEED = 42
 #: Fingerprints compared at a time within a posting: bounds a task's memory, not its rows.
 BLOCK = 2048
+#: Fingerprints of a posting that a task compares; heavier postings are split.
+HEAVY = 4096
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -56,9 +60,10 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle:
     def run(batches):
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), words_per_shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
+    return rows.mapInArrow(run, f"doc_id {kind_of(rows, 'id')}, fp long")
 
 
 def position_sets(max_bits: int) -> list[tuple[int, ...]]:
@@ -115,47 +120,98 @@ def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray, links: list[tuple[in
         label = to[label]
 
 
-def links_of(distinct: DataFrame, max_bits: int) -> DataFrame:
+def tallied(postings: DataFrame, max_bits: int, heavy: int | None) -> DataFrame:
+    """Links (a, b) within each posting of ``postings`` (posting, fp, kind); b is null and posting and kind are given for
+    each fingerprint a of a posting of more than ``heavy``, which is passed on instead.
+
+    A task reads its postings in order and holds one at a time.
+    """
+
+    def run(batches):
+        posting, value, kind = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        over = None
+
+        def out(links, passed):
+            a, b = ([x[i] for x in links] for i in (0, 1))
+            n = len(passed[0])
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(a, pa.int64()), pa.array(passed[1], pa.int64())]), pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(n, pa.int64())])]
+                + [pa.concat_arrays([pa.nulls(len(a), t), pa.array(x, t)]) for x, t in ((passed[0], pa.int64()), (passed[2], pa.int32()))],
+                ["a", "b", "posting", "kind"],
+            )
+
+        for batch in itertools.chain(batches_of(batches), [None]):
+            if batch is not None:
+                posting, value, kind = (np.concatenate([x, y]) for x, y in zip((posting, value, kind), batch, strict=True))
+            if not len(posting):
+                continue
+            starts = np.flatnonzero(np.r_[True, posting[1:] != posting[:-1]])
+            sizes = np.diff(np.r_[starts, len(posting)])
+            links, passed = [], posting == over if over is not None else np.zeros(len(posting), bool)
+            # the last posting may go on in the next batch
+            ended = len(starts) if batch is None else len(starts) - 1
+            for i in np.flatnonzero(sizes > 1).tolist():
+                rows = slice(starts[i], starts[i] + sizes[i])
+                if heavy is not None and sizes[i] > heavy:
+                    passed[rows], over = True, posting[starts[i]]
+                elif i < ended and not passed[starts[i]]:
+                    links += tallied_links(value[rows], max_bits)
+            yield out(links, (posting[passed], value[passed], kind[passed]))
+            kept = np.arange(len(posting)) >= (starts[-1] if batch is not None else len(posting))
+            kept &= ~passed
+            posting, value, kind = posting[kept], value[kept], kind[kept]
+
+    together = postings.repartition("posting").sortWithinPartitions("posting")
+    return together.select("posting", "fp", "kind").mapInArrow(run, "a long, b long, posting long, kind int")
+
+
+def batches_of(batches):
+    for batch in batches:
+        yield [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+
+
+def links_of(distinct: DataFrame, max_bits: int, heavy: int = HEAVY) -> DataFrame:
     """(a, b) links between distinct fingerprints (fp), enough of them to connect all that link."""
     sets = position_sets(max_bits)
-    keys = []
-    for number, positions in enumerate(sets):
-        mask = sum(0xFF << (8 * p) for p in positions)
-        keys.append(F.xxhash64(F.lit(number), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    posted = distinct.select("fp", F.explode(F.array(*keys)).alias("posting"))
-    shared = posted.repartition("posting")
 
-    def run(batches):
-        postings, values = [], []
-        for batch in batches:
-            postings.append(batch.column(0).to_numpy(zero_copy_only=False))
-            values.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if not postings:
-            return
-        posting, value = np.concatenate(postings), np.concatenate(values).astype(np.int64)
-        order = np.argsort(posting, kind="stable")
-        posting, value = posting[order], value[order]
-        bounds = np.flatnonzero(np.r_[True, posting[1:] != posting[:-1], True])
-        found = set()
-        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if end - start > 1:
-                found.update(tallied_links(value[start:end], max_bits))
-        pairs = sorted(found)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-    return shared.select("posting", "fp").mapInArrow(run, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id, links) for each row: the smallest id that its fingerprint reaches.
-
-    Null text is empty; texts without words have fingerprint zero and link like any other. Rows that
+    def masked(positions) -> Column:
+        mask = sum(0xFF << (8 * p) for p in positions)
+        return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+
+    keys = [F.struct(F.xxhash64(F.lit(number), masked(positions)).alias("posting"), F.lit(number).alias("kind")) for number, positions in enumerate(sets)]
+    first = stage(tallied(distinct.select("fp", F.explode(F.array(*keys)).alias("x")).select("x.posting", "fp", "x.kind"), max_bits, heavy), "simhash-links")
+    found, left = [first.where("b IS NOT NULL").select("a", "b")], first.where("b IS NULL").select("posting", F.col("a").alias("fp"), "kind")
+    if len(sets[0]) < 8 - max_bits and left.limit(1).count():
+        # pairs share one position more
+        more = F.coalesce(*[F.when(F.col("kind") == number, F.array(*[F.xxhash64("posting", F.lit(p), masked([p])) for p in range(8) if p not in positions])) for number, positions in enumerate(sets)])
+        second = stage(tallied(left.select(F.explode(more).alias("posting"), "fp", "kind"), max_bits, heavy), "simhash-links")
+        found.append(second.where("b IS NOT NULL").select("a", "b"))
+        left = second.where("b IS NULL").select("posting", F.col("a").alias("fp"), "kind")
+    if left.limit(1).count():
+        found.append(tallied(block_pairs(left, "posting", "fp", max(1, heavy // 2)), max_bits, None).select("a", "b"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def block_pairs(members: DataFrame, key: str, value: str, block: int) -> DataFrame:
+    """``members`` of each ``key`` dealt into hashed blocks of about ``block``, once for every pair of blocks they are in; the key names the pair."""
+    sizes = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = members.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(value, F.lit(3)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumn(key, F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = 4, heavy: int = HEAVY) -> DataFrame:
+    """(doc_id, fp, component_id) for each row: the smallest id that its fingerprint reaches.
+
+    Ids have any type that has an order. Null text is empty; texts without words have fingerprint zero and link like any other. Rows that
     repeat a text or an id share a class. A null id never names a component unless all its members'
     ids are null. An empty table gives no rows. Other columns are ignored.
     """
     rows = stage(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash-rows")
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    links = stage(links_of(distinct, max_bits), "simhash-links")
+    links = stage(links_of(distinct, max_bits, heavy), "simhash-links")
     rooted = components(links, "simhash-stars")
     classes = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 import xxhash
-from loomdex.llm.simhash import fingerprint, near_duplicates, op3_simhash_components, position_sets, tallied_links
+from loomdex.llm.simhash import fingerprint, links_of, near_duplicates, op3_simhash_components, position_sets, tallied_links
 
 
 def brute_fingerprint(text, k):
@@ -59,6 +59,23 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert len(got) == len(docs)
 
 
+def test_heavy_postings_are_split_and_lose_no_link(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 6, np.uint64)
+    values = np.unique(np.concatenate([base[i % 6] ^ (np.uint64(1) << rng.integers(0, 64, 1, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1, np.uint64)) for i in range(600)])).view(np.int64)
+    frame = spark.createDataFrame([(int(v),) for v in values], "fp long").repartition(3)
+    want = brute_components({i: int(v) & (1 << 64) - 1 for i, v in enumerate(values.tolist())}, 4)
+    for heavy in (2, 40, 1 << 20):
+        links = [(r["a"], r["b"]) for r in links_of(frame, 4, heavy).collect()]
+        assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in links)
+        number = {int(v): i for i, v in enumerate(values.tolist())}
+        root = list(range(len(values)))
+        for _ in range(40):
+            for a, b in links:
+                root[number[a]] = root[number[b]] = min(root[number[a]], root[number[b]])
+        assert {i: r for i, r in enumerate(root)} == want
+
+
 def test_odd_inputs(spark):
     schema = "doc_id long, text string, fp string, component_id int"
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
