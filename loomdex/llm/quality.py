@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stage
+from .common import held_out, kind_of, stage
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 BITS = 18
@@ -55,7 +55,10 @@ def token_ids(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values: log counts of the hashed n-grams, words and shapes each scaled to length one."""
+    """Slots, each once, and values: log counts of the hashed n-grams, words and shapes each scaled to length one.
+
+    Slot 0 is the bias; what is hashed to the same slot is summed up.
+    """
     slots, values = [np.zeros(1, np.int64)], [np.ones(1)]
     for kind, (ids, orders) in enumerate(zip(token_ids(text), (ORDERS, SHAPE_ORDERS), strict=True)):
         grams, code = [], np.full(len(ids), 11 + kind, np.uint64)
@@ -63,12 +66,13 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             if len(ids) <= order:
                 break
             code = (code[: len(ids) - order] * _MIX) ^ ids[order:]
-            grams.append((code * _MIX) >> np.uint64(64 - BITS))
+            grams.append(((code * _MIX) >> np.uint64(32)) % np.uint64((1 << BITS) - 1) + np.uint64(1))
         if grams:
             slot, count = np.unique(np.concatenate(grams), return_counts=True)
             value = 1 + np.log(count)
             slots.append(slot.astype(np.int64)), values.append(value / math.sqrt((value * value).sum()))
-    return np.concatenate(slots), np.concatenate(values)
+    slots, back = np.unique(np.concatenate(slots), return_inverse=True)
+    return slots, np.bincount(back, np.concatenate(values))
 
 
 class Ftrl:
@@ -85,7 +89,6 @@ class Ftrl:
     def update(self, slots: np.ndarray, values: np.ndarray, label: int) -> None:
         w = self.weights(slots)
         g = (1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ values))))) - label) * values
-        # slots repeat only if words and shapes collide: then the last one counts
         n = self.n[slots]
         self.z[slots] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[slots] = n + g * g
@@ -127,18 +130,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 16_000, shard_ro
         return pa.table({"slot": pa.array(hit.astype(np.int32)), "weight": pa.array(w[hit])})
 
     dealt = featured.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(shards)))
-    fitted = dealt.groupBy("shard").applyInArrow(fit, "slot int, weight double").groupBy("slot").agg(F.sum("weight").alias("weight")).collect()  # at most 2**BITS rows
+    fitted = dealt.groupBy("shard").applyInArrow(fit, "slot int, weight double").groupBy("slot").agg(F.sum("weight").alias("weight")).toArrow()  # at most 2**BITS rows
     weights = np.zeros(1 << BITS)
-    for r in fitted:
-        weights[r["slot"]] = r["weight"] / shards
+    weights[fitted["slot"].to_numpy()] = fitted["weight"].to_numpy() / max(1, dealt.select("shard").distinct().count())
     return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) for each row over its whole text; null and empty texts score by the bias alone.
 
-    Repeated rows and null ids are scored like others; an empty table gives no rows; other columns
-    are ignored.
+    Ids have any type. Repeated rows and null ids are scored like others; an empty table gives no
+    rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS numbers
 
@@ -146,9 +148,10 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
         w = shared.value
         for batch in batches:
             sums = np.array([w[s] @ v for s, v in (features(t.as_py()) for t in batch.column(1))] or [0.0])[: batch.num_rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))], ["id", "score"])
 
-    found = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
+    found = rows.mapInArrow(run, f"id {kind_of(rows, 'id')}, score double")
     return found.withColumnRenamed("id", id_col)
 
 

@@ -125,6 +125,56 @@ def test_quality_query_separates_held_out_rows(spark, sf_dir):
     assert sum(a > b for a in good for b in bad) >= 0.9 * len(good) * len(bad)
 
 
+def test_quality_query_equals_brute_force(spark, sf_dir):
+    """Features, training and scores once more with plain numbers and dictionaries."""
+    import re
+
+    import xxhash
+
+    mask, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+
+    def features(text):
+        tokens = re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text or "")
+        words = [xxhash.xxh64_intdigest(t.lower()) for t in tokens]
+        shapes = [xxhash.xxh64_intdigest("=", 1) if i and words[i] == words[i - 1] else xxhash.xxh64_intdigest(quality.shape(t), 1) for i, t in enumerate(tokens)]
+        out = {0: 1.0}
+        for kind, (ids, orders) in enumerate(((words, 2), (shapes, 3))):
+            count = {}
+            for order in range(orders):
+                for at in range(len(ids) - order):
+                    code = 11 + kind
+                    for x in ids[at : at + order + 1]:
+                        code = code * odd & mask ^ x
+                    slot = ((code * odd & mask) >> 32) % ((1 << 18) - 1) + 1
+                    count[slot] = count.get(slot, 0) + 1
+            norm = sum((1 + np.log(n)) ** 2 for n in count.values()) ** 0.5
+            for slot, n in count.items():
+                out[slot] = out.get(slot, 0.0) + (1 + np.log(n)) / norm
+        return out
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r["doc_id"]: int(r["quality"] != 0) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["quality"] is not None and not held(r["doc_id"]) and r["doc_id"] in texts}
+    z, n = {}, {}
+
+    def weight(slot):
+        a = z.get(slot, 0.0)
+        return 0.0 if abs(a) <= 0.02 else -(a - np.sign(a) * 0.02) / ((1.0 + n[slot] ** 0.5) / 0.5 + 0.1)
+
+    rows = [({s: float(np.float32(v)) for s, v in features(texts[d]).items()}, labels[d]) for d in sorted(labels, key=lambda d: xxhash.xxh64_intdigest(str(d)))]
+    for _ in range(4):
+        for row, label in rows:
+            w = {s: weight(s) for s in row}
+            p = 1 / (1 + np.exp(-sum(w[s] * v for s, v in row.items())))
+            for s, v in row.items():
+                g, before = (p - label) * v, n.get(s, 0.0)
+                z[s] = z.get(s, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / 0.5 * w[s]
+                n[s] = before + g * g
+    for r in quality.op4_quality(spark, sf_dir).collect():
+        want = 1 / (1 + np.exp(-sum(weight(s) * v for s, v in features(texts[r["doc_id"]]).items() if s in z)))
+        assert abs(r["score"] - want) < 1e-6 and r["held_out"] == held(r["doc_id"])
+
+
 def test_quality_of_odd_rows(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcde") for _ in range(5))
