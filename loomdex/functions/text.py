@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,11 +24,24 @@ BUCKETS = (
     ("route-api", ROUTE_WORDS), ("test-only", TEST_WORDS), ("identifier-rich", IDENTIFIER),
 )
 
+def _latin() -> tuple[str, str]:
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if chr(c).islower()]
+    marked = [(c, base) for c, base in pairs if base != c and "a" <= base <= "z"]
+    return "".join(c for c, _ in marked), "".join(base for _, base in marked)
+
+
+#: Latin letters with diacritics, and the letters under them by the decompositions of Unicode.
+LATIN = _latin()
+
+
+def plain(text: Column) -> Column:
+    """Lower case, without diacritics: those of Latin letters of one sign, and combining ones anywhere."""
+    return F.regexp_replace(F.translate(F.lower(text), *LATIN), r"\p{Mn}+", "")
+
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits, without diacritics on Latin letters."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-case runs of letters and digits, without diacritics."""
+    return F.regexp_extract_all(plain(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def identifier_parts(name: Column) -> Column:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import difflib
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from .shared import numbered, saved
+
+#: Names that are compared with all others at a time.
+ASKED_AT_A_TIME = 4000
 #: Ranks of accessibility, from the widest.
 ACCESS = ["public", "protected internal", "protected", "internal", "private protected", "private"]
 
@@ -23,8 +26,8 @@ def header_dedup(files: DataFrame, least: int = 16) -> DataFrame:
     header = F.regexp_extract("text", r"\A((?:[ \t]*(?://|#)[^\n]*(?:\n|\z))+|\s*/\*[\s\S]*?\*/|\s*<!--[^\n]*?-->|\s*<!--[^\n]*\n[\s\S]*?\*/)", 1)
     held = files.withColumn("header", F.trim(header)).withColumn("header", F.when(F.length("header") >= least, F.col("header")))
     shared = held.where("header IS NOT NULL").groupBy("header").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n >= 2")
-    numbered = shared.withColumn("header_id", F.row_number().over(Window.orderBy("first")))  # one row per shared header
-    return held.join(numbered.select("header", "header_id"), "header", "left").withColumn("body", F.when(F.col("header_id").isNotNull(), F.concat(F.lit("// header["), F.col("header_id"), F.lit("]\n"), F.regexp_replace("text", r"\A\s*", "").substr(F.length("header") + 1, F.length("text")))).otherwise(F.col("text")))
+    ids = numbered(shared, [F.col("first")], "header_id")
+    return held.join(ids.select("header", "header_id"), "header", "left").withColumn("body", F.when(F.col("header_id").isNotNull(), F.concat(F.lit("// header["), F.col("header_id"), F.lit("]\n"), F.regexp_replace("text", r"\A\s*", "").substr(F.length("header") + 1, F.length("text")))).otherwise(F.col("text")))
 
 
 def line_dedup(files: DataFrame, least: int = 16) -> DataFrame:
@@ -47,6 +50,62 @@ def session_states(turns: DataFrame, keys: list[str], order: str, value: str) ->
     return turns.withColumn("b", before).withColumn("state", F.when(F.col("b").isNull(), "new").when(F.col("b.h") == F.md5(F.coalesce(F.col(value), F.lit(""))), "unchanged").otherwise("changed")).drop("b")
 
 
+def session_delta(turns: DataFrame, keys: list[str], order: str, value: str, retained: int = 64 * 1024) -> DataFrame:
+    """Adds state against the row before of the same keys: new, unchanged (left out), diff where that row's text was retained, else whole.
+
+    Texts of more than ``retained`` characters are not retained; only hashes and lengths of them are compared.
+    """
+    text = F.coalesce(F.col(value), F.lit(""))
+    marked = turns.withColumns({"__h": F.sha2(text, 256), "__n": F.length(text)})
+    before = F.lag(F.struct("__h", "__n")).over(Window.partitionBy(*keys).orderBy(order))
+    state = F.when(F.col("__b").isNull(), "new").when(F.col("__b.__h") == F.col("__h"), "unchanged").when(F.col("__b.__n") <= retained, "diff").otherwise("whole")
+    return marked.withColumn("__b", before).withColumn("state", state).drop("__b", "__h", "__n")
+
+
+def common_lines(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two lists of lines."""
+    number = {line: i for i, line in enumerate(dict.fromkeys([*x, *y]))}
+    a, b = (np.array([number[line] for line in z], np.int32) for z in (x, y))
+    # lengths[i, j]: of the longest one of x from i and y from j
+    lengths = np.zeros((len(x) + 1, len(y) + 1), np.int16)
+    for i in range(len(x) - 1, -1, -1):
+        best = np.maximum(lengths[i + 1, :-1], np.where(b == a[i], lengths[i + 1, 1:] + 1, 0))
+        lengths[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif lengths[i + 1, j] >= lengths[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def hunks(x: list[str], y: list[str], kept: list[tuple[int, int]], around: int = 3) -> list[str]:
+    """Unified hunks of two lists of lines whose common lines are ``kept``."""
+    lines, i, j = [], 0, 0
+    for a, b in [*kept, (len(x), len(y))]:
+        lines += [("-", i + k, j, x[i + k]) for k in range(a - i)] + [("+", a, j + k, y[j + k]) for k in range(b - j)]
+        if a < len(x):
+            lines.append((" ", a, b, x[a]))
+        i, j = a + 1, b + 1
+    changed = [n for n, line in enumerate(lines) if line[0] != " "]
+    out, n = [], 0
+    while n < len(changed):
+        end = n
+        while end + 1 < len(changed) and changed[end + 1] - changed[end] <= 2 * around + 1:
+            end += 1
+        part = lines[max(0, changed[n] - around) : changed[end] + around + 1]
+        old, new = sum(line[0] != "+" for line in part), sum(line[0] != "-" for line in part)
+        place = lambda start, size: f"{start + 1 if size else start}" + ("" if size == 1 else f",{size}")
+        out.append(f"@@ -{place(part[0][1], old)} +{place(part[0][2], new)} @@")
+        out += [sign + text for sign, _, _, text in part]
+        n = end + 1
+    return out
+
+
 @F.pandas_udf(StringType())
 def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Unified diff with three lines around; null if equal, over 2000 lines or over 60 % of the lines changed."""
@@ -57,9 +116,9 @@ def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
         x, y = a.splitlines(), b.splitlines()
         if max(len(x), len(y)) > 2000:
             return None
-        lines = list(difflib.unified_diff(x, y, lineterm="", n=3))[2:]
-        changed = sum(line[:1] in "+-" for line in lines)
-        return None if changed > 0.6 * (len(x) + len(y)) else "\n".join(lines)
+        kept = common_lines(x, y)
+        changed = len(x) + len(y) - 2 * len(kept)
+        return None if changed > 0.6 * (len(x) + len(y)) else "\n".join(hunks(x, y, kept))
 
     return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)], dtype=object)
 
@@ -67,9 +126,10 @@ def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
 def api_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """Changes between two public surfaces (fqn, access, signature): removed, added, reduced, or signature changed; breaking first.
 
-    The first row of a name by signature counts.
+    The first row of a name counts: by seq where the surfaces have it, else by signature and access.
     """
-    one = lambda f, p: f.groupBy("fqn").agg(F.min(F.struct("signature", "access")).alias("r")).select("fqn", F.col("r.access").alias(f"{p}_access"), F.col("r.signature").alias(f"{p}_signature"), F.lit(True).alias(p))
+    first = lambda f: F.struct(*[c for c in ("seq", "signature", "access") if c in f.columns])
+    one = lambda f, p: f.groupBy("fqn").agg(F.min(first(f)).alias("r")).select("fqn", F.col("r.access").alias(f"{p}_access"), F.col("r.signature").alias(f"{p}_signature"), F.lit(True).alias(p))
     rank = lambda c: F.array_position(F.array(*[F.lit(a) for a in ACCESS]), F.col(c))
     kind = (
         F.when(F.col("new").isNull(), "removed")
@@ -100,14 +160,23 @@ def freshness(indexed: DataFrame, current: DataFrame, key: str, digest: str, mos
 def nearest_names(asked: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
     """The nearest names of each asked name by edit distance in lower case, then by name.
 
-    Asked names are a stated query set (checked: at most 10,000), compared with every name.
+    Asked names are a stated query set, compared with every name in blocks of about ASKED_AT_A_TIME. The
+    best name of each of some hashed groups of names gives a bound that the nearest ones are within,
+    so that only pairs within it are ranked, and input tasks pass on no more than the groups.
     """
-    if asked.limit(10_001).count() > 10_000:
-        raise ValueError("ask for at most 10,000 names at a time")
-    distinct = names.select("name").distinct()
-    pairs = distinct.crossJoin(F.broadcast(asked.select("asked").distinct())).select("asked", "name", F.levenshtein(F.lower("asked"), F.lower("name")).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("asked").orderBy("distance", "name"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= most)
+    distinct, wanted = saved(names.select("name").distinct(), "names"), saved(asked.select("asked").distinct(), "asked")
+    blocks = max(1, -(-wanted.count() // ASKED_AT_A_TIME))
+    out = None
+    for block in range(blocks):
+        part = wanted.where(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == block)  # about ASKED_AT_A_TIME names
+        pairs = distinct.crossJoin(F.broadcast(part)).select("asked", "name", F.struct(F.levenshtein(F.lower("asked"), F.lower("name")).alias("distance"), "name").alias("near"))
+        groups = pairs.groupBy("asked", F.pmod(F.xxhash64("name"), F.lit(64)).alias("g")).agg(F.min("near").alias("near"))
+        bound = groups.groupBy("asked").agg(F.sort_array(F.collect_list("near")).alias("best")).select("asked", F.when(F.size("best") >= most, F.col("best")[most - 1]["distance"]).alias("most"))
+        within = pairs.join(F.broadcast(bound), "asked").where(F.col("most").isNull() | (F.col("near.distance") <= F.col("most")))
+        rank = F.row_number().over(Window.partitionBy("asked").orderBy("near"))
+        found = within.withColumn("rank", rank).where(F.col("rank") <= most).select("asked", "name", "near.distance", "rank")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def race(candidates: DataFrame, by: str, clean: str) -> DataFrame:
@@ -123,10 +192,23 @@ def git_stats(changes: DataFrame, now, days: int = 90) -> DataFrame:
     return changes.groupBy("path").agg(recent.alias("commits"), F.max("date").alias("last_modified"))
 
 
+# What the detectors of code patterns look for.
+DETECTORS = {
+    "async": r"\basync\s+(?:Task|ValueTask)\b|ConfigureAwait\s*\(",
+    "cqrs": r"\b(IRequest|ICommand|IQuery|IMediator)\b",
+    "dependency-injection": r"Add(Singleton|Scoped|Transient)\s*[<\(]",
+    "exceptions": r"\b(\w+Exception)\s*:\s*Exception\b|\bcatch\s*\(",
+    "logging": r"ILogger\s*<\s*\w+\s*>",
+    "repository": r"\b(IRepository\s*<|IRepository\b|Repository\s*<)",
+}
+
+
 def pattern_counts(texts: DataFrame, patterns: dict[str, str], key: str, text: str = "text", examples: int = 3) -> DataFrame:
     """Per pattern: matches, texts that have any, and the first keys."""
     found = texts.select(F.col(key).alias("k"), *[F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(p)).alias(n) for n, p in patterns.items()])
     each = found.select("k", F.explode(F.create_map(*[x for n in patterns for x in (F.lit(n), F.col(n))])).alias("pattern", "n")).where("n > 0")
-    # a struct per pattern: counts combine in the input tasks; the examples are the smallest keys
-    first = each.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy("k"))).where(F.col("r") <= examples).groupBy("pattern").agg(F.array_join(F.sort_array(F.collect_list("k")), ",").alias("examples"))
+    # counts combine in the input tasks; the examples are the smallest keys of the smallest keys of groups
+    group = Window.partitionBy("pattern", F.pmod(F.xxhash64("k"), F.lit(512))).orderBy("k")
+    some = each.withColumn("r", F.row_number().over(group)).where(F.col("r") <= examples)
+    first = some.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy("k"))).where(F.col("r") <= examples).groupBy("pattern").agg(F.array_join(F.sort_array(F.collect_list("k")), ",").alias("examples"))
     return each.groupBy("pattern").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("texts")).join(first, "pattern")

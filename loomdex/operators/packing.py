@@ -1,10 +1,12 @@
-"""Budgeted packing: greedy rules as ordered folds over one plan's rows, or as running sums where they are the same."""
+"""Budgeted packing: greedy rules as running folds over each plan's rows in order."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 OVERHEAD = 30
 # Roles by the type of the last edge; tiers by role.
@@ -28,19 +30,32 @@ def tier(role_col: Column, mode: str = "auto") -> Column:
     return F.lit(fixed) if fixed else _case(role_col, TIERS, "skeleton")
 
 
-def _fold(rows: DataFrame, plan: str, order: list[str], keep, budget: int, start: int = 0) -> DataFrame:
-    """Fold the rows of each plan in order; ``keep(item, used)`` decides. A plan is one row of the fold, bounded by its size."""
-    columns = [c for c in rows.columns if c != plan]
-    items = F.array_sort(F.collect_list(F.struct(*order, F.struct(*columns).alias("row"))))
-    state = F.struct(F.lit(start).cast("long").alias("used"), F.expr("CAST(array() AS array<boolean>)").alias("kept"))
+def running(rows: DataFrame, plan: str, order: list[str], inputs: list[str], name: str, kind: str, begin, step) -> DataFrame:
+    """Adds ``name``: what ``step(state, *inputs)``, which gives the next state and a value, makes of each plan's rows in order.
+
+    Plans are read in order from sorted partitions, a batch at a time: linear in the rows, and a task
+    holds one state however long a plan is.
+    """
+    schema = StructType([*rows.schema.fields, StructField(name, _parse_datatype_string(kind))])
+    arrow = to_arrow_type(schema[name].dataType)
+
+    def run(batches):
+        plan_now, state, fresh = None, begin, True
+        for batch in batches:
+            out = []
+            for p, *values in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (plan, *inputs)), strict=True):
+                if fresh or p != plan_now:
+                    plan_now, state, fresh = p, begin, False
+                state, value = step(state, *values)
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], schema.names)
+
+    return rows.repartition(plan).sortWithinPartitions(plan, *order).mapInArrow(run, schema)
 
-    def step(acc, item):
-        ok = keep(item["row"], acc["used"])
-        return F.struct((acc["used"] + F.when(ok, item["row"]["cost"]).otherwise(F.lit(0))).cast("long").alias("used"), F.concat(acc["kept"], F.array(ok)).alias("kept"))
 
-    packed = rows.groupBy(plan).agg(items.alias("items")).withColumn("s", F.aggregate("items", state, step))
-    each = packed.select(plan, F.explode(F.arrays_zip(F.col("items.row").alias("row"), F.col("s.kept").alias("kept"))).alias("x"))
-    return each.select(plan, *[F.col(f"x.row.{c}").alias(c) for c in columns], F.col("x.kept").alias("kept"))
+def _fit(used: int, cost: int, always: bool, limit: int):
+    kept = always or used + cost <= limit
+    return used + cost * kept, kept
 
 
 def pack_plan(rows: DataFrame, budget: int, plan: str = "plan") -> DataFrame:
@@ -49,54 +64,88 @@ def pack_plan(rows: DataFrame, budget: int, plan: str = "plan") -> DataFrame:
     ``rows``: plan, path, score, cost long, must_keep. Adds kept. Order: must-keep, score desc, path.
     """
     ordered = rows.withColumn("o1", F.when(F.col("must_keep"), 0).otherwise(1)).withColumn("o2", -F.col("score")).withColumn("o3", F.col("path"))
-    out = _fold(ordered, plan, ["o1", "o2", "o3"], lambda r, used: r["must_keep"] | (used + r["cost"] <= budget), budget)
-    return out.drop("o1", "o2", "o3")
+    limited = ordered.withColumn("limit", F.lit(budget))
+    return running(limited, plan, ["o1", "o2", "o3"], ["cost", "must_keep", "limit"], "kept", "boolean", 0, _fit).drop("o1", "o2", "o3", "limit")
 
 
-def pack_density(rows: DataFrame, budget: int, plan: str = "plan", overhead: int = OVERHEAD) -> DataFrame:
+def pack_density(rows: DataFrame, budget: int | Column, plan: str = "plan", overhead: int = OVERHEAD) -> DataFrame:
     """Trivial rows are free; the most relevant row always stays; the rest by score per cost, if they fit.
 
     ``rows``: plan, path, score, tokens, trivial. Adds cost and kept.
     """
-    best = F.row_number().over(Window.partitionBy(plan).orderBy("trivial", F.desc("score"), "path"))
-    costed = rows.withColumn("cost", F.when(F.col("trivial"), F.lit(0)).otherwise(F.col("tokens") + overhead).cast("long")).withColumn("first", (best == 1) & ~F.col("trivial"))
-    ordered = costed.withColumn("o1", F.when(F.col("trivial") | F.col("first"), 0).otherwise(1)).withColumn("o2", -F.col("score") / F.greatest(F.col("cost"), F.lit(1))).withColumn("o3", F.col("path"))
-    return _fold(ordered, plan, ["o1", "o2", "o3"], lambda r, used: r["trivial"] | r["first"] | (used + r["cost"] <= budget), budget).drop("o1", "o2", "o3", "first")
+    top = rows.where(~F.col("trivial")).groupBy(F.col(plan).alias("top_plan")).agg(F.min(F.struct(-F.col("score"), "path"))["path"].alias("top_path"))  # a row per plan
+    marked = rows.join(top, F.col(plan).eqNullSafe(F.col("top_plan")), "left")
+    costed = marked.withColumn("cost", F.when(F.col("trivial"), F.lit(0)).otherwise(F.col("tokens") + overhead).cast("long"))
+    costed = costed.withColumn("always", F.col("trivial") | F.coalesce(F.col("path") == F.col("top_path"), F.lit(False))).drop("top_plan", "top_path")
+    ordered = costed.withColumn("o1", F.when(F.col("always"), 0).otherwise(1)).withColumn("o2", -F.col("score") / F.greatest(F.col("cost"), F.lit(1))).withColumn("o3", F.col("path"))
+    limited = ordered.withColumn("limit", budget if isinstance(budget, Column) else F.lit(budget))
+    return running(limited, plan, ["o1", "o2", "o3"], ["cost", "always", "limit"], "kept", "boolean", 0, _fit).drop("o1", "o2", "o3", "always", "limit")
 
 
-def emit_prefix(rows: DataFrame, budget: int, order: list[Column], plan: str = "plan") -> DataFrame:
-    """Rows in order until the first that overflows; the first row always stays."""
-    w = Window.partitionBy(plan).orderBy(*order)
-    return rows.withColumn("n", F.row_number().over(w)).withColumn("total", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("kept", (F.col("n") == 1) | (F.col("total") <= budget))
+def emit_prefix(rows: DataFrame, budget: int, order: list[str], plan: str = "plan") -> DataFrame:
+    """Adds n, total and kept: rows in order until the first that overflows; the first row always stays. ``rows``: plan, cost."""
+
+    def step(state, cost):
+        n, total = state[0] + 1, state[1] + cost
+        return (n, total), {"n": n, "total": total, "kept": n == 1 or total <= budget}
+
+    out = running(rows, plan, order, ["cost"], "x", "n int, total long, kept boolean", (0, 0), step)
+    return out.select(*rows.columns, "x.n", "x.total", "x.kept")
 
 
 def emit_parts(rows: DataFrame, budget: int, plan: str = "plan") -> DataFrame:
     """Adds part from 1: a new part begins at a row that would overflow the current one. ``rows``: plan, seq, cost."""
-    columns = [c for c in rows.columns if c != plan]
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(1).alias("part"), F.expr("CAST(array() AS array<int>)").alias("parts"))
 
-    def step(acc, r):
-        over = (acc["used"] > 0) & (acc["used"] + r["cost"] > budget)
-        part = acc["part"] + over.cast("int")
-        return F.struct((F.when(over, F.lit(0)).otherwise(acc["used"]) + r["cost"]).cast("long").alias("used"), part.alias("part"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+    def step(state, cost):
+        used, part = state
+        over = used > 0 and used + cost > budget
+        state = (cost, part + 1) if over else (used + cost, part)
+        return state, state[1]
 
-    packed = rows.groupBy(plan).agg(F.array_sort(F.collect_list(F.struct("seq", *[c for c in columns if c != "seq"]))).alias("items")).withColumn("s", F.aggregate("items", state, step))
-    each = packed.select(plan, F.explode(F.arrays_zip(F.col("items").alias("row"), F.col("s.parts").alias("part"))).alias("x"))
-    return each.select(plan, *[F.col(f"x.row.{c}").alias(c) for c in columns], F.col("x.part").alias("part"))
+    return running(rows, plan, ["seq"], ["cost"], "part", "int", (0, 1), step)
 
 
 def emission_order(rows: DataFrame, plan: str = "plan") -> DataFrame:
-    """Adds seq: by score, tokens and path if any row of the plan has a score, else by tokens and path."""
-    scored = F.max(F.col("score").isNotNull().cast("int")).over(Window.partitionBy(plan))
-    first = F.when(F.col("any") == 1, F.coalesce("score", F.lit(0.0))).otherwise(F.lit(0.0))
-    return rows.withColumn("any", scored).withColumn("seq", F.row_number().over(Window.partitionBy(plan).orderBy(F.desc(first), F.desc("tokens"), "path"))).drop("any")
+    """Adds seq from 1: by score, tokens and path if any row of the plan has a score, else by tokens and path."""
+    scored = rows.groupBy(F.col(plan).alias("scored_plan")).agg(F.max(F.col("score").isNotNull()).alias("any"))  # a row per plan
+    first = F.when(F.col("any"), -F.coalesce("score", F.lit(0.0))).otherwise(F.lit(0.0))
+    ordered = rows.join(scored, F.col(plan).eqNullSafe(F.col("scored_plan"))).withColumn("o1", first).withColumn("o2", -F.col("tokens")).drop("any", "scored_plan")
+    return running(ordered, plan, ["o1", "o2", "path"], [], "seq", "int", 0, lambda n: (n + 1, n + 1)).drop("o1", "o2")
+
+
+def downgrade_tail(rows: DataFrame, budget: int, order: list[str], plan: str = "plan") -> DataFrame:
+    """Rows beyond the budget are replaced by their sketch (sketch_tokens) where that is smaller; adds sketched."""
 
+    def step(total, tokens):
+        return total + tokens, total + tokens
 
-def downgrade_tail(rows: DataFrame, budget: int, order: list[Column], plan: str = "plan") -> DataFrame:
-    """Rows beyond the budget are replaced by their sketch (sketch_tokens) where that is smaller."""
-    total = F.sum("tokens").over(Window.partitionBy(plan).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    summed = running(rows, plan, order, ["tokens"], "total", "long", 0, step)
     beyond = (F.col("total") > budget) & (F.col("sketch_tokens") < F.col("tokens"))
-    return rows.withColumn("total", total).withColumn("sketched", beyond).withColumn("tokens", F.when(beyond, F.col("sketch_tokens")).otherwise(F.col("tokens"))).drop("total")
+    return summed.withColumn("sketched", beyond).withColumn("tokens", F.when(beyond, F.col("sketch_tokens")).otherwise(F.col("tokens"))).drop("total")
+
+
+#: Rough tokens of the text around a plan's entries: its frame and a line for each.
+FRAME, FRAME_LINE = 120, 12
+
+
+def pack_framed(rows: DataFrame, budget: int, plan: str = "plan", overhead: int = OVERHEAD) -> DataFrame:
+    """``pack_density`` with room for the frame: its tokens for the rows kept at first are taken off the budget, and rows are packed again."""
+    first = pack_density(rows, budget, plan, overhead).groupBy(F.col(plan).alias("framed")).agg((F.count(F.when(F.col("kept"), 1)) * FRAME_LINE + FRAME).alias("reserve"))
+    held = rows.join(first, F.col(plan).eqNullSafe(F.col("framed"))).drop("framed")
+    return pack_density(held, F.lit(budget) - F.col("reserve"), plan, overhead).drop("reserve")
+
+
+def contents_levels(files: DataFrame, budgets: list[int]) -> DataFrame:
+    """(budget, level): the finest table of contents that fits each budget: files, folders, or totals alone.
+
+    ``files``: file_path, tokens. A line costs its characters by four, rounded up; totals are given in any case.
+    """
+    line = lambda text: F.ceil((F.length(text) + 8) / 4).cast("long")
+    folders = contents_table(files)
+    costs = files.agg(F.coalesce(F.sum(line(F.col("file_path"))), F.lit(0)).alias("files")).crossJoin(F.broadcast(folders.agg(F.coalesce(F.sum(line(F.col("folder"))), F.lit(0)).alias("folders"))))  # one row each
+    asked = files.sparkSession.createDataFrame([(b,) for b in budgets], "budget long")
+    level = F.when(F.col("files") <= F.col("budget"), "files").when(F.col("folders") <= F.col("budget"), "folders").otherwise("totals")
+    return asked.crossJoin(F.broadcast(costs)).select("budget", level.alias("level"))
 
 
 def contents_table(files: DataFrame) -> DataFrame:

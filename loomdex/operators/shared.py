@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -13,6 +15,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        # one machine may use a folder of its own; on a cluster it would not be shared
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -27,3 +32,16 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the place of each row in the order, from 1 and without gaps; tasks hold ranges of the order, none holds all rows."""
+    placed = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__place", 33)
+    before, starts = 0, []
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):  # a row per task
+        starts.append((r["part"], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(starts, "__part long, __before long")
+    joined = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return joined.withColumn(name, F.col("__before") + F.col("__place") - F.shiftleft("__part", 33) + 1).drop("__part", "__before", "__place")
