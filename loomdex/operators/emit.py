@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .packing import emit_parts
+from .shared import saved
+
 FORMATS = ("xml", "markdown", "json", "compact")
 
 
@@ -50,11 +53,23 @@ def regrade(claims: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def secret_positions(files: DataFrame, patterns: dict[str, str], key: str = "path", text: str = "text") -> DataFrame:
-    """Line and column (from 1) of each secret: per line, so no line is too far to find."""
-    lines = files.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    found = [F.transform(F.array_distinct(F.regexp_extract_all("line", F.lit(f"({p})"), F.lit(1))), lambda m, n=n: F.struct(F.lit(n).alias("kind"), m.alias("m"))) for n, p in patterns.items()]
-    each = lines.withColumn("hit", F.explode(F.concat(*found)))
-    return each.select(key, F.col("hit.kind").alias("kind"), (F.col("at") + 1).alias("line_no"), F.expr("locate(hit.m, line)").alias("column_no"))
+    """Line and column (from 1) of each secret, found in the whole text, so that it may span lines.
+
+    Splitting the text at a pattern's matches gives the text before each of them.
+    """
+    each = None
+    held = F.coalesce(F.col(text), F.lit(""))
+    for name, pattern in patterns.items():
+        found = files.select(key, held.alias("t"), F.regexp_extract_all(held, F.lit(f"({pattern})"), F.lit(1)).alias("hits")).where(F.size("hits") > 0)
+        # the place of a match is the length of what stands between matches, and of the matches before it
+        parts = found.select(key, "t", "hits", F.split("t", pattern, -1).alias("gaps"))
+        placed = parts.select(key, "t", F.posexplode("hits").alias("i", "hit"), "gaps", "hits")
+        length = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+        before = F.substring("t", F.lit(1), length("gaps", F.col("i") + 1) + length("hits", F.col("i")))
+        lines = F.split(before, "\n", -1)
+        one = placed.select(key, F.lit(name).alias("kind"), F.size(lines).alias("line_no"), (F.length(F.element_at(lines, -1)) + 1).alias("column_no"))
+        each = one if each is None else each.unionByName(one)
+    return each
 
 
 def hotspots(files: DataFrame, most: int = 20) -> DataFrame:
@@ -98,3 +113,34 @@ def load_tier(projects: Column, loaded: Column, errors: Column) -> Column:
 def test_filter(names: list[str]) -> str:
     """An OR of exact names for a test runner; characters with a meaning are escaped."""
     return "|".join("FullyQualifiedName~" + re.sub(r"([\\()&|=!~])", r"\\\1", n) for n in sorted(set(names)))
+
+
+def write_parts(rows: DataFrame, budget: int, path: str, kind: str = "xml", plan: str = "plan") -> DataFrame:
+    """Write a plan's entries as text files, a folder for each part of at most ``budget`` tokens (one entry may be more); returns
+    (plan, part, entries, tokens). ``rows``: plan, seq, path, body, cost."""
+    parted = saved(emit_parts(rows, budget, plan), "parts")
+    text = parted.select(plan, "part", "seq", entry(F.col("path"), F.col("body"), kind).alias("value"))
+    spread = text.repartition(plan, "part").sortWithinPartitions(plan, "part", "seq").select("value", F.col(plan).alias("plan"), "part")
+    spread.write.partitionBy("plan", "part").text(path)
+    return parted.groupBy(plan, "part").agg(F.count(F.lit(1)).alias("entries"), F.sum("cost").alias("tokens"))
+
+
+def review_text(changed: DataFrame, delta: DataFrame, callers: DataFrame) -> DataFrame:
+    """Lines of a change review (section, line): changed files with their counts, API changes, and files that call changed ones."""
+    files = changed.select(F.lit("1 files").alias("section"), F.concat("path", F.lit(" +"), "added", F.lit(" -"), "removed").alias("line"))
+    api = delta.select(F.lit("2 api").alias("section"), F.concat(F.when(F.col("breaking"), "breaking ").otherwise(""), "kind", F.lit(": "), "fqn").alias("line"))
+    near = callers.select(F.lit("3 callers").alias("section"), F.concat("caller", F.lit(" uses "), "type").alias("line"))
+    return files.unionByName(api).unionByName(near).orderBy("section", "line")
+
+
+def covering_not_run(covering: DataFrame, run: DataFrame) -> DataFrame:
+    """Covering test types (name) that no test that ran (test) belongs to: a test's name is its type's, or begins with it and a dot."""
+    parts = F.split("test", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    ran = run.select(F.explode(prefixes).alias("name")).distinct()
+    return covering.select("name").distinct().join(ran, "name", "left_anti")
+
+
+def render_ledger(claims: DataFrame) -> DataFrame:
+    """(line_no, line) of a claim ledger, in order of seq: grade, claim and path."""
+    return claims.select(F.row_number().over(Window.partitionBy("ledger").orderBy("seq")).alias("line_no"), "ledger", F.concat(F.lit("["), "grade", F.lit("] "), "claim", F.lit(" ("), "path", F.lit(")")).alias("line"))

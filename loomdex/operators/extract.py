@@ -43,7 +43,12 @@ def inheritance_edges(types: DataFrame) -> DataFrame:
 def routes(files: DataFrame) -> DataFrame:
     """Routes of MapX("...") calls and of verb attributes, with a leading and no trailing slash."""
     call = r"(?i)(?:\.Map|\[Http)(Get|Post|Put|Delete|Patch)\s*\(\s*\"([^\"]*)\""
-    found = lines(files).select("file_path", "line_no", F.upper(F.regexp_extract("line", call, 1)).alias("verb"), F.regexp_extract("line", call, 2).alias("raw")).where("verb <> ''")
+    prefix = F.nullif(F.regexp_extract("line", r"\[Route\s*\(\s*\"([^\"]*)\"", 1), F.lit(""))
+    held = lines(files).withColumn("prefix", F.last(prefix, ignorenulls=True).over(Window.partitionBy("file_path").orderBy("line_no")))
+    found = held.select("file_path", "line_no", "prefix", F.col("line").rlike(r"(?i)\[Http").alias("attribute"), F.upper(F.regexp_extract("line", call, 1)).alias("verb"), F.regexp_extract("line", call, 2).alias("raw")).where("verb <> ''")
+    # an attribute's route stands under the nearest class-level prefix at or above it
+    joined = F.when(F.col("attribute") & F.col("prefix").isNotNull() & ~F.startswith("raw", F.lit("/")), F.concat(F.regexp_replace("prefix", "/+$", ""), F.lit("/"), F.col("raw"))).otherwise(F.col("raw"))
+    found = found.withColumn("raw", joined)
     slashed = F.when(F.startswith("raw", F.lit("/")), F.col("raw")).otherwise(F.concat(F.lit("/"), F.col("raw")))
     return found.select("file_path", "line_no", "verb", F.when(F.length(slashed) > 1, F.regexp_replace(slashed, "/+$", "")).otherwise(slashed).alias("pattern"))
 
@@ -55,6 +60,28 @@ def registrations(files: DataFrame) -> DataFrame:
     return found.select("file_path", "line_no", "service", F.when(F.col("impl") == "", F.col("service")).otherwise(F.col("impl")).alias("implementation"), "lifetime")
 
 
+def decorators(files: DataFrame) -> DataFrame:
+    """di_decorates edges from a decorator to the service that it is registered around."""
+    call = r"\.Decorate\s*<\s*([\w.]+)\s*,\s*([\w.]+)\s*>"
+    found = lines(files).select(F.regexp_extract("line", call, 2).alias("from"), F.regexp_extract("line", call, 1).alias("to")).where("`to` <> ''")
+    return found.select("from", "to", F.lit("di_decorates").alias("type"), F.lit(0.95).alias("weight")).distinct()
+
+
+def constructor_parameters(symbols: DataFrame) -> DataFrame:
+    """(consumer, service): types of the parameters of constructors, from ``code.csharp_symbols``; options wrappers are left out."""
+    inner = F.regexp_extract("body", r"\(([^()]*)\)", 1)
+    bare = F.transform(F.split(F.regexp_replace(inner, r"<[^<>]*>", ""), ","), lambda p: F.regexp_extract(F.trim(p), r"([\w.]+)\s+\w+\s*(?:=.*)?$", 1))
+    found = symbols.where("kind = 'constructor'").select(F.col("containing_type").alias("consumer"), F.explode(bare).alias("service"))
+    return found.where("service <> '' AND service NOT IN ('IOptions', 'IOptionsSnapshot', 'IOptionsMonitor')").distinct()
+
+
+def route_edges(routes: DataFrame, types: DataFrame) -> DataFrame:
+    """route_handles edges from each route to the type declared nearest at or above it in its file."""
+    at = routes.join(types.select("file_path", F.col("line_no").alias("type_line"), "name"), "file_path").where("type_line <= line_no")
+    best = at.groupBy("file_path", "line_no", "verb", "pattern").agg(F.max_by("name", "type_line").alias("name"))
+    return best.select(F.concat(F.lit("route:"), "verb", F.lit(" "), "pattern").alias("from"), F.col("name").alias("to"), F.lit("route_handles").alias("type"), F.lit(1.0).alias("weight")).distinct()
+
+
 def injected_implementations(parameters: DataFrame, resolves: DataFrame) -> DataFrame:
     """di_depends_on_impl: consumers to the implementation last registered for a parameter's service, not to themselves.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,6 +105,24 @@ def changed_candidates(selected: DataFrame, changed: DataFrame) -> DataFrame:
     return selected.select("file_path").unionByName(changed.select("file_path")).distinct().withColumn("score", F.lit(1.0))
 
 
+#: Words of a question that name nothing. Fixed values.
+STOP_WORDS = frozenset("the and for with from that this when where what which how does add fix use into not are was".split())
+
+
+def nearest_symbols(symbols: DataFrame, query: str, most: int = 8) -> DataFrame:
+    """Symbols (name) whose names hold most of the question's words, without stop words; more words first, then shorter names."""
+    words = sorted({w for w in re.findall(r"[a-z0-9]{3,}", query.lower()) if w not in STOP_WORDS})
+    hits = sum((F.contains(F.lower("name"), F.lit(w)).cast("int") for w in words), F.lit(0))
+    return symbols.select("name").distinct().withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), F.length("name"), "name").limit(most)
+
+
+def entry_points(files: DataFrame, most: int = 5) -> DataFrame:
+    """Files that programs begin in, by their names, those nearest the root first."""
+    name = F.lower(F.regexp_extract("file_path", r"([^/]+)$", 1))
+    begins = name.rlike(r"^(program|startup|main|app|index|__main__|server)\.[a-z]+$")
+    return files.where(begins).select("file_path", (F.size(F.split("file_path", "/")) - 1).alias("depth")).orderBy("depth", "file_path").limit(most)
+
+
 def navigation_areas(files: DataFrame, depth: int = 2, most: int = 6) -> DataFrame:
     """Areas (the first directories of the paths) with the most files."""
     parts = F.split("file_path", "/")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .packing import pack_plan
 from .shared import saved
 
 # Weights of edge types in expansion, and of any other type.
@@ -184,3 +185,35 @@ def focus(edges: DataFrame, seeds: DataFrame, depth: int, ways: str = "both", ce
     if centrality is None:
         return found
     return found.join(centrality, "node", "left").withColumn("score", F.col("score") + share * F.coalesce("rank", F.lit(0.0))).drop("rank")
+
+
+def subgraph(nodes: DataFrame, links: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """Files (file_path) under a folder, and the links (from_file, to_file) with both ends there."""
+    under = lambda c: F.startswith(F.lower(c), F.lit(prefix.lower().rstrip("/") + "/"))
+    return nodes.where(under(F.col("file_path"))), links.where(under(F.col("from_file")) & under(F.col("to_file")))
+
+
+def project_neighbours(files: DataFrame, projects: DataFrame, links: DataFrame, file_path: str, most: int = 48) -> DataFrame:
+    """Files of the projects that a file's project refers to or is referred to by, the first by path. ``links``: from_dir, to_dir."""
+    owned = owning_project(files, projects)
+    own = owned.where(F.col("file_path") == file_path).select(F.col("project_dir").alias("own"))  # one row
+    both = links.select("from_dir", "to_dir").unionByName(links.select(F.col("to_dir").alias("from_dir"), F.col("from_dir").alias("to_dir")))
+    linked = both.join(F.broadcast(own), F.col("from_dir") == F.col("own")).select(F.col("to_dir").alias("project_dir")).distinct()
+    return owned.join(linked, "project_dir", "left_semi").where(F.col("file_path") != file_path).orderBy("file_path").limit(most)
+
+
+def within_budget(found: DataFrame, costs: DataFrame, budget: int) -> DataFrame:
+    """Reached nodes (node, score, hop) that fit a budget, best first; one that doesn't fit is skipped and later ones are still tried."""
+    rows = found.join(costs, "node", "left").select(F.lit("focus").alias("plan"), F.col("node").alias("path"), "score", "hop", F.coalesce("cost", F.lit(0)).cast("long").alias("cost"), (F.col("hop") == 0).alias("must_keep"))
+    return pack_plan(rows, budget).where("kept").select(F.col("path").alias("node"), "score", "hop", "cost")
+
+
+def graph_view(files: DataFrame, types: DataFrame, links: DataFrame, most: int = 25) -> DataFrame:
+    """Files with their first type names, at most ``most``, their token cost, and their share of the highest degree to four places."""
+    named = types.groupBy("file_path").agg(F.slice(F.sort_array(F.collect_set("name")), 1, most).alias("types"))  # a file's own types
+    ends = links.select(F.col("from_file").alias("file_path")).unionByName(links.select(F.col("to_file").alias("file_path")))
+    degree = ends.groupBy("file_path").agg(F.count(F.lit(1)).alias("degree"))
+    top = degree.agg(F.max("degree").alias("top"))  # one row
+    shares = degree.crossJoin(F.broadcast(top)).select("file_path", F.round(F.col("degree") / F.col("top"), 4).alias("centrality"))
+    view = files.select("file_path", "tokens").join(named, "file_path", "left").join(shares, "file_path", "left")
+    return view.select("file_path", "tokens", F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.coalesce("centrality", F.lit(0.0)).alias("centrality"))

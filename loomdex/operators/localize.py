@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import match_terms
 from . import fusion, graph, packing, search
+from .emit import manifest
 from .shared import saved
 
 
@@ -73,3 +74,33 @@ def graph_discovery(edges: DataFrame, nodes: DataFrame, ranked: DataFrame, seeds
     start = nodes.join(F.broadcast(first), "file_path").select("node", "score")
     found = graph.expand(edges, start, 1).where("hop = 1").join(nodes, "node").groupBy("file_path").agg(F.max("score").alias("score"))
     return found.join(ranked.select("file_path"), "file_path", "left_anti").orderBy(F.desc("score"), "file_path").limit(most)
+
+
+#: Edge types by the kind of an exact input, and the weight of its candidates' source.
+EXACT = {"service": "di_resolves_to", "request": "mediatr_handles", "route": "route_handles", "config": "options_binds"}
+
+
+def exact_candidates(edges: DataFrame, nodes: DataFrame, asked: list[tuple[str, str]]) -> DataFrame:
+    """(kind, node, file_path, score): what exact inputs (kind, name) resolve to, at their source's weight; a focus is the node itself."""
+    wanted = edges.sparkSession.createDataFrame(asked, "kind string, name string")
+    types = edges.sparkSession.createDataFrame(list(EXACT.items()), "kind string, type string")
+    through = wanted.join(F.broadcast(types), "kind").join(edges, (F.col("name") == F.col("from")) & (types["type"] == edges["type"])).select("kind", F.col("to").alias("node"))
+    focus = wanted.where("kind = 'focus'").select("kind", F.col("name").alias("node"))
+    found = through.unionByName(focus).distinct().join(nodes, "node")
+    source = F.concat(F.when(F.col("kind") == "focus", "symbol").otherwise(F.col("kind")), F.lit("_exact"))
+    return found.select("kind", "node", "file_path", fusion.source_weight(source).alias("score"))
+
+
+def plan_seeds(edges: DataFrame, nodes: DataFrame, paths: list[str] = (), routes: list[str] = (), names: list[str] = ()) -> DataFrame:
+    """(node, score): the nodes of the given files, what routes resolve to, and nodes of a name in any case; each once, at its best."""
+    spark = edges.sparkSession
+    listed = lambda values, column: F.broadcast(spark.createDataFrame([(v,) for v in values], f"{column} string"))
+    by_file = nodes.join(listed(paths, "file_path"), "file_path").select("node", F.lit(1.0).alias("score"))
+    by_route = edges.where("type = 'route_handles'").join(listed(routes, "from"), "from").select(F.col("to").alias("node"), F.lit(1.0).alias("score"))
+    by_name = nodes.join(listed([n.lower() for n in names], "low"), F.lower("node") == F.col("low")).select("node", F.lit(0.9).alias("score"))
+    return by_file.unionByName(by_route).unionByName(by_name).groupBy("node").agg(F.max("score").alias("score"))
+
+
+def explain(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, costs: DataFrame, request: Request) -> DataFrame:
+    """What ``context_plan`` would emit, without emitting it: per role and tier the files, those kept, and their tokens."""
+    return manifest(context_plan(edges, nodes, seeds, costs, request))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -122,8 +123,56 @@ def integrity(meta: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFra
     return has("schema_version").unionByName(has("mode")).unionByName(bare)
 
 
-def inventory_digest(files: DataFrame, blocks: int = 1024) -> DataFrame:
-    """One digest of all (path, hash): digests of hashed blocks of paths in order, then of the blocks."""
-    line = F.concat("file_path", F.lit("\0"), "content_hash", F.lit("\0"))
-    per_block = files.groupBy(F.pmod(F.crc32(F.col("file_path").cast("binary")), F.lit(blocks)).alias("block")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ""), 256).alias("digest"))
-    return per_block.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "digest"))), lambda b: b["digest"]), ""), 256).alias("digest"))
+def inventory_digest(files: DataFrame) -> DataFrame:
+    """(digest): SHA-256 over path, NUL, hash, NUL of all files in order of their paths.
+
+    The hash is a chain, so its bytes have to pass one place in order: the files are sorted in ranges and
+    streamed through the driver a range at a time, which holds one of them.
+    """
+    digest = hashlib.sha256()
+    ordered = files.select("file_path", "content_hash").repartitionByRange("file_path").sortWithinPartitions("file_path")
+    for r in ordered.toLocalIterator(prefetchPartitions=True):
+        digest.update(f"{r['file_path']}\0{r['content_hash']}\0".encode())
+    return files.sparkSession.createDataFrame([(digest.hexdigest(),)], "digest string")
+
+
+def list_routes(routes: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
+    return top(routes.join(files.select("file_path"), "file_path"), [F.lower("pattern"), F.col("verb"), F.col("file_path"), F.col("line_no")], limit)
+
+
+def node_by_id(nodes: DataFrame, node: str) -> DataFrame:
+    return nodes.where(F.col("node") == node).limit(1)
+
+
+def workspace_map(files: DataFrame, symbols: DataFrame, routes: DataFrame, most: int) -> DataFrame:
+    """Lines of a workspace's map (section, line_no, line): counts, then the first symbols and routes in their orders."""
+    counts = files.agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("files: "), "n").alias("line"))
+    counts = counts.unionByName(symbols.agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("symbols: "), "n").alias("line"))).unionByName(routes.agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("routes: "), "n").alias("line")))
+    named = list_symbols(symbols, files, most).select(F.struct((~F.col("is_public")).alias("a"), F.lower("name").alias("b"), F.col("symbol_id").cast("string").alias("c")).alias("o"), F.concat("name", F.lit(" ("), "file_path", F.lit(")")).alias("line"))
+    routed = list_routes(routes, files, most).select(F.struct(F.lit(False).alias("a"), F.lower("pattern").alias("b"), F.concat_ws(" ", "verb", "file_path", F.lpad(F.col("line_no").cast("string"), 9, "0")).alias("c")).alias("o"), F.concat("verb", F.lit(" "), "pattern").alias("line"))
+    place = lambda frame, section, order: frame.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy(order)).alias("line_no"), "line")  # noqa: E731  # three counts, or at most ``most`` rows
+    return place(counts, "counts", "line").unionByName(place(named, "symbols", "o")).unionByName(place(routed, "routes", "o"))
+
+
+def replace_all(old: DataFrame, new: DataFrame, path: str) -> DataFrame:
+    """The new rows take the place of all old ones: written to a new path, which readers then take."""
+    new.select(old.columns).write.parquet(path)
+    return new.sparkSession.read.schema(old.schema).parquet(path)
+
+
+def open_store(spark, path: str, version: int) -> dict[str, DataFrame]:
+    """The tables of a store folder, by name, if its meta table has the version; else a refusal."""
+    meta = spark.read.parquet(f"{path}/meta")
+    found = [r["value"] for r in meta.where("key = 'schema_version'").select("value").limit(2).collect()]
+    if found != [str(version)]:
+        raise ValueError(f"the store at {path} has version {found}, not {version}: index it again")
+    names = [r["value"] for r in meta.where("key = 'table'").select("value").collect()]  # a row per table
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def save_store(tables: dict[str, DataFrame], path: str, version: int) -> None:
+    """Write the tables of a store, and last its meta table: a store without it is not complete."""
+    for name, frame in tables.items():
+        frame.write.parquet(f"{path}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([("schema_version", str(version)), *[("table", name) for name in tables]], "key string, value string").coalesce(1).write.parquet(f"{path}/meta")

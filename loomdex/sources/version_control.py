@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import subprocess
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,7 +41,7 @@ def workflow_commands(workflows: DataFrame) -> DataFrame:
     """(workflow, command, needs_secret, publishes) from CI files (workflow, text): inline run: lines and block scalars."""
     block = r"(?m)^([ ]*)(?:- )?run:[ ]*(?:[|>][-+]?[ ]*\n((?:\1[ ]+[^\n]*\n?|[ ]*\n)+)|([^|>\n][^\n]*))"
     both = F.arrays_zip(F.regexp_extract_all("text", F.lit(block), F.lit(2)).alias("b"), F.regexp_extract_all("text", F.lit(block), F.lit(3)).alias("i"))
-    each = workflows.select("workflow", F.explode(both).alias("x")).select("workflow", F.trim(F.concat(F.col("x.b"), F.col("x.i"))).alias("command"))
+    each = workflows.select("workflow", F.explode(both).alias("x")).select("workflow", F.regexp_replace(F.concat(F.col("x.b"), F.col("x.i")), r"^\s+|\s+$", "").alias("command"))
     return each.select("workflow", "command", F.contains("command", F.lit("secrets.")).alias("needs_secret"), F.col("command").rlike(r"(?i)\b(publish|push|deploy|release)\b").alias("publishes"))
 
 
@@ -51,3 +53,42 @@ def project_references(projects: DataFrame) -> DataFrame:
 
 def newest_first(rows: DataFrame, by: str, date: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(date))))
+
+
+def _git(root: str, *arguments: str) -> str:
+    """Output of git in a folder of the driver's machine; git reads, and nothing else is run."""
+    return subprocess.run(["git", "-C", root, *arguments], capture_output=True, text=True, check=True).stdout
+
+
+def tracked(spark: SparkSession, root: str) -> DataFrame | None:
+    """(path) of the files that are tracked, or new and not ignored; None where the folder is no repository."""
+    try:
+        names = _git(root, "ls-files", "-z", "--cached", "--others", "--exclude-standard").split("\0")
+    except (subprocess.CalledProcessError, FileNotFoundError):
+        return None
+    return spark.createDataFrame([(n,) for n in sorted(set(names)) if n], "path string")
+
+
+def log_of(spark: SparkSession, root: str, most: int = 1000) -> DataFrame:
+    """(log, text) for ``change_log``: the newest commits that are no merges, each a marker line with its date and then its paths."""
+    return spark.createDataFrame([(1, _git(root, "log", "--no-merges", f"-n{most}", "--name-only", "--format=%x01%cI"))], "log int, text string")
+
+
+def diff_of(spark: SparkSession, root: str, base: str, head: str) -> DataFrame:
+    """(diff, text) for ``unified_diffs``: the changes between two versions."""
+    return spark.createDataFrame([(1, _git(root, "diff", "--no-renames", base, head))], "diff int, text string")
+
+
+def changed_paths(spark: SparkSession, root: str, base: str, head: str) -> DataFrame:
+    names = _git(root, "diff", "--no-renames", "--name-only", "-z", base, head).split("\0")
+    return spark.createDataFrame([(n,) for n in names if n], "path string")
+
+
+def content_at(spark: SparkSession, root: str, version: str, paths: list[str]) -> DataFrame:
+    """(file_path, text) of files at a version; files that it lacks have no row."""
+    rows = []
+    for path in paths:
+        found = subprocess.run(["git", "-C", root, "show", f"{version}:{path}"], capture_output=True, text=True)
+        if found.returncode == 0:
+            rows.append((path, found.stdout))
+    return spark.createDataFrame(rows, "file_path string, text string")

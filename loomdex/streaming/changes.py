@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.store import cascade_delete
+
 #: Created then deleted is nothing, deleted then created is changed, created then changed is created; else the latest.
 NOTHING = "Nothing"
 
@@ -46,3 +48,19 @@ def keep_index(changes: DataFrame, apply: Callable[[DataFrame, int], None], chec
     query = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def reindex(tables: dict[str, tuple[DataFrame, str]], changed: DataFrame, extract: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Tables of an index with the rows of the changed files (file_path, text; a null text is a deletion) replaced by what ``extract`` makes of them.
+
+    Rows of other files stay, also those that point at changed ones. Tables come with their path column.
+    """
+    kept = cascade_delete(tables, changed.select("file_path"), "file_path")
+    fresh = extract(changed.where("text IS NOT NULL"))
+    return {name: frame.unionByName(fresh[name].select(frame.columns)) if name in fresh else frame for name, frame in kept.items()}
+
+
+def cold_start(files: DataFrame, quick: Callable[[DataFrame], DataFrame], full: Callable[[DataFrame], DataFrame], done: DataFrame | None, key: str = "file_path") -> DataFrame:
+    """Rows of the full tier for the files (key) that have been through it, and of the quick tier for the others; adds tier."""
+    rows = quick(files if done is None else files.join(done.select(key), key, "left_anti")).withColumn("tier", F.lit("syntax"))
+    return rows if done is None else rows.unionByName(full(files.join(done.select(key), key, "left_semi")).withColumn("tier", F.lit("semantic")))
