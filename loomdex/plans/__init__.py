@@ -1,8 +1,8 @@
 """The registered queries with the SQL that checks them."""
 
-from . import graphs, ranking, relational, requests, texts
+from . import graphs, ranking, relational, requests, sources, texts
 
-MODULES = (graphs, ranking, relational, requests, texts)
+MODULES = (graphs, ranking, relational, requests, texts, sources)
 
 
 def queries():

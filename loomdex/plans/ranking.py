@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stemmer, text
-from ..operators import fusion, search
+from ..operators import fusion, postings, search
+from ..operators.shared import saved
 from .fixtures import FILES_SQL, files, table
 
 QUERIES, SQL = {}, {}
@@ -57,7 +58,7 @@ def fts1(spark, d):
 
 
 def hits(spark, d, limit=60):
-    found = search.bm25(docs(spark, d), "", WEIGHTS, None, phrases=TERMS).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "chunk_id").limit(limit)
+    found = saved(search.bm25(docs(spark, d), "", WEIGHTS, None, phrases=TERMS).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "chunk_id").limit(limit), "hits")  # limit rows
     return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")) - 1).join(docs(spark, d).select("chunk_id", "name", "file_path"), "chunk_id")
 
 
@@ -90,7 +91,34 @@ def fts5(spark, d):
 
 @query("fts3_postings", f"SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_words('text')}) AS term FROM documents) GROUP BY 1, 2")
 def fts3(spark, d):
-    return search.postings(docs(spark, d), "chunk_id", ["body"]).select("chunk_id", "term", "tf")
+    return postings.occurrences(docs(spark, d), "chunk_id", ["body"]).select("chunk_id", "term", "tf")
+
+
+@query("fts1_stored_index", f"WITH {BM25_SQL} SELECT chunk_id, round(score, 6) AS score FROM scored")
+def fts1_stored(spark, d):
+    """The same search by a stored index, which this query builds first."""
+    index = postings.build(docs(spark, d), "chunk_id", list(WEIGHTS))
+    return postings.search(spark, index, "", WEIGHTS, None, TERMS).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("snk2_replaced_postings", f"WITH c AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN source || ' ' || lang ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7) SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_words('text')}) AS term FROM c) GROUP BY 1, 2")
+def snk2(spark, d):
+    """An index of all documents in which a tenth have another text afterwards and a tenth are gone."""
+    t = docs(spark, d)
+    index = postings.build(t, "chunk_id", ["body"])
+    changed = t.where("chunk_id % 10 = 3").withColumn("body", F.concat_ws(" ", "name", "symbols"))
+    return postings.replace(index, changed, ["body"], t.where("chunk_id % 10 = 7")).postings(spark).select("chunk_id", "term", "tf")
+
+
+@query("fts2_match_terms", "SELECT * FROM (VALUES ('OrderService', 'orderservice|order|service|servic'), ('get_user_id', 'get user id|get|user|id'), ('parse2Cats', 'parse2cats|parse|cats|pars|cat')) v(query, terms)")
+def fts2(spark, d):
+    asked = ["OrderService", "get_user_id", "parse2Cats"]
+    return spark.createDataFrame([(q, "|".join(" ".join(p) for p in text.match_terms(q))) for q in asked], "query string, terms string")
+
+
+@query("fts6_expansion_fields", "SELECT p_partkey AS chunk_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z]+|[0-9]+')), lambda x: length(x) >= 2)), ' ') AS subtokens FROM part")
+def fts6(spark, d):
+    return postings.expanded(table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("name"))).select("chunk_id", F.array_join(F.array_sort(F.split("subtokens", " ")), " ").alias("subtokens"))
 
 
 @query("fts7_lines_with_text", "SELECT doc_id, count(*) AS hits, min(pos)::INTEGER AS first_line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents) WHERE contains(lower(line), 'license') GROUP BY 1")

@@ -50,10 +50,10 @@ def lkp2(spark, d):
     return store.find_symbols(symbols(spark, d), "a_e", 25).select("symbol_id", "name")
 
 
-@query("lkp3_signatures_by_name", f"WITH {SYMBOLS_SQL}, asked AS (SELECT DISTINCT lower(name) AS asked FROM symbols WHERE symbol_id % 5 = 0), hit AS (SELECT asked, symbol_id, row_number() OVER (PARTITION BY asked ORDER BY is_public DESC, length(fqn), fqn, symbol_id) AS rank FROM asked JOIN symbols ON lower(name) = asked OR lower(fqn) = asked) SELECT asked, symbol_id, CAST(rank AS INTEGER) AS rank FROM hit WHERE rank <= 3")
+@query("lkp3_signatures_by_name", f"WITH {SYMBOLS_SQL}, asked AS (SELECT DISTINCT lower(name) AS asked FROM symbols ), hit AS (SELECT asked, symbol_id, row_number() OVER (PARTITION BY asked ORDER BY is_public DESC, length(fqn), fqn, symbol_id) AS rank FROM asked JOIN symbols ON lower(name) = asked OR lower(fqn) = asked) SELECT asked, symbol_id, CAST(rank AS INTEGER) AS rank FROM hit WHERE rank <= 3")
 def lkp3(spark, d):
     s = symbols(spark, d)
-    return store.signatures_by_name(s, s.where("symbol_id % 5 = 0").select(F.col("name").alias("asked")), 3).select("asked", "symbol_id", "rank")
+    return store.signatures_by_name(s, s.select(F.col("name").alias("asked")), 3).select("asked", "symbol_id", "rank")
 
 
 @query("lkp4_members_of_type", f"WITH {SYMBOLS_SQL} SELECT symbol_id, containing_type FROM symbols WHERE containing_type = 'Shop.Brand#13' OR containing_type = 'Brand#13' OR containing_type LIKE '%.Brand#13'")

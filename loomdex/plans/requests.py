@@ -69,8 +69,7 @@ def ses4(spark, d):
 
 @query("oth4_secret_positions")
 def oth4(spark, d):
-    rules = {k: v for k, v in SECRETS.items() if k != "private-key"}
-    return emit.secret_positions(table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text"), rules)
+    return emit.secret_positions(table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text"), SECRETS)
 
 
 @query("oth4_hotspots", "SELECT doc_id AS path, n_chars AS tokens FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
@@ -84,9 +83,9 @@ def oth4c(spark, d):
     return emit.unlinked(table(spark, d, "part").select(F.col("p_partkey").alias("path")), li)
 
 
-@query("oth5_surface_survival", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents WHERE lang = 'en'), s AS (SELECT DISTINCT p_brand AS category, p_name AS name FROM part) SELECT category, round(avg(CASE WHEN name IN (SELECT name FROM w) THEN 1.0 ELSE 0 END), 6) AS survived FROM s GROUP BY 1")
+@query("oth5_surface_survival", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents), s AS (SELECT DISTINCT p_brand AS category, p_name AS name FROM part) SELECT category, round(avg(CASE WHEN name IN (SELECT name FROM w) THEN 1.0 ELSE 0 END), 6) AS survived FROM s GROUP BY 1")
 def oth5(spark, d):
-    found = emit.surface_survival(table(spark, d, "part").select(F.col("p_brand").alias("category"), F.col("p_name").alias("name")), table(spark, d, "documents").where("lang = 'en'"))
+    found = emit.surface_survival(table(spark, d, "part").select(F.col("p_brand").alias("category"), F.col("p_name").alias("name")), table(spark, d, "documents"))
     return found.withColumn("survived", F.round("survived", 6))
 
 

@@ -24,12 +24,12 @@ def query(name: str, sql: str | None = None):
 
 
 def plan_rows(spark, d):
-    """Documents as plan items: a plan per source and language, the characters as cost, good labels must stay."""
+    """Documents as plan items: a plan for each 200 ids, the characters as cost, good labels must stay."""
     t = table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("q")).distinct(), "doc_id", "left")
-    return t.select(F.concat("source", F.lit("-"), "lang").alias("plan"), F.col("doc_id").alias("path"), ((F.col("doc_id") * 37 % 101) / 100).alias("score"), F.col("n_chars").alias("cost"), (F.coalesce("q", F.lit(False)) & (F.col("doc_id") % 9 == 0)).alias("must_keep"))
+    return t.select(F.floor(F.col("doc_id") / 200).cast("string").alias("plan"), F.col("doc_id").alias("path"), ((F.col("doc_id") * 37 % 101) / 100).alias("score"), F.col("n_chars").alias("cost"), (F.coalesce("q", F.lit(False)) & (F.col("doc_id") % 9 == 0)).alias("must_keep"))
 
 
-PLAN_SQL = "p AS (SELECT source || '-' || lang AS plan, d.doc_id AS path, (d.doc_id * 37 % 101) / 100 AS score, n_chars AS cost, coalesce(l.q, false) AND d.doc_id % 9 = 0 AS must_keep FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, true AS q FROM labels WHERE quality = 1) l USING (doc_id))"
+PLAN_SQL = "p AS (SELECT (d.doc_id // 200)::VARCHAR AS plan, d.doc_id AS path, (d.doc_id * 37 % 101) / 100 AS score, n_chars AS cost, coalesce(l.q, false) AND d.doc_id % 9 = 0 AS must_keep FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, true AS q FROM labels WHERE quality = 1) l USING (doc_id))"
 
 
 @query("pck5_plan_packer", f"WITH RECURSIVE {PLAN_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY CASE WHEN must_keep THEN 0 ELSE 1 END, -score, path) AS n FROM p), f AS (SELECT plan, path, n, CASE WHEN must_keep OR cost <= 9000 THEN cost ELSE 0 END AS used, must_keep OR cost <= 9000 AS kept FROM o WHERE n = 1 UNION ALL SELECT o.plan, o.path, o.n, f.used + CASE WHEN must_keep OR f.used + cost <= 9000 THEN cost ELSE 0 END, must_keep OR f.used + cost <= 9000 FROM f JOIN o ON o.plan = f.plan AND o.n = f.n + 1) SELECT path, kept FROM f")
@@ -45,7 +45,7 @@ def pck6(spark, d):
 
 @query("pck7_emission_prefix", f"WITH {PLAN_SQL} SELECT path, n = 1 OR total <= 9000 AS kept FROM (SELECT path, row_number() OVER w AS n, sum(cost) OVER (PARTITION BY plan ORDER BY score DESC, path ROWS UNBOUNDED PRECEDING) AS total FROM p WINDOW w AS (PARTITION BY plan ORDER BY score DESC, path))")
 def pck7(spark, d):
-    return packing.emit_prefix(plan_rows(spark, d), 9000, [F.desc("score"), F.col("path")]).select("path", "kept")
+    return packing.emit_prefix(plan_rows(spark, d).withColumn("o", -F.col("score")), 9000, ["o", "path"]).select("path", "kept")
 
 
 @query("pck7_emission_parts", f"WITH RECURSIVE {PLAN_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY path) AS n FROM p), f AS (SELECT plan, path, n, cost AS used, 1 AS part FROM o WHERE n = 1 UNION ALL SELECT o.plan, o.path, o.n, CASE WHEN f.used > 0 AND f.used + cost > 9000 THEN cost ELSE f.used + cost END, f.part + CASE WHEN f.used > 0 AND f.used + cost > 9000 THEN 1 ELSE 0 END FROM f JOIN o ON o.plan = f.plan AND o.n = f.n + 1) SELECT path AS seq, part::INTEGER AS part FROM f")
@@ -61,7 +61,7 @@ def pck8(spark, d):
 @query("pck9_downgrade_tail", f"WITH {PLAN_SQL} SELECT path, CASE WHEN total > 9000 AND least(cost, 300) < cost THEN 300 ELSE cost END AS tokens FROM (SELECT *, sum(cost) OVER (PARTITION BY plan ORDER BY path ROWS UNBOUNDED PRECEDING) AS total FROM p)")
 def pck9(spark, d):
     rows = plan_rows(spark, d).select("plan", "path", F.col("cost").alias("tokens"), F.least("cost", F.lit(300)).alias("sketch_tokens"))
-    return packing.downgrade_tail(rows, 9000, [F.col("path")]).select("path", "tokens")
+    return packing.downgrade_tail(rows, 9000, ["path"]).select("path", "tokens")
 
 
 @query("pck12_contents_table", "SELECT source AS folder, count(*) AS files, sum(n_chars)::BIGINT AS tokens FROM documents GROUP BY 1")
@@ -79,9 +79,9 @@ def pck14(spark, d):
     return table(spark, d, "documents").select("doc_id", text.approximate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("pck16_review_bound", "SELECT DISTINCT doc_id::VARCHAR AS file_path, 'review' AS state FROM documents WHERE doc_id < 120")
+@query("pck16_review_bound", "WITH d AS (SELECT doc_id::VARCHAR AS file_path, count(*) OVER () AS n FROM documents) SELECT file_path, CASE WHEN n <= 150 THEN 'review' ELSE 'listed' END AS state FROM d QUALIFY n <= 150 OR row_number() OVER (ORDER BY file_path) <= 200")
 def pck16(spark, d):
-    return packing.review_bound(table(spark, d, "documents").where("doc_id < 120").select(F.col("doc_id").cast("string").alias("file_path")))
+    return packing.review_bound(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path")))
 
 
 @query("pck3_roles", "SELECT * FROM (VALUES ('tests', 'test', 'skeleton'), ('di_resolves_to', 'di-implementation', 'reduced'), ('options_binds', 'config', 'full'), ('x', 'dependency', 'skeleton')) v(via, role, tier)")
@@ -178,15 +178,15 @@ def dif4(spark, d):
     return delta.diagnostic_delta(li.where("l_linenumber <= 3"), li.where("l_linenumber >= 3"), ["l_partkey", "l_returnflag"])
 
 
-@query("dif5_freshness", "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS state FROM (SELECT doc_id, n_chars FROM documents WHERE doc_id < 150 AND doc_id % 10 <> 3) o FULL JOIN (SELECT doc_id, n_chars + doc_id % 2 AS n_chars FROM documents WHERE doc_id < 150 AND doc_id % 10 <> 4) n ON o.doc_id = n.doc_id WHERE o.n_chars IS DISTINCT FROM n.n_chars OR n.doc_id IS NULL")
+@query("dif5_freshness", "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN count(*) OVER () > 300 THEN 'stale' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS state FROM (SELECT doc_id, n_chars FROM documents WHERE doc_id % 10 <> 3) o FULL JOIN (SELECT doc_id, n_chars + doc_id % 2 AS n_chars FROM documents WHERE doc_id % 10 <> 4) n ON o.doc_id = n.doc_id WHERE o.n_chars IS DISTINCT FROM n.n_chars OR n.doc_id IS NULL")
 def dif5(spark, d):
-    t = table(spark, d, "documents").where("doc_id < 150").select("doc_id", "n_chars")
+    t = table(spark, d, "documents").select("doc_id", "n_chars")
     return delta.freshness(t.where("doc_id % 10 <> 3"), t.where("doc_id % 10 <> 4").withColumn("n_chars", F.col("n_chars") + F.col("doc_id") % 2), "doc_id", "n_chars")
 
 
-@query("dif6_nearest_names", "SELECT asked, name, distance, rank FROM (SELECT asked, name, levenshtein(lower(asked), lower(name))::INTEGER AS distance, row_number() OVER (PARTITION BY asked ORDER BY levenshtein(lower(asked), lower(name)), name)::INTEGER AS rank FROM (SELECT DISTINCT p_name AS name FROM part), (SELECT DISTINCT s_name || 'x' AS asked FROM supplier WHERE s_suppkey % 20 = 0)) WHERE rank <= 5")
+@query("dif6_nearest_names", "SELECT asked, name, distance, rank FROM (SELECT asked, name, levenshtein(lower(asked), lower(name))::INTEGER AS distance, row_number() OVER (PARTITION BY asked ORDER BY levenshtein(lower(asked), lower(name)), name)::INTEGER AS rank FROM (SELECT DISTINCT p_name AS name FROM part), (SELECT DISTINCT s_name || 'x' AS asked FROM supplier)) WHERE rank <= 5")
 def dif6(spark, d):
-    asked = table(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.concat("s_name", F.lit("x")).alias("asked"))
+    asked = table(spark, d, "supplier").select(F.concat("s_name", F.lit("x")).alias("asked"))
     return delta.nearest_names(asked, table(spark, d, "part").select(F.col("p_name").alias("name")))
 
 
@@ -234,12 +234,12 @@ def _ranking(spark, d):
     return t.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_chars"), "item")))
 
 
-_TRUTH = "truth AS (SELECT source AS query, doc_id AS item FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id % 5 = 0)"
+_TRUTH = "truth AS (SELECT source AS query, doc_id AS item FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"
 _RANKED = "ranking AS (SELECT source AS query, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)"
 
 
 def _truth(spark, d):
-    t = table(spark, d, "documents").where("doc_id % 5 = 0").join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi")
+    t = table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi")
     return t.select(F.col("source").alias("query"), F.col("doc_id").alias("item"))
 
 
@@ -257,7 +257,7 @@ def met2(spark, d):
 
 @query("met3_bootstrap_interval")
 def met3(spark, d):
-    return metrics.bootstrap_interval(table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), "quality", resamples=200)
+    return metrics.bootstrap_interval(table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), "quality")
 
 
 @query("met4_percentiles", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY 1")
