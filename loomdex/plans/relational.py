@@ -158,6 +158,6 @@ def int1(spark, d):
     return store.integrity(meta, symbols(spark, d), table(spark, d, "lineitem").select(F.col("l_partkey").alias("symbol_id")))
 
 
-@query("int2_inventory_digest")
+@query("int2_inventory_digest", f"WITH {FILES_SQL} SELECT sha256(string_agg(file_path || chr(0) || content_hash || chr(0), '' ORDER BY file_path)) AS digest FROM files")
 def int2(spark, d):
     return store.inventory_digest(files(spark, d))

@@ -324,10 +324,10 @@ def _density_sql(budget: str, name: str) -> str:
 _DENSE = f"{PLAN_SQL}, t AS (SELECT plan, path, score, cost, cost < 30 AS trivial, CASE WHEN cost < 30 THEN 0 ELSE cost + 30 END AS c FROM p), tb AS (SELECT plan, arg_min(path, (-score, path)) AS top FROM t WHERE NOT trivial GROUP BY 1), {{}} AS (SELECT t.plan, path, score, c, trivial OR path = top AS always FROM t JOIN tb ON tb.plan = t.plan)"
 
 
-@query("pck6_density_packed", f"WITH RECURSIVE {_DENSE.format('fb')}, {_density_sql('9000', 'f')} SELECT path, kept FROM f")
+@query("pck6_density_packer", f"WITH RECURSIVE {_DENSE.format('fb')}, {_density_sql('9000', 'f')} SELECT path, c AS cost, kept FROM f")
 def pck6(spark, d):
     rows = plan_rows(spark, d).select("plan", "path", "score", F.col("cost").alias("tokens"), (F.col("cost") < 30).alias("trivial"))
-    return packing.pack_density(rows, 9000).select("path", "kept")
+    return packing.pack_density(rows, 9000).select("path", "cost", "kept")
 
 
 @query("pck11_framed_packing", f"WITH RECURSIVE {_DENSE.format('fb')}, {_density_sql('9000', 'f')}, r AS (SELECT plan, 120 + 12 * sum(CASE WHEN kept THEN 1 ELSE 0 END) AS reserve FROM f GROUP BY 1), gb AS (SELECT fb.*, reserve FROM fb JOIN r ON r.plan = fb.plan), {_density_sql('(9000 - reserve)', 'g')} SELECT path, kept FROM g")
@@ -536,12 +536,6 @@ def str5(spark, d):
     return changes.cold_start(t, quick, full, t.where(F.col("id").cast("long") % 2 == 0).select("file_path"))
 
 
-@query("int2_inventory", "SELECT 1 AS digests, 64 AS chars")
-def int2(spark, d):
-    digest = store.inventory_digest(fixtures.files(spark, d))
-    return digest.agg(F.count(F.lit(1)).cast("int").alias("digests"), F.max(F.length("digest")).alias("chars"))
-
-
 @query("ext8_chunk_tokens", f"WITH {IDS} SELECT file_path, ((length('class C' || id || ' {{ }}') + 3) // 4)::BIGINT AS tokens FROM d".replace("{{", "{").replace("}}", "}"))
 def ext8(spark, d):
     return made(spark, d, "class C{}").select("file_path", token_estimate(F.concat("text", F.lit(" { }"))).alias("tokens"))

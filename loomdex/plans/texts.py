@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -37,12 +39,6 @@ def pck5(spark, d):
     return packing.pack_plan(plan_rows(spark, d), 9000).select("path", "kept")
 
 
-@query("pck6_density_packer")
-def pck6(spark, d):
-    rows = plan_rows(spark, d).select("plan", "path", "score", F.col("cost").alias("tokens"), (F.col("cost") < 30).alias("trivial"))
-    return packing.pack_density(rows, 9000).select("path", "cost", "kept")
-
-
 @query("pck7_emission_prefix", f"WITH {PLAN_SQL} SELECT path, n = 1 OR total <= 9000 AS kept FROM (SELECT path, row_number() OVER w AS n, sum(cost) OVER (PARTITION BY plan ORDER BY score DESC, path ROWS UNBOUNDED PRECEDING) AS total FROM p WINDOW w AS (PARTITION BY plan ORDER BY score DESC, path))")
 def pck7(spark, d):
     return packing.emit_prefix(plan_rows(spark, d).withColumn("o", -F.col("score")), 9000, ["o", "path"]).select("path", "kept")
@@ -117,7 +113,10 @@ def red15(spark, d):
     return table(spark, d, "documents").select("doc_id", text.is_trivial(F.col("text")).alias("trivial"))
 
 
-@query("ext6_comments")
+_PROSE = "trim(regexp_replace(regexp_replace(regexp_replace(c, '(?m)/\\*+|\\*+/|^\\s*\\*|///?|#', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("ext6_comments", f"SELECT page_id, length(array_to_string(list_filter(list_transform(regexp_extract_all(html, '/\\*(?s:.*?)\\*/|(?://[^\\n]*\\n?)+|(?:#[^\\n]*\\n?)+'), lambda c: {_PROSE}), lambda c: c <> ''), ' '))::INTEGER AS chars FROM pages")
 def ext6(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(text.comments(F.col("html"))).alias("chars"))
 
@@ -127,7 +126,19 @@ def ext8(spark, d):
     return table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("met5_title_buckets")
+_TITLE = "trim(string_split(coalesce(text, ''), chr(10))[1])"
+
+
+def _sql_pattern(pattern: str) -> str:
+    """The pattern with Unicode's word boundaries, which the checking engine does not have."""
+    edge = r"[^\p{L}\p{N}_]"
+    return re.sub(r"\\b", lambda m: f"(?:{edge}|$)", re.sub(r"\\b(?=[\[(A-Za-z])", lambda m: f"(?:^|{edge})", pattern))
+
+
+_BUCKETS = " ".join(f"WHEN regexp_matches(t, '{_sql_pattern(pattern)}') THEN '{name}'" for name, pattern in text.BUCKETS)
+
+
+@query("met5_title_buckets", f"SELECT CASE WHEN t = '' THEN 'no-signal' {_BUCKETS} ELSE 'natural-language' END AS bucket, count(*) AS titles FROM (SELECT {_TITLE} AS t FROM documents) GROUP BY 1")
 def met5(spark, d):
     return table(spark, d, "documents").groupBy(text.title_bucket(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("bucket")).agg(F.count(F.lit(1)).alias("titles"))
 
