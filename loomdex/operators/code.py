@@ -11,7 +11,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import csharp
+from ..functions.text import approximate_tokens, is_trivial
 from .delta import api_delta
+from .reduce import drop_blank_lines, redact, redaction_counts, reduce_files, trim_lines
+from .shared import numbered, saved
 
 #: Files of more tokens than this are shown as a sketch; members of a type that a sketch names.
 SKETCH_TOKENS, SKETCH_MEMBERS = 6000, 40
@@ -101,3 +104,39 @@ def direct_callers(symbols: DataFrame, files: DataFrame, changed: DataFrame) ->
     return names.join(types, "type").select("caller", "type")
 
 
+
+
+def reduction(files: DataFrame, options: csharp.Reduction = csharp.Reduction(), skeleton: str | None = None, redacted: bool = True) -> DataFrame:
+    """(file_path, content, tokens, secrets) of files (file_path, text), in the fixed order of steps: lines are trimmed, blank ones
+    dropped, the reducer of the extension applied, C# cut to a skeleton ("all" or "public"), secrets redacted, tokens counted.
+
+    Files with nothing of use left are dropped. Other extensions than those with a reducer lose only blank lines and line ends.
+    """
+    extension = F.regexp_extract(F.lower("file_path"), r"(\.[^./]+)$", 1)
+    plain = drop_blank_lines(trim_lines(F.coalesce("text", F.lit(""))))
+    held = files.select("file_path", plain.alias("text"), extension.alias("extension"))
+
+    def lexical(text: str) -> list[tuple]:
+        done = csharp.reduce_code(text, options)
+        return [(csharp.skeleton(done, skeleton == "public") if skeleton else done,)]
+
+    ours = per_file(held.where("extension = '.cs'"), "reduced string", lexical)
+    rest = reduce_files(held.where("extension <> '.cs'")).select("file_path", "reduced")
+    both = saved(ours.unionByName(rest), "reduced")  # read several times below
+    secrets = F.aggregate(F.map_values(redaction_counts(F.col("reduced"))), F.lit(0), lambda a, n: a + n) if redacted else F.lit(0)
+    content = redact(F.col("reduced")) if redacted else F.col("reduced")
+    out = both.select("file_path", content.alias("content"), approximate_tokens(content).alias("tokens"), secrets.alias("secrets"))
+    return out.where(~is_trivial(F.col("content")))
+
+
+def route_map(routes: DataFrame) -> DataFrame:
+    """(line_no, line) of a map of routes, in order of their lines in any case: verb, pattern, file."""
+    line = F.concat(F.rpad("verb", 7, " "), F.rpad("pattern", 40, " "), F.lit(" "), "file_path")
+    return numbered(routes.select(line.alias("line")).withColumn("low", F.lower("line")), [F.col("low"), F.col("line")], "line_no").select("line_no", "line")
+
+
+def project_graph(references: DataFrame) -> DataFrame:
+    """(line_no, line) of the references between projects (project, reference), by name without folder and extension."""
+    name = lambda c: F.regexp_replace(F.regexp_extract(c, r"([^/\\]+)$", 1), r"\.[^.]*$", "")
+    lines = references.select(F.concat(name("project"), F.lit(" -> "), name("reference")).alias("line")).distinct()
+    return numbered(lines.withColumn("low", F.lower("line")), [F.col("low"), F.col("line")], "line_no").select("line_no", "line")

@@ -50,6 +50,13 @@ def session_states(turns: DataFrame, keys: list[str], order: str, value: str) ->
     return turns.withColumn("b", before).withColumn("state", F.when(F.col("b").isNull(), "new").when(F.col("b.h") == F.md5(F.coalesce(F.col(value), F.lit(""))), "unchanged").otherwise("changed")).drop("b")
 
 
+def reconcile_session(state: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which of the items (session, path, hash) of a turn a session has already been given unchanged, and the state after the turn."""
+    unchanged = seen.join(state, ["session", "path", "hash"], "left_semi")
+    kept = state.join(seen.select("session", "path"), ["session", "path"], "left_anti")
+    return unchanged, kept.unionByName(seen.select(state.columns))
+
+
 def session_delta(turns: DataFrame, keys: list[str], order: str, value: str, retained: int = 64 * 1024) -> DataFrame:
     """Adds state against the row before of the same keys: new, unchanged (left out), diff where that row's text was retained, else whole.
 
@@ -141,6 +148,13 @@ def api_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select("fqn", "kind", (F.col("kind") != "added").alias("breaking")).orderBy(F.desc("breaking"), "fqn")
 
 
+def upgrade_delta(old: DataFrame | None, new: DataFrame | None) -> DataFrame | None:
+    """API delta of two versions of a package; None, no opinion, where either surface cannot be read or is empty."""
+    if old is None or new is None or not old.limit(1).count() or not new.limit(1).count():
+        return None
+    return api_delta(old, new)
+
+
 def diagnostic_delta(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Multiset differences both ways: introduced and fixed, with how often; lines are not among the keys."""
     count = lambda f, n: f.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))

@@ -87,11 +87,11 @@ def grade(scored: DataFrame) -> DataFrame:
 
 
 def select_candidates(scored: DataFrame, strict: bool = False, most: int = 10) -> DataFrame:
-    """The leading cluster if confident; else the best ``most``, or none if strict."""
+    """The leading cluster if confident; else the best ``most``, or none if strict and the signal is insufficient."""
     g = grade(scored)
     order = [F.desc("score"), F.col("file_path"), F.col("key")]
     sure = scored.crossJoin(F.broadcast(g)).where("grade = 'confident' AND score >= top - 0.15")
-    unsure = scored.crossJoin(F.broadcast(g)).where("grade <> 'confident'").orderBy(*order).limit(0 if strict else most)
+    unsure = scored.crossJoin(F.broadcast(g)).where("grade = 'partial'" if strict else "grade <> 'confident'").orderBy(*order).limit(most)
     return sure.select(*scored.columns).unionByName(unsure.select(*scored.columns))
 
 

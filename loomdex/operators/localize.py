@@ -50,7 +50,7 @@ def localize(chunks: DataFrame, files: DataFrame, request: Request, key: str = "
     paths = search.path_candidates(files, tokens, request.most).select("file_path", "score", F.lit("fts_path").alias("source"))
     both = lexical.unionByName(paths).select(F.lit(None).cast("string").alias("node_id"), "file_path", "score", "source", F.lit(0).alias("tokens"))
     fused = fusion.noisy_or(both)
-    chosen = fusion.select_candidates(fused, request.strict, request.most)
+    chosen = fusion.select_candidates(fused, request.strict)
     return chosen.crossJoin(F.broadcast(fusion.grade(fused).select("grade"))).select("key", "file_path", "score", F.array_join("sources", ",").alias("sources"), "grade").orderBy(F.desc("score"), "file_path").limit(request.most)
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import csharp
+from ..functions import bpe, csharp
 from ..functions.text import is_generated, is_test_path, token_estimate
 from ..operators import code, delta, emit, extract, fusion, graph, localize, packing, reduce, store
+from ..operators.cache import KeyValueTable
 from ..operators.shared import new_path, saved
-from ..sources import files, templates, version_control
+from ..sources import bundles, files, templates, version_control
 from ..streaming import changes
 from . import fixtures
 from .fixtures import EDGES_SQL, NODES_SQL, table
@@ -539,3 +540,101 @@ def str5(spark, d):
 @query("ext8_chunk_tokens", f"WITH {IDS} SELECT file_path, ((length('class C' || id || ' {{ }}') + 3) // 4)::BIGINT AS tokens FROM d".replace("{{", "{").replace("}}", "}"))
 def ext8(spark, d):
     return made(spark, d, "class C{}").select("file_path", token_estimate(F.concat("text", F.lit(" { }"))).alias("tokens"))
+
+
+@query("red1_pipeline", f"WITH {IDS} SELECT id, CASE id::BIGINT % 3 WHEN 0 THEN 'int x;' WHEN 1 THEN '{{{{\"a\":' || id || ',\"b\":1}}}}' ELSE 'plain' || chr(10) || 'text [redacted:assigned-secret]' END AS content, CASE WHEN id::BIGINT % 3 = 2 THEN 1 ELSE 0 END AS secrets FROM d WHERE id::BIGINT % 5 <> 4".replace("{{", "{").replace("}}", "}"))
+def red1_pipeline(spark, d):
+    """C#, JSON and plain files through all steps; a fifth of them are trivial and go."""
+    n = F.col("id").cast("long")
+    text = F.when(n % 5 == 4, F.lit("  \n\n")).when(n % 3 == 0, F.lit("  int x; // gone\n\n")).when(n % 3 == 1, F.concat(F.lit("\1\"a\": "), "id", F.lit(",\n \"b\": 1 \2"))).otherwise(F.lit("plain  \n\n  text password = abcdefgh12345678"))
+    path = F.concat(F.lit("f"), "id", F.when(n % 3 == 0, ".cs").when(n % 3 == 1, ".json").otherwise(".txt"))
+    rows = made(spark, d, "x").select("id", path.alias("file_path"), F.replace(F.replace(text, F.lit("\1"), F.lit("{")), F.lit("\2"), F.lit("}")).alias("text"))
+    done = code.reduction(rows)
+    return done.join(rows.select("id", "file_path"), "file_path").select("id", "content", "secrets")
+
+
+@query("red13_route_map", "SELECT row_number() OVER (ORDER BY lower(l), l) AS line_no, l AS line FROM (SELECT rpad(CASE WHEN n_regionkey % 2 = 0 THEN 'GET' ELSE 'POST' END, 7, ' ') || rpad('/n' || n_nationkey, 40, ' ') || ' a.cs' AS l FROM nation)")
+def red13(spark, d):
+    n = table(spark, d, "nation")
+    return code.route_map(n.select(F.when(F.col("n_regionkey") % 2 == 0, "GET").otherwise("POST").alias("verb"), F.concat(F.lit("/n"), "n_nationkey").alias("pattern"), F.lit("a.cs").alias("file_path")))
+
+
+@query("red13_project_graph", "SELECT row_number() OVER (ORDER BY lower(l), l) AS line_no, l AS line FROM (SELECT DISTINCT 'App' || n_nationkey || ' -> Lib' || n_regionkey AS l FROM nation)")
+def red13b(spark, d):
+    n = table(spark, d, "nation")
+    return code.project_graph(n.select(F.concat(F.lit("a/App"), "n_nationkey", F.lit(".csproj")).alias("project"), F.concat(F.lit("../l/Lib"), "n_regionkey", F.lit(".csproj")).alias("reference")))
+
+
+@query("ses2_reconciled_session", "SELECT 'unchanged' AS kind, n_nationkey AS path FROM nation WHERE n_regionkey = 1 AND n_nationkey % 2 = 0 UNION ALL SELECT 'state', n_nationkey FROM nation WHERE n_regionkey IN (1, 2)")
+def ses2(spark, d):
+    n = table(spark, d, "nation").select(F.lit("s").alias("session"), F.col("n_nationkey").alias("path"), "n_regionkey")
+    state = n.where("n_regionkey IN (1, 2)").select("session", "path", F.lit("h").alias("hash"))
+    seen = n.where("n_regionkey = 1").select("session", "path", F.when(F.col("path") % 2 == 0, "h").otherwise("new").alias("hash"))
+    unchanged, after = delta.reconcile_session(state, seen)
+    return unchanged.select(F.lit("unchanged").alias("kind"), "path").unionByName(after.select(F.lit("state").alias("kind"), "path"))
+
+
+@query("snk6_other_entries", "SELECT doc_id, '## ' || source || chr(10) || chr(10) || '```' || chr(10) || lang || chr(10) || '```' AS markdown, '# ' || source || chr(10) || lang AS compact, '{\"path\":\"' || source || '\",\"content\":\"' || lang || '\"}' AS json FROM documents")
+def snk6(spark, d):
+    t = table(spark, d, "documents")
+    return t.select("doc_id", *[emit.entry(F.col("source"), F.col("lang"), kind).alias(kind) for kind in ("markdown", "compact", "json")])
+
+
+@query("snk8_key_values", "SELECT 'k' || n_nationkey AS key, CASE WHEN n_nationkey % 4 = 0 THEN 'new' ELSE n_name END AS value FROM nation WHERE n_regionkey = 2")
+def snk8(spark, d):
+    n = table(spark, d, "nation").withColumn("key", F.concat(F.lit("k"), "n_nationkey"))
+    cache = KeyValueTable(spark)
+    cache.set(n.select("key", F.col("n_name").cast("binary").alias("value")))
+    cache.set(n.where("n_nationkey % 4 = 0").select("key", F.lit("new").cast("binary").alias("value")))
+    return cache.get(n.where("n_regionkey = 2")).select("key", F.col("value").cast("string").alias("value"))
+
+
+@query("src8_capture_bundle", "SELECT 'r' || n_regionkey AS \"to\", count(*) AS edges FROM nation GROUP BY 1")
+def src8(spark, d):
+    """A bundle written from the nations, read again."""
+    path = new_path(spark, "bundle")
+    n = table(spark, d, "nation")
+    node = F.struct(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit("nation").alias("kind"), F.col("n_name").alias("name"))
+    edge = F.struct(F.concat(F.lit("n"), "n_nationkey").alias("from"), F.concat(F.lit("r"), "n_regionkey").alias("to"), F.lit("in").alias("type"))
+    n.groupBy().agg(F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("edges")).write.json(f"{path}/graph")  # the 25 nations
+    spark.createDataFrame([(1, "net8")], "version int, target string").coalesce(1).write.json(f"{path}/manifest")
+    return bundles.read_bundle(spark, path)[1].groupBy("to").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query("oth11_merged_fragments", "SELECT n_regionkey AS entity, min(n_nationkey) AS first, count(*) AS targets FROM nation GROUP BY 1")
+def oth11(spark, d):
+    rows = table(spark, d, "nation").select(F.col("n_regionkey").alias("entity"), F.col("n_nationkey").alias("target"))
+    first, there = bundles.merge_fragments(rows, "entity", "target", [F.col("target")])
+    return first.withColumnRenamed("target", "first").join(there.groupBy("entity").agg(F.count(F.lit(1)).alias("targets")), "entity")
+
+
+@query("dif2_upgrade_delta", "SELECT 'N' || n_nationkey AS fqn, 'removed' AS kind, true AS breaking FROM nation WHERE n_regionkey = 3")
+def dif2(spark, d):
+    n = table(spark, d, "nation").select("n_regionkey", F.concat(F.lit("N"), "n_nationkey").alias("fqn"), F.lit("public").alias("access"), F.lit("s").alias("signature"))
+    assert delta.upgrade_delta(n, None) is None
+    return delta.upgrade_delta(n.drop("n_regionkey"), n.where("n_regionkey <> 3").drop("n_regionkey"))
+
+
+@query("src1_nested_repositories", "SELECT 'a/f' || n_nationkey AS path FROM nation WHERE n_regionkey <> 1")
+def src1b(spark, d):
+    n = table(spark, d, "nation").select(F.concat(F.when(F.col("n_regionkey") == 1, "a/sub/f").otherwise("a/f"), "n_nationkey").alias("path"))
+    return files.outside_nested(n.unionByName(spark.createDataFrame([(".git/HEAD",), ("a/sub/.git/HEAD",)], "path string")))
+
+
+@query("par5_ignore_files", "SELECT 'a/out/f' || n_nationkey || '.cs' AS path FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'b/f' || n_nationkey || '.tmp' FROM nation WHERE n_regionkey = 1")
+def par5b(spark, d):
+    """Ignore files of the root and of one folder; the folder's does not reach others."""
+    k = F.col("n_regionkey")
+    path = F.concat(F.when(k == 0, "a/out/f").when(k == 1, "b/f").when(k == 2, "b/out/f").otherwise("c/f"), "n_nationkey", F.when(k == 1, ".tmp").otherwise(".cs"))
+    ignores = spark.createDataFrame([("", "# temporary\n*.tmp\n"), ("a", "out/\n")], "folder string, text string")
+    return files.ignored_by(table(spark, d, "nation").select(path.alias("path")), ignores)
+
+
+#: A public vocabulary that comes with the machine; any other file of its kind will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("pck15_exact_tokens")
+def pck15(spark, d, vocabulary: str = VOCABULARY):
+    """Tokens by a vocabulary; the tests hold it against the tokenizer itself."""
+    return bpe.with_exact_tokens(table(spark, d, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "tokens")

@@ -66,3 +66,28 @@ def glob_pattern(glob: str) -> str:
 def ignore_globs(text: str) -> list[str]:
     """Globs of an ignore file: every line that is no comment; negation is not honoured."""
     return [line.strip() for line in text.splitlines() if line.strip() and not line.strip().startswith("#")]
+
+
+def outside_nested(files: DataFrame) -> DataFrame:
+    """Files (path, relative) that are not in a nested repository: under a folder, other than the root, that has a .git entry."""
+    roots = files.select(F.regexp_extract("path", r"^(.+)/\.git(?:/|$)", 1).alias("root")).where("root <> ''").distinct()
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    nested = files.select("path", F.explode(folders).alias("root")).join(roots, "root", "left_semi").select("path").distinct()
+    return files.join(nested, "path", "left_anti").where(~F.col("path").rlike(r"(^|/)\.git(/|$)"))
+
+
+def ignored_by(files: DataFrame, ignores: DataFrame) -> DataFrame:
+    """Paths that an ignore file (folder, text) at or above them leaves out, up to the root (folder '')."""
+    lines = ignores.select("folder", F.explode(F.split("text", "\r?\n")).alias("glob")).select("folder", F.trim("glob").alias("glob")).where("glob <> '' AND NOT glob LIKE '#%'").distinct()
+    parts = F.split("path", "/")
+    folders = F.concat(F.array(F.lit("")), F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i > 0), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+    under = files.select("path", F.explode(folders).alias("folder")).join(lines, "folder")
+    rest = F.when(F.col("folder") == "", F.col("path")).otherwise(F.expr("substring(path, length(folder) + 2)"))
+    # a glob as a pattern, as glob_pattern makes it, from signs that no path has
+    quoted = F.regexp_replace(F.regexp_replace("glob", "^/|/$", ""), r"[.+()\[\]{}^$|\\]", r"\\$0")
+    steps = (("**/", "\1"), ("**", "\2"), ("*", "[^/]*"), ("?", "[^/]"), ("\1", "(?:.*/)?"), ("\2", ".*"))
+    for a, b in steps:
+        quoted = F.replace(quoted, F.lit(a), F.lit(b))
+    pattern = F.concat(F.lit("(?:^|/)"), quoted, F.lit("(?:/.*)?$"))
+    return under.where(F.rlike(rest, pattern)).select("path").distinct()

@@ -10,6 +10,10 @@ from loomdex import plans
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries that SQL does not express; each is held against plain Python in test_brute.py, test_code.py or test_graph.py.
+PLAIN = set("grf1_expansion localize pck1_context_plan oth9_explained_plan rnk14_graph_discovery oth4_secret_positions red1_reduce_files ses3_unified_diffs str2_coalesced_changes met3_bootstrap_interval met6_stratified_sample fts5_stems pck15_exact_tokens".split())
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     connection = duckdb.connect()
@@ -36,7 +40,8 @@ def test_query(spark, duck, sf_dir, name):
     got = frame.collect()
     sql = plans.oracles().get(name)
     if sql is None:
-        assert frame.columns
+        assert name in PLAIN, f"{name} has neither SQL nor a test against plain Python"
+        assert got or name == "oth4_secret_positions"
         return
     want = duck.sql(sql)
     assert sorted(frame.columns) == sorted(want.columns)
