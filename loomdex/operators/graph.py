@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .packing import pack_plan
-from .shared import saved
+from .shared import bucketed, saved
 
 # Weights of edge types in expansion, and of any other type.
 EDGE_WEIGHTS = {
@@ -43,13 +43,13 @@ def central_files(edges: DataFrame, nodes: DataFrame, prefix: str = "", limit: i
 def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = PAGERANK_ROUNDS) -> DataFrame:
     """(node, rank) after exactly ``rounds`` rounds, divided by the largest; keys in any case.
 
-    Mass of nodes without links out is spread evenly. The links are written once; each round joins
-    them with the ranks and sums by target, combining in the input tasks.
+    Mass of nodes without links out is spread evenly. Links and nodes are written once, in buckets of
+    their nodes, so a round shuffles nothing but the sums by target, combined in the input tasks.
     """
-    links = saved(edges.select(F.lower("from").alias("from"), F.lower("to").alias("to")))
+    links = bucketed(edges.select(F.lower("from").alias("from"), F.lower("to").alias("to")), "from", "links")
     out = links.groupBy("from").agg(F.count(F.lit(1)).alias("out"))
     all_nodes = links.select(F.col("from").alias("node")).union(links.select("to")).distinct()
-    base = saved(all_nodes.join(out.withColumnRenamed("from", "node"), "node", "left"))
+    base = bucketed(all_nodes.join(out.withColumnRenamed("from", "node"), "node", "left"), "node", "nodes")
     n = base.count()
     ranks = base.select("node", "out", F.lit(1.0 / max(1, n)).alias("rank"))
     for i in range(rounds):
@@ -57,7 +57,7 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = PAGERANK_
         sent = links.join(ranks.where("out IS NOT NULL").select(F.col("node").alias("from"), (F.col("rank") / F.col("out")).alias("part")), "from").groupBy(F.col("to").alias("node")).agg(F.sum("part").alias("got"))
         ranks = base.join(sent, "node", "left").crossJoin(F.broadcast(dangling)).select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         if i % 4 == 3:
-            ranks = saved(ranks)
+            ranks = bucketed(ranks, "node", "ranks")
     most = ranks.agg(F.max("rank").alias("most"))
     return ranks.crossJoin(F.broadcast(most)).select("node", (F.col("rank") / F.col("most")).alias("rank"))
 
