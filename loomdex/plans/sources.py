@@ -180,6 +180,13 @@ def fil(spark, d):
     return t.where(files.keep(F.col("path"), extensions=[".cs"], excluded_dirs=["bin"], text=F.col("text"))).select("id")
 
 
+@query("fil_test_projects", f"WITH {IDS} SELECT id, id::BIGINT % 3 = 2 AS no_tests, id::BIGINT % 3 <> 0 AS no_unit_tests FROM d")
+def fil_tests(spark, d):
+    n = F.col("id").cast("long")
+    path = F.concat(F.when(n % 3 == 0, "My.UnitTests/f").when(n % 3 == 1, "My.Benchmarks/f").otherwise("My.Core/f"), "id", F.lit(".cs"))
+    return made(spark, d, "x").select("id", files.keep(path, without_tests=True).alias("no_tests"), files.keep(path, without_unit_tests=True).alias("no_unit_tests"))
+
+
 @query("par5_ignore_globs", f"WITH {IDS} SELECT id, id::BIGINT % 3 = 0 OR id::BIGINT % 3 = 1 AS ignored FROM d")
 def par5(spark, d):
     globs = files.ignore_globs("# build output\nout/**\n\n*.tmp\n")

@@ -36,10 +36,29 @@ def inventory(files: DataFrame, most_bytes: int = MOST_BYTES) -> tuple[DataFrame
     return kept, files.where(F.col("size") > most_bytes).select("path", F.lit("too large").alias("reason"))
 
 
-def keep(path: Column, *, extensions: list[str] = (), excluded_dirs: list[str] = (), excluded_names: list[str] = (), globs: list[str] = (), most_kb: int = 0, size: Column | None = None, text: Column | None = None) -> Column:
-    """All given filters at once: extension, folder, name, glob, size, binary (a NUL in 8,000 characters), empty, generated."""
+# Ends of folder names of test projects, and of unit test projects.
+TEST_PROJECTS = (
+    "UnitTests Tests IntegrationTests Specs Test Testing FunctionalTests AcceptanceTests EndToEndTests E2ETests TestProject TestSuite TestLib TestData TestFramework TestUtils TestUtilities "
+    "TestHelper TestHelpers TestCommon TestShared TestSupport Benchmark Benchmarks Performance PerformanceTests LoadTests StressTests"
+).split()
+UNIT_TEST_PROJECTS = (
+    "UnitTests UnitTest Tests Test Testing TestProject TestSuite TestLib TestData TestFramework TestUtils TestUtilities TestHelper TestHelpers TestCommon TestShared TestSupport"
+).split()
+
+
+def in_project(path: Column, ends: list[str]) -> Column:
+    """Whether a part of the path ends, in any case, with one of the names."""
+    return F.lower(path).rlike("(" + "|".join(re.escape(e.lower()) for e in ends) + ")(/|$)")
+
+
+def keep(path: Column, *, extensions: list[str] = (), excluded_dirs: list[str] = (), excluded_names: list[str] = (), globs: list[str] = (), most_kb: int = 0, size: Column | None = None, text: Column | None = None, without_tests: bool = False, without_unit_tests: bool = False) -> Column:
+    """All given filters at once: extension, folder, name, glob, size, binary (a NUL in 8,000 characters), empty, generated, projects of tests."""
     low = F.lower(path)
     out = F.lit(True)
+    if without_tests:
+        out = out & ~in_project(path, TEST_PROJECTS)
+    if without_unit_tests:
+        out = out & ~in_project(path, UNIT_TEST_PROJECTS)
     if extensions and "*.*" not in extensions:
         out = out & low.rlike("(" + "|".join(re.escape(e.lower()) for e in extensions) + ")$")
     for name in excluded_dirs:
