@@ -193,6 +193,46 @@ def nearest_names(asked: DataFrame, names: DataFrame, most: int = 5) -> DataFram
     return out
 
 
+#: Candidates of a repair.
+REPAIRS = 5
+TYPE_KINDS = ("class", "interface", "struct", "record", "enum", "type", "delegate")
+
+
+def repairs(diagnostics: DataFrame, symbols: DataFrame, most: int = REPAIRS) -> DataFrame:
+    """(seq, code, candidate, rank): what the index offers for compiler errors (seq, code, message).
+
+    A missing member gets the nearest members of its type, an unknown type the nearest types that hold its
+    first three letters, a missing argument the callee's signatures, a wrong type the members of the source
+    type whose signature names the target. ``symbols``: kind, name, containing_type, fqn, signature, is_public.
+    """
+    quoted = F.regexp_extract_all("message", F.lit("'([^']*)'"), F.lit(1))
+    asked = diagnostics.select("seq", "code", F.get(quoted, F.lit(0)).alias("first"), F.get(quoted, F.lit(1)).alias("second")).where("first IS NOT NULL")
+    simple = lambda c: F.substring_index(F.substring_index(c, "(", 1), ".", -1)
+    ranked = lambda rows, order: rows.withColumn("rank", F.row_number().over(Window.partitionBy("seq").orderBy(*order))).where(F.col("rank") <= most)
+    near = lambda c: [F.levenshtein(F.lower("candidate"), F.lower(c)), F.col("candidate")]
+
+    def of_type(rows: DataFrame) -> DataFrame:
+        """Joined with the members of the type that their first name stands for, by full or simple name."""
+        members = symbols.where("containing_type IS NOT NULL").select(simple("containing_type").alias("owner"), "containing_type", F.col("name").alias("candidate"), "signature")
+        met = rows.withColumn("owner", simple("first")).join(members, "owner")
+        return met.where((F.col("containing_type") == F.col("first")) | (F.col("containing_type") == F.col("owner")) | F.endswith("containing_type", F.concat(F.lit("."), "owner")))
+
+    missing = of_type(asked.where("code IN ('CS1061', 'CS0117') AND second IS NOT NULL")).select("seq", "code", "second", "candidate").distinct()
+    types = symbols.where(F.col("kind").isin(list(TYPE_KINDS))).select(F.col("name").alias("candidate")).distinct()
+    # names are met by their pieces of up to three letters
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("candidate") - n + 1)), lambda i: F.substring(F.lower("candidate"), i, n))))
+    unknown = asked.where("code = 'CS0246'").withColumn("piece", F.lower(F.substring("first", 1, 3))).join(types.select("candidate", F.explode(F.array_distinct(pieces)).alias("piece")), "piece")
+    callee = asked.where("code = 'CS7036' AND second IS NOT NULL").withColumn("low", F.lower(simple("second")))
+    signatures = symbols.where("trim(signature) <> ''").select(F.lower("name").alias("low"), "fqn", "is_public", F.col("signature").alias("candidate"))
+    overloads = callee.join(signatures, "low").groupBy("seq", "code", "candidate").agg(F.min(F.struct((~F.col("is_public")).alias("a"), F.length("fqn").alias("b"), F.col("fqn").alias("c"))).alias("o"))
+    wrong = of_type(asked.where("code = 'CS0029' AND second IS NOT NULL")).where(F.contains("signature", simple("second"))).select("seq", "code", "candidate").distinct()
+    parts = [ranked(missing, near("second")), ranked(unknown, near("first")), ranked(overloads, [F.col("o"), F.col("candidate")]), ranked(wrong, [F.col("candidate")])]
+    out = parts[0].select("seq", "code", "candidate", "rank")
+    for part in parts[1:]:
+        out = out.unionByName(part.select("seq", "code", "candidate", "rank"))
+    return out
+
+
 def race(candidates: DataFrame, by: str, clean: str) -> DataFrame:
     """Per race: the winner if one candidate is clean among others that are not, a tie if more are, else none."""
     n = F.sum(F.col(clean).cast("long"))

@@ -48,10 +48,20 @@ def snk6(spark, d):
     return table(spark, d, "documents").select("doc_id", emit.entry(F.col("source"), F.col("text"), "xml").alias("entry"))
 
 
-@query("snk7_emit", "SELECT source AS part, count(*) AS entries, sum(length('# ' || doc_id || chr(10) || lang))::BIGINT + count(*) - 1 AS chars FROM documents GROUP BY 1")
+@query("snk7_emit", "SELECT source AS part, count(*) AS entries, md5(string_agg('# ' || doc_id || chr(10) || lang, chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
 def snk7(spark, d):
     rows = table(spark, d, "documents").select(F.col("source").alias("part"), F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("body"))
-    return emit.emit(rows, "compact").select("part", "entries", F.length("text").cast("long").alias("chars"))
+    return emit.emit(rows, "compact").select("part", "entries", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_ENTRY = "CASE WHEN doc_id % 3 = 0 THEN '[unchanged] a&' || doc_id ELSE '<file path=\"a&amp;' || doc_id || '\">' || chr(10) || lang || chr(10) || '</file>' END"
+
+
+@query("snk7_emit_xml", f"SELECT source AS part, count(*) AS entries, md5(string_agg({_ENTRY}, chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+def snk7_xml(spark, d):
+    """Files that the session has already are a line; paths are escaped in attributes."""
+    rows = table(spark, d, "documents").select(F.col("source").alias("part"), F.col("doc_id").alias("seq"), F.concat(F.lit("a&"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("body"))
+    return emit.emit(rows, "xml", F.col("seq") % 3 == 0).select("part", "entries", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("man1_manifest", f"WITH {PLAN_SQL} SELECT CASE WHEN must_keep THEN 'exact-seed' ELSE 'dependency' END AS role, CASE WHEN must_keep THEN 'reduced' ELSE 'skeleton' END AS tier, count(*) AS files, sum(CASE WHEN cost < 900 THEN 1 ELSE 0 END)::BIGINT AS kept, sum(cost)::BIGINT AS tokens FROM p GROUP BY 1, 2")

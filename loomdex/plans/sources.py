@@ -432,6 +432,24 @@ def dif3(spark, d):
     return code.changed_file_delta(before.withColumn("text", F.concat(F.lit("public class C"), "id", F.lit(" {}"))), after)
 
 
+@query("dif6_repairs", """WITH s AS (SELECT 'M' || n_nationkey AS name, 'T' || n_regionkey AS owner, 'int M' || n_nationkey || '(Kind' || n_nationkey % 2 || ' k)' AS signature FROM nation), t AS (SELECT 'T' || r_regionkey || 'able' AS name FROM region),
+q AS (SELECT n_nationkey AS seq, n_nationkey % 4 AS c, 'T' || n_regionkey AS owner, 'M' || n_nationkey || 'x' AS asked FROM nation),
+r AS (SELECT seq, 'CS1061' AS code, s.name AS candidate, row_number() OVER (PARTITION BY seq ORDER BY levenshtein(lower(s.name), lower(asked)), s.name) AS rank FROM q JOIN s USING (owner) WHERE c = 0
+UNION ALL SELECT seq, 'CS0246', t.name, row_number() OVER (PARTITION BY seq ORDER BY levenshtein(lower(t.name), lower(q.owner || 'abl')), t.name) FROM q JOIN t ON contains(lower(t.name), lower(q.owner || 'a')) WHERE c = 1
+UNION ALL SELECT seq, 'CS7036', s.signature, 1 FROM q JOIN s ON s.name || 'x' = q.asked WHERE c = 2
+UNION ALL SELECT seq, 'CS0029', s.name, row_number() OVER (PARTITION BY seq ORDER BY s.name) FROM q JOIN s USING (owner) WHERE c = 3 AND contains(s.signature, 'Kind1'))
+SELECT seq, code, candidate, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
+def dif6_repairs(spark, d):
+    n = table(spark, d, "nation")
+    k, owner = F.col("n_nationkey"), F.concat(F.lit("T"), "n_regionkey")
+    members = n.select(F.lit("method").alias("kind"), F.concat(F.lit("M"), k).alias("name"), F.concat(F.lit("Shop."), owner).alias("containing_type"), F.concat(F.lit("Shop."), owner, F.lit(".M"), k).alias("fqn"), F.concat(F.lit("int M"), k, F.lit("(Kind"), k % 2, F.lit(" k)")).alias("signature"), F.lit(True).alias("is_public"))
+    types = table(spark, d, "region").select(F.lit("class").alias("kind"), F.concat(F.lit("T"), "r_regionkey", F.lit("able")).alias("name"), F.lit(None).cast("string").alias("containing_type"), F.lit("x").alias("fqn"), F.lit("class").alias("signature"), F.lit(True).alias("is_public"))
+    text = F.when(k % 4 == 0, F.concat(F.lit("'"), owner, F.lit("' does not contain a definition for 'M"), k, F.lit("x'"))).when(k % 4 == 1, F.concat(F.lit("The type or namespace name '"), owner, F.lit("abl' could not be found")))
+    text = text.when(k % 4 == 2, F.concat(F.lit("There is no argument for the parameter 'k' of 'Shop."), owner, F.lit(".M"), k, F.lit("(Kind0)'"))).otherwise(F.concat(F.lit("Cannot convert type 'Shop."), owner, F.lit("' to 'Shop.Kind1'")))
+    code_of = F.element_at(F.array(*[F.lit(c) for c in ("CS1061", "CS0246", "CS7036", "CS0029")]), (k % 4 + 1).cast("int"))
+    return delta.repairs(n.select(k.alias("seq"), code_of.alias("code"), text.alias("message")), members.unionByName(types))
+
+
 @query("dif7_review_text", "WITH r AS (SELECT '1 files' AS section, 'f' || n_nationkey || ' +1 -' || n_regionkey AS line FROM nation UNION ALL SELECT '2 api', 'breaking removed: N' || n_nationkey FROM nation WHERE n_regionkey = 0 UNION ALL SELECT '3 callers', 'a.cs uses N' || n_nationkey FROM nation WHERE n_regionkey = 1) SELECT * FROM r")
 def dif7(spark, d):
     n = table(spark, d, "nation")
