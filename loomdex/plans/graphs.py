@@ -28,7 +28,11 @@ def grf7(spark, d):
     return graph.normalised_degree(edges(spark, d)).withColumn("centrality", F.round("centrality", 6))
 
 
-@query("grf6_central_files", f"WITH {EDGES_SQL}, {NODES_SQL}, {_DEGREE} SELECT file_path, max(degree) AS degree FROM nodes JOIN deg USING (node) WHERE file_path LIKE 'n%' GROUP BY 1 ORDER BY degree DESC, file_path LIMIT 12")
+@query(
+    "grf6_central_files",
+    f"WITH {EDGES_SQL}, {NODES_SQL}, {_DEGREE} SELECT file_path, max(degree) AS degree FROM nodes JOIN deg USING (node) "
+    f"WHERE file_path LIKE 'n%' GROUP BY 1 ORDER BY degree DESC, file_path LIMIT 12",
+)
 def grf6(spark, d):
     return graph.central_files(edges(spark, d), nodes(spark, d), "N", 12)
 
@@ -66,7 +70,15 @@ def grf2(spark, d):
     return spark.createDataFrame([("implements",), ("di_injects",), ("hosted_service",)], "type string").withColumn("weight", graph.edge_weight(F.col("type")))
 
 
-@query("grf3_neighbourhood", f"WITH {EDGES_SQL}, {NODES_SQL}, own AS (SELECT node FROM nodes WHERE file_path = 'r1'), x AS (SELECT t AS node, '-> ' || type AS reason, 0 AS ord FROM edges WHERE f IN (SELECT node FROM own) UNION ALL SELECT f, '<- ' || type, 1 FROM edges WHERE t IN (SELECT node FROM own)), y AS (SELECT file_path, reason, ord FROM x JOIN nodes USING (node) UNION ALL SELECT file_path, 'same folder', 2 FROM nodes WHERE regexp_replace(file_path, '/?[^/]*$', '') = '') SELECT file_path, arg_min(reason, (ord, reason)) AS reason, min(ord)::INTEGER AS \"order\" FROM y WHERE file_path <> 'r1' GROUP BY 1")
+@query(
+    "grf3_neighbourhood",
+    f"WITH {EDGES_SQL}, {NODES_SQL}, own AS (SELECT node FROM nodes WHERE file_path = 'r1'), "
+    f"x AS (SELECT t AS node, '-> ' || type AS reason, 0 AS ord FROM edges WHERE f IN (SELECT node FROM own) "
+    f"UNION ALL SELECT f, '<- ' || type, 1 FROM edges WHERE t IN (SELECT node FROM own)), y AS (SELECT file_path, reason, ord FROM x "
+    f"JOIN nodes USING (node) UNION ALL SELECT file_path, 'same folder', 2 FROM nodes "
+    f"WHERE regexp_replace(file_path, '/?[^/]*$', '') = '') SELECT file_path, arg_min(reason, (ord, reason)) AS reason, min(ord)::INTEGER AS \"order\" "
+    f"FROM y WHERE file_path <> 'r1' GROUP BY 1",
+)
 def grf3(spark, d):
     return graph.neighbourhood(edges(spark, d), nodes(spark, d), "r1")
 
@@ -86,26 +98,50 @@ def grf5(spark, d):
     return graph.resolve(edges(spark, d), "implements", "n7")
 
 
-@query("grf15_cochanges", "WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), k AS (SELECT l_orderkey FROM x GROUP BY 1 HAVING count(*) <= 40), s AS (SELECT x.* FROM x JOIN k USING (l_orderkey)), c AS (SELECT l_partkey, count(*) AS c FROM s GROUP BY 1), p AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS n FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, n AS \"count\", round(log2(n * (SELECT count(*) FROM k) / (ca.c * cb.c)), 6) AS pmi, round(n / (ca.c + cb.c - n), 6) AS jaccard FROM p JOIN c ca ON ca.l_partkey = a JOIN c cb ON cb.l_partkey = b")
+@query(
+    "grf15_cochanges",
+    "WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), k AS (SELECT l_orderkey FROM x GROUP BY 1 "
+    "HAVING count(*) <= 40), s AS (SELECT x.* FROM x JOIN k USING (l_orderkey)), c AS (SELECT l_partkey, count(*) AS c FROM s "
+    "GROUP BY 1), p AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS n FROM s a "
+    "JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 "
+    "HAVING count(*) >= 2) SELECT a, b, n AS \"count\", round(log2(n * (SELECT count(*) FROM k) / (ca.c * cb.c)), "
+    "6) AS pmi, round(n / (ca.c + cb.c - n), 6) AS jaccard FROM p JOIN c ca ON ca.l_partkey = a JOIN c cb ON cb.l_partkey = b",
+)
 def grf15(spark, d):
     changes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path"), F.col("l_shipdate").alias("date"))
     return graph.cochanges(changes).select("a", "b", "count", F.round("pmi", 6).alias("pmi"), F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("grf12_proximity_edges", "WITH s AS (SELECT p_partkey::VARCHAR AS file_path, p_brand || '/' || p_type AS st FROM part), g AS (SELECT lower(string_split(st, '/')[-1]) || p.file_path[1:2] AS stem, file_path FROM s p), n AS (SELECT stem FROM g GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4) SELECT a.file_path || '/' || a.stem || '.cs' AS a, b.file_path || '/' || b.stem || '.cs' AS b FROM g a JOIN g b USING (stem) JOIN n USING (stem) WHERE a.file_path || '/' || a.stem || '.cs' < b.file_path || '/' || b.stem || '.cs'")
+@query(
+    "grf12_proximity_edges",
+    "WITH s AS (SELECT p_partkey::VARCHAR AS file_path, p_brand || '/' || p_type AS st FROM part), "
+    "g AS (SELECT lower(string_split(st, '/')[-1]) || p.file_path[1:2] AS stem, file_path FROM s p), n AS (SELECT stem FROM g "
+    "GROUP BY 1 "
+    "HAVING count(*) BETWEEN 2 AND 4) SELECT a.file_path || '/' || a.stem || '.cs' AS a, b.file_path || '/' || b.stem || '.cs' AS b "
+    "FROM g a JOIN g b USING (stem) JOIN n USING (stem) "
+    "WHERE a.file_path || '/' || a.stem || '.cs' < b.file_path || '/' || b.stem || '.cs'",
+)
 def grf12(spark, d):
     p = table(spark, d, "part")
     key = F.col("p_partkey").cast("string")
     return graph.proximity_edges(p.select(F.concat(key, F.lit("/"), F.lower("p_type"), F.substring(key, 1, 2), F.lit(".cs")).alias("file_path")))
 
 
-@query("grf13_owning_project", f"WITH {FILES_SQL} SELECT file_path, string_split(file_path, '/')[1] AS project_dir FROM files WHERE language = 'fr' AND string_split(file_path, '/')[1] <> 'src2'")
+@query(
+    "grf13_owning_project",
+    f"WITH {FILES_SQL} SELECT file_path, string_split(file_path, '/')[1] AS project_dir FROM files "
+    f"WHERE language = 'fr' AND string_split(file_path, '/')[1] <> 'src2'",
+)
 def grf13(spark, d):
     projects = table(spark, d, "documents").where("source <> 'src2'").select(F.col("source").alias("project_dir")).distinct()
     return graph.owning_project(files(spark, d).where("language = 'fr'"), projects)
 
 
-@query("grf9_reference_edges", "SELECT DISTINCT u.l_orderkey AS a, s.p AS b FROM lineitem u JOIN (SELECT l_orderkey AS p, l_partkey FROM lineitem WHERE l_linenumber = 1) s ON u.l_partkey = s.l_partkey WHERE u.l_orderkey <> s.p AND u.l_linenumber = 2")
+@query(
+    "grf9_reference_edges",
+    "SELECT DISTINCT u.l_orderkey AS a, s.p AS b FROM lineitem u JOIN (SELECT l_orderkey AS p, l_partkey FROM lineitem "
+    "WHERE l_linenumber = 1) s ON u.l_partkey = s.l_partkey WHERE u.l_orderkey <> s.p AND u.l_linenumber = 2",
+)
 def grf9(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_path"), F.col("l_partkey").alias("type"), "l_linenumber")
     return graph.reference_edges(li.where("l_linenumber = 2"), li.where("l_linenumber = 1"))
@@ -116,14 +152,23 @@ def grf11(spark, d):
     return graph.seed_cascade(files(spark, d), files(spark, d).select("file_path", F.col("language").alias("type")), "SRC7/")
 
 
-@query("oth1_grouped_links", f"WITH {EDGES_SQL}, {NODES_SQL} SELECT a.file_path AS from_file, b.file_path AS to_file, count(*) AS links, min(type) AS type FROM edges JOIN nodes a ON a.node = f JOIN nodes b ON b.node = t WHERE a.file_path <> b.file_path GROUP BY 1, 2")
+@query(
+    "oth1_grouped_links",
+    f"WITH {EDGES_SQL}, {NODES_SQL} SELECT a.file_path AS from_file, b.file_path AS to_file, count(*) AS links, min(type) AS type "
+    f"FROM edges JOIN nodes a ON a.node = f JOIN nodes b ON b.node = t WHERE a.file_path <> b.file_path GROUP BY 1, 2",
+)
 def oth1(spark, d):
     from ..operators.store import file_dependencies
 
     return graph.grouped_links(file_dependencies(edges(spark, d), nodes(spark, d)))
 
 
-@query("oth2_directory_rollup", f"WITH {FILES_SQL} SELECT string_split(a.file_path, '/')[1] AS from_dir, string_split(b.file_path, '/')[1] AS to_dir, count(*) AS links FROM files a JOIN files b ON b.file_id = a.file_id + 1 WHERE string_split(a.file_path, '/')[1] <> string_split(b.file_path, '/')[1] GROUP BY 1, 2")
+@query(
+    "oth2_directory_rollup",
+    f"WITH {FILES_SQL} SELECT string_split(a.file_path, '/')[1] AS from_dir, string_split(b.file_path, '/')[1] AS to_dir, count(*) AS links "
+    f"FROM files a JOIN files b ON b.file_id = a.file_id + 1 "
+    f"WHERE string_split(a.file_path, '/')[1] <> string_split(b.file_path, '/')[1] GROUP BY 1, 2",
+)
 def oth2(spark, d):
     f = files(spark, d)
     links = f.select((F.col("file_id") + 1).alias("file_id"), F.col("file_path").alias("from_file")).join(f.select("file_id", F.col("file_path").alias("to_file")), "file_id")

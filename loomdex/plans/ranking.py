@@ -62,22 +62,44 @@ def hits(spark, d, limit=60):
     return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")) - 1).join(docs(spark, d).select("chunk_id", "name", "file_path"), "chunk_id")
 
 
-@query("rnk3_lexical_candidates", f"WITH {BM25_SQL}, f AS (SELECT file_path, min(rank) AS first, max(CASE WHEN contains(lower(name), 'src3') OR contains(lower(name), 'thing') THEN 1 ELSE 0 END) AS named FROM hits WHERE rank < 60 GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY first, file_path) - 1 AS place, count(*) OVER () AS n FROM f) SELECT file_path, place, round(CASE WHEN named = 1 THEN 0.75 ELSE 0.55 END * (1 - CASE WHEN n > 1 THEN place / (n - 1) ELSE 0 END * 0.65), 6) AS score FROM p")
+@query(
+    "rnk3_lexical_candidates",
+    f"WITH {BM25_SQL}, f AS (SELECT file_path, min(rank) AS first, max(CASE WHEN contains(lower(name), 'src3') OR contains(lower(name), "
+    f"'thing') THEN 1 ELSE 0 END) AS named FROM hits WHERE rank < 60 GROUP BY 1), "
+    f"p AS (SELECT *, row_number() OVER (ORDER BY first, file_path) - 1 AS place, count(*) OVER () AS n "
+    f"FROM f) SELECT file_path, place, round(CASE WHEN named = 1 THEN 0.75 ELSE 0.55 END * (1 - CASE WHEN n > 1 THEN place / (n - 1) ELSE 0 END * 0.65), "
+    f"6) AS score FROM p",
+)
 def rnk3(spark, d):
     return search.lexical_candidates(hits(spark, d), ["src3", "thing"]).select("file_path", "place", F.round("score", 6).alias("score"))
 
 
-@query("rnk4_feedback_terms", f"WITH {BM25_SQL}, h AS (SELECT * FROM hits WHERE rank < 60), f AS (SELECT file_path FROM h GROUP BY 1 ORDER BY min(rank), file_path LIMIT 5) SELECT lower(name) AS term, count(*) AS n FROM h WHERE file_path IN (SELECT file_path FROM f) AND lower(name) <> 'thing' GROUP BY 1 ORDER BY n DESC, term LIMIT 6")
+@query(
+    "rnk4_feedback_terms",
+    f"WITH {BM25_SQL}, h AS (SELECT * FROM hits WHERE rank < 60), f AS (SELECT file_path FROM h GROUP BY 1 ORDER BY min(rank), "
+    f"file_path LIMIT 5) SELECT lower(name) AS term, count(*) AS n FROM h WHERE file_path IN (SELECT file_path "
+    f"FROM f) AND lower(name) <> 'thing' GROUP BY 1 ORDER BY n DESC, term LIMIT 6",
+)
 def rnk4(spark, d):
     return search.feedback_terms(hits(spark, d), ["thing"])
 
 
-@query("rnk5_path_candidates", f"WITH {FILES_SQL}, a AS (SELECT file_path, 0 AS token FROM files WHERE file_path ILIKE '%src1%' ORDER BY length(file_path), file_path LIMIT 20), b AS (SELECT file_path, 1 AS token FROM files WHERE file_path ILIKE '%.fr%' ORDER BY length(file_path), file_path LIMIT 20) SELECT file_path, min(token)::INTEGER AS token, 0.7::DOUBLE AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1")
+@query(
+    "rnk5_path_candidates",
+    f"WITH {FILES_SQL}, a AS (SELECT file_path, 0 AS token FROM files WHERE file_path ILIKE '%src1%' ORDER BY length(file_path), "
+    f"file_path LIMIT 20), b AS (SELECT file_path, 1 AS token FROM files WHERE file_path ILIKE '%.fr%' ORDER BY length(file_path), "
+    f"file_path LIMIT 20) SELECT file_path, min(token)::INTEGER AS token, 0.7::DOUBLE AS score FROM (SELECT * FROM a UNION ALL SELECT * "
+    f"FROM b) GROUP BY 1",
+)
 def rnk5(spark, d):
     return search.path_candidates(files(spark, d), ["src1", "is", ".fr"], 20)
 
 
-@query("fts4_identifier_parts", "SELECT page_id, list_aggregate(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(url, '[^A-Za-z0-9]', ' ', 'g'), '[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x)), lambda x: length(x) >= 2)), 'count') AS parts FROM pages")
+@query(
+    "fts4_identifier_parts",
+    "SELECT page_id, list_aggregate(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(url, '[^A-Za-z0-9]', ' ', 'g'), "
+    "'[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x)), lambda x: length(x) >= 2)), 'count') AS parts FROM pages",
+)
 def fts4(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(text.identifier_parts(F.col("url"))).cast("long").alias("parts"))
 
@@ -101,7 +123,12 @@ def fts1_stored(spark, d):
     return postings.search(spark, index, "", WEIGHTS, None, TERMS).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("snk2_replaced_postings", f"WITH c AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN source || ' ' || lang ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7) SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_words('text')}) AS term FROM c) GROUP BY 1, 2")
+@query(
+    "snk2_replaced_postings",
+    f"WITH c AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN source || ' ' || lang ELSE text END AS text FROM documents "
+    f"WHERE doc_id % 10 <> 7) SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_words('text')}) AS term "
+    f"FROM c) GROUP BY 1, 2",
+)
 def snk2(spark, d):
     """An index of all documents in which a tenth have another text afterwards and a tenth are gone."""
     t = docs(spark, d)
@@ -110,23 +137,40 @@ def snk2(spark, d):
     return postings.replace(index, changed, ["body"], t.where("chunk_id % 10 = 7")).postings(spark).select("chunk_id", "term", "tf")
 
 
-@query("fts2_match_terms", "SELECT * FROM (VALUES ('OrderService', 'orderservice|order|service|servic'), ('get_user_id', 'get user id|get|user|id'), ('parse2Cats', 'parse2cats|parse|cats|pars|cat')) v(query, terms)")
+@query(
+    "fts2_match_terms",
+    "SELECT * FROM (VALUES ('OrderService', 'orderservice|order|service|servic'), ('get_user_id', 'get user id|get|user|id'), "
+    "('parse2Cats', 'parse2cats|parse|cats|pars|cat')) v(query, terms)",
+)
 def fts2(spark, d):
     asked = ["OrderService", "get_user_id", "parse2Cats"]
     return spark.createDataFrame([(q, "|".join(" ".join(p) for p in text.match_terms(q))) for q in asked], "query string, terms string")
 
 
-@query("fts6_expansion_fields", "SELECT p_partkey AS chunk_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z]+|[0-9]+')), lambda x: length(x) >= 2)), ' ') AS subtokens FROM part")
+@query(
+    "fts6_expansion_fields",
+    "SELECT p_partkey AS chunk_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand), "
+    "'[a-z]+|[0-9]+')), lambda x: length(x) >= 2)), ' ') AS subtokens FROM part",
+)
 def fts6(spark, d):
     return postings.expanded(table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("name"))).select("chunk_id", F.array_join(F.array_sort(F.split("subtokens", " ")), " ").alias("subtokens"))
 
 
-@query("fts7_lines_with_text", "SELECT doc_id, count(*) AS hits, min(pos)::INTEGER AS first_line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents) WHERE contains(lower(line), 'license') GROUP BY 1")
+@query(
+    "fts7_lines_with_text",
+    "SELECT doc_id, count(*) AS hits, min(pos)::INTEGER AS first_line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), "
+    "chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents) "
+    "WHERE contains(lower(line), 'license') GROUP BY 1",
+)
 def fts7(spark, d):
     return search.lines_with(table(spark, d, "documents"), "LICENSE", key="doc_id")
 
 
-@query("rnk1_low_signal", "SELECT doc_id, (t = '' OR regexp_matches(t, '(?i)^(merge([^\\p{L}\\p{N}_]|$)|apply suggestions from code review)') OR regexp_matches(t, '(?i)^(bump|upgrade)([^\\p{L}\\p{N}_]|$)|\\bdependabot\\b|\\bfrom\\s+v?\\d[\\w.\\-]*\\s+to\\s+v?\\d[\\w.\\-]*') OR regexp_matches(t, '(?i)^(ci|build|chore)(\\(|:|[^\\p{L}\\p{N}_]|$)')) AS low FROM (SELECT doc_id, trim(string_split(coalesce(text, ''), chr(10))[1]) AS t FROM documents)")
+@query(
+    "rnk1_low_signal",
+    "SELECT doc_id, (t = '' OR regexp_matches(t, '(?i)^(merge([^\\p{L}\\p{N}_]|$)|apply suggestions from code review)') OR regexp_matches(t, '(?i)^(bump|upgrade)([^\\p{L}\\p{N}_]|$)|\\bdependabot\\b|\\bfrom\\s+v?\\d[\\w.\\-]*\\s+to\\s+v?\\d[\\w.\\-]*') OR regexp_matches(t, '(?i)^(ci|build|chore)(\\(|:|[^\\p{L}\\p{N}_]|$)')) AS low "
+    "FROM (SELECT doc_id, trim(string_split(coalesce(text, ''), chr(10))[1]) AS t FROM documents)",
+)
 def rnk1(spark, d):
     return table(spark, d, "documents").select("doc_id", text.low_signal(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("low"))
 
@@ -162,7 +206,13 @@ def rnk8(spark, d):
     return fused(spark, d).withColumn("score", F.round("score", 8)).withColumn("sources", F.array_join("sources", ","))
 
 
-@query("rnk9_centrality_prior", f"WITH {CANDIDATES_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_path, key) AS rank FROM fused), cen AS (SELECT file_path, count(*) * 1.0 / max(count(*)) OVER () AS c FROM fused GROUP BY 1) SELECT key, round(CASE WHEN rank <= 30 THEN least(1, score * (1 + 0.1 * c)) ELSE score END, 8) AS score FROM r JOIN cen USING (file_path)")
+@query(
+    "rnk9_centrality_prior",
+    f"WITH {CANDIDATES_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_path, key) AS rank FROM fused), "
+    f"cen AS (SELECT file_path, count(*) * 1.0 / max(count(*)) OVER () AS c FROM fused "
+    f"GROUP BY 1) SELECT key, round(CASE WHEN rank <= 30 THEN least(1, score * (1 + 0.1 * c)) ELSE score END, 8) AS score FROM r "
+    f"JOIN cen USING (file_path)",
+)
 def rnk9(spark, d):
     f = fused(spark, d)
     n = f.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
@@ -170,23 +220,48 @@ def rnk9(spark, d):
     return fusion.centrality_prior(f, c).select("key", F.round("score", 8).alias("score"))
 
 
-@query("rnk10_cochange_prior", f"WITH {CANDIDATES_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_path, key) AS rank FROM fused), pairs AS (SELECT DISTINCT source || '/en' AS a, source || '/fr' AS b, 0.5 AS j FROM documents), both_ AS (SELECT a, b, j FROM pairs UNION ALL SELECT b, a, j FROM pairs), best AS (SELECT c.key, max(j) AS j FROM r s JOIN both_ ON both_.a = s.file_path JOIN r c ON c.file_path = both_.b WHERE s.rank <= 8 AND c.rank <= 30 AND s.score > c.score GROUP BY 1) SELECT r.key, round(CASE WHEN rank <= 30 THEN least(1, score * (1 + 0.15 * coalesce(best.j, 0))) ELSE score END, 8) AS score FROM r LEFT JOIN best USING (key)")
+@query(
+    "rnk10_cochange_prior",
+    f"WITH {CANDIDATES_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_path, key) AS rank FROM fused), "
+    f"pairs AS (SELECT DISTINCT source || '/en' AS a, source || '/fr' AS b, 0.5 AS j FROM documents), both_ AS (SELECT a, b, j "
+    f"FROM pairs UNION ALL SELECT b, a, j FROM pairs), best AS (SELECT c.key, max(j) AS j FROM r s JOIN both_ ON both_.a = s.file_path "
+    f"JOIN r c ON c.file_path = both_.b WHERE s.rank <= 8 AND c.rank <= 30 AND s.score > c.score "
+    f"GROUP BY 1) SELECT r.key, round(CASE WHEN rank <= 30 THEN least(1, score * (1 + 0.15 * coalesce(best.j, 0))) ELSE score END, 8) AS score "
+    f"FROM r LEFT JOIN best USING (key)",
+)
 def rnk10(spark, d):
     pairs = table(spark, d, "documents").select(F.concat("source", F.lit("/en")).alias("a"), F.concat("source", F.lit("/fr")).alias("b"), F.lit(0.5).alias("jaccard")).distinct()
     return fusion.cochange_prior(fused(spark, d), pairs).select("key", F.round("score", 8).alias("score"))
 
 
-@query("rnk11_grade", f"WITH {CANDIDATES_SQL}, t2 AS (SELECT max(score) AS top, count(*) AS candidates FROM fused), l AS (SELECT sum(CASE WHEN score >= top - 0.15 THEN 1 ELSE 0 END)::BIGINT AS cluster FROM fused, t2) SELECT candidates, round(top, 6) AS top, cluster, CASE WHEN candidates = 0 OR top < 0.2 THEN 'insufficient' WHEN top < 0.55 THEN 'partial' WHEN candidates = 1 THEN 'confident' WHEN cluster <= 3 AND cluster < candidates THEN 'confident' ELSE 'partial' END AS grade FROM t2, l")
+@query(
+    "rnk11_grade",
+    f"WITH {CANDIDATES_SQL}, t2 AS (SELECT max(score) AS top, count(*) AS candidates FROM fused), "
+    f"l AS (SELECT sum(CASE WHEN score >= top - 0.15 THEN 1 ELSE 0 END)::BIGINT AS cluster "
+    f"FROM fused, t2) SELECT candidates, round(top, 6) AS top, cluster, CASE WHEN candidates = 0 OR top < 0.2 THEN 'insufficient' WHEN top < 0.55 THEN 'partial' WHEN candidates = 1 THEN 'confident' WHEN cluster <= 3 AND cluster < candidates THEN 'confident' ELSE 'partial' END AS grade "
+    f"FROM t2, l",
+)
 def rnk11(spark, d):
     return fusion.grade(fused(spark, d)).withColumn("top", F.round("top", 6))
 
 
-@query("rnk12_selection", f"WITH {CANDIDATES_SQL}, t2 AS (SELECT max(score) AS top, count(*) AS n FROM fused), r AS (SELECT key, score, top, n, sum(CASE WHEN score >= top - 0.15 THEN 1 ELSE 0 END) OVER () AS cluster, row_number() OVER (ORDER BY score DESC, file_path, key) AS rank FROM fused, t2) SELECT key, round(score, 6) AS score FROM r WHERE CASE WHEN top >= 0.55 AND cluster <= 3 AND cluster < n THEN score >= top - 0.15 ELSE rank <= 10 END")
+@query(
+    "rnk12_selection",
+    f"WITH {CANDIDATES_SQL}, t2 AS (SELECT max(score) AS top, count(*) AS n FROM fused), "
+    f"r AS (SELECT key, score, top, n, sum(CASE WHEN score >= top - 0.15 THEN 1 ELSE 0 END) OVER () AS cluster, row_number() OVER (ORDER BY score DESC, file_path, key) AS rank "
+    f"FROM fused, t2) SELECT key, round(score, 6) AS score FROM r "
+    f"WHERE CASE WHEN top >= 0.55 AND cluster <= 3 AND cluster < n THEN score >= top - 0.15 ELSE rank <= 10 END",
+)
 def rnk12(spark, d):
     return fusion.select_candidates(fused(spark, d)).select("key", F.round("score", 6).alias("score"))
 
 
-@query("rnk13_content_dedup", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY CASE WHEN doc_id % 11 = 0 THEN doc_id::VARCHAR ELSE md5(text) END ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1")
+@query(
+    "rnk13_content_dedup",
+    "SELECT doc_id "
+    "FROM (SELECT doc_id, row_number() OVER (PARTITION BY CASE WHEN doc_id % 11 = 0 THEN doc_id::VARCHAR ELSE md5(text) END "
+    "ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1",
+)
 def rnk13(spark, d):
     t = table(spark, d, "documents").select("doc_id", "n_chars", "text")
     return fusion.content_dedup(t.select("doc_id", "n_chars"), t.where("doc_id % 11 <> 0").select("doc_id", F.md5("text").alias("content_hash")), [F.desc("n_chars"), F.col("doc_id")], "doc_id").select("doc_id")

@@ -20,7 +20,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("snk1_upsert", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part UNION ALL SELECT p_partkey + 1000000000, p_size + 1 FROM part WHERE p_partkey % 3 = 0")
+@query(
+    "snk1_upsert",
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part "
+    "UNION ALL SELECT p_partkey + 1000000000, p_size + 1 FROM part WHERE p_partkey % 3 = 0",
+)
 def snk1(spark, d):
     old = table(spark, d, "part").select("p_partkey", "p_size")
     new = old.where("p_partkey % 3 = 0").select("p_partkey", (F.col("p_size") + 1).alias("p_size"))
@@ -39,24 +43,43 @@ def snk3(spark, d):
     return store.cascade_delete({"chunks": (chunks, "file_path")}, f.where("language = 'de'"), "file_path")["chunks"].select("doc_id", "quality")
 
 
-@query("lkp1_list_symbols", f"WITH {SYMBOLS_SQL} SELECT symbol_id, name, is_public FROM symbols WHERE file_path IN ('f7', 'f8', 'f20') ORDER BY is_public DESC, lower(name), symbol_id LIMIT 50")
+@query(
+    "lkp1_list_symbols",
+    f"WITH {SYMBOLS_SQL} SELECT symbol_id, name, is_public FROM symbols WHERE file_path IN ('f7', 'f8', 'f20') "
+    f"ORDER BY is_public DESC, lower(name), symbol_id LIMIT 50",
+)
 def lkp1(spark, d):
     known = spark.createDataFrame([("f7",), ("f8",), ("f20",)], "file_path string")
     return store.list_symbols(symbols(spark, d), known, 50).select("symbol_id", "name", "is_public")
 
 
-@query("lkp2_find_symbols", f"WITH {SYMBOLS_SQL} SELECT symbol_id, name FROM symbols WHERE name ILIKE '%a_e%' ORDER BY is_public DESC, length(name), lower(name), symbol_id LIMIT 25")
+@query(
+    "lkp2_find_symbols",
+    f"WITH {SYMBOLS_SQL} SELECT symbol_id, name FROM symbols WHERE name ILIKE '%a_e%' ORDER BY is_public DESC, length(name), "
+    f"lower(name), symbol_id LIMIT 25",
+)
 def lkp2(spark, d):
     return store.find_symbols(symbols(spark, d), "a_e", 25).select("symbol_id", "name")
 
 
-@query("lkp3_signatures_by_name", f"WITH {SYMBOLS_SQL}, asked AS (SELECT DISTINCT lower(name) AS asked FROM symbols ), hit AS (SELECT asked, symbol_id, row_number() OVER (PARTITION BY asked ORDER BY is_public DESC, length(fqn), fqn, symbol_id) AS rank FROM asked JOIN symbols ON lower(name) = asked OR lower(fqn) = asked) SELECT asked, symbol_id, CAST(rank AS INTEGER) AS rank FROM hit WHERE rank <= 3")
+@query(
+    "lkp3_signatures_by_name",
+    f"WITH {SYMBOLS_SQL}, asked AS (SELECT DISTINCT lower(name) AS asked FROM symbols ), "
+    f"hit AS (SELECT asked, symbol_id, row_number() OVER (PARTITION BY asked ORDER BY is_public DESC, length(fqn), "
+    f"fqn, symbol_id) AS rank FROM asked "
+    f"JOIN symbols ON lower(name) = asked OR lower(fqn) = asked) SELECT asked, symbol_id, CAST(rank AS INTEGER) AS rank FROM hit "
+    f"WHERE rank <= 3",
+)
 def lkp3(spark, d):
     s = symbols(spark, d)
     return store.signatures_by_name(s, s.select(F.col("name").alias("asked")), 3).select("asked", "symbol_id", "rank")
 
 
-@query("lkp4_members_of_type", f"WITH {SYMBOLS_SQL} SELECT symbol_id, containing_type FROM symbols WHERE containing_type = 'Shop.Brand#13' OR containing_type = 'Brand#13' OR containing_type LIKE '%.Brand#13'")
+@query(
+    "lkp4_members_of_type",
+    f"WITH {SYMBOLS_SQL} SELECT symbol_id, containing_type FROM symbols "
+    f"WHERE containing_type = 'Shop.Brand#13' OR containing_type = 'Brand#13' OR containing_type LIKE '%.Brand#13'",
+)
 def lkp4(spark, d):
     return store.members_of(symbols(spark, d), "Shop.Brand#13").select("symbol_id", "containing_type")
 
@@ -73,7 +96,11 @@ def lkp8(spark, d):
     return nodes(spark, d).where("file_path = 'n3'")
 
 
-@query("lkp9_edges_with_evidence", f"WITH {FILES_SQL} SELECT l_orderkey, l_linenumber, f.file_path AS evidence_path FROM lineitem LEFT JOIN files f ON l_partkey = f.file_id")
+@query(
+    "lkp9_edges_with_evidence",
+    f"WITH {FILES_SQL} SELECT l_orderkey, l_linenumber, f.file_path AS evidence_path FROM lineitem LEFT "
+    f"JOIN files f ON l_partkey = f.file_id",
+)
 def lkp9(spark, d):
     e = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("evidence_file_id"))
     return store.edges_with_evidence(e, files(spark, d)).select("l_orderkey", "l_linenumber", "evidence_path")
@@ -84,7 +111,11 @@ def lkp10(spark, d):
     return store.files_with(files(spark, d), "C1/", 30).select("file_id", "file_path")
 
 
-@query("agg2_tokens_per_file", f"WITH {FILES_SQL} SELECT f.file_path, coalesce(sum(length(c.text)), 0)::BIGINT AS tokens, count(c.text) AS chunks FROM files f LEFT JOIN conversations c ON c.conv_id = f.file_id GROUP BY 1")
+@query(
+    "agg2_tokens_per_file",
+    f"WITH {FILES_SQL} SELECT f.file_path, coalesce(sum(length(c.text)), 0)::BIGINT AS tokens, count(c.text) AS chunks FROM files f "
+    f"LEFT JOIN conversations c ON c.conv_id = f.file_id GROUP BY 1",
+)
 def agg2(spark, d):
     f = files(spark, d)
     chunks = table(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("file_id"), F.length("text").alias("tokens")).join(f.select("file_id", "file_path"), "file_id")
@@ -106,13 +137,22 @@ def agg4(spark, d):
     return store.table_counts({"files": table(spark, d, "documents"), "symbols": table(spark, d, "part")})
 
 
-@query("agg5_sessions", "SELECT session, max(changed) AS changed, count(DISTINCT kind) AS kinds FROM (SELECT user_id AS session, ts AS changed, 'a' AS kind FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, ts, 'b' FROM events WHERE event_id % 2 = 1) GROUP BY 1")
+@query(
+    "agg5_sessions",
+    "SELECT session, max(changed) AS changed, count(DISTINCT kind) AS kinds "
+    "FROM (SELECT user_id AS session, ts AS changed, 'a' AS kind FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, ts, 'b' "
+    "FROM events WHERE event_id % 2 = 1) GROUP BY 1",
+)
 def agg5(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("user_id").alias("session"), F.col("ts").alias("changed"))
     return store.sessions({"a": e.where("event_id % 2 = 0"), "b": e.where("event_id % 2 = 1")})
 
 
-@query("join1_file_dependencies", f"WITH {NODES_SQL}, {EDGES_SQL} SELECT a.file_path AS from_file, b.file_path AS to_file, type FROM edges JOIN nodes a ON a.node = f JOIN nodes b ON b.node = t WHERE a.file_path <> b.file_path")
+@query(
+    "join1_file_dependencies",
+    f"WITH {NODES_SQL}, {EDGES_SQL} SELECT a.file_path AS from_file, b.file_path AS to_file, type FROM edges JOIN nodes a ON a.node = f "
+    f"JOIN nodes b ON b.node = t WHERE a.file_path <> b.file_path",
+)
 def join1(spark, d):
     return store.file_dependencies(edges(spark, d), nodes(spark, d))
 
@@ -127,7 +167,11 @@ def join3(spark, d):
     return files(spark, d).where("language = 'es'").select("file_path").orderBy("file_path")
 
 
-@query("join4_pairs_touching_seeds", "SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey IN (SELECT doc_id FROM labels) OR l_partkey IN (SELECT doc_id FROM labels)")
+@query(
+    "join4_pairs_touching_seeds",
+    "SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey IN (SELECT doc_id "
+    "FROM labels) OR l_partkey IN (SELECT doc_id FROM labels)",
+)
 def join4(spark, d):
     pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"))
     return store.touching(pairs, table(spark, d, "labels").select(F.col("doc_id").alias("path")))
@@ -138,21 +182,36 @@ def join5(spark, d):
     return store.prune(table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "documents").where("lang <> 'en'"), "doc_id")
 
 
-@query("set1_manifest_difference", "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'missing' WHEN o.doc_id IS NULL THEN 'extra' ELSE 'changed' END AS state, o.n_chars AS was, n.n_chars AS now FROM (SELECT doc_id, n_chars FROM documents WHERE doc_id % 10 <> 3) o FULL JOIN (SELECT doc_id, n_chars + CASE WHEN doc_id % 10 = 5 THEN 1 ELSE 0 END AS n_chars FROM documents WHERE doc_id % 10 <> 4) n ON o.doc_id = n.doc_id WHERE n.doc_id IS NULL OR o.doc_id IS NULL OR o.n_chars IS DISTINCT FROM n.n_chars")
+@query(
+    "set1_manifest_difference",
+    "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'missing' WHEN o.doc_id IS NULL THEN 'extra' ELSE 'changed' END AS state, o.n_chars AS was, n.n_chars AS now "
+    "FROM (SELECT doc_id, n_chars FROM documents WHERE doc_id % 10 <> 3) o FULL "
+    "JOIN (SELECT doc_id, n_chars + CASE WHEN doc_id % 10 = 5 THEN 1 ELSE 0 END AS n_chars FROM documents "
+    "WHERE doc_id % 10 <> 4) n ON o.doc_id = n.doc_id WHERE n.doc_id IS NULL OR o.doc_id IS NULL OR o.n_chars IS DISTINCT "
+    "FROM n.n_chars",
+)
 def set1(spark, d):
     f = table(spark, d, "documents").select("doc_id", "n_chars")
     new = f.where("doc_id % 10 <> 4").withColumn("n_chars", F.col("n_chars") + (F.col("doc_id") % 10 == 5).cast("int"))
     return store.manifest_difference(f.where("doc_id % 10 <> 3"), new, "doc_id", "n_chars")
 
 
-@query("union5_canonical_union", "SELECT o_custkey, arg_min(o_orderkey, k) AS o_orderkey, count(DISTINCT o_orderpriority) AS targets FROM (SELECT *, o_orderpriority || lpad(o_orderkey::VARCHAR, 12, '0') AS k FROM orders) GROUP BY 1")
+@query(
+    "union5_canonical_union",
+    "SELECT o_custkey, arg_min(o_orderkey, k) AS o_orderkey, count(DISTINCT o_orderpriority) AS targets "
+    "FROM (SELECT *, o_orderpriority || lpad(o_orderkey::VARCHAR, 12, '0') AS k FROM orders) GROUP BY 1",
+)
 def union5(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
     first, available = store.canonical_union(o, "o_custkey", "o_orderpriority", [F.col("o_orderpriority"), F.col("o_orderkey")])
     return first.select("o_custkey", "o_orderkey").join(available.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("targets")), "o_custkey")
 
 
-@query("int1_integrity", "SELECT 'schema_version is set' AS \"check\", true AS ok, 1 AS detail UNION ALL SELECT 'mode is set', false, 0 UNION ALL SELECT 'symbols have chunks', count(*) = 0, count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query(
+    "int1_integrity",
+    "SELECT 'schema_version is set' AS \"check\", true AS ok, 1 AS detail UNION ALL SELECT 'mode is set', false, 0 "
+    "UNION ALL SELECT 'symbols have chunks', count(*) = 0, count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)",
+)
 def int1(spark, d):
     meta = spark.createDataFrame([("schema_version", "1")], "key string, value string")
     return store.integrity(meta, symbols(spark, d), table(spark, d, "lineitem").select(F.col("l_partkey").alias("symbol_id")))

@@ -48,7 +48,11 @@ def snk6(spark, d):
     return table(spark, d, "documents").select("doc_id", emit.entry(F.col("source"), F.col("text"), "xml").alias("entry"))
 
 
-@query("snk7_emit", "SELECT source AS part, count(*) AS entries, md5(string_agg('# ' || doc_id || chr(10) || lang, chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@query(
+    "snk7_emit",
+    "SELECT source AS part, count(*) AS entries, md5(string_agg('# ' || doc_id || chr(10) || lang, chr(10) ORDER BY doc_id)) AS digest "
+    "FROM documents GROUP BY 1",
+)
 def snk7(spark, d):
     rows = table(spark, d, "documents").select(F.col("source").alias("part"), F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("body"))
     return emit.emit(rows, "compact").select("part", "entries", F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -64,7 +68,11 @@ def snk7_xml(spark, d):
     return emit.emit(rows, "xml", F.col("seq") % 3 == 0).select("part", "entries", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("man1_manifest", f"WITH {PLAN_SQL} SELECT CASE WHEN must_keep THEN 'exact-seed' ELSE 'dependency' END AS role, CASE WHEN must_keep THEN 'reduced' ELSE 'skeleton' END AS tier, count(*) AS files, sum(CASE WHEN cost < 900 THEN 1 ELSE 0 END)::BIGINT AS kept, sum(cost)::BIGINT AS tokens FROM p GROUP BY 1, 2")
+@query(
+    "man1_manifest",
+    f"WITH {PLAN_SQL} SELECT CASE WHEN must_keep THEN 'exact-seed' ELSE 'dependency' END AS role, CASE WHEN must_keep THEN 'reduced' ELSE 'skeleton' END AS tier, count(*) AS files, sum(CASE WHEN cost < 900 THEN 1 ELSE 0 END)::BIGINT AS kept, sum(cost)::BIGINT AS tokens "
+    f"FROM p GROUP BY 1, 2",
+)
 def man1(spark, d):
     rows = plan_rows(spark, d).withColumn("role", F.when(F.col("must_keep"), "exact-seed").otherwise("dependency")).withColumn("tier", F.when(F.col("must_keep"), "reduced").otherwise("skeleton")).withColumn("kept", F.col("cost") < 900)
     return emit.manifest(rows)
@@ -93,7 +101,12 @@ def oth4c(spark, d):
     return emit.unlinked(table(spark, d, "part").select(F.col("p_partkey").alias("path")), li)
 
 
-@query("oth5_surface_survival", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents), s AS (SELECT DISTINCT p_brand AS category, p_name AS name FROM part) SELECT category, round(avg(CASE WHEN name IN (SELECT name FROM w) THEN 1.0 ELSE 0 END), 6) AS survived FROM s GROUP BY 1")
+@query(
+    "oth5_surface_survival",
+    "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents), "
+    "s AS (SELECT DISTINCT p_brand AS category, p_name AS name FROM part) SELECT category, round(avg(CASE WHEN name IN (SELECT name "
+    "FROM w) THEN 1.0 ELSE 0 END), 6) AS survived FROM s GROUP BY 1",
+)
 def oth5(spark, d):
     found = emit.surface_survival(table(spark, d, "part").select(F.col("p_brand").alias("category"), F.col("p_name").alias("name")), table(spark, d, "documents"))
     return found.withColumn("survived", F.round("survived", 6))
@@ -104,13 +117,22 @@ def oth6(spark, d):
     return emit.remedies(table(spark, d, "events").select("event_id", F.col("event_type").alias("message")), [("first", "a"), ("second", "c")]).select("event_id", "remedy")
 
 
-@query("oth7_solutions", "SELECT path FROM (SELECT path, row_number() OVER (PARTITION BY string_split(path, '/')[2] ORDER BY tier, path) AS n FROM (SELECT source || '/' || lang || '.sln' AS path, min(doc_id) % 3 AS tier FROM documents GROUP BY 1)) WHERE n = 1")
+@query(
+    "oth7_solutions",
+    "SELECT path FROM (SELECT path, row_number() OVER (PARTITION BY string_split(path, '/')[2] ORDER BY tier, path) AS n "
+    "FROM (SELECT source || '/' || lang || '.sln' AS path, min(doc_id) % 3 AS tier FROM documents GROUP BY 1)) WHERE n = 1",
+)
 def oth7(spark, d):
     t = table(spark, d, "documents").groupBy(F.concat("source", F.lit("/"), "lang", F.lit(".sln")).alias("path")).agg((F.min("doc_id") % 3).alias("tier"))
     return emit.choose_solutions(t).select("path")
 
 
-@query("oth8_load_tiers", "SELECT o_custkey, CASE WHEN loaded = 0 THEN 'syntax' WHEN loaded < n OR bad > 0 THEN 'graph-grade' ELSE 'oracle-grade' END AS tier FROM (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus <> 'O' THEN 1 ELSE 0 END) AS loaded, sum(CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END) AS bad FROM orders GROUP BY 1)")
+@query(
+    "oth8_load_tiers",
+    "SELECT o_custkey, CASE WHEN loaded = 0 THEN 'syntax' WHEN loaded < n OR bad > 0 THEN 'graph-grade' ELSE 'oracle-grade' END AS tier "
+    "FROM (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus <> 'O' THEN 1 ELSE 0 END) AS loaded, sum(CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END) AS bad "
+    "FROM orders GROUP BY 1)",
+)
 def oth8(spark, d):
     n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("o_orderstatus") != "O").cast("int")).alias("loaded"), F.sum((F.col("o_totalprice") > 300000).cast("int")).alias("bad"))
     return n.select("o_custkey", emit.load_tier(F.col("n"), F.col("loaded"), F.col("bad")).alias("tier"))

@@ -50,19 +50,32 @@ def ext1(spark, d):
     return code.csharp_symbols(made(spark, d, PROGRAM)).select("file_path", "kind", "name", "access", "start_line", "end_line")
 
 
-@query("ext1_chunks", f"WITH {IDS} SELECT 'chunk:' || file_path || ':' || kind || ':Shop.' || CASE WHEN own THEN base || id WHEN kind = 'enum-member' THEN 'E' || id || '.' || base ELSE 'C' || id || '.' || base END || ':' || start_line AS chunk_id, file_path, CASE kind WHEN 'method' THEN (length('public int Get(int a)') + 3) // 4 WHEN 'field' THEN (length('private int _x = 1;') + 3) // 4 END AS reduced FROM d, {DECLARED}")
+@query(
+    "ext1_chunks",
+    f"WITH {IDS} SELECT 'chunk:' || file_path || ':' || kind || ':Shop.' || CASE WHEN own THEN base || id WHEN kind = 'enum-member' THEN 'E' || id || '.' || base ELSE 'C' || id || '.' || base END || ':' || start_line AS chunk_id, file_path, CASE kind WHEN 'method' THEN (length('public int Get(int a)') + 3) // 4 WHEN 'field' THEN (length('private int _x = 1;') + 3) // 4 END AS reduced "
+    f"FROM d, {DECLARED}",
+)
 def ext1_chunks(spark, d):
     found = code.chunks(code.csharp_symbols(made(spark, d, PROGRAM)))
     return found.select("chunk_id", "file_path", F.when(F.col("kind").isin("method", "field"), F.col("reduced_token_estimate")).cast("long").alias("reduced"))
 
 
-@query("ext3_script_symbols", f"WITH {IDS} SELECT file_path, line_no, kind, CASE WHEN own THEN base || id ELSE base END AS name, is_public FROM d, (VALUES (1, 'class', 'A', true, true), (2, 'function', 'go', true, false), (3, 'function', '_hid', false, false), (4, 'function', 'f', true, true)) v(line_no, kind, base, own, is_public)")
+@query(
+    "ext3_script_symbols",
+    f"WITH {IDS} SELECT file_path, line_no, kind, CASE WHEN own THEN base || id ELSE base END AS name, is_public "
+    f"FROM d, (VALUES (1, 'class', 'A', true, true), (2, 'function', 'go', true, false), (3, 'function', '_hid', false, false), "
+    f"(4, 'function', 'f', true, true)) v(line_no, kind, base, own, is_public)",
+)
 def ext3(spark, d):
     text = "export class A{} {}\nasync function go{}() {}\nexport function _hid() {}\nexport const f{} = (x) => x\nlet y = 2\n"
     return extract.script_symbols(made(spark, d, text)).select("file_path", "line_no", "kind", "name", "is_public")
 
 
-@query("ext5_routes", f"WITH {IDS} SELECT file_path, line_no, verb, CASE line_no WHEN 3 THEN '/api/items/' || id WHEN 4 THEN '/all' ELSE '/m' || id END AS pattern FROM d, (VALUES (3, 'GET'), (4, 'POST'), (6, 'PUT')) v(line_no, verb)")
+@query(
+    "ext5_routes",
+    f"WITH {IDS} SELECT file_path, line_no, verb, CASE line_no WHEN 3 THEN '/api/items/' || id WHEN 4 THEN '/all' ELSE '/m' || id END AS pattern "
+    f"FROM d, (VALUES (3, 'GET'), (4, 'POST'), (6, 'PUT')) v(line_no, verb)",
+)
 def ext5(spark, d):
     text = '[Route("api/")]\nclass C {\n [HttpGet("items/{}/")] void A() {}\n [HttpPost("/all")] void B() {}\n}\napp.MapPut("m{}", x => x);\n'
     return extract.routes(made(spark, d, text))
@@ -77,7 +90,11 @@ def ext7(spark, d):
     return t.select("id", is_test_path(path).alias("is_test"), is_generated(path, prefix).alias("is_generated"))
 
 
-@query("ext9_outlines", f"WITH {IDS} SELECT file_path, kind, base || id AS name, members FROM d, (VALUES ('class', 'C', '_x,Get'), ('enum', 'E', 'A,B')) v(kind, base, members)")
+@query(
+    "ext9_outlines",
+    f"WITH {IDS} SELECT file_path, kind, base || id AS name, members FROM d, (VALUES ('class', 'C', '_x,Get'), "
+    f"('enum', 'E', 'A,B')) v(kind, base, members)",
+)
 def ext9(spark, d):
     return code.outlines(made(spark, d, PROGRAM)).withColumn("members", F.array_join("members", ","))
 
@@ -93,7 +110,11 @@ def ext11(spark, d):
     return extract.wiring_edges(made(spark, d, text)).select("from", "to", "type", "weight", "line_no")
 
 
-@query("ext11a_registrations", f"WITH {IDS} SELECT id, service || id AS service, implementation || id AS implementation, lifetime FROM d, (VALUES ('IA', 'A', 'scoped'), ('B', 'B', 'singleton')) v(service, implementation, lifetime)")
+@query(
+    "ext11a_registrations",
+    f"WITH {IDS} SELECT id, service || id AS service, implementation || id AS implementation, lifetime "
+    f"FROM d, (VALUES ('IA', 'A', 'scoped'), ('B', 'B', 'singleton')) v(service, implementation, lifetime)",
+)
 def ext11a(spark, d):
     t = made(spark, d, "services.AddScoped<IA{}, A{}>();\nservices.AddSingleton<B{}>();\n")
     return extract.registrations(t).join(t.select("id", "file_path"), "file_path").select("id", "service", "implementation", "lifetime")
@@ -137,13 +158,21 @@ def ext11i(spark, d):
     return extract.test_edges(uses, resolves, spark.createDataFrame([("IShop",), ("Shop1",), ("Shop2",)], "node string")).select("from", "to", "type")
 
 
-@query("par1_change_log", f"WITH {IDS} SELECT id, \"commit\", CASE \"commit\" WHEN 1 THEN 'src/a' || id || '.cs' ELSE 'b.cs' END AS path FROM d, (VALUES (1), (2)) v(\"commit\")")
+@query(
+    "par1_change_log",
+    f"WITH {IDS} SELECT id, \"commit\", CASE \"commit\" WHEN 1 THEN 'src/a' || id || '.cs' ELSE 'b.cs' END AS path FROM d, (VALUES (1), "
+    f"(2)) v(\"commit\")",
+)
 def par1(spark, d):
     text = "\x012024-01-02\nsrc/a{}.cs\nreadme.md\n\n\x012024-01-01\nb.cs\n\x012023-01-01\nonly.md\n"
     return version_control.change_log(made(spark, d, text).select(F.col("id").alias("log"), "text")).select(F.col("log").alias("id"), "commit", "path")
 
 
-@query("par2_unified_diffs", f"WITH {IDS} SELECT id, path || id AS path, added, removed, hunks FROM d, (VALUES ('x', 2, 1, 1), ('y', 0, 1, 1)) v(path, added, removed, hunks)")
+@query(
+    "par2_unified_diffs",
+    f"WITH {IDS} SELECT id, path || id AS path, added, removed, hunks FROM d, (VALUES ('x', 2, 1, 1), "
+    f"('y', 0, 1, 1)) v(path, added, removed, hunks)",
+)
 def par2(spark, d):
     text = "diff --git a/x{} b/x{}\n--- a/x{}\n+++ b/x{}\n@@ -1 +1,2 @@\n-a\n+b\n+c\ndiff --git a/y{} b/y{}\n--- a/y{}\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\n"
     return version_control.unified_diffs(made(spark, d, text).select(F.col("id").alias("diff"), "text")).withColumnRenamed("diff", "id")
@@ -155,7 +184,11 @@ def par3(spark, d):
     return version_control.test_results(made(spark, d, text).select(F.col("id").alias("report"), "text")).withColumnRenamed("report", "id")
 
 
-@query("par4_workflow_commands", f"WITH {IDS} SELECT id, command || id AS command, needs_secret, publishes FROM d, (VALUES ('make test', false, false), ('deploy ${{{{ secrets.KEY }}}} ', true, true)) v(command, needs_secret, publishes)")
+@query(
+    "par4_workflow_commands",
+    f"WITH {IDS} SELECT id, command || id AS command, needs_secret, publishes FROM d, (VALUES ('make test', false, false), "
+    f"('deploy ${{{{ secrets.KEY }}}} ', true, true)) v(command, needs_secret, publishes)",
+)
 def par4(spark, d):
     text = "steps:\n  - run: make test{}\n  - run: |\n      deploy ${{ secrets.KEY }} {}\n"
     found = version_control.workflow_commands(made(spark, d, text.replace("{{", "\1").replace("}}", "\2")).select(F.col("id").alias("workflow"), F.replace(F.replace("text", F.lit("\1"), F.lit("{{")), F.lit("\2"), F.lit("}}")).alias("text")))
@@ -228,7 +261,11 @@ def src2(spark, d):
     return region_lines(files.listed(spark, [r["path"] for r in found.collect()]))  # two files
 
 
-@query("src4_inventory", f"WITH {IDS}, t AS (SELECT id, file_path, 'class C' || id || ' {{}}' AS text FROM d) SELECT file_path, sha256(text) AS content_hash, false AS is_test, id::BIGINT % 4 = 0 AS skipped FROM t")
+@query(
+    "src4_inventory",
+    f"WITH {IDS}, t AS (SELECT id, file_path, 'class C' || id || ' {{}}' AS text "
+    f"FROM d) SELECT file_path, sha256(text) AS content_hash, false AS is_test, id::BIGINT % 4 = 0 AS skipped FROM t",
+)
 def src4(spark, d):
     t = made(spark, d, "class C{} \1").withColumn("text", F.replace("text", F.lit("\1"), F.lit("{}")))
     size = F.when(F.col("id").cast("long") % 4 == 0, F.lit(6 << 20)).otherwise(F.length("text"))
@@ -289,13 +326,23 @@ def agg4(spark, d):
     return extract.routes(made(spark, d, 'app.MapGet("a{}", f);\napp.MapPost("b{}", f);\n')).agg(F.count(F.lit(1)).alias("routes"))
 
 
-@query("rnk2_exact_candidates", f"WITH {EDGES_SQL}, {NODES_SQL}, e AS (SELECT 'service' AS kind, t AS node, 0.95::DOUBLE AS score FROM edges WHERE type = 'implements' AND f IN ('n1', 'n2') UNION ALL SELECT 'focus', 'c5', 0.95) SELECT DISTINCT kind, node, file_path, score FROM e JOIN nodes USING (node)")
+@query(
+    "rnk2_exact_candidates",
+    f"WITH {EDGES_SQL}, {NODES_SQL}, e AS (SELECT 'service' AS kind, t AS node, 0.95::DOUBLE AS score FROM edges "
+    f"WHERE type = 'implements' AND f IN ('n1', 'n2') "
+    f"UNION ALL SELECT 'focus', 'c5', 0.95) SELECT DISTINCT kind, node, file_path, score FROM e JOIN nodes USING (node)",
+)
 def rnk2(spark, d):
     edges = fixtures.edges(spark, d).withColumn("type", F.when(F.col("type") == "implements", "di_resolves_to").otherwise(F.col("type")))
     return localize.exact_candidates(edges, fixtures.nodes(spark, d), [("service", "n1"), ("service", "n2"), ("focus", "c5"), ("route", "n1")])
 
 
-@query("rnk15_nearest_symbols", f"WITH {fixtures.SYMBOLS_SQL}, n AS (SELECT DISTINCT name, CASE WHEN contains(lower(name), 'widget') THEN 1 ELSE 0 END + CASE WHEN contains(lower(name), 'cold') THEN 1 ELSE 0 END AS hits FROM symbols) SELECT name, hits FROM n WHERE hits > 0 ORDER BY hits DESC, length(name), name LIMIT 8")
+@query(
+    "rnk15_nearest_symbols",
+    f"WITH {fixtures.SYMBOLS_SQL}, n AS (SELECT DISTINCT name, CASE WHEN contains(lower(name), "
+    f"'widget') THEN 1 ELSE 0 END + CASE WHEN contains(lower(name), 'cold') THEN 1 ELSE 0 END AS hits FROM symbols) SELECT name, hits "
+    f"FROM n WHERE hits > 0 ORDER BY hits DESC, length(name), name LIMIT 8",
+)
 def rnk15b(spark, d):
     return fusion.nearest_symbols(fixtures.symbols(spark, d), "fix the cold widget")
 
@@ -307,19 +354,32 @@ def rnk15c(spark, d):
     return fusion.entry_points(both)
 
 
-@query("pck2_plan_seeds", f"WITH {EDGES_SQL}, {NODES_SQL}, s AS (SELECT node, 1.0::DOUBLE AS score FROM nodes WHERE file_path = 'r1' UNION ALL SELECT t, 1.0 FROM edges WHERE type = 'implements' AND f = 'n4' UNION ALL SELECT node, 0.9 FROM nodes WHERE lower(node) IN ('c9', 'n1')) SELECT node, max(score) AS score FROM s GROUP BY 1")
+@query(
+    "pck2_plan_seeds",
+    f"WITH {EDGES_SQL}, {NODES_SQL}, s AS (SELECT node, 1.0::DOUBLE AS score FROM nodes WHERE file_path = 'r1' UNION ALL SELECT t, 1.0 "
+    f"FROM edges WHERE type = 'implements' AND f = 'n4' UNION ALL SELECT node, 0.9 FROM nodes "
+    f"WHERE lower(node) IN ('c9', 'n1')) SELECT node, max(score) AS score FROM s GROUP BY 1",
+)
 def pck2(spark, d):
     edges = fixtures.edges(spark, d).withColumn("type", F.when(F.col("type") == "implements", "route_handles").otherwise(F.col("type")))
     return localize.plan_seeds(edges, fixtures.nodes(spark, d), ["r1"], ["n4"], ["C9", "N1"])
 
 
-@query("pck4_tiers", "SELECT * FROM (VALUES ('config', 'full', 'skeleton'), ('test', 'skeleton', 'skeleton'), ('exact-seed', 'reduced', 'skeleton')) v(role, auto, fixed)")
+@query(
+    "pck4_tiers",
+    "SELECT * FROM (VALUES ('config', 'full', 'skeleton'), ('test', 'skeleton', 'skeleton'), "
+    "('exact-seed', 'reduced', 'skeleton')) v(role, auto, fixed)",
+)
 def pck4(spark, d):
     rows = spark.createDataFrame([("config",), ("test",), ("exact-seed",)], "role string")
     return rows.select("role", packing.tier(F.col("role")).alias("auto"), packing.tier(F.col("role"), "skeleton").alias("fixed"))
 
 
-@query("pck10_sketches", f"WITH {IDS} SELECT file_path, '// sketch of ' || file_path || ': outline only, bodies left out' || chr(10) || 'class C' || id || ': _x, Get' || chr(10) || 'enum E' || id || ': A, B' || chr(10) AS content FROM d")
+@query(
+    "pck10_sketches",
+    f"WITH {IDS} SELECT file_path, '// sketch of ' || file_path || ': outline only, bodies left out' || chr(10) || 'class C' || id || ': _x, Get' || chr(10) || 'enum E' || id || ': A, B' || chr(10) AS content "
+    f"FROM d",
+)
 def pck10(spark, d):
     return code.sketched(made(spark, d, PROGRAM).withColumn("tokens", F.lit(7000)))
 
@@ -338,13 +398,24 @@ def pck6(spark, d):
     return packing.pack_density(rows, 9000).select("path", "cost", "kept")
 
 
-@query("pck11_framed_packing", f"WITH RECURSIVE {_DENSE.format('fb')}, {_density_sql('9000', 'f')}, r AS (SELECT plan, 120 + 12 * sum(CASE WHEN kept THEN 1 ELSE 0 END) AS reserve FROM f GROUP BY 1), gb AS (SELECT fb.*, reserve FROM fb JOIN r ON r.plan = fb.plan), {_density_sql('(9000 - reserve)', 'g')} SELECT path, kept FROM g")
+@query(
+    "pck11_framed_packing",
+    f"WITH RECURSIVE {_DENSE.format('fb')}, {_density_sql('9000', 'f')}, r AS (SELECT plan, 120 + 12 * sum(CASE WHEN kept THEN 1 ELSE 0 END) AS reserve "
+    f"FROM f GROUP BY 1), gb AS (SELECT fb.*, reserve FROM fb "
+    f"JOIN r ON r.plan = fb.plan), {_density_sql('(9000 - reserve)', 'g')} SELECT path, kept FROM g",
+)
 def pck11(spark, d):
     rows = plan_rows(spark, d).select("plan", "path", "score", F.col("cost").alias("tokens"), (F.col("cost") < 30).alias("trivial"))
     return packing.pack_framed(rows, 9000).select("path", "kept")
 
 
-@query("pck12_contents_levels", "WITH c AS (SELECT sum(ceil((length(source || '/' || doc_id) + 8) / 4.0)) AS files FROM documents), f AS (SELECT sum(ceil((length(source) + 8) / 4.0)) AS folders FROM (SELECT DISTINCT source FROM documents)) SELECT budget, CASE WHEN files <= budget THEN 'files' WHEN folders <= budget THEN 'folders' ELSE 'totals' END AS level FROM c, f, (VALUES (1), (1000), (100000000)) b(budget)")
+@query(
+    "pck12_contents_levels",
+    "WITH c AS (SELECT sum(ceil((length(source || '/' || doc_id) + 8) / 4.0)) AS files FROM documents), "
+    "f AS (SELECT sum(ceil((length(source) + 8) / 4.0)) AS folders FROM (SELECT DISTINCT source "
+    "FROM documents)) SELECT budget, CASE WHEN files <= budget THEN 'files' WHEN folders <= budget THEN 'folders' ELSE 'totals' END AS level "
+    "FROM c, f, (VALUES (1), (1000), (100000000)) b(budget)",
+)
 def pck12b(spark, d):
     t = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("n_chars").alias("tokens"))
     return packing.contents_levels(t, [1, 1000, 100_000_000])
@@ -358,7 +429,11 @@ def red3(spark, d):
     return code.reduced(made(spark, d, PROGRAM)).select("id", "reduced")
 
 
-@query("red3_aggressive", f"WITH {IDS} SELECT id, 'public class C' || id || ':IBase{{private int _x=1;public int Get(int a){{return a + 1;}}}}internal enum E' || id || '{{A,B}}' AS reduced FROM d")
+@query(
+    "red3_aggressive",
+    f"WITH {IDS} SELECT id, 'public class C' || id || ':IBase{{private int _x=1;public int Get(int a){{return a + 1;}}}}internal enum E' || id || '{{A,B}}' AS reduced "
+    f"FROM d",
+)
 def red3b(spark, d):
     return code.reduced(made(spark, d, PROGRAM), csharp.Reduction(aggressive=True)).select("id", "reduced")
 
@@ -415,7 +490,12 @@ def red9(spark, d):
     return made(spark, d, 'Head{}\n====\na | b\n\n\n\n[l](u "t")').select("id", reduce.reduce_text(F.col("text"), "markdown").alias("reduced"))
 
 
-@query("ded1_shared_headers", f"WITH {IDS} SELECT id::BIGINT AS id, id::BIGINT % 3 AS kind, CASE id::BIGINT % 3 WHEN 0 THEN dense_rank() OVER (ORDER BY a) WHEN 1 THEN dense_rank() OVER (ORDER BY a) END AS header_id FROM (SELECT id, CASE id::BIGINT % 3 WHEN 0 THEN min(id::BIGINT) OVER (PARTITION BY id::BIGINT % 3) WHEN 1 THEN min(id::BIGINT) OVER (PARTITION BY id::BIGINT % 3) ELSE 1e12 END AS a FROM d)")
+@query(
+    "ded1_shared_headers",
+    f"WITH {IDS} SELECT id::BIGINT AS id, id::BIGINT % 3 AS kind, CASE id::BIGINT % 3 WHEN 0 THEN dense_rank() OVER (ORDER BY a) WHEN 1 THEN dense_rank() OVER (ORDER BY a) END AS header_id "
+    f"FROM (SELECT id, CASE id::BIGINT % 3 WHEN 0 THEN min(id::BIGINT) OVER (PARTITION BY id::BIGINT % 3) WHEN 1 THEN min(id::BIGINT) OVER (PARTITION BY id::BIGINT % 3) ELSE 1e12 END AS a "
+    f"FROM d)",
+)
 def ded1b(spark, d):
     """Two shared headers, numbered by first appearance, and headers of one file alone."""
     n = F.col("id").cast("long")
@@ -424,7 +504,11 @@ def ded1b(spark, d):
     return delta.header_dedup(t).select(F.col("pos").alias("id"), (F.col("pos") % 3).alias("kind"), "header_id")
 
 
-@query("dif3_changed_file_delta", f"WITH {IDS} SELECT 'C' || id AS fqn, CASE id::BIGINT % 3 WHEN 0 THEN 'removed' ELSE 'signature-changed' END AS kind, true AS breaking FROM d WHERE id::BIGINT % 3 <> 2 UNION ALL SELECT 'D' || id, 'added', false FROM d WHERE id::BIGINT % 3 = 0")
+@query(
+    "dif3_changed_file_delta",
+    f"WITH {IDS} SELECT 'C' || id AS fqn, CASE id::BIGINT % 3 WHEN 0 THEN 'removed' ELSE 'signature-changed' END AS kind, true AS breaking "
+    f"FROM d WHERE id::BIGINT % 3 <> 2 UNION ALL SELECT 'D' || id, 'added', false FROM d WHERE id::BIGINT % 3 = 0",
+)
 def dif3(spark, d):
     before = made(spark, d, "public class C{} {}")
     n = F.col("id").cast("long")
@@ -450,7 +534,12 @@ def dif6_repairs(spark, d):
     return delta.repairs(n.select(k.alias("seq"), code_of.alias("code"), text.alias("message")), members.unionByName(types))
 
 
-@query("dif7_review_text", "WITH r AS (SELECT '1 files' AS section, 'f' || n_nationkey || ' +1 -' || n_regionkey AS line FROM nation UNION ALL SELECT '2 api', 'breaking removed: N' || n_nationkey FROM nation WHERE n_regionkey = 0 UNION ALL SELECT '3 callers', 'a.cs uses N' || n_nationkey FROM nation WHERE n_regionkey = 1) SELECT * FROM r")
+@query(
+    "dif7_review_text",
+    "WITH r AS (SELECT '1 files' AS section, 'f' || n_nationkey || ' +1 -' || n_regionkey AS line FROM nation "
+    "UNION ALL SELECT '2 api', 'breaking removed: N' || n_nationkey FROM nation WHERE n_regionkey = 0 "
+    "UNION ALL SELECT '3 callers', 'a.cs uses N' || n_nationkey FROM nation WHERE n_regionkey = 1) SELECT * FROM r",
+)
 def dif7(spark, d):
     n = table(spark, d, "nation")
     changed = n.select(F.concat(F.lit("f"), "n_nationkey").alias("path"), F.lit(1).alias("added"), F.col("n_regionkey").alias("removed"))
@@ -464,23 +553,40 @@ def dif9(spark, d):
     return emit.covering_not_run(n.select(F.concat(F.lit("T"), "n_nationkey").alias("name")), n.where("n_regionkey = 2").select(F.concat(F.lit("T"), "n_nationkey", F.lit(".Works.Twice")).alias("test")))
 
 
-@query("ses1_session_delta", "SELECT conv_id, turn, CASE WHEN b IS NULL THEN 'new' WHEN b = coalesce(text, '') THEN 'unchanged' WHEN length(b) <= 200 THEN 'diff' ELSE 'whole' END AS state FROM (SELECT *, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)")
+@query(
+    "ses1_session_delta",
+    "SELECT conv_id, turn, CASE WHEN b IS NULL THEN 'new' WHEN b = coalesce(text, '') THEN 'unchanged' WHEN length(b) <= 200 THEN 'diff' ELSE 'whole' END AS state "
+    "FROM (SELECT *, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)",
+)
 def ses1(spark, d):
     return delta.session_delta(table(spark, d, "conversations"), ["conv_id"], "turn", "text", retained=200).select("conv_id", "turn", "state")
 
 
-@query("ses4_ledger", "SELECT row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INTEGER AS line_no, n_regionkey AS ledger, '[proven] ' || n_name || ' (f' || n_nationkey || ')' AS line FROM nation")
+@query(
+    "ses4_ledger",
+    "SELECT row_number() OVER (PARTITION BY n_regionkey "
+    "ORDER BY n_nationkey)::INTEGER AS line_no, n_regionkey AS ledger, '[proven] ' || n_name || ' (f' || n_nationkey || ')' AS line "
+    "FROM nation",
+)
 def ses4(spark, d):
     return emit.render_ledger(table(spark, d, "nation").select(F.col("n_regionkey").alias("ledger"), F.col("n_nationkey").alias("seq"), F.lit("proven").alias("grade"), F.col("n_name").alias("claim"), F.concat(F.lit("f"), "n_nationkey").alias("path")))
 
 
-@query("pat1_detectors", f"WITH {IDS} SELECT pattern, n * count(*) AS matches, count(*) AS texts FROM d, (VALUES ('async', 2), ('exceptions', 1), ('logging', 1), ('dependency-injection', 1)) v(pattern, n) GROUP BY pattern, n")
+@query(
+    "pat1_detectors",
+    f"WITH {IDS} SELECT pattern, n * count(*) AS matches, count(*) AS texts FROM d, (VALUES ('async', 2), ('exceptions', 1), "
+    f"('logging', 1), ('dependency-injection', 1)) v(pattern, n) GROUP BY pattern, n",
+)
 def pat1(spark, d):
     t = made(spark, d, "async Task A{}() => await x.ConfigureAwait(false); try {} catch (E) {} ILogger<A> l; s.AddScoped<A>();")
     return delta.pattern_counts(t, delta.DETECTORS, "id").select("pattern", "matches", "texts")
 
 
-@query("grf10_focus", f"WITH {EDGES_SQL}, s AS (SELECT 'n3' AS node, 1.0::DOUBLE AS score UNION ALL SELECT t, 0.5 FROM edges WHERE f = 'n3' UNION ALL SELECT f, 0.5 FROM edges WHERE t = 'n3') SELECT node, max(score) AS score FROM s GROUP BY 1")
+@query(
+    "grf10_focus",
+    f"WITH {EDGES_SQL}, s AS (SELECT 'n3' AS node, 1.0::DOUBLE AS score UNION ALL SELECT t, 0.5 FROM edges WHERE f = 'n3' "
+    f"UNION ALL SELECT f, 0.5 FROM edges WHERE t = 'n3') SELECT node, max(score) AS score FROM s GROUP BY 1",
+)
 def grf10(spark, d):
     seeds = spark.createDataFrame([("n3", 1.0)], "node string, score double")
     return graph.focus(fixtures.edges(spark, d), seeds, 1).select("node", "score")
@@ -503,7 +609,14 @@ def grf14(spark, d):
     return code.direct_callers(code.csharp_symbols(base), both, base)
 
 
-@query("oth1_graph_view", "WITH f AS (SELECT DISTINCT 'r' || n_regionkey AS file_path FROM nation), g AS (SELECT 'r' || n_regionkey AS file_path, count(*) AS degree FROM nation GROUP BY 1) SELECT file_path, 10 AS tokens, round(degree / max(degree) OVER (), 4) AS centrality, list_aggregate(list_sort((SELECT list('N' || n_nationkey) FROM nation n WHERE 'r' || n.n_regionkey = file_path))[1:3], 'string_agg', ',') AS types FROM f JOIN g USING (file_path)")
+@query(
+    "oth1_graph_view",
+    "WITH f AS (SELECT DISTINCT 'r' || n_regionkey AS file_path FROM nation), "
+    "g AS (SELECT 'r' || n_regionkey AS file_path, count(*) AS degree FROM nation "
+    "GROUP BY 1) SELECT file_path, 10 AS tokens, round(degree / max(degree) OVER (), "
+    "4) AS centrality, list_aggregate(list_sort((SELECT list('N' || n_nationkey) FROM nation n "
+    "WHERE 'r' || n.n_regionkey = file_path))[1:3], 'string_agg', ',') AS types FROM f JOIN g USING (file_path)",
+)
 def oth1(spark, d):
     n = table(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("file_path"), F.concat(F.lit("N"), "n_nationkey").alias("name"))
     links = n.select(F.col("file_path").alias("from_file"), F.lit("other").alias("to_file"))
@@ -513,7 +626,11 @@ def oth1(spark, d):
     return view.withColumn("types", F.array_join("types", ","))
 
 
-@query("oth3_subgraph", "SELECT 'in/' || a.n_nationkey AS from_file, 'in/' || b.n_nationkey AS to_file FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_regionkey = 1 AND b.n_regionkey = 1")
+@query(
+    "oth3_subgraph",
+    "SELECT 'in/' || a.n_nationkey AS from_file, 'in/' || b.n_nationkey AS to_file FROM nation a "
+    "JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_regionkey = 1 AND b.n_regionkey = 1",
+)
 def oth3(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.when(F.col("n_regionkey") == 1, "in/").otherwise("out/"), "n_nationkey").alias("file_path"))
     links = n.alias("a").join(n.alias("b"), F.col("b.k") == F.col("a.k") + 1).select(F.col("a.file_path").alias("from_file"), F.col("b.file_path").alias("to_file"))
@@ -542,7 +659,11 @@ def oth12(spark, d):
     return spark.createDataFrame([(r.most, r.depth, r.budget)], "most int, depth int, budget int")
 
 
-@query("str4_single_file_reindex", f"WITH {IDS} SELECT file_path, CASE WHEN id::BIGINT % 10 = 3 THEN 'N' || id ELSE 'C' || id END AS name FROM d WHERE id::BIGINT % 10 <> 7")
+@query(
+    "str4_single_file_reindex",
+    f"WITH {IDS} SELECT file_path, CASE WHEN id::BIGINT % 10 = 3 THEN 'N' || id ELSE 'C' || id END AS name FROM d "
+    f"WHERE id::BIGINT % 10 <> 7",
+)
 def str4(spark, d):
     """An index of symbols in which a tenth of the files change and a tenth go."""
     t = made(spark, d, "class C{} : B ").withColumn("text", F.concat("text", F.lit("{ }")))
@@ -553,7 +674,11 @@ def str4(spark, d):
     return changes.reindex({"symbols": (index, "file_path")}, changed, extract_all)["symbols"]
 
 
-@query("str5_cold_start", f"WITH {IDS} SELECT file_path, CASE WHEN id::BIGINT % 2 = 0 THEN 2 ELSE 1 END AS symbols, CASE WHEN id::BIGINT % 2 = 0 THEN 'semantic' ELSE 'syntax' END AS tier FROM d")
+@query(
+    "str5_cold_start",
+    f"WITH {IDS} SELECT file_path, CASE WHEN id::BIGINT % 2 = 0 THEN 2 ELSE 1 END AS symbols, CASE WHEN id::BIGINT % 2 = 0 THEN 'semantic' ELSE 'syntax' END AS tier "
+    f"FROM d",
+)
 def str5(spark, d):
     t = made(spark, d, "class C{} : B ").withColumn("text", F.concat("text", F.lit("{ int x; }")))
     count = lambda rows: rows.groupBy("file_path").agg(F.count(F.lit(1)).cast("int").alias("symbols"))
@@ -578,19 +703,32 @@ def red1_pipeline(spark, d):
     return done.join(rows.select("id", "file_path"), "file_path").select("id", "content", "secrets")
 
 
-@query("red13_route_map", "SELECT row_number() OVER (ORDER BY lower(l), l) AS line_no, l AS line FROM (SELECT rpad(CASE WHEN n_regionkey % 2 = 0 THEN 'GET' ELSE 'POST' END, 7, ' ') || rpad('/n' || n_nationkey, 40, ' ') || ' a.cs' AS l FROM nation)")
+@query(
+    "red13_route_map",
+    "SELECT row_number() OVER (ORDER BY lower(l), l) AS line_no, l AS line "
+    "FROM (SELECT rpad(CASE WHEN n_regionkey % 2 = 0 THEN 'GET' ELSE 'POST' END, 7, ' ') || rpad('/n' || n_nationkey, 40, ' ') || ' a.cs' AS l "
+    "FROM nation)",
+)
 def red13(spark, d):
     n = table(spark, d, "nation")
     return code.route_map(n.select(F.when(F.col("n_regionkey") % 2 == 0, "GET").otherwise("POST").alias("verb"), F.concat(F.lit("/n"), "n_nationkey").alias("pattern"), F.lit("a.cs").alias("file_path")))
 
 
-@query("red13_project_graph", "SELECT row_number() OVER (ORDER BY lower(l), l) AS line_no, l AS line FROM (SELECT DISTINCT 'App' || n_nationkey || ' -> Lib' || n_regionkey AS l FROM nation)")
+@query(
+    "red13_project_graph",
+    "SELECT row_number() OVER (ORDER BY lower(l), l) AS line_no, l AS line "
+    "FROM (SELECT DISTINCT 'App' || n_nationkey || ' -> Lib' || n_regionkey AS l FROM nation)",
+)
 def red13b(spark, d):
     n = table(spark, d, "nation")
     return code.project_graph(n.select(F.concat(F.lit("a/App"), "n_nationkey", F.lit(".csproj")).alias("project"), F.concat(F.lit("../l/Lib"), "n_regionkey", F.lit(".csproj")).alias("reference")))
 
 
-@query("ses2_reconciled_session", "SELECT 'unchanged' AS kind, n_nationkey AS path FROM nation WHERE n_regionkey = 1 AND n_nationkey % 2 = 0 UNION ALL SELECT 'state', n_nationkey FROM nation WHERE n_regionkey IN (1, 2)")
+@query(
+    "ses2_reconciled_session",
+    "SELECT 'unchanged' AS kind, n_nationkey AS path FROM nation WHERE n_regionkey = 1 AND n_nationkey % 2 = 0 "
+    "UNION ALL SELECT 'state', n_nationkey FROM nation WHERE n_regionkey IN (1, 2)",
+)
 def ses2(spark, d):
     n = table(spark, d, "nation").select(F.lit("s").alias("session"), F.col("n_nationkey").alias("path"), "n_regionkey")
     state = n.where("n_regionkey IN (1, 2)").select("session", "path", F.lit("h").alias("hash"))
@@ -599,7 +737,11 @@ def ses2(spark, d):
     return unchanged.select(F.lit("unchanged").alias("kind"), "path").unionByName(after.select(F.lit("state").alias("kind"), "path"))
 
 
-@query("snk6_other_entries", "SELECT doc_id, '## ' || source || chr(10) || chr(10) || '```' || chr(10) || lang || chr(10) || '```' AS markdown, '# ' || source || chr(10) || lang AS compact, '{\"path\":\"' || source || '\",\"content\":\"' || lang || '\"}' AS json FROM documents")
+@query(
+    "snk6_other_entries",
+    "SELECT doc_id, '## ' || source || chr(10) || chr(10) || '```' || chr(10) || lang || chr(10) || '```' AS markdown, '# ' || source || chr(10) || lang AS compact, '{\"path\":\"' || source || '\",\"content\":\"' || lang || '\"}' AS json "
+    "FROM documents",
+)
 def snk6(spark, d):
     t = table(spark, d, "documents")
     return t.select("doc_id", *[emit.entry(F.col("source"), F.col("lang"), kind).alias(kind) for kind in ("markdown", "compact", "json")])
@@ -646,7 +788,11 @@ def src1b(spark, d):
     return files.outside_nested(n.unionByName(spark.createDataFrame([(".git/HEAD",), ("a/sub/.git/HEAD",)], "path string")))
 
 
-@query("par5_ignore_files", "SELECT 'a/out/f' || n_nationkey || '.cs' AS path FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'b/f' || n_nationkey || '.tmp' FROM nation WHERE n_regionkey = 1")
+@query(
+    "par5_ignore_files",
+    "SELECT 'a/out/f' || n_nationkey || '.cs' AS path FROM nation WHERE n_regionkey = 0 "
+    "UNION ALL SELECT 'b/f' || n_nationkey || '.tmp' FROM nation WHERE n_regionkey = 1",
+)
 def par5b(spark, d):
     """Ignore files of the root and of one folder; the folder's does not reach others."""
     k = F.col("n_regionkey")

@@ -34,17 +34,36 @@ def plan_rows(spark, d):
 PLAN_SQL = "p AS (SELECT (d.doc_id // 200)::VARCHAR AS plan, d.doc_id AS path, (d.doc_id * 37 % 101) / 100 AS score, n_chars AS cost, coalesce(l.q, false) AND d.doc_id % 9 = 0 AS must_keep FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, true AS q FROM labels WHERE quality = 1) l USING (doc_id))"
 
 
-@query("pck5_plan_packer", f"WITH RECURSIVE {PLAN_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY CASE WHEN must_keep THEN 0 ELSE 1 END, -score, path) AS n FROM p), f AS (SELECT plan, path, n, CASE WHEN must_keep OR cost <= 9000 THEN cost ELSE 0 END AS used, must_keep OR cost <= 9000 AS kept FROM o WHERE n = 1 UNION ALL SELECT o.plan, o.path, o.n, f.used + CASE WHEN must_keep OR f.used + cost <= 9000 THEN cost ELSE 0 END, must_keep OR f.used + cost <= 9000 FROM f JOIN o ON o.plan = f.plan AND o.n = f.n + 1) SELECT path, kept FROM f")
+@query(
+    "pck5_plan_packer",
+    f"WITH RECURSIVE {PLAN_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY plan "
+    f"ORDER BY CASE WHEN must_keep THEN 0 ELSE 1 END, -score, path) AS n FROM p), "
+    f"f AS (SELECT plan, path, n, CASE WHEN must_keep OR cost <= 9000 THEN cost ELSE 0 END AS used, must_keep OR cost <= 9000 AS kept "
+    f"FROM o WHERE n = 1 "
+    f"UNION ALL SELECT o.plan, o.path, o.n, f.used + CASE WHEN must_keep OR f.used + cost <= 9000 THEN cost ELSE 0 END, must_keep OR f.used + cost <= 9000 "
+    f"FROM f JOIN o ON o.plan = f.plan AND o.n = f.n + 1) SELECT path, kept FROM f",
+)
 def pck5(spark, d):
     return packing.pack_plan(plan_rows(spark, d), 9000).select("path", "kept")
 
 
-@query("pck7_emission_prefix", f"WITH {PLAN_SQL} SELECT path, n = 1 OR total <= 9000 AS kept FROM (SELECT path, row_number() OVER w AS n, sum(cost) OVER (PARTITION BY plan ORDER BY score DESC, path ROWS UNBOUNDED PRECEDING) AS total FROM p WINDOW w AS (PARTITION BY plan ORDER BY score DESC, path))")
+@query(
+    "pck7_emission_prefix",
+    f"WITH {PLAN_SQL} SELECT path, n = 1 OR total <= 9000 AS kept "
+    f"FROM (SELECT path, row_number() OVER w AS n, sum(cost) OVER (PARTITION BY plan "
+    f"ORDER BY score DESC, path ROWS UNBOUNDED PRECEDING) AS total FROM p WINDOW w AS (PARTITION BY plan ORDER BY score DESC, path))",
+)
 def pck7(spark, d):
     return packing.emit_prefix(plan_rows(spark, d).withColumn("o", -F.col("score")), 9000, ["o", "path"]).select("path", "kept")
 
 
-@query("pck7_emission_parts", f"WITH RECURSIVE {PLAN_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY path) AS n FROM p), f AS (SELECT plan, path, n, cost AS used, 1 AS part FROM o WHERE n = 1 UNION ALL SELECT o.plan, o.path, o.n, CASE WHEN f.used > 0 AND f.used + cost > 9000 THEN cost ELSE f.used + cost END, f.part + CASE WHEN f.used > 0 AND f.used + cost > 9000 THEN 1 ELSE 0 END FROM f JOIN o ON o.plan = f.plan AND o.n = f.n + 1) SELECT path AS seq, part::INTEGER AS part FROM f")
+@query(
+    "pck7_emission_parts",
+    f"WITH RECURSIVE {PLAN_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY path) AS n FROM p), "
+    f"f AS (SELECT plan, path, n, cost AS used, 1 AS part FROM o WHERE n = 1 "
+    f"UNION ALL SELECT o.plan, o.path, o.n, CASE WHEN f.used > 0 AND f.used + cost > 9000 THEN cost ELSE f.used + cost END, f.part + CASE WHEN f.used > 0 AND f.used + cost > 9000 THEN 1 ELSE 0 END "
+    f"FROM f JOIN o ON o.plan = f.plan AND o.n = f.n + 1) SELECT path AS seq, part::INTEGER AS part FROM f",
+)
 def pck7b(spark, d):
     return packing.emit_parts(plan_rows(spark, d).select("plan", F.col("path").alias("seq"), "cost"), 9000).select("seq", "part")
 
@@ -54,7 +73,11 @@ def pck8(spark, d):
     return packing.emission_order(plan_rows(spark, d).withColumnRenamed("cost", "tokens")).select("path", "seq")
 
 
-@query("pck9_downgrade_tail", f"WITH {PLAN_SQL} SELECT path, CASE WHEN total > 9000 AND least(cost, 300) < cost THEN 300 ELSE cost END AS tokens FROM (SELECT *, sum(cost) OVER (PARTITION BY plan ORDER BY path ROWS UNBOUNDED PRECEDING) AS total FROM p)")
+@query(
+    "pck9_downgrade_tail",
+    f"WITH {PLAN_SQL} SELECT path, CASE WHEN total > 9000 AND least(cost, 300) < cost THEN 300 ELSE cost END AS tokens "
+    f"FROM (SELECT *, sum(cost) OVER (PARTITION BY plan ORDER BY path ROWS UNBOUNDED PRECEDING) AS total FROM p)",
+)
 def pck9(spark, d):
     rows = plan_rows(spark, d).select("plan", "path", F.col("cost").alias("tokens"), F.least("cost", F.lit(300)).alias("sketch_tokens"))
     return packing.downgrade_tail(rows, 9000, ["path"]).select("path", "tokens")
@@ -70,28 +93,50 @@ def pck13(spark, d):
     return table(spark, d, "documents").select("doc_id", text.reduced_token_cost(F.col("n_chars"), F.when(F.col("lang") == "en", ".cs").otherwise(".md"), "aggressive").alias("cost"))
 
 
-@query("pck14_approximate_tokens", "SELECT doc_id, (coalesce(list_sum(list_transform(regexp_extract_all(text, '[\\p{L}\\p{Nd}]+'), lambda r: ceil(length(r) / 4.0))), 0) + len(regexp_extract_all(text, '[^\\p{L}\\p{Nd}\\s]')))::BIGINT AS tokens FROM documents")
+@query(
+    "pck14_approximate_tokens",
+    "SELECT doc_id, (coalesce(list_sum(list_transform(regexp_extract_all(text, '[\\p{L}\\p{Nd}]+'), lambda r: ceil(length(r) / 4.0))), "
+    "0) + len(regexp_extract_all(text, '[^\\p{L}\\p{Nd}\\s]')))::BIGINT AS tokens FROM documents",
+)
 def pck14(spark, d):
     return table(spark, d, "documents").select("doc_id", text.approximate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("pck16_review_bound", "WITH d AS (SELECT doc_id::VARCHAR AS file_path, count(*) OVER () AS n FROM documents) SELECT file_path, CASE WHEN n <= 150 THEN 'review' ELSE 'listed' END AS state FROM d QUALIFY n <= 150 OR row_number() OVER (ORDER BY file_path) <= 200")
+@query(
+    "pck16_review_bound",
+    "WITH d AS (SELECT doc_id::VARCHAR AS file_path, count(*) OVER () AS n "
+    "FROM documents) SELECT file_path, CASE WHEN n <= 150 THEN 'review' ELSE 'listed' END AS state FROM d "
+    "QUALIFY n <= 150 OR row_number() OVER (ORDER BY file_path) <= 200",
+)
 def pck16(spark, d):
     return packing.review_bound(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path")))
 
 
-@query("pck3_roles", "SELECT * FROM (VALUES ('tests', 'test', 'skeleton'), ('di_resolves_to', 'di-implementation', 'reduced'), ('options_binds', 'config', 'full'), ('x', 'dependency', 'skeleton')) v(via, role, tier)")
+@query(
+    "pck3_roles",
+    "SELECT * FROM (VALUES ('tests', 'test', 'skeleton'), ('di_resolves_to', 'di-implementation', 'reduced'), "
+    "('options_binds', 'config', 'full'), ('x', 'dependency', 'skeleton')) v(via, role, tier)",
+)
 def pck3(spark, d):
     rows = spark.createDataFrame([("tests",), ("di_resolves_to",), ("options_binds",), ("x",)], "via string")
     return rows.withColumn("role", packing.role(F.col("via"), F.lit(False))).withColumn("tier", packing.tier(F.col("role")))
 
 
-@query("red6_html_reducer", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '>\\s+<', '><', 'g'), '(\\S+)=\"([^\"\\s<>&'']+)\"', '\\1=\\2', 'g'), ' {2,}', ' ', 'g'), '(?m)^\\s+|\\s+$', '', 'g') AS reduced FROM pages")
+@query(
+    "red6_html_reducer",
+    "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+    "'>\\s+<', '><', 'g'), '(\\S+)=\"([^\"\\s<>&'']+)\"', '\\1=\\2', 'g'), ' {2,}', ' ', 'g'), '(?m)^\\s+|\\s+$', '', 'g') AS reduced "
+    "FROM pages",
+)
 def red6(spark, d):
     return table(spark, d, "pages").select("page_id", reduce.reduce_text(F.col("html"), "html").alias("reduced"))
 
 
-@query("red8_json_reducer", "SELECT event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(props, '[\\r\\n]+', '', 'g'), ':\\s+', ':', 'g'), ',\\s+', ',', 'g'), '([\\[{])\\s+', '\\1', 'g'), '\\s+([\\]}])', '\\1', 'g') AS reduced FROM events")
+@query(
+    "red8_json_reducer",
+    "SELECT event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(props, '[\\r\\n]+', '', 'g'), "
+    "':\\s+', ':', 'g'), ',\\s+', ',', 'g'), '([\\[{])\\s+', '\\1', 'g'), '\\s+([\\]}])', '\\1', 'g') AS reduced FROM events",
+)
 def red8(spark, d):
     return table(spark, d, "events").select("event_id", reduce.reduce_text(F.col("props"), "json").alias("reduced"))
 
@@ -103,7 +148,11 @@ def red1(spark, d):
     return reduce.reduce_files(table(spark, d, "documents").select("doc_id", "text", ext.alias("extension"))).select("doc_id", F.length("reduced").alias("chars"))
 
 
-@query("red14_redaction", "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?i)\\b(?:token|secret|password|api[_-]?key)\\s*[:=]\\s*[\"'']?[A-Za-z0-9+/_-]{12,}[\"'']?'))::INTEGER AS secrets FROM documents")
+@query(
+    "red14_redaction",
+    "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), "
+    "'(?i)\\b(?:token|secret|password|api[_-]?key)\\s*[:=]\\s*[\"'']?[A-Za-z0-9+/_-]{12,}[\"'']?'))::INTEGER AS secrets FROM documents",
+)
 def red14(spark, d):
     return table(spark, d, "documents").select("doc_id", reduce.redaction_counts(F.coalesce("text", F.lit("")))["assigned-secret"].alias("secrets"))
 
@@ -116,7 +165,11 @@ def red15(spark, d):
 _PROSE = "trim(regexp_replace(regexp_replace(regexp_replace(c, '(?m)/\\*+|\\*+/|^\\s*\\*|///?|#', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("ext6_comments", f"SELECT page_id, length(array_to_string(list_filter(list_transform(regexp_extract_all(html, '/\\*(?s:.*?)\\*/|(?://[^\\n]*\\n?)+|(?:#[^\\n]*\\n?)+'), lambda c: {_PROSE}), lambda c: c <> ''), ' '))::INTEGER AS chars FROM pages")
+@query(
+    "ext6_comments",
+    f"SELECT page_id, length(array_to_string(list_filter(list_transform(regexp_extract_all(html, '/\\*(?s:.*?)\\*/|(?://[^\\n]*\\n?)+|(?:#[^\\n]*\\n?)+'), "
+    f"lambda c: {_PROSE}), lambda c: c <> ''), ' '))::INTEGER AS chars FROM pages",
+)
 def ext6(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(text.comments(F.col("html"))).alias("chars"))
 
@@ -138,22 +191,40 @@ def _sql_pattern(pattern: str) -> str:
 _BUCKETS = " ".join(f"WHEN regexp_matches(t, '{_sql_pattern(pattern)}') THEN '{name}'" for name, pattern in text.BUCKETS)
 
 
-@query("met5_title_buckets", f"SELECT CASE WHEN t = '' THEN 'no-signal' {_BUCKETS} ELSE 'natural-language' END AS bucket, count(*) AS titles FROM (SELECT {_TITLE} AS t FROM documents) GROUP BY 1")
+@query(
+    "met5_title_buckets",
+    f"SELECT CASE WHEN t = '' THEN 'no-signal' {_BUCKETS} ELSE 'natural-language' END AS bucket, count(*) AS titles "
+    f"FROM (SELECT {_TITLE} AS t FROM documents) GROUP BY 1",
+)
 def met5(spark, d):
     return table(spark, d, "documents").groupBy(text.title_bucket(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("bucket")).agg(F.count(F.lit(1)).alias("titles"))
 
 
-@query("ded1_shared_first_lines", "SELECT trim(string_split(text, chr(10))[1]) AS header, count(*) AS files, min(doc_id) AS first FROM documents WHERE length(trim(string_split(text, chr(10))[1])) >= 16 GROUP BY 1 HAVING count(*) >= 2")
+@query(
+    "ded1_shared_first_lines",
+    "SELECT trim(string_split(text, chr(10))[1]) AS header, count(*) AS files, min(doc_id) AS first FROM documents "
+    "WHERE length(trim(string_split(text, chr(10))[1])) >= 16 GROUP BY 1 HAVING count(*) >= 2",
+)
 def ded1(spark, d):
     return delta.line_dedup(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text"))
 
 
-@query("ded2_shared_bodies", "WITH b AS (SELECT doc_id, source AS path, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS n FROM documents), g AS (SELECT n, count(DISTINCT lower(path)) AS files FROM b WHERE length(n) >= 48 GROUP BY 1 HAVING count(DISTINCT lower(path)) >= 2) SELECT doc_id AS seq, files FROM b JOIN g USING (n)")
+@query(
+    "ded2_shared_bodies",
+    "WITH b AS (SELECT doc_id, source AS path, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS n FROM documents), "
+    "g AS (SELECT n, count(DISTINCT lower(path)) AS files FROM b WHERE length(n) >= 48 GROUP BY 1 "
+    "HAVING count(DISTINCT lower(path)) >= 2) SELECT doc_id AS seq, files FROM b JOIN g USING (n)",
+)
 def ded2(spark, d):
     return delta.body_dedup(table(spark, d, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("seq"), F.col("text").alias("body"))).select("seq", "files")
 
 
-@query("ses2_session_states", "SELECT conv_id, turn, CASE WHEN b IS NULL THEN 'new' WHEN b = h THEN 'unchanged' ELSE 'changed' END AS state FROM (SELECT conv_id, turn, md5(coalesce(role, '')) AS h, lag(md5(coalesce(role, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)")
+@query(
+    "ses2_session_states",
+    "SELECT conv_id, turn, CASE WHEN b IS NULL THEN 'new' WHEN b = h THEN 'unchanged' ELSE 'changed' END AS state "
+    "FROM (SELECT conv_id, turn, md5(coalesce(role, '')) AS h, lag(md5(coalesce(role, ''))) OVER (PARTITION BY conv_id "
+    "ORDER BY turn) AS b FROM conversations)",
+)
 def ses2(spark, d):
     return delta.session_states(table(spark, d, "conversations"), ["conv_id"], "turn", "role").select("conv_id", "turn", "state")
 
@@ -164,7 +235,12 @@ def ses3(spark, d):
     return t.select("doc_id", delta.unified_diff("text", F.regexp_replace("text", " the ", " a ")).alias("diff"))
 
 
-@query("pat1_pattern_counts", "SELECT pattern, sum(n)::BIGINT AS matches, count(*) AS texts FROM (SELECT 'caps' AS pattern, len(regexp_extract_all(coalesce(text, ''), '[A-Z]{4,}')) AS n FROM documents UNION ALL SELECT 'license', len(regexp_extract_all(coalesce(text, ''), '(?i)license')) FROM documents) WHERE n > 0 GROUP BY 1")
+@query(
+    "pat1_pattern_counts",
+    "SELECT pattern, sum(n)::BIGINT AS matches, count(*) AS texts "
+    "FROM (SELECT 'caps' AS pattern, len(regexp_extract_all(coalesce(text, ''), '[A-Z]{4,}')) AS n FROM documents "
+    "UNION ALL SELECT 'license', len(regexp_extract_all(coalesce(text, ''), '(?i)license')) FROM documents) WHERE n > 0 GROUP BY 1",
+)
 def pat1(spark, d):
     return delta.pattern_counts(table(spark, d, "documents"), {"caps": "[A-Z]{4,}", "license": "(?i)license"}, "doc_id").select("pattern", "matches", "texts")
 
@@ -172,7 +248,14 @@ def pat1(spark, d):
 _OLD, _NEW = "SELECT fqn, CASE WHEN is_public THEN 'public' ELSE 'internal' END AS access, 'f' || symbol_id % 7 AS signature FROM symbols WHERE symbol_id % 10 <> 3", "SELECT fqn, CASE WHEN is_public AND symbol_id % 6 <> 0 THEN 'public' ELSE 'internal' END AS access, 'f' || (symbol_id % 7 + CASE WHEN symbol_id % 8 = 0 THEN 1 ELSE 0 END) AS signature FROM symbols WHERE symbol_id % 10 <> 4"
 
 
-@query("dif1_api_delta", f"WITH {SYMBOLS_SQL}, o AS (SELECT fqn, arg_min(access, (signature, access)) AS access, min(signature) AS signature FROM ({_OLD}) GROUP BY 1), n AS (SELECT fqn, arg_min(access, (signature, access)) AS access, min(signature) AS signature FROM ({_NEW}) GROUP BY 1), j AS (SELECT coalesce(o.fqn, n.fqn) AS fqn, CASE WHEN n.fqn IS NULL THEN 'removed' WHEN o.fqn IS NULL THEN 'added' WHEN o.access = 'public' AND n.access = 'internal' THEN 'accessibility-reduced' WHEN o.signature <> n.signature THEN 'signature-changed' END AS kind FROM o FULL JOIN n ON o.fqn = n.fqn) SELECT fqn, kind, kind <> 'added' AS breaking FROM j WHERE kind IS NOT NULL")
+@query(
+    "dif1_api_delta",
+    f"WITH {SYMBOLS_SQL}, o AS (SELECT fqn, arg_min(access, (signature, access)) AS access, min(signature) AS signature FROM ({_OLD}) "
+    f"GROUP BY 1), n AS (SELECT fqn, arg_min(access, (signature, access)) AS access, min(signature) AS signature FROM ({_NEW}) "
+    f"GROUP BY 1), "
+    f"j AS (SELECT coalesce(o.fqn, n.fqn) AS fqn, CASE WHEN n.fqn IS NULL THEN 'removed' WHEN o.fqn IS NULL THEN 'added' WHEN o.access = 'public' AND n.access = 'internal' THEN 'accessibility-reduced' WHEN o.signature <> n.signature THEN 'signature-changed' END AS kind "
+    f"FROM o FULL JOIN n ON o.fqn = n.fqn) SELECT fqn, kind, kind <> 'added' AS breaking FROM j WHERE kind IS NOT NULL",
+)
 def dif1(spark, d):
     from .fixtures import symbols
 
@@ -183,30 +266,58 @@ def dif1(spark, d):
     return delta.api_delta(old, new)
 
 
-@query("dif4_diagnostic_delta", "WITH o AS (SELECT l_partkey, l_returnflag, count(*) AS o FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), n AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1, 2), j AS (SELECT coalesce(o.l_partkey, n.l_partkey) AS l_partkey, coalesce(o.l_returnflag, n.l_returnflag) AS l_returnflag, coalesce(n, 0) - coalesce(o, 0) AS d FROM o FULL JOIN n ON o.l_partkey = n.l_partkey AND o.l_returnflag = n.l_returnflag) SELECT l_partkey, l_returnflag, CASE WHEN d > 0 THEN 'introduced' ELSE 'fixed' END AS state, abs(d) AS times FROM j WHERE d <> 0")
+@query(
+    "dif4_diagnostic_delta",
+    "WITH o AS (SELECT l_partkey, l_returnflag, count(*) AS o FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), "
+    "n AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1, 2), "
+    "j AS (SELECT coalesce(o.l_partkey, n.l_partkey) AS l_partkey, coalesce(o.l_returnflag, n.l_returnflag) AS l_returnflag, coalesce(n, 0) - coalesce(o, 0) AS d "
+    "FROM o FULL "
+    "JOIN n ON o.l_partkey = n.l_partkey AND o.l_returnflag = n.l_returnflag) SELECT l_partkey, l_returnflag, CASE WHEN d > 0 THEN 'introduced' ELSE 'fixed' END AS state, abs(d) AS times "
+    "FROM j WHERE d <> 0",
+)
 def dif4(spark, d):
     li = table(spark, d, "lineitem")
     return delta.diagnostic_delta(li.where("l_linenumber <= 3"), li.where("l_linenumber >= 3"), ["l_partkey", "l_returnflag"])
 
 
-@query("dif5_freshness", "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN count(*) OVER () > 300 THEN 'stale' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS state FROM (SELECT doc_id, n_chars FROM documents WHERE doc_id % 10 <> 3) o FULL JOIN (SELECT doc_id, n_chars + doc_id % 2 AS n_chars FROM documents WHERE doc_id % 10 <> 4) n ON o.doc_id = n.doc_id WHERE o.n_chars IS DISTINCT FROM n.n_chars OR n.doc_id IS NULL")
+@query(
+    "dif5_freshness",
+    "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN count(*) OVER () > 300 THEN 'stale' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS state "
+    "FROM (SELECT doc_id, n_chars FROM documents WHERE doc_id % 10 <> 3) o FULL JOIN (SELECT doc_id, n_chars + doc_id % 2 AS n_chars "
+    "FROM documents WHERE doc_id % 10 <> 4) n ON o.doc_id = n.doc_id WHERE o.n_chars IS DISTINCT FROM n.n_chars OR n.doc_id IS NULL",
+)
 def dif5(spark, d):
     t = table(spark, d, "documents").select("doc_id", "n_chars")
     return delta.freshness(t.where("doc_id % 10 <> 3"), t.where("doc_id % 10 <> 4").withColumn("n_chars", F.col("n_chars") + F.col("doc_id") % 2), "doc_id", "n_chars")
 
 
-@query("dif6_nearest_names", "SELECT asked, name, distance, rank FROM (SELECT asked, name, levenshtein(lower(asked), lower(name))::INTEGER AS distance, row_number() OVER (PARTITION BY asked ORDER BY levenshtein(lower(asked), lower(name)), name)::INTEGER AS rank FROM (SELECT DISTINCT p_name AS name FROM part), (SELECT DISTINCT s_name || 'x' AS asked FROM supplier)) WHERE rank <= 5")
+@query(
+    "dif6_nearest_names",
+    "SELECT asked, name, distance, rank FROM (SELECT asked, name, levenshtein(lower(asked), "
+    "lower(name))::INTEGER AS distance, row_number() OVER (PARTITION BY asked ORDER BY levenshtein(lower(asked), lower(name)), "
+    "name)::INTEGER AS rank FROM (SELECT DISTINCT p_name AS name FROM part), (SELECT DISTINCT s_name || 'x' AS asked FROM supplier)) "
+    "WHERE rank <= 5",
+)
 def dif6(spark, d):
     asked = table(spark, d, "supplier").select(F.concat("s_name", F.lit("x")).alias("asked"))
     return delta.nearest_names(asked, table(spark, d, "part").select(F.col("p_name").alias("name")))
 
 
-@query("dif8_race", "SELECT o_custkey, CASE WHEN cleans = 1 AND n > 1 THEN w END AS winner, cleans >= 2 AS tie FROM (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS cleans, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS w FROM orders GROUP BY 1)")
+@query(
+    "dif8_race",
+    "SELECT o_custkey, CASE WHEN cleans = 1 AND n > 1 THEN w END AS winner, cleans >= 2 AS tie "
+    "FROM (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS cleans, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS w "
+    "FROM orders GROUP BY 1)",
+)
 def dif8(spark, d):
     return delta.race(table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("candidate"), (F.col("o_orderstatus") == "F").alias("clean")), "o_custkey", "clean")
 
 
-@query("git1_change_stats", "SELECT l_partkey AS path, sum(CASE WHEN l_shipdate >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY THEN 1 ELSE 0 END)::BIGINT AS commits, max(l_shipdate) AS last_modified FROM lineitem GROUP BY 1")
+@query(
+    "git1_change_stats",
+    "SELECT l_partkey AS path, sum(CASE WHEN l_shipdate >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY THEN 1 ELSE 0 END)::BIGINT AS commits, max(l_shipdate) AS last_modified "
+    "FROM lineitem GROUP BY 1",
+)
 def git1(spark, d):
     import datetime
 
@@ -217,7 +328,14 @@ def _changes(spark, d):
     return table(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, "Created").when(F.col("event_id") % 4 == 1, "Deleted").otherwise("Changed").alias("kind"))
 
 
-@query("str1_debounced_batches", "WITH e AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 WHEN ts = lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, min(ts) AS \"start\", max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS events FROM g GROUP BY user_id, g")
+@query(
+    "str1_debounced_batches",
+    "WITH e AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 WHEN ts = lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS s "
+    "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id "
+    "ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g "
+    "FROM e) SELECT user_id, min(ts) AS \"start\", max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS events FROM g "
+    "GROUP BY user_id, g",
+)
 def str1(spark, d):
     return changes.debounced(_changes(spark, d), "30 minutes", by=["user_id"])
 
@@ -254,13 +372,29 @@ def _truth(spark, d):
     return t.select(F.col("source").alias("query"), F.col("doc_id").alias("item"))
 
 
-@query("met1_set_metrics", f"WITH {_TRUTH}, {_RANKED}, r AS (SELECT query, item FROM ranking WHERE rank <= 20), m AS (SELECT query, (SELECT count(*) FROM r WHERE r.query = x.query) AS got, (SELECT count(*) FROM truth t WHERE t.query = x.query) AS want, (SELECT count(*) FROM r JOIN truth t ON r.query = t.query AND r.item = t.item WHERE r.query = x.query) AS hit FROM (SELECT query FROM r UNION SELECT query FROM truth) x) SELECT query, round(CASE WHEN want = 0 THEN 1 ELSE hit / want END, 6) AS recall, round(CASE WHEN got = 0 THEN 0 ELSE hit / got END, 6) AS precision, round(CASE WHEN hit = 0 AND want > 0 THEN 0 WHEN want = 0 AND (got = 0 OR hit = 0) THEN 0 ELSE 2 * hit / (got + want) END, 6) AS f1 FROM m")
+@query(
+    "met1_set_metrics",
+    f"WITH {_TRUTH}, {_RANKED}, r AS (SELECT query, item FROM ranking WHERE rank <= 20), m AS (SELECT query, (SELECT count(*) FROM r "
+    f"WHERE r.query = x.query) AS got, (SELECT count(*) FROM truth t WHERE t.query = x.query) AS want, (SELECT count(*) FROM r "
+    f"JOIN truth t ON r.query = t.query AND r.item = t.item WHERE r.query = x.query) AS hit FROM (SELECT query "
+    f"FROM r UNION SELECT query "
+    f"FROM truth) x) SELECT query, round(CASE WHEN want = 0 THEN 1 ELSE hit / want END, 6) AS recall, round(CASE WHEN got = 0 THEN 0 ELSE hit / got END, 6) AS precision, round(CASE WHEN hit = 0 AND want > 0 THEN 0 WHEN want = 0 AND (got = 0 OR hit = 0) THEN 0 ELSE 2 * hit / (got + want) END, 6) AS f1 "
+    f"FROM m",
+)
 def met1(spark, d):
     found = metrics.set_metrics(_ranking(spark, d).where("rank <= 20"), _truth(spark, d))
     return found.select("query", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
 
 
-@query("met2_ranked_metrics", f"WITH {_TRUTH}, {_RANKED}, w AS (SELECT query, count(*) AS want FROM truth GROUP BY 1), h AS (SELECT r.query, max(1.0 / rank) AS rr, sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS top, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM ranking r JOIN truth t ON r.query = t.query AND r.item = t.item GROUP BY 1), i AS (SELECT n, sum(1 / log2(k + 1)) AS ideal FROM range(1, 11) a(n), range(1, 11) b(k) WHERE k <= n GROUP BY 1) SELECT query, round(coalesce(rr, 0), 6) AS reciprocal_rank, round(coalesce(top / want, 0), 6) AS recall_at_k, round(coalesce(dcg / ideal, 0), 6) AS ndcg_at_k FROM w LEFT JOIN h USING (query) JOIN i ON n = least(10, want)")
+@query(
+    "met2_ranked_metrics",
+    f"WITH {_TRUTH}, {_RANKED}, w AS (SELECT query, count(*) AS want FROM truth GROUP BY 1), "
+    f"h AS (SELECT r.query, max(1.0 / rank) AS rr, sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS top, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg "
+    f"FROM ranking r JOIN truth t ON r.query = t.query AND r.item = t.item GROUP BY 1), i AS (SELECT n, sum(1 / log2(k + 1)) AS ideal "
+    f"FROM range(1, 11) a(n), range(1, 11) b(k) WHERE k <= n GROUP BY 1) SELECT query, round(coalesce(rr, 0), "
+    f"6) AS reciprocal_rank, round(coalesce(top / want, 0), 6) AS recall_at_k, round(coalesce(dcg / ideal, 0), 6) AS ndcg_at_k FROM w "
+    f"LEFT JOIN h USING (query) JOIN i ON n = least(10, want)",
+)
 def met2(spark, d):
     found = metrics.ranked_metrics(_ranking(spark, d), _truth(spark, d))
     return found.select("query", *[F.round(c, 6).alias(c) for c in ("reciprocal_rank", "recall_at_k", "ndcg_at_k")])
@@ -271,7 +405,11 @@ def met3(spark, d):
     return metrics.bootstrap_interval(table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), "quality")
 
 
-@query("met4_percentiles", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY 1")
+@query(
+    "met4_percentiles",
+    "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), "
+    "6) AS p95, count(*) AS n FROM events GROUP BY 1",
+)
 def met4(spark, d):
     return metrics.summary(table(spark, d, "events"), "value", ["event_type"]).select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p95")], "n")
 
@@ -281,12 +419,20 @@ def met6(spark, d):
     return metrics.stratified_sample(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 3)
 
 
-@query("met7_paired_deltas", "SELECT o_custkey, avg(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS \"F\", avg(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) AS \"O\", avg(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) - avg(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS delta FROM orders GROUP BY 1")
+@query(
+    "met7_paired_deltas",
+    "SELECT o_custkey, avg(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS \"F\", avg(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) AS \"O\", avg(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) - avg(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS delta "
+    "FROM orders GROUP BY 1",
+)
 def met7(spark, d):
     return metrics.paired_deltas(table(spark, d, "orders"), "o_custkey", "o_orderstatus", "o_orderkey", "F", "O")
 
 
-@query("ext2_python_symbols", "SELECT doc_id AS file_path, 3 AS line_no, 'def' AS kind, 'f' || doc_id AS name, true AS is_public FROM documents UNION ALL SELECT doc_id, 2, 'class', '_C', false FROM documents")
+@query(
+    "ext2_python_symbols",
+    "SELECT doc_id AS file_path, 3 AS line_no, 'def' AS kind, 'f' || doc_id AS name, true AS is_public FROM documents "
+    "UNION ALL SELECT doc_id, 2, 'class', '_C', false FROM documents",
+)
 def ext2(spark, d):
     """A small program made from each document's id."""
     source = F.concat(F.lit("# x\nclass _C(object):\n  async def f"), F.col("doc_id").cast("string"), F.lit("(self): pass"))
