@@ -38,15 +38,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ASIDE = frozenset("nav footer aside form head button menu dialog fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|banner|breadcrumbs?|comments?|commentlist|disqus|replies|consent|cookies?|cookiebar|footer|gdpr|login|menu|menubar|modal|nav|navbar|navigation|"
-    r"newsletter|notices?|pager|pagination|popup|promos?|promotion|related|share|sharing|sidebar|signup|site-header|page-header|masthead|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|breadcrumbs?|comments?|commentlist|disqus|replies|consent|cookies?|cookiebar|footer|gdpr|login|menu|menubar|modal|nav|navbar|navigation|"
+    r"newsletter|notices?|pager|pagination|popup|sidebar|signup|site-header|page-header|masthead|sponsor|sponsored|subscribe|toolbar)(?:$|[\s_-])",
     re.I,
 )
+#: Names that an article's own elements may have too: asides outside it, and inside it where the host's template has them.
+DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:banner|promos?|promotion|related|share|sharing|skip|social|widget)(?:$|[\s_-])", re.I)
 #: Elements that the start of another one of the second kind ends.
 CLOSED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 BLOCK_ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-#: A class belongs to the template if it has so many tokens and so large a part of the host's pages.
+#: A class of texts belongs to the template if it has so many tokens, and any class only with so large a part of the host's pages.
 LEAST_TOKENS, LEAST_SHARE, LEAST_PAGES = 2, 0.5, 4
 #: Template texts that are more than this part of an article are its own: the host's pages are copies of it.
 COPIED_SHARE = 0.5
@@ -63,7 +65,7 @@ class Block(NamedTuple):
     aside: bool
     #: Within an article: 2, within a main element: 1.
     main: int
-    #: Path of the outermost element around it that has a name of asides.
+    #: Path of the outermost element around it that has a doubtful name.
     named: str
 
 
@@ -114,13 +116,14 @@ def parse(page: str | None) -> tuple[dict[str, int], list[Block]]:
             or tag in ASIDE
             or (tag in ("header", "label") and not main)
             or role in ASIDE_ROLES
+            or (bool(names) and (tag not in ("html", "body", "article", "main") or "comment" in names.lower()) and bool(ASIDE_NAMES.search(names)))
             or "hidden" in attributes
             or attributes.get("aria-hidden") == "true"
             or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         )
         main = 2 if tag == "article" else max(main, 1) if tag == "main" or role == "main" else main
         path = f"{path}/{tag}.{names}" if names else f"{path}/{tag}"
-        if not named and names and (tag not in ("html", "body", "article", "main") or "comment" in names.lower()) and ASIDE_NAMES.search(names):
+        if not named and names and tag not in ("html", "body", "article", "main") and DOUBTFUL_NAMES.search(names):
             named = path
         elements[path] = elements.get(path, 0) + 1
         stack.append((tag, path, aside, main, named))
@@ -129,14 +132,14 @@ def parse(page: str | None) -> tuple[dict[str, int], list[Block]]:
     return elements, out
 
 
-def page_tokens(page: str | None) -> dict[int, int]:
-    """Uses of each token of a page: of its elements and of its texts."""
+def page_tokens(page: str | None) -> tuple[dict[int, int], dict[int, int]]:
+    """Uses of each token of a page: of its elements, and of its texts."""
     elements, blocks = parse(page)
-    uses = {token_hash(path): n for path, n in elements.items()}
+    texts: dict[int, int] = {}
     for b in blocks:
         key = token_hash(f"{b.path}\n{b.text}")
-        uses[key] = uses.get(key, 0) + 1
-    return uses
+        texts[key] = texts.get(key, 0) + 1
+    return {token_hash(path): n for path, n in elements.items()}, texts
 
 
 def token_hash(token: str) -> int:
@@ -168,9 +171,9 @@ class Template:
 def main_text(page: str | None, tokens: set[int]) -> str:
     """Texts of the slots of the article; of the main element, or of the page, where there is no article.
 
-    A slot is left out if its element is one of asides. Names of asides count outside the article,
-    and inside it where the template has the element, or the host has no template: a page's own
-    element with such a name is part of its article.
+    A slot is left out if its element is one of asides. Doubtful names count outside the article, and
+    inside it where the template has the element, or the host has no template: a page's own element
+    with such a name is part of its article.
     """
     template, slots = Template(tokens), {}
     for number, b in enumerate(parse(page)[1]):
@@ -198,24 +201,27 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            hosts, keys, tokens, uses = [], [], [], []
+            hosts, keys, tokens, uses, kinds = [], [], [], [], []
             for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = page_tokens(text.as_py())
-                hosts += [host] * len(found)
-                keys += [page] * len(found)
-                tokens += found.keys()
-                uses += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, keys, tokens, uses)], ["host", "page", "token", "uses"])
-
-    occurrences = pages.select("host", "page", "html").mapInArrow(run, "host long, page long, token long, uses long")
+                for is_text, found in enumerate(page_tokens(text.as_py())):
+                    hosts += [host] * len(found)
+                    keys += [page] * len(found)
+                    tokens += found.keys()
+                    uses += found.values()
+                    kinds += [bool(is_text)] * len(found)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (hosts, keys, tokens, uses)], pa.array(kinds, pa.bool_())], ["host", "page", "token", "uses", "is_text"])
+
+    occurrences = pages.select("host", "page", "html").mapInArrow(run, "host long, page long, token long, uses long, is_text boolean")
     part = lambda seed: F.sum(F.pmod(F.xxhash64("page", "uses", F.lit(seed)), F.lit(1 << 31)))
-    vectors = occurrences.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), part(1).alias("v1"), part(2).alias("v2"))
+    vectors = occurrences.groupBy("host", "token", "is_text").agg(F.count(F.lit(1)).alias("pages"), part(1).alias("v1"), part(2).alias("v2"))
     all_pages = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
     # only tokens that many pages share can be in a valid class: a page has few of them, so a host has few
     shared = stage(vectors.where(F.col("pages") >= LEAST_PAGES), "html-vectors")
     classes = shared.groupBy("host", "pages", "v1", "v2").agg(F.count(F.lit(1)).alias("tokens"))
-    valid = classes.join(all_pages, "host").where((F.col("tokens") >= LEAST_TOKENS) & (F.col("pages") >= LEAST_SHARE * F.col("all_pages")))
-    return stage(shared.join(valid.select("host", "pages", "v1", "v2"), ["host", "pages", "v1", "v2"]).select("host", "token"), "html-templates")
+    common = classes.join(all_pages, "host").where(F.col("pages") >= LEAST_SHARE * F.col("all_pages"))
+    # an element that repeats within its parent is a class alone: it nests in its parent's
+    valid = shared.join(common.select("host", "pages", "v1", "v2", "tokens"), ["host", "pages", "v1", "v2"]).where(~F.col("is_text") | (F.col("tokens") >= LEAST_TOKENS))
+    return stage(valid.select("host", "token"), "html-templates")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
