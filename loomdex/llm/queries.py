@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .fill_middle import OP12_SQL, op12_fill_middle
 from .html_text import op9_main_text
 from .language_id import op10_language_id
 from .licenses import op6_license_scan
 from .lm_score import op2_lm_score
+from .merkle import OP11_SQL, op11_merkle_manifest
+from .minhash_prints import op13_fingerprints
 from .mixing import op5_entropy_mix
 from .quality import op4_quality
 from .sharding import op8_kd_shards
@@ -24,5 +27,8 @@ QUERIES = {
     "op5_entropy_mix": op5_entropy_mix,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_kd_shards": op8_kd_shards,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_fingerprints": op13_fingerprints,
 }
-ORACLES = {"op7_exact_dedup": OP7_SQL}
+ORACLES = {"op7_exact_dedup": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_fill_middle": OP12_SQL}
