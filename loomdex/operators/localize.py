@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import match_terms
-from . import fusion, graph, packing, search
+from . import fusion, graph, packing, postings, search
 from .emit import manifest
 from .shared import saved
 
@@ -35,23 +36,51 @@ class Request:
         return out
 
 
-def localize(chunks: DataFrame, files: DataFrame, request: Request, key: str = "chunk_id") -> DataFrame:
+def localize(chunks: DataFrame, files: DataFrame, request: Request, index: postings.Index, graph_of: tuple[DataFrame, DataFrame] | None = None, hashes: DataFrame | None = None) -> DataFrame:
     """Ranked files for a question: key, file_path, score, sources, grade.
 
-    ``chunks``: key, file_path, name and the fields; ``files``: file_path. Lexical and path candidates
-    are fused by noisy-or; the pool of the search bounds what is ranked.
+    ``chunks``: the index's key, file_path, name; ``files``: file_path. A first search of the index gives lexical
+    candidates; names of its best files' hits widen the question for a second one, which adds files at a lower
+    score. These and path candidates are fused by noisy-or, the grade decides how many stay. ``graph_of`` (edges,
+    nodes) adds files one step from the best, ``hashes`` (file_path, content_hash) leaves one file of each content.
+    The pool of the searches bounds what is ranked.
     """
-    tokens = [w for p in match_terms(request.query) for w in p]
+    spark, key = chunks.sparkSession, index.key
     pool = max(4 * request.most, 80)
-    best = saved(search.bm25(chunks, request.query, request.fields, pool, key), "hits")  # pool rows, read several times
-    order = Window.orderBy(F.desc("score"), key)  # pool rows
-    hits = best.withColumn("rank", F.row_number().over(order) - 1).join(chunks.select(key, "file_path", "name"), key)
-    lexical = search.lexical_candidates(hits, tokens).select("file_path", "score", F.when(F.col("ceiling") == search.NAME_CEILING, "fts_symbol").otherwise("fts_body").alias("source"))
-    paths = search.path_candidates(files, tokens, request.most).select("file_path", "score", F.lit("fts_path").alias("source"))
-    both = lexical.unionByName(paths).select(F.lit(None).cast("string").alias("node_id"), "file_path", "score", "source", F.lit(0).alias("tokens"))
-    fused = fusion.noisy_or(both)
-    chosen = fusion.select_candidates(fused, request.strict)
-    return chosen.crossJoin(F.broadcast(fusion.grade(fused).select("grade"))).select("key", "file_path", "score", F.array_join("sources", ",").alias("sources"), "grade").orderBy(F.desc("score"), "file_path").limit(request.most)
+
+    def found(query: str) -> tuple[DataFrame, DataFrame]:
+        best = postings.search(spark, index, query, request.fields, pool)
+        order = Window.orderBy(F.desc("score"), key)  # pool rows
+        ranks = F.broadcast(best.withColumn("rank", F.row_number().over(order) - 1))
+        hits = saved(chunks.select(key, "file_path", "name").join(ranks, key), "hits")  # pool rows, read several times
+        return hits, search.lexical_candidates(hits, tokens_of(query))
+
+    hits, lexical = found(request.query)
+    more = [r["term"] for r in search.feedback_terms(hits, tokens_of(request.query)).collect()]  # six terms at most
+    parts = [named(lexical)]
+    if more:
+        parts.append(named(search.feedback_candidates(found(" ".join([request.query, *more]))[1], lexical)))
+    parts.append(search.path_candidates(files, tokens_of(request.query), request.most).select("file_path", "score", F.lit("fts_path").alias("source")))
+    both = reduce(DataFrame.unionByName, parts).select(F.lit(None).cast("string").alias("node_id"), "file_path", "score", "source", F.lit(0).alias("tokens"))
+    fused = saved(fusion.noisy_or(both), "fused")  # the candidates of the pools
+    chosen = fusion.select_candidates(fused, request.strict).select("key", "file_path", "score", F.array_join("sources", ",").alias("sources"))
+    if graph_of is not None:
+        near = graph_discovery(*graph_of, chosen.select("file_path", "score"))
+        chosen = chosen.unionByName(near.select(F.concat(F.lit("file:"), "file_path").alias("key"), "file_path", "score", F.lit("graph").alias("sources")))
+    order = [F.desc("score"), F.col("file_path")]
+    if hashes is not None:
+        of = hashes.join(F.broadcast(chosen.select("file_path")), "file_path", "left_semi")
+        chosen = fusion.content_dedup(chosen, of, order, "file_path")
+    return chosen.crossJoin(F.broadcast(fusion.grade(fused).select("grade"))).select("key", "file_path", "score", "sources", "grade").orderBy(*order).limit(request.most)
+
+
+def tokens_of(query: str) -> list[str]:
+    return [w for p in match_terms(query) for w in p]
+
+
+def named(candidates: DataFrame) -> DataFrame:
+    """Lexical candidates with their source: a name that holds a word of the question, or the text alone."""
+    return candidates.select("file_path", "score", F.when(F.col("ceiling") == search.NAME_CEILING, "fts_symbol").otherwise("fts_body").alias("source"))
 
 
 def context_plan(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, costs: DataFrame, request: Request, mode: str = "auto", tests: bool = True) -> DataFrame:

@@ -52,14 +52,26 @@ scored AS (SELECT chunk_id, source, lang, {_PART} AS score FROM c, s WHERE {' OR
 hits AS (SELECT chunk_id, source AS name, source || '/' || lang AS file_path, score, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM scored)"""
 
 
+_INDEXES: dict[tuple[str, str], postings.Index] = {}
+
+
+def stored(spark, d) -> postings.Index:
+    """The index over a folder's documents; built by the first query of a session that asks for it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _INDEXES:
+        _INDEXES[at] = postings.build(docs(spark, d), "chunk_id", list(WEIGHTS))
+    return _INDEXES[at]
+
+
 @query("fts1_bm25", f"WITH {BM25_SQL} SELECT chunk_id, round(score, 6) AS score FROM scored")
 def fts1(spark, d):
     return search.bm25(docs(spark, d), "", WEIGHTS, None, phrases=TERMS).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def hits(spark, d, limit=60):
-    found = saved(search.bm25(docs(spark, d), "", WEIGHTS, None, phrases=TERMS).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "chunk_id").limit(limit), "hits")  # limit rows
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")) - 1).join(docs(spark, d).select("chunk_id", "name", "file_path"), "chunk_id")
+    found = postings.search(spark, stored(spark, d), "", WEIGHTS, limit, TERMS)
+    ranks = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "chunk_id")) - 1)
+    return docs(spark, d).select("chunk_id", "name", "file_path").join(F.broadcast(ranks), "chunk_id")  # limit rows
 
 
 @query(
@@ -113,16 +125,44 @@ def fts5(spark, d):
 
 @query("fts3_postings", f"SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_words('text')}) AS term FROM documents) GROUP BY 1, 2")
 def fts3(spark, d):
-    return postings.occurrences(docs(spark, d), "chunk_id", ["body"]).select("chunk_id", "term", "tf")
+    return postings.occurrences(docs(spark, d), "chunk_id", ["body"]).where("term IS NOT NULL").select("chunk_id", "term", F.get("tfs", F.lit(0)).alias("tf"))
 
 
 @query("fts1_stored_index", f"WITH {BM25_SQL} SELECT chunk_id, round(score, 6) AS score FROM scored")
 def fts1_stored(spark, d):
-    """The same search by a stored index, which this query builds first."""
-    index = postings.build(docs(spark, d), "chunk_id", list(WEIGHTS))
+    """The same search by a stored index."""
+    return postings.search(spark, stored(spark, d), "", WEIGHTS, None, TERMS).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("fts1_best_blocks", f"WITH {BM25_SQL} SELECT chunk_id, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, chunk_id LIMIT 80")
+def fts1_best(spark, d):
+    """The best 80 chunks; blocks that cannot hold one of them are passed over."""
+    return postings.search(spark, stored(spark, d), "", WEIGHTS, 80, TERMS).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def _changed(spark, d):
+    """A tenth of the chunks with other texts, and a tenth that go."""
+    t = docs(spark, d)
+    return t.where("chunk_id % 10 = 3").withColumn("body", F.concat_ws(" ", "name", "symbols")), t.where("chunk_id % 10 = 7")
+
+
+_LOG_SQL = BM25_SQL.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN source || ' ' || lang ELSE text END AS text, source, lang FROM documents WHERE doc_id % 10 <> 7))", 1)
+
+
+@query("snk2_search_of_log", f"WITH {_LOG_SQL} SELECT chunk_id, round(score, 6) AS score FROM scored")
+def snk2_log(spark, d):
+    """Scores from an index whose last segment changes a tenth of the chunks and removes a tenth."""
+    index = postings.replace(stored(spark, d), *_changed(spark, d))
     return postings.search(spark, index, "", WEIGHTS, None, TERMS).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@query("snk2_best_of_compacted", f"WITH {_LOG_SQL} SELECT chunk_id, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, chunk_id LIMIT 80")
+def snk2_compacted(spark, d):
+    """The best of the same index after its segments were made one."""
+    index = postings.compacted(spark, postings.replace(stored(spark, d), *_changed(spark, d)))
+    return postings.search(spark, index, "", WEIGHTS, 80, TERMS).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "snk2_replaced_postings",
     f"WITH c AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN source || ' ' || lang ELSE text END AS text FROM documents "
@@ -131,10 +171,8 @@ def fts1_stored(spark, d):
 )
 def snk2(spark, d):
     """An index of all documents in which a tenth have another text afterwards and a tenth are gone."""
-    t = docs(spark, d)
-    index = postings.build(t, "chunk_id", ["body"])
-    changed = t.where("chunk_id % 10 = 3").withColumn("body", F.concat_ws(" ", "name", "symbols"))
-    return postings.replace(index, changed, ["body"], t.where("chunk_id % 10 = 7")).postings(spark).select("chunk_id", "term", "tf")
+    index = postings.replace(stored(spark, d), *_changed(spark, d))
+    return index.postings(spark).where("field = 'body'").select("chunk_id", "term", "tf")
 
 
 @query(

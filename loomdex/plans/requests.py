@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import emit, localize
 from ..operators.reduce import SECRETS
+from . import ranking
 from .fixtures import edges, files, nodes, table
 from .texts import PLAN_SQL, plan_rows
 
@@ -25,9 +26,9 @@ def query(name: str, sql: str | None = None):
 @query("localize")
 def localization(spark, d):
     """Files (a source and language) for a question, from the texts and the paths."""
-    t = table(spark, d, "documents")
-    chunks = t.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"), F.col("source").alias("name"), F.concat("source", F.lit("/"), "lang").alias("file_path"))
-    return localize.localize(chunks, chunks.select("file_path").distinct(), localize.Request(query="thing in src3 of theatre"))
+    chunks = ranking.docs(spark, d)
+    hashes = chunks.groupBy("file_path").agg(F.min("content_hash").alias("content_hash"))
+    return localize.localize(chunks, chunks.select("file_path").distinct(), localize.Request(query="thing in src3 of theatre", fields=ranking.WEIGHTS), ranking.stored(spark, d), hashes=hashes)
 
 
 @query("pck1_context_plan")

@@ -64,28 +64,38 @@ def test_graph_discovery(spark, sf_dir):
 
 def test_localize(spark, sf_dir, tables):
     query, most = "thing in src3 of theatre", 20
-    phrases, weights = text.match_terms(query), {"body": 1.0, "name": 5.0}
+    weights = {"body": 1.0, "name": 5.0, "symbols": 4.0}
     plain = lambda s: re.findall(r"[^\W_]+", (s or "").lower().translate(str.maketrans(*text.LATIN)))
-    chunks = [(r["doc_id"], {"body": plain(r["text"]), "name": plain(r["source"])}, r["source"], f"{r['source']}/{r['lang']}") for r in tables("documents")]
+    chunks = [(r["doc_id"], {"body": plain(r["text"]), "name": plain(r["source"]), "symbols": plain(r["lang"])}, r["source"], f"{r['source']}/{r['lang']}") for r in tables("documents")]
     count = lambda words, p: sum(words[i : i + len(p)] == p for i in range(len(words)))
-    f = {k: [sum(w * count(fields[n], p) for n, w in weights.items()) for p in phrases] for k, fields, _, _ in chunks}
-    n, have = len(chunks), [sum(x[i] > 0 for x in f.values()) for i in range(len(phrases))]
+    of, n = {k: (name, path) for k, _, name, path in chunks}, len(chunks)
     size = {k: sum(map(len, fields.values())) for k, fields, _, _ in chunks}
     mean = sum(size.values()) / n
-    idf = [max(1e-6, math.log((n - h + 0.5) / (h + 0.5))) for h in have]
-    score = {k: sum(i * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * size[k] / mean)) for i, x in zip(idf, f[k], strict=True) if x) for k in f if any(f[k])}
-    hits = sorted(score, key=lambda k: (-score[k], k))[: max(4 * most, 80)]
-    of = {k: (name, path) for k, _, name, path in chunks}
-    tokens = [w for p in phrases for w in p]
-    files = {}
-    for rank, k in enumerate(hits):
-        first, named = files.get(of[k][1], (rank, False))
-        files[of[k][1]] = (first, named or any(t in (of[k][0] or "").lower() for t in tokens))
-    lexical = {}
-    order = sorted(files, key=lambda p: (files[p][0], p))
-    for place, path in enumerate(order):
-        ceiling = search.NAME_CEILING if files[path][1] else search.BODY_CEILING
-        lexical[path] = ceiling * (1 - (place / (len(order) - 1) if len(order) > 1 else 0) * search.FALL)
+
+    def searched(question):
+        """Hits of a question in their order, and its lexical candidates with their places."""
+        phrases = text.match_terms(question)
+        f = {k: [sum(w * count(fields[n], p) for n, w in weights.items()) for p in phrases] for k, fields, _, _ in chunks}
+        have = [sum(x[i] > 0 for x in f.values()) for i in range(len(phrases))]
+        idf = [max(1e-6, math.log((n - h + 0.5) / (h + 0.5))) for h in have]
+        score = {k: sum(i * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * size[k] / mean)) for i, x in zip(idf, f[k], strict=True) if x) for k in f if any(f[k])}
+        hits = sorted(score, key=lambda k: (-score[k], k))[: max(4 * most, 80)]
+        tokens = [w for p in phrases for w in p]
+        files = {}
+        for rank, k in enumerate(hits):
+            first, named = files.get(of[k][1], (rank, False))
+            files[of[k][1]] = (first, named or any(t in (of[k][0] or "").lower() for t in tokens))
+        order = sorted(files, key=lambda p: (files[p][0], p))
+        ceiling = lambda p: search.NAME_CEILING if files[p][1] else search.BODY_CEILING
+        return hits, tokens, {p: ceiling(p) * (1 - (place / (len(order) - 1) if len(order) > 1 else 0) * search.FALL) for place, p in enumerate(order)}
+
+    hits, tokens, lexical = searched(query)
+    first = sorted(lexical, key=lambda p: min(hits.index(k) for k in hits if of[k][1] == p))[:5]
+    names = Counter(w for k in hits if of[k][1] in first for w in plain(of[k][0]) if len(w) >= 3 and w not in tokens)
+    more = sorted(names, key=lambda w: (-names[w], w))[:6]
+    if more:
+        second = searched(" ".join([query, *more]))[2]
+        lexical |= {p: 0.6 * second[p] for p in [p for p in second if p not in lexical][:8]}
     paths = set()
     for t in [t for t in tokens if len(t) >= 3]:
         paths |= set(sorted({p for *_, p in chunks if t.lower() in p.lower()}, key=lambda p: (len(p), p))[:most])
@@ -94,7 +104,14 @@ def test_localize(spark, sf_dir, tables):
     top = fused[ranked[0]]
     cluster = [p for p in ranked if fused[p] >= top - fusion.CLEAR_GAP]
     clear = top >= fusion.CONFIDENT and len(cluster) <= fusion.CLUSTER and len(cluster) < len(ranked)
-    want = (cluster if clear else ranked[:10])[:most]
+    want, contents = [], {}
+    for r in tables("documents"):
+        path, digest = f"{r['source']}/{r['lang']}", hashlib.md5((r["text"] or "").encode()).hexdigest()
+        contents[path] = min(digest, contents.get(path, digest))
+    for p in cluster if clear else ranked[:10]:
+        if contents[p] not in {contents[q] for q in want}:
+            want.append(p)
+    want = want[:most]
     got = rows(spark, sf_dir, "localize")
     assert {r["file_path"]: round(r["score"], 6) for r in got} == {p: round(fused[p], 6) for p in want}
 

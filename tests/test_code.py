@@ -4,7 +4,7 @@ import subprocess
 
 import pytest
 from loomdex.functions import csharp
-from loomdex.operators import code, delta, packing, postings, search, store
+from loomdex.operators import code, delta, localize, packing, postings, search, store
 from loomdex.operators.shared import new_path, numbered
 from loomdex.sources import templates, version_control
 from loomdex.streaming import changes
@@ -187,7 +187,7 @@ def test_stored_index_scores_as_the_scan_does(spark):
     assert plain(postings.search(spark, index, "", weights, None, phrases)) == plain(search.bm25(chunks, "", weights, None, phrases=phrases))
     assert postings.search(spark, index, "...", weights).count() == 0
     changed = chunks.where("chunk_id = 5").withColumn("body", F.lit("a a"))
-    after = postings.replace(index, changed, list(weights), chunks.where("chunk_id = 6").select("chunk_id"))
+    after = postings.replace(index, changed, chunks.where("chunk_id = 6").select("chunk_id"))
     now = chunks.where("chunk_id NOT IN (5, 6)").unionByName(changed)
     assert plain(postings.search(spark, after, "", weights, None, phrases)) == plain(search.bm25(now, "", weights, None, phrases=phrases))
     # the old version is still what it was
@@ -201,10 +201,70 @@ def test_stems_are_a_field_of_their_own(spark):
     assert [r["chunk_id"] for r in postings.search(spark, index, "", {"stems": 0.7}, None, [["poni"]]).orderBy("chunk_id").collect()] == [1, 2]
 
 
+def test_log_of_segments_and_blocks(spark, monkeypatch):
+    """Changes upon changes, reopened versions, compaction and top blocks, each against the scan of what is there."""
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    rng, weights = random.Random(4), {"body": 1.0, "name": 5.0}
+    text = lambda: " ".join(rng.choices(["a", "b", "c", "dd", "e f", "rare"], [30, 9, 5, 3, 2, 1], k=rng.choice([0, 2, 9, 60])))
+    now = {i: (text(), rng.choice(["n a", "b", None])) for i in range(300)}
+    frame = lambda rows: spark.createDataFrame([(k, *v) for k, v in rows.items()], "chunk_id long, body string, name string")
+    index = first = postings.build(frame(now), "chunk_id", ["body", "name"])
+    phrases = [["rare"], ["dd"], ["e", "f"]]
+
+    def check(held):
+        plain = lambda found: [(r["chunk_id"], round(r["score"], 9)) for r in found.collect()]
+        for asked in (phrases, [["rare"]], [["a"], ["nothing"]]):
+            want = plain(search.bm25(frame(now), "", weights, None, phrases=asked))
+            assert plain(postings.search(spark, held, "", weights, None, asked)) == want
+            assert plain(postings.search(spark, held, "", weights, 7, asked)) == want[:7]
+        assert {r["chunk_id"]: r["dl"] for r in held.lengths(spark).collect()} == {k: len(f"{b or ''} {n or ''}".split()) for k, (b, n) in now.items()}
+
+    check(index)
+    _, read = postings.top(spark, index, [["rare"], ["dd"]], weights, 3)
+    assert 0 < read["read"] < read["blocks"]
+    before = dict(now)
+    for gone, changed in (({3, 4, 5}, range(6, 12)), ({6, 7}, (4, 8, 400)), ({1}, ())):
+        fresh = {k: (text(), "new") for k in changed}
+        index = postings.replace(index, frame(fresh), spark.createDataFrame([(k,) for k in gone], "chunk_id long"))
+        now = {k: v for k, v in now.items() if k not in gone} | fresh
+        check(index)
+    assert postings.opened(spark, index.path) == index and postings.opened(spark, index.path, 0) == first
+    check(postings.compacted(spark, index))
+    now = before
+    check(first)
+
+
+def test_a_small_change_writes_little(spark, sf_dir, tmp_path):
+    import os
+
+    size = lambda path: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
+    index = postings.build(docs, "chunk_id", ["body"])
+    after = postings.replace(index, docs.where("chunk_id IN (5, 6)"))
+    assert [s.number for s in after.segments] == [0, 1] and after.segments[1].chunks == 0
+    local = index.path.removeprefix("file:")
+    assert size(f"{local}/{after.segments[1].folder}") < size(f"{local}/{after.segments[0].folder}") / 10
+
+
+def test_localize_adds_neighbours_and_drops_copies(spark):
+    rows = [(1, "alpha beta", "one", "a.cs"), (2, "alpha", "two", "b.cs"), (3, "alpha beta beta", "one", "copy.cs"), (4, "gamma", "three", "c.cs"), *[(10 + i, "alpha" + " filler" * (20 + i), "none", f"y{i}.cs") for i in range(5)], *[(30 + i, "filler text", "none", f"z{i}.cs") for i in range(9)]]
+    chunks = spark.createDataFrame(rows, "chunk_id long, body string, name string, file_path string")
+    index = postings.build(chunks, "chunk_id", ["body", "name"])
+    edges = spark.createDataFrame([("b", "c", "calls", 1.0)], "from string, to string, type string, weight double")
+    nodes = spark.createDataFrame([("a", "a.cs"), ("b", "b.cs"), ("c", "c.cs")], "node string, file_path string")
+    hashes = spark.createDataFrame([("a.cs", "h"), ("copy.cs", "h"), ("b.cs", "i"), ("c.cs", "k")], "file_path string, content_hash string")
+    request = localize.Request(query="alpha")
+    found = lambda **more: [r["file_path"] for r in localize.localize(chunks, chunks.select("file_path"), request, index, **more).collect()]
+    plain = found()
+    assert set(plain) == {"a.cs", "b.cs", "copy.cs", *[f"y{i}.cs" for i in range(5)]}
+    assert set(found(graph_of=(edges, nodes))) == {*plain, "c.cs"}
+    assert len({"a.cs", "copy.cs"} & set(found(hashes=hashes))) == 1
+
+
 def test_searches_read_their_terms_alone(spark):
     chunks = spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "chunk_id long, body string")
     index = postings.build(chunks, "chunk_id", ["body"])
-    plan = postings.search(spark, index, "word7", {"body": 1.0})._jdf.queryExecution().toString()
+    plan = postings.search(spark, index, "word7", {"body": 1.0}, None)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert "PushedFilters" in plan and "term" in plan.split("PushedFilters")[1][:400]
 
