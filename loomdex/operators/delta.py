@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from .shared import numbered, saved
 
-#: Names that are compared with all others at a time.
-ASKED_AT_A_TIME = 4000
+#: Edit distance that names are first sought within, and keys that the names of a length are dealt out over.
+NEAR, SALTS = 2, 16
 #: Ranks of accessibility, from the widest.
 ACCESS = ["public", "protected internal", "protected", "internal", "private protected", "private"]
 
@@ -171,26 +171,46 @@ def freshness(indexed: DataFrame, current: DataFrame, key: str, digest: str, mos
     return rows.crossJoin(F.broadcast(n)).select(key, F.when(F.col("n") > most, "stale").otherwise(F.col("state")).alias("state"))
 
 
+def deletions(name: Column, most: int) -> Column:
+    """What is left of a name after up to ``most`` of its characters are left out, each once."""
+    one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    out = F.array(name)
+    for _ in range(most):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, one))))
+    return out
+
+
 def nearest_names(asked: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
-    """The nearest names of each asked name by edit distance in lower case, then by name.
+    """The nearest names of each asked name by edit distance in lower case, then by name: asked, name, distance, rank.
 
-    Asked names are a stated query set, compared with every name in blocks of about ASKED_AT_A_TIME. The
-    best name of each of some hashed groups of names gives a bound that the nearest ones are within,
-    so that only pairs within it are ranked, and input tasks pass on no more than the groups.
+    Two names within distance d share what is left of both after at most d deletions, so for the NEAR
+    nearest distances these are joined. An asked name is done once ``most`` names lie within the
+    distance; the others go on with twice the distance, among the names whose length is within it, up to the
+    distance at which every name is. Names are compared only within what an equal key brings together; a
+    length's names are dealt out over SALTS keys. Null names and asked names are left out.
     """
-    distinct, wanted = saved(names.select("name").distinct(), "names"), saved(asked.select("asked").distinct(), "asked")
-    blocks = max(1, -(-wanted.count() // ASKED_AT_A_TIME))
-    out = None
-    for block in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == block)  # about ASKED_AT_A_TIME names
-        pairs = distinct.crossJoin(F.broadcast(part)).select("asked", "name", F.struct(F.levenshtein(F.lower("asked"), F.lower("name")).alias("distance"), "name").alias("near"))
-        groups = pairs.groupBy("asked", F.pmod(F.xxhash64("name"), F.lit(64)).alias("g")).agg(F.min("near").alias("near"))
-        bound = groups.groupBy("asked").agg(F.sort_array(F.collect_list("near")).alias("best")).select("asked", F.when(F.size("best") >= most, F.col("best")[most - 1]["distance"]).alias("most"))
-        within = pairs.join(F.broadcast(bound), "asked").where(F.col("most").isNull() | (F.col("near.distance") <= F.col("most")))
-        rank = F.row_number().over(Window.partitionBy("asked").orderBy("near"))
-        found = within.withColumn("rank", rank).where(F.col("rank") <= most).select("asked", "name", "near.distance", "rank")
-        out = found if out is None else out.unionByName(found)
-    return out
+    held = saved(names.where("name IS NOT NULL").select("name").distinct().select("name", F.lower("name").alias("low"), F.length(F.lower("name")).alias("n")), "names")
+    left = saved(asked.where("asked IS NOT NULL").select("asked").distinct().select("asked", F.lower("asked").alias("alow"), F.length(F.lower("asked")).alias("an")), "asked")
+    longest = max([r[0] or 0 for r in (held.agg(F.max("n")).first(), left.agg(F.max("an")).first())])
+    out, distance = None, NEAR
+    while True:
+        if distance == NEAR:
+            a, b = left.select("*", F.explode(deletions(F.col("alow"), NEAR)).alias("key")), held.select("name", "low", F.explode(deletions(F.col("low"), NEAR)).alias("key"))
+            pairs = a.join(b, "key").select("asked", "alow", "name", "low").distinct()
+        else:
+            spread = F.explode(F.sequence(F.greatest(F.lit(0), F.col("an") - distance), F.col("an") + distance)).alias("n")
+            a = left.select("*", spread).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            pairs = a.join(held.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")), ["n", "salt"])
+        near = pairs.select("asked", "name", F.levenshtein("alow", "low", distance).alias("distance")).where("distance >= 0")
+        rank = F.row_number().over(Window.partitionBy("asked").orderBy("distance", "name"))
+        found = saved(near.withColumn("rank", rank).where(F.col("rank") <= most), "nearest")
+        done = found.groupBy("asked").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= most).select("asked")
+        last = distance >= longest
+        kept = found if last else found.join(done, "asked", "left_semi")
+        out = kept if out is None else out.unionByName(kept)
+        if last or not (left := saved(left.join(done, "asked", "left_anti"), "asked")).limit(1).count():
+            return out
+        distance *= 2
 
 
 #: Candidates of a repair.

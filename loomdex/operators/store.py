@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import substrings
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same key. Write the result to a new table version."""
@@ -41,9 +43,10 @@ def list_symbols(symbols: DataFrame, files: DataFrame, limit: int) -> DataFrame:
     return top(symbols.join(files.select("file_path"), "file_path"), [F.desc("is_public"), F.lower("name"), "symbol_id"], limit)
 
 
-def find_symbols(symbols: DataFrame, fragment: str, limit: int) -> DataFrame:
-    """Names with the fragment, ignoring case; % and _ in it are wildcards."""
-    return top(symbols.where(F.col("name").ilike(f"%{fragment}%")), [F.desc("is_public"), F.length("name"), F.lower("name"), "symbol_id"], limit)
+def find_symbols(symbols: DataFrame, fragment: str, limit: int, index: substrings.TrigramIndex | None = None) -> DataFrame:
+    """Names with the fragment, ignoring case; % and _ in it are wildcards. An index over "name" saves the scan of ``symbols``."""
+    found = symbols.where(F.col("name").ilike(substrings.pattern(fragment))) if index is None else substrings.find(symbols.sparkSession, index, fragment)
+    return top(found, [F.desc("is_public"), F.length("name"), F.lower("name"), "symbol_id"], limit)
 
 
 def signatures_by_name(symbols: DataFrame, names: DataFrame, per_name: int) -> DataFrame:
@@ -68,8 +71,10 @@ def edges_with_evidence(edges: DataFrame, files: DataFrame) -> DataFrame:
     return edges.join(files.select(F.col("file_id").alias("evidence_file_id"), F.col("file_path").alias("evidence_path")), "evidence_file_id", "left")
 
 
-def files_with(files: DataFrame, fragment: str, limit: int) -> DataFrame:
-    return top(files.where(F.col("file_path").ilike(f"%{fragment}%")), [F.length("file_path"), "file_path"], limit)
+def files_with(files: DataFrame, fragment: str, limit: int, index: substrings.TrigramIndex | None = None) -> DataFrame:
+    """Paths with the fragment, as ``find_symbols``; shortest first. An index over "file_path" saves the scan."""
+    found = files.where(F.col("file_path").ilike(substrings.pattern(fragment))) if index is None else substrings.find(files.sparkSession, index, fragment)
+    return top(found, [F.length("file_path"), "file_path"], limit)
 
 
 def tokens_per_file(files: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import substrings
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]) -> object:
+    """What ``make`` stores of a folder's tables; made by the first query of a session that asks for it."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _STORED:
+        _STORED[at] = make()
+    return _STORED[at]
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
@@ -17,6 +32,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def path_trigrams(spark: SparkSession, sf_dir: str) -> substrings.TrigramIndex:
+    return stored(spark, sf_dir, "paths", lambda: substrings.build(files(spark, sf_dir), "file_path", ["file_id", "file_path"]))
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stemmer, text
-from ..operators import fusion, postings, search
+from ..operators import fusion, postings, search, substrings
 from ..operators.shared import saved
+from . import fixtures
 from .fixtures import FILES_SQL, files, table
 
 QUERIES, SQL = {}, {}
@@ -52,15 +53,9 @@ scored AS (SELECT chunk_id, source, lang, {_PART} AS score FROM c, s WHERE {' OR
 hits AS (SELECT chunk_id, source AS name, source || '/' || lang AS file_path, score, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM scored)"""
 
 
-_INDEXES: dict[tuple[str, str], postings.Index] = {}
-
-
 def stored(spark, d) -> postings.Index:
-    """The index over a folder's documents; built by the first query of a session that asks for it."""
-    at = (spark.sparkContext.applicationId, d)
-    if at not in _INDEXES:
-        _INDEXES[at] = postings.build(docs(spark, d), "chunk_id", list(WEIGHTS))
-    return _INDEXES[at]
+    """The index over a folder's documents."""
+    return fixtures.stored(spark, d, "documents", lambda: postings.build(docs(spark, d), "chunk_id", list(WEIGHTS)))
 
 
 @query("fts1_bm25", f"WITH {BM25_SQL} SELECT chunk_id, round(score, 6) AS score FROM scored")
@@ -107,6 +102,12 @@ def rnk5(spark, d):
     return search.path_candidates(files(spark, d), ["src1", "is", ".fr"], 20)
 
 
+@query("rnk5_path_candidates_by_trigrams", SQL["rnk5_path_candidates"])
+def rnk5_indexed(spark, d):
+    f = files(spark, d)
+    return search.path_candidates(f, ["src1", "is", ".fr"], 20, index=fixtures.path_trigrams(spark, d))
+
+
 @query(
     "fts4_identifier_parts",
     "SELECT page_id, list_aggregate(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(url, '[^A-Za-z0-9]', ' ', 'g'), "
@@ -204,6 +205,14 @@ def fts7(spark, d):
     return search.lines_with(table(spark, d, "documents"), "LICENSE", key="doc_id")
 
 
+@query("fts7_lines_by_trigrams", SQL["fts7_lines_with_text"])
+def fts7_indexed(spark, d):
+    """The same, taking only those texts apart that have the rarest trigrams of the fragment."""
+    t = table(spark, d, "documents")
+    index = fixtures.stored(spark, d, "lines", lambda: substrings.build(t, "text", ["doc_id"], inline=False))
+    return search.lines_with(t, "LICENSE", key="doc_id", index=index)
+
+
 @query(
     "rnk1_low_signal",
     "SELECT doc_id, (t = '' OR regexp_matches(t, '(?i)^(merge([^\\p{L}\\p{N}_]|$)|apply suggestions from code review)') OR regexp_matches(t, '(?i)^(bump|upgrade)([^\\p{L}\\p{N}_]|$)|\\bdependabot\\b|\\bfrom\\s+v?\\d[\\w.\\-]*\\s+to\\s+v?\\d[\\w.\\-]*') OR regexp_matches(t, '(?i)^(ci|build|chore)(\\(|:|[^\\p{L}\\p{N}_]|$)')) AS low "

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import store
-from .fixtures import EDGES_SQL, FILES_SQL, NODES_SQL, SYMBOLS_SQL, edges, files, nodes, symbols, table
+from ..operators import store, substrings
+from .fixtures import EDGES_SQL, FILES_SQL, NODES_SQL, SYMBOLS_SQL, edges, files, nodes, path_trigrams, stored, symbols, table
 
 QUERIES, SQL = {}, {}
 
@@ -62,6 +62,18 @@ def lkp2(spark, d):
     return store.find_symbols(symbols(spark, d), "a_e", 25).select("symbol_id", "name")
 
 
+@query(
+    "lkp2_find_symbols_by_trigrams",
+    f"WITH {SYMBOLS_SQL} SELECT symbol_id, name FROM symbols WHERE name ILIKE '%All%dGe%' ORDER BY is_public DESC, length(name), "
+    f"lower(name), symbol_id LIMIT 25",
+)
+def lkp2_indexed(spark, d):
+    """Names that hold two fragments, found through the trigram of the first; the second is too short for one."""
+    s = symbols(spark, d)
+    index = stored(spark, d, "names", lambda: substrings.build(s, "name", ["symbol_id", "name", "is_public"]))
+    return store.find_symbols(s, "All%dGe", 25, index).select("symbol_id", "name")
+
+
 @query(
     "lkp3_signatures_by_name",
     f"WITH {SYMBOLS_SQL}, asked AS (SELECT DISTINCT lower(name) AS asked FROM symbols ), "
@@ -111,6 +123,11 @@ def lkp10(spark, d):
     return store.files_with(files(spark, d), "C1/", 30).select("file_id", "file_path")
 
 
+@query("lkp10_files_by_trigrams", f"WITH {FILES_SQL} SELECT file_id, file_path FROM files WHERE file_path ILIKE '%C1/_2%' ORDER BY length(file_path), file_path LIMIT 30")
+def lkp10_indexed(spark, d):
+    return store.files_with(files(spark, d), "C1/_2", 30, path_trigrams(spark, d)).select("file_id", "file_path")
+
+
 @query(
     "agg2_tokens_per_file",
     f"WITH {FILES_SQL} SELECT f.file_path, coalesce(sum(length(c.text)), 0)::BIGINT AS tokens, count(c.text) AS chunks FROM files f "

@@ -4,7 +4,7 @@ import subprocess
 
 import pytest
 from loomdex.functions import csharp
-from loomdex.operators import code, delta, localize, packing, postings, search, store
+from loomdex.operators import code, delta, localize, packing, postings, search, store, substrings
 from loomdex.operators.shared import new_path, numbered
 from loomdex.sources import templates, version_control
 from loomdex.streaming import changes
@@ -156,7 +156,7 @@ def test_review_and_freshness_below_their_bounds(spark):
     assert {r["state"] for r in delta.freshness(old, new, "path", "hash", most=2).collect()} == {"stale"}
 
 
-def test_nearest_names_in_blocks_equal_brute_force(spark, monkeypatch):
+def test_nearest_names_equal_brute_force(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abC") for _ in range(rng.randrange(1, 7)))
     names, asked = {word() for _ in range(200)}, {word() for _ in range(20)} | {""}
@@ -172,10 +172,40 @@ def test_nearest_names_in_blocks_equal_brute_force(spark, monkeypatch):
 
     want = {(a, n, r) for a in asked for r, (_, n) in enumerate(sorted((distance(a.lower(), n.lower()), n) for n in names)[:5], 1)}
     frame = lambda values, column: spark.createDataFrame([(v,) for v in values], f"{column} string")
-    for block in (4000, 6):
-        monkeypatch.setattr(delta, "ASKED_AT_A_TIME", block)
-        got = delta.nearest_names(frame(asked, "asked"), frame(names, "name")).collect()
-        assert {(r["asked"], r["name"], r["rank"]) for r in got} == want
+    got = delta.nearest_names(frame([*asked, None, *asked], "asked"), frame([*names, None, *names], "name")).collect()
+    assert {(r["asked"], r["name"], r["rank"]) for r in got} == want
+    far = delta.nearest_names(frame(["abC", "x" * 40], "asked"), frame(["ab", "a" * 9, "c" * 30], "name")).collect()
+    assert [(r["asked"][0], r["name"][0], r["rank"]) for r in sorted(far, key=lambda r: (r["asked"], r["rank"]))] == [("a", "a", 1), ("a", "a", 2), ("a", "c", 3), ("x", "a", 1), ("x", "a", 2), ("x", "c", 3)]
+    assert delta.nearest_names(frame(["a"], "asked"), frame(["b"], "name").limit(0)).count() == 0
+
+
+def test_names_are_compared_within_equal_keys(spark, sf_dir, monkeypatch):
+    """No pair of the two tables is made but by an equal key."""
+    plans = []
+    monkeypatch.setattr(delta, "saved", lambda df, *a, f=delta.saved: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, *a))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("name"))
+    delta.nearest_names(part.select(F.concat("name", F.lit("er")).alias("asked")), part)
+    assert len(plans) > 3 and not any("CartesianProduct" in p or "NestedLoop" in p for p in plans)
+
+
+def test_trigrams_find_what_a_scan_finds(spark):
+    names = [None, "", "ab", "GetUserById", "get_user", "übergröße", "100%sure", "back\\slash", "🙂🙂🙂x", "aaa", "AAAA", *[f"name{i}Of{i % 7}" for i in range(60)]]
+    rows = spark.createDataFrame([(i, n, i % 2 == 0) for i, n in enumerate(names)], "symbol_id long, name string, is_public boolean")
+    index = substrings.build(rows, "name", ["symbol_id", "name", "is_public"])
+    for fragment in ("user", "t_u", "et%by", "ERG", "RÖSS", "0%s", "\\sl", "🙂🙂🙂", "aaa", "e1_of", "", "a", "%", "none of them", "name5of5"):
+        scan = [r["symbol_id"] for r in store.find_symbols(rows, fragment, 40).collect()]
+        assert [r["symbol_id"] for r in store.find_symbols(rows, fragment, 40, index).collect()] == scan, fragment
+    plan = substrings.find(spark, index, "byid")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(gram" in plan and "Location: InMemoryFileIndex" in plan and "/rows" not in plan
+
+
+def test_lines_by_trigrams(spark):
+    texts = ["a Licence\nthe LICENSE\nlicense", None, "", "x\nli cense", "100% sure\n1000 sure", "LICEN\nSE"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "file_path long, text string")
+    index = substrings.build(rows, "text", ["file_path"], inline=False)
+    for needle in ("license", "100%", "%", "sure", "absent"):
+        scan = [tuple(r) for r in search.lines_with(rows, needle).collect()]
+        assert [tuple(r) for r in search.lines_with(rows, needle, index=index).collect()] == scan
 
 
 def test_stored_index_scores_as_the_scan_does(spark):
@@ -250,13 +280,13 @@ def test_localize_adds_neighbours_and_drops_copies(spark):
     rows = [(1, "alpha beta", "one", "a.cs"), (2, "alpha", "two", "b.cs"), (3, "alpha beta beta", "one", "copy.cs"), (4, "gamma", "three", "c.cs"), *[(10 + i, "alpha" + " filler" * (20 + i), "none", f"y{i}.cs") for i in range(5)], *[(30 + i, "filler text", "none", f"z{i}.cs") for i in range(9)]]
     chunks = spark.createDataFrame(rows, "chunk_id long, body string, name string, file_path string")
     index = postings.build(chunks, "chunk_id", ["body", "name"])
-    edges = spark.createDataFrame([("b", "c", "calls", 1.0)], "from string, to string, type string, weight double")
+    edges = spark.createDataFrame([("b", "c", "implements")], "from string, to string, type string")
     nodes = spark.createDataFrame([("a", "a.cs"), ("b", "b.cs"), ("c", "c.cs")], "node string, file_path string")
     hashes = spark.createDataFrame([("a.cs", "h"), ("copy.cs", "h"), ("b.cs", "i"), ("c.cs", "k")], "file_path string, content_hash string")
     request = localize.Request(query="alpha")
     found = lambda **more: [r["file_path"] for r in localize.localize(chunks, chunks.select("file_path"), request, index, **more).collect()]
     plain = found()
-    assert set(plain) == {"a.cs", "b.cs", "copy.cs", *[f"y{i}.cs" for i in range(5)]}
+    assert set(plain) == {"a.cs", "b.cs", "copy.cs"}  # the leading cluster
     assert set(found(graph_of=(edges, nodes))) == {*plain, "c.cs"}
     assert len({"a.cs", "copy.cs"} & set(found(hashes=hashes))) == 1
 
