@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
@@ -57,16 +59,32 @@ def reconcile_session(state: DataFrame, seen: DataFrame) -> tuple[DataFrame, Dat
     return unchanged, kept.unionByName(seen.select(state.columns))
 
 
-def session_delta(turns: DataFrame, keys: list[str], order: str, value: str, retained: int = 64 * 1024) -> DataFrame:
-    """Adds state against the row before of the same keys: new, unchanged (left out), diff where that row's text was retained, else whole.
+#: Characters of a text that a session retains at most. Fixed value.
+RETAINED = 64 * 1024
+
+
+def session_delta(turns: DataFrame, keys: list[str], order: str, value: str, retained: int = RETAINED) -> DataFrame:
+    """Adds state against the row before of the same keys: new, unchanged (left out), diff where that row's text was retained, else whole; and the diff.
 
-    Texts of more than ``retained`` characters are not retained; only hashes and lengths of them are compared.
+    Texts of more than ``retained`` characters are not retained; only hashes of them are compared. The diff is null
+    in the other states, and where texts differ so much that the whole one is shorter to read (see ``unified_diff``).
     """
     text = F.coalesce(F.col(value), F.lit(""))
-    marked = turns.withColumns({"__h": F.sha2(text, 256), "__n": F.length(text)})
-    before = F.lag(F.struct("__h", "__n")).over(Window.partitionBy(*keys).orderBy(order))
-    state = F.when(F.col("__b").isNull(), "new").when(F.col("__b.__h") == F.col("__h"), "unchanged").when(F.col("__b.__n") <= retained, "diff").otherwise("whole")
-    return marked.withColumn("__b", before).withColumn("state", state).drop("__b", "__h", "__n")
+    marked = turns.withColumns({"__h": F.sha2(text, 256), "__t": F.when(F.length(text) <= retained, text)})
+    before = F.lag(F.struct("__h", "__t")).over(Window.partitionBy(*keys).orderBy(order))
+    state = F.when(F.col("__b").isNull(), "new").when(F.col("__b.__h") == F.col("__h"), "unchanged").when(F.col("__b.__t").isNotNull(), "diff").otherwise("whole")
+    stated = marked.withColumn("__b", before).withColumn("state", state)
+    return stated.withColumn("diff", unified_diff(F.when(F.col("state") == "diff", F.col("__b.__t")), F.col(value))).drop("__b", "__h", "__t")
+
+
+def diff_of(before: tuple[str, str | None] | None, text: str) -> tuple[str, str, str | None]:
+    """(hash, state, diff) of a text given after another, of which the hash and, if it was retained, the text are known."""
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    if before is None:
+        return digest, "new", None
+    if before[0] == digest:
+        return digest, "unchanged", None
+    return (digest, "whole", None) if before[1] is None else (digest, "diff", text_diff(before[1], text))
 
 
 def common_lines(x: list[str], y: list[str]) -> list[tuple[int, int]]:
@@ -113,21 +131,21 @@ def hunks(x: list[str], y: list[str], kept: list[tuple[int, int]], around: int =
     return out
 
 
+def text_diff(a: str | None, b: str | None) -> str | None:
+    if a is None or b is None or a == b:
+        return None
+    x, y = a.splitlines(), b.splitlines()
+    if max(len(x), len(y)) > 2000:
+        return None
+    kept = common_lines(x, y)
+    changed = len(x) + len(y) - 2 * len(kept)
+    return None if changed > 0.6 * (len(x) + len(y)) else "\n".join(hunks(x, y, kept))
+
+
 @F.pandas_udf(StringType())
 def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Unified diff with three lines around; null if equal, over 2000 lines or over 60 % of the lines changed."""
-
-    def one(a, b):
-        if a is None or b is None or a == b:
-            return None
-        x, y = a.splitlines(), b.splitlines()
-        if max(len(x), len(y)) > 2000:
-            return None
-        kept = common_lines(x, y)
-        changed = len(x) + len(y) - 2 * len(kept)
-        return None if changed > 0.6 * (len(x) + len(y)) else "\n".join(hunks(x, y, kept))
-
-    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)], dtype=object)
+    return pd.Series([text_diff(a, b) for a, b in zip(old, new, strict=True)], dtype=object)
 
 
 def api_delta(old: DataFrame, new: DataFrame) -> DataFrame:

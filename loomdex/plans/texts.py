@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import re
 
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import delta, extract, metrics, packing, reduce
 from ..operators.shared import new_path
-from ..streaming import changes
+from ..streaming import changes, stateful
 from .fixtures import SYMBOLS_SQL, table
 
 QUERIES, SQL = {}, {}
@@ -319,8 +321,6 @@ def dif8(spark, d):
     "FROM lineitem GROUP BY 1",
 )
 def git1(spark, d):
-    import datetime
-
     return delta.git_stats(table(spark, d, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_shipdate").alias("date")), datetime.datetime(1998, 1, 1))
 
 
@@ -340,11 +340,82 @@ def str1(spark, d):
     return changes.debounced(_changes(spark, d), "30 minutes", by=["user_id"])
 
 
-@query("str2_coalesced_changes")
+_KIND = "CASE event_id % 4 WHEN 0 THEN 'Created' WHEN 1 THEN 'Deleted' ELSE 'Changed' END"
+#: What is left of kinds in their order, as a fold.
+_FOLD = "list_reduce(list(kind ORDER BY ts, event_id), lambda s, k: CASE WHEN s = 'Created' AND k = 'Deleted' THEN 'Nothing' WHEN s = 'Deleted' AND k = 'Created' THEN 'Changed' WHEN s = 'Created' AND k = 'Changed' THEN 'Created' ELSE k END)"
+
+
+@query(
+    "str2_coalesced_changes",
+    f"SELECT * FROM (SELECT user_id, {_FOLD} AS kind, count(*) AS events FROM (SELECT *, {_KIND} AS kind FROM events) GROUP BY 1) WHERE kind <> 'Nothing'",
+)
 def str2(spark, d):
     return changes.coalesce_changes(_changes(spark, d), ["user_id"])
 
 
+def _in_batches(spark, source, time, parts=4):
+    """``source`` as a stream of files in the order of ``time``, a micro-batch each."""
+    out = new_path(spark, "stream")
+    low, high = source.agg(F.min(time), F.max(time)).first()
+    if low is not None:
+        step = (high - low) / parts
+        for i in range(parts):
+            inside = (F.col(time) >= F.lit(low + i * step)) & (F.col(time) < F.lit(low + (i + 1) * step) if i + 1 < parts else F.lit(True))
+            source.where(inside).coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+def _collected(spark, stream):
+    """What a stream gives of all there is, from the shared folder."""
+    out = new_path(spark, "streamed")
+    query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+_WORKSPACE_SQL = (
+    f"e AS (SELECT user_id % 7 AS workspace, user_id::VARCHAR AS path, ts, event_id, {_KIND} AS kind FROM events), "
+    "m AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 10 MINUTE, true)::INTEGER AS b FROM e WINDOW w AS (PARTITION BY workspace ORDER BY ts, event_id)), "
+    "n AS (SELECT *, sum(b) OVER (PARTITION BY workspace ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM m), "
+    'x AS (SELECT workspace, n, min(ts) AS "start", max(ts) + INTERVAL 10 MINUTE AS "end" FROM n GROUP BY 1, 2), '
+    f"f AS (SELECT workspace, n, path, {_FOLD} AS kind, count(*) AS events FROM n GROUP BY 1, 2, 3) "
+    'SELECT workspace, "start", "end", path, kind, events FROM f JOIN x USING (workspace, n) WHERE kind <> \'Nothing\''
+)
+
+
+def _workspaces(spark, d):
+    return _changes(spark, d).select((F.col("user_id") % 7).alias("workspace"), F.col("user_id").cast("string").alias("path"), "ts", "seq", "kind")
+
+
+@query("str1_batches_of_changes", f"WITH {_WORKSPACE_SQL}")
+def str1_batches(spark, d):
+    return changes.batches_of_changes(_workspaces(spark, d), "10 minutes")
+
+
+@query("str1_stream_of_changes", f"WITH {_WORKSPACE_SQL}")
+def str1_stream(spark, d):
+    """The same from a stream in several micro-batches, state by workspace; an event a day later closes the last batches."""
+    e = _workspaces(spark, d)
+    last = e.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).where("ts IS NOT NULL").select(F.lit(-1).cast("long").alias("workspace"), F.lit("-").alias("path"), "ts", F.lit(0).cast("long").alias("seq"), F.lit("Changed").alias("kind"))
+    stream = _in_batches(spark, e.withColumn("workspace", F.col("workspace").cast("long")).unionByName(last), "ts")
+    found = stateful.debounced_changes(stream, datetime.timedelta(minutes=10))
+    return _collected(spark, found)
+
+
+@query(
+    "ses1_stream_of_deltas",
+    "SELECT conv_id, turn, CASE WHEN b IS NULL THEN 'new' WHEN b = t THEN 'unchanged' WHEN length(b) <= 200 THEN 'diff' ELSE 'whole' END AS state "
+    "FROM (SELECT conv_id, turn, coalesce(text, '') AS t, lag(coalesce(text, '')) OVER (PARTITION BY conv_id, role ORDER BY turn) AS b FROM conversations)",
+)
+def ses1_stream(spark, d):
+    """Turns as what a session (a conversation) is given of a path (a role), a minute after each other."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.coalesce("role", F.lit("")).alias("path"), F.timestamp_seconds(F.col("turn").cast("long") * 60 + 1_700_000_000).alias("ts"), F.col("turn").cast("long").alias("seq"), "text")
+    end = turns.agg((F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts")).where("ts IS NOT NULL").select(F.lit(-1).cast(turns.schema["session"].dataType).alias("session"), F.lit("-").alias("path"), "ts", F.lit(0).cast("long").alias("seq"), F.lit("").alias("text"))
+    stream = _in_batches(spark, turns.unionByName(end), "ts")
+    found = _collected(spark, stateful.session_deltas(stream, retained=200)).where("session >= 0")
+    return found.select(F.col("session").alias("conv_id"), F.col("seq").cast(table(spark, d, "conversations").schema["turn"].dataType).alias("turn"), "state")
+
+
 @query("str3_stream_to_batches", "SELECT user_id, count(*) AS events FROM events GROUP BY 1")
 def str3(spark, d):
     """The events as a stream of files, applied batch by batch to a table in the shared folder, as far as they go."""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.store import cascade_delete
 
@@ -23,6 +24,16 @@ def next_state(state: Column, kind: Column) -> Column:
     )
 
 
+def coalesced(events: list[tuple]) -> list[tuple[str, str, int]]:
+    """(path, kind, events) of a batch of events (at, seq, path, kind) in time order; see ``next_state``."""
+    state: dict[str, tuple[str, int]] = {}
+    pairs = {("Created", "Deleted"): NOTHING, ("Deleted", "Created"): "Changed", ("Created", "Changed"): "Created"}
+    for _, _, path, kind in events:
+        before, n = state.get(path, (NOTHING, 0))
+        state[path] = (pairs.get((before, kind), kind), n + 1)
+    return [(path, kind, n) for path, (kind, n) in state.items()]
+
+
 def coalesce_changes(events: DataFrame, keys: list[str], time: str = "ts", kind: str = "kind", tie: str = "seq") -> DataFrame:
     """The one change that remains of each key's changes in time order; rows whose changes cancel are dropped."""
     ordered = F.array_sort(F.collect_list(F.struct(time, tie, kind)))
@@ -31,10 +42,12 @@ def coalesce_changes(events: DataFrame, keys: list[str], time: str = "ts", kind:
 
 
 def split_renames(events: DataFrame) -> DataFrame:
-    """Renames (kind Renamed with old_path) as a deletion and a creation."""
-    renamed = events.where("kind = 'Renamed'")
-    rest = events.where("kind <> 'Renamed'").drop("old_path")
-    return rest.unionByName(renamed.withColumn("path", F.col("old_path")).withColumn("kind", F.lit("Deleted")).drop("old_path")).unionByName(renamed.withColumn("kind", F.lit("Created")).drop("old_path"))
+    """Renames (kind Renamed with old_path) as a deletion of the old path and a creation of the new one."""
+    renamed = F.col("kind") == "Renamed"
+    gone, made = F.struct(F.col("old_path").alias("path"), F.lit("Deleted").alias("kind")), F.struct("path", F.lit("Created").alias("kind"))
+    parts = F.when(renamed, F.array(gone, made)).otherwise(F.array(F.struct("path", "kind")))
+    others = [c for c in events.columns if c not in ("path", "kind", "old_path")]
+    return events.select(*others, F.inline(parts))
 
 
 def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds", by: list[str] = (), time: str = "ts") -> DataFrame:
@@ -43,6 +56,16 @@ def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str = "10
     return marked.groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("events")).select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
+def batches_of_changes(events: DataFrame, gap: str = "500 milliseconds") -> DataFrame:
+    """The batch form of ``stateful.debounced_changes``: (workspace, start, end, path, kind, events)."""
+    order = Window.partitionBy("workspace").orderBy("ts", "seq")
+    wide = F.expr(f"INTERVAL {gap}")
+    begins = F.coalesce(F.col("ts") >= F.lag("ts").over(order) + wide, F.lit(True))
+    marked = events.withColumn("begins", begins).withColumn("number", F.sum(F.col("begins").cast("int")).over(order))
+    ends = marked.groupBy("workspace", "number").agg(F.min("ts").alias("start"), (F.max("ts") + wide).alias("end"))
+    return coalesce_changes(marked, ["workspace", "number", "path"]).join(ends, ["workspace", "number"]).select("workspace", "start", "end", "path", "kind", "events")
+
+
 def keep_index(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Run ``apply`` on each batch of changes, one after the other, over what is there; returns the finished query."""
     query = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Queries that SQL does not express; each is held against plain Python in test_brute.py, test_code.py or test_graph.py.
-PLAIN = set("grf1_expansion localize pck1_context_plan oth9_explained_plan rnk14_graph_discovery oth4_secret_positions red1_reduce_files ses3_unified_diffs str2_coalesced_changes met3_bootstrap_interval met6_stratified_sample fts5_stems pck15_exact_tokens".split())
+PLAIN = set("grf1_expansion localize pck1_context_plan oth9_explained_plan rnk14_graph_discovery oth4_secret_positions red1_reduce_files ses3_unified_diffs met3_bootstrap_interval met6_stratified_sample fts5_stems pck15_exact_tokens".split())
 
 
 @pytest.fixture(scope="module")
