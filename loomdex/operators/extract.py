@@ -98,12 +98,6 @@ def test_edges(uses: DataFrame, resolves: DataFrame, nodes: DataFrame) -> DataFr
     return direct.unionByName(through).join(nodes.select(F.col("node").alias("to")), "to", "left_semi").distinct().withColumn("type", F.lit("tests"))
 
 
-def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
-
-
-# Wiring by line as (edge type, pattern, from, to, weight); "" is the enclosing type, a number a group, and config: and
-# route: prefixes make nodes of their own.
 WIRING = [
     ("mediatr_handles", r"IRequestHandler\s*<\s*([\w.]+)", "1", "", 0.95),
     ("sends_request", r"\.(?:Send|Publish)\s*\(\s*new\s+([\w.]+)", "", "1", 0.70),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .packing import pack_plan
 from .shared import bucketed, saved
@@ -40,24 +39,33 @@ def central_files(edges: DataFrame, nodes: DataFrame, prefix: str = "", limit: i
     return ordered if limit is None else ordered.limit(limit)
 
 
-def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = PAGERANK_ROUNDS) -> DataFrame:
+#: Links out of a node that one bucket holds at most; a node with more has a copy in several buckets.
+HUB_LINKS = 50_000
+
+
+def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = PAGERANK_ROUNDS, hub_links: int = HUB_LINKS) -> DataFrame:
     """(node, rank) after exactly ``rounds`` rounds, divided by the largest; keys in any case.
 
-    Mass of nodes without links out is spread evenly. Links and nodes are written once, in buckets of
-    their nodes, so a round shuffles nothing but the sums by target, combined in the input tasks.
+    Mass of nodes without links out is spread evenly. Links are written once, in buckets of their source;
+    the links of a node with more than ``hub_links`` are cut into shares, which lie in different buckets, and its rank is
+    copied to each. A round shuffles the sums by target, combined in the input tasks, and its ranks, which it writes.
     """
-    links = bucketed(edges.select(F.lower("from").alias("from"), F.lower("to").alias("to")), "from", "links")
-    out = links.groupBy("from").agg(F.count(F.lit(1)).alias("out"))
-    all_nodes = links.select(F.col("from").alias("node")).union(links.select("to")).distinct()
-    base = bucketed(all_nodes.join(out.withColumnRenamed("from", "node"), "node", "left"), "node", "nodes")
+    spread = edges.select(F.lower("from").alias("from"), F.lower("to").alias("to"))
+    out = spread.groupBy("from").agg(F.count(F.lit(1)).alias("out")).withColumn("shares", F.ceil(F.col("out") / hub_links).cast("int"))
+    hubs = saved(out.where("shares > 1").select("from", "shares"), "hubs")
+    cut = spread.join(hubs, "from", "left").withColumn("share", F.pmod(F.xxhash64("to"), F.coalesce("shares", F.lit(1))).cast("int"))
+    links = bucketed(cut.select("from", "share", "to"), ["from", "share"], "links")
+    all_nodes = spread.select(F.col("from").alias("node")).union(spread.select("to")).distinct()
+    base = bucketed(all_nodes.join(out.withColumnRenamed("from", "node"), "node", "left"), ["node"], "nodes")
     n = base.count()
-    ranks = base.select("node", "out", F.lit(1.0 / max(1, n)).alias("rank"))
-    for i in range(rounds):
-        dangling = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        sent = links.join(ranks.where("out IS NOT NULL").select(F.col("node").alias("from"), (F.col("rank") / F.col("out")).alias("part")), "from").groupBy(F.col("to").alias("node")).agg(F.sum("part").alias("got"))
-        ranks = base.join(sent, "node", "left").crossJoin(F.broadcast(dangling)).select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if i % 4 == 3:
-            ranks = bucketed(ranks, "node", "ranks")
+    ranks = base.select("node", "out", "shares", F.lit(1.0 / max(1, n)).alias("rank"))
+    for _ in range(rounds):
+        lost = ranks.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        copies = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+        sending = ranks.where("out IS NOT NULL").select(F.col("node").alias("from"), copies, (F.col("rank") / F.col("out")).alias("part"))
+        sent = links.join(sending, ["from", "share"]).groupBy(F.col("to").alias("node")).agg(F.sum("part").alias("got"))
+        rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)
+        ranks = bucketed(base.join(sent, "node", "left").select("node", "out", "shares", rank.alias("rank")), ["node"], "ranks")
     most = ranks.agg(F.max("rank").alias("most"))
     return ranks.crossJoin(F.broadcast(most)).select("node", (F.col("rank") / F.col("most")).alias("rank"))
 
@@ -67,7 +75,8 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, threshold: float = TH
 
     A step costs weight(type) * decay / sqrt(edges of that type at the parent, in and out). A node
     keeps its best path's hop, and is not expanded at the depth limit, so a label can be withdrawn when
-    its parent's hop rises: every round rebuilds all labels from the current ones until they are stable.
+    its parent's hop rises: a label is supported by the offers of its parents, and a round renews the offers of those whose
+    label has changed or gone, and the labels that these offers reach, until none changes.
     Ties go to the smaller hop, then the smaller parent. ``ways`` limits the steps to edges out or in.
     """
     there, back = edges.select("from", "to", "type"), edges.select(F.col("to").alias("from"), F.col("from").alias("to"), "type")
@@ -75,21 +84,37 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, threshold: float = TH
     fan = both.groupBy("from", "type").agg(F.count(F.lit(1)).alias("fan"))
     steps = saved(both.distinct().join(fan, ["from", "type"]).select("from", "to", "type", (weight(F.col("type")) * decay / (F.sqrt("fan") if fan_out else F.lit(1.0))).alias("factor")))
     start = saved(seeds.groupBy("node").agg(F.max("score").alias("score")).select("node", "score", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("parent")))
-    labels, before = start, None
+    steps = bucketed(steps, ["from"], "steps")
+    columns = ["node", "score", "hop", "via", "parent"]
+    # offers: what each parent gives its neighbours now; a node's label is the best of its offers and its seed's
+    labels, offers, changed = start, None, start.select(*columns)
+    best = F.min(F.struct((-F.col("score")).alias("s"), "hop", "parent", "via"))
     for _ in range(max_rounds):
         reached = (
-            labels.where(F.col("hop") < depth)
+            changed.where(F.col("hop") < depth)
             .select(F.col("node").alias("from"), "score", "hop")
             .join(steps, "from")
             .select(F.col("to").alias("node"), (F.col("score") * F.col("factor")).alias("score"), (F.col("hop") + 1).alias("hop"), F.col("type").alias("via"), F.col("from").alias("parent"))
             .where(F.col("score") >= threshold)
         )
-        best = F.min(F.struct((-F.col("score")).alias("s"), "hop", "parent", "via"))
-        labels = saved(start.unionByName(reached).groupBy("node").agg(best.alias("b")).select("node", (-F.col("b.s")).alias("score"), "b.hop", "b.via", "b.parent"))
-        now = labels.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("node", F.round("score", 12), "hop"), F.lit(1 << 40)))).first()
-        if now == before:
+        fresh = saved(reached, "fresh")
+        met = fresh.select("node")
+        if offers is None:
+            offers = fresh
+        else:
+            parents = changed.select(F.col("node").alias("parent"))
+            met = met.union(offers.join(parents, "parent", "left_semi").select("node"))
+            offers = saved(offers.join(parents, "parent", "left_anti").unionByName(fresh), "offers")
+        touched = saved(met.distinct(), "touched")
+        mine = offers.unionByName(start).join(touched, "node", "left_semi")
+        redone = mine.groupBy("node").agg(best.alias("b")).select("node", (-F.col("b.s")).alias("score"), "b.hop", "b.via", "b.parent")
+        was = labels.select(F.col("node").alias("old"), F.col("score").alias("old_score"), F.col("hop").alias("old_hop")).join(touched, F.col("old") == F.col("node"), "left_semi")
+        both = saved(redone.join(was, F.col("node") == F.col("old"), "full"), "redone")
+        labels = saved(labels.join(touched, "node", "left_anti").unionByName(both.where("node IS NOT NULL").select(*columns)), "labels")
+        # a label without offers is gone, and so is what it gave: it has no hop and sends nothing
+        changed = both.where("node IS NULL OR NOT (score <=> old_score AND hop <=> old_hop)").select(F.coalesce("node", "old").alias("node"), *columns[1:])
+        if not changed.take(1):
             return labels
-        before = now
     raise RuntimeError("the expansion did not settle")
 
 
@@ -175,16 +200,15 @@ def seed_cascade(files: DataFrame, types: DataFrame, seed: str) -> DataFrame:
     return found.crossJoin(F.broadcast(best)).where("level = best").select("file_path", "level").distinct()
 
 
-def rank_dense(rows: DataFrame, by: str, key: str) -> DataFrame:
-    return rows.withColumn("rank", F.dense_rank().over(Window.partitionBy(by).orderBy(F.desc(key))))
+def focus(edges: DataFrame, seeds: DataFrame, depth: int, ways: str = "both", centrality: DataFrame | None = None, share: float = 0.0, costs: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+    """Files around focus files: half the score per hop, whatever the edge; blended with a share of centrality (node, rank).
 
-
-def focus(edges: DataFrame, seeds: DataFrame, depth: int, ways: str = "both", centrality: DataFrame | None = None, share: float = 0.0) -> DataFrame:
-    """Files around focus files: half the score per hop, whatever the edge; blended with a share of centrality (node, rank)."""
+    With ``costs`` (node, cost) and a budget, only those that fit it, best first (see ``within_budget``).
+    """
     found = expand(edges, seeds, depth, threshold=0.0, decay=0.5, weight=lambda kind: F.when(kind.isNotNull(), F.lit(1.0)).otherwise(F.lit(1.0)), fan_out=False, ways=ways)
-    if centrality is None:
-        return found
-    return found.join(centrality, "node", "left").withColumn("score", F.col("score") + share * F.coalesce("rank", F.lit(0.0))).drop("rank")
+    if centrality is not None:
+        found = found.join(centrality, "node", "left").withColumn("score", F.col("score") + share * F.coalesce("rank", F.lit(0.0))).drop("rank")
+    return found if budget is None else within_budget(found, costs, budget)
 
 
 def subgraph(nodes: DataFrame, links: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.window import Window
+
+from .shared import saved
 
 OVERHEAD = 30
 # Roles by the type of the last edge; tiers by role.
@@ -82,15 +85,27 @@ def pack_density(rows: DataFrame, budget: int | Column, plan: str = "plan", over
     return running(limited, plan, ["o1", "o2", "o3"], ["cost", "always", "limit"], "kept", "boolean", 0, _fit).drop("o1", "o2", "o3", "always", "limit")
 
 
-def emit_prefix(rows: DataFrame, budget: int, order: list[str], plan: str = "plan") -> DataFrame:
-    """Adds n, total and kept: rows in order until the first that overflows; the first row always stays. ``rows``: plan, cost."""
+def prefixed(rows: DataFrame, order: list[Column], cost: str | None = None, plan: str = "plan") -> DataFrame:
+    """Adds n, the place of each row in its plan from 1, and total, the costs up to it; no task holds a plan.
 
-    def step(state, cost):
-        n, total = state[0] + 1, state[1] + cost
-        return (n, total), {"n": n, "total": total, "kept": n == 1 or total <= budget}
+    Tasks sort ranges of plan and order, and what a range adds is summed up for each plan; a row's
+    numbers are those within its range and what the ranges before it add. Rows alike in the order are in one range.
+    """
+    keys = [F.col(plan), *order]
+    at = saved(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)), "ranges")
+    added = F.coalesce(F.sum(cost), F.lit(0)) if cost else F.lit(0).cast("long")
+    parts = at.groupBy(plan, "__part").agg(F.count(F.lit(1)).alias("__n"), added.alias("__total"))
+    before = Window.partitionBy(plan).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a plan
+    offsets = parts.select(F.col(plan).alias("__plan"), F.col("__part").alias("__of"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__n", "__total")])
+    own = Window.partitionBy(plan, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    within = at.withColumns({"n": F.row_number().over(own), "total": F.sum(cost).over(own) if cost else F.lit(0)})
+    joined = within.join(offsets, F.col(plan).eqNullSafe(F.col("__plan")) & (F.col("__part") == F.col("__of")))
+    return joined.select(*rows.columns, (F.col("n") + F.col("__n")).cast("int").alias("n"), (F.col("total") + F.col("__total")).cast("long").alias("total"))
 
-    out = running(rows, plan, order, ["cost"], "x", "n int, total long, kept boolean", (0, 0), step)
-    return out.select(*rows.columns, "x.n", "x.total", "x.kept")
+
+def emit_prefix(rows: DataFrame, budget: int, order: list[str], plan: str = "plan") -> DataFrame:
+    """Adds n, total and kept: rows in order until the first that overflows; the first row always stays. ``rows``: plan, cost."""
+    return prefixed(rows, [F.col(c) for c in order], "cost", plan).withColumn("kept", (F.col("n") == 1) | (F.col("total") <= budget))
 
 
 def emit_parts(rows: DataFrame, budget: int, plan: str = "plan") -> DataFrame:
@@ -109,17 +124,13 @@ def emission_order(rows: DataFrame, plan: str = "plan") -> DataFrame:
     """Adds seq from 1: by score, tokens and path if any row of the plan has a score, else by tokens and path."""
     scored = rows.groupBy(F.col(plan).alias("scored_plan")).agg(F.max(F.col("score").isNotNull()).alias("any"))  # a row per plan
     first = F.when(F.col("any"), -F.coalesce("score", F.lit(0.0))).otherwise(F.lit(0.0))
-    ordered = rows.join(scored, F.col(plan).eqNullSafe(F.col("scored_plan"))).withColumn("o1", first).withColumn("o2", -F.col("tokens")).drop("any", "scored_plan")
-    return running(ordered, plan, ["o1", "o2", "path"], [], "seq", "int", 0, lambda n: (n + 1, n + 1)).drop("o1", "o2")
+    ordered = rows.join(scored, F.col(plan).eqNullSafe(F.col("scored_plan"))).withColumn("__first", first).drop("any", "scored_plan")
+    return prefixed(ordered, [F.col("__first"), -F.col("tokens"), F.col("path")], None, plan).withColumnRenamed("n", "seq").drop("__first", "total")
 
 
 def downgrade_tail(rows: DataFrame, budget: int, order: list[str], plan: str = "plan") -> DataFrame:
     """Rows beyond the budget are replaced by their sketch (sketch_tokens) where that is smaller; adds sketched."""
-
-    def step(total, tokens):
-        return total + tokens, total + tokens
-
-    summed = running(rows, plan, order, ["tokens"], "total", "long", 0, step)
+    summed = prefixed(rows, [F.col(c) for c in order], "tokens", plan).drop("n")
     beyond = (F.col("total") > budget) & (F.col("sketch_tokens") < F.col("tokens"))
     return summed.withColumn("sketched", beyond).withColumn("tokens", F.when(beyond, F.col("sketch_tokens")).otherwise(F.col("tokens"))).drop("total")
 

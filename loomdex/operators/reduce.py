@@ -65,9 +65,3 @@ def redact(text: Column, rules: dict[str, str] = SECRETS) -> Column:
 
 def redaction_counts(text: Column, rules: dict[str, str] = SECRETS) -> Column:
     return F.create_map(*[x for name, pattern in rules.items() for x in (F.lit(name), F.regexp_count(text, F.lit(pattern)))])
-
-
-def signature_lines(text: Column) -> Column:
-    """Skeleton of brace languages, approximately: bodies of innermost blocks are emptied, twice."""
-    step = lambda c: F.regexp_replace(c, r"(\)[^{};]*)\{[^{}]*\}", "$1;")
-    return step(step(text))

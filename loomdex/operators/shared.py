@@ -47,12 +47,12 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return joined.withColumn(name, F.col("__before") + F.col("__place") - F.shiftleft("__part", 33) + 1).drop("__part", "__before", "__place")
 
 
-def bucketed(df: DataFrame, key: str, name: str = "buckets") -> DataFrame:
-    """``df`` written in buckets of ``key``: joins and sums on it read them where they are, without a shuffle."""
+def bucketed(df: DataFrame, keys: list[str], name: str = "buckets") -> DataFrame:
+    """``df`` written in buckets of ``keys``: joins and sums on them read it where it is, without a shuffle."""
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(tasks, key).write.bucketBy(tasks, key).sortBy(key).option("path", new_path(spark, name)).saveAsTable(table)
+    df.repartition(tasks, *keys).write.bucketBy(tasks, *keys).sortBy(*keys).option("path", new_path(spark, name)).saveAsTable(table)
     held = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the files stay, and the frame knows them
     return held

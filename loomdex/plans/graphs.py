@@ -65,9 +65,14 @@ def grf1(spark, d):
     return graph.expand(edges(spark, d), seeds, depth=2, threshold=0.01).select("node", F.round("score", 9).alias("score"), "hop", "via")
 
 
-@query("grf2_edge_weights", "SELECT * FROM (VALUES ('implements', 0.9::DOUBLE), ('di_injects', 0.75::DOUBLE), ('hosted_service', 0.1::DOUBLE)) v(type, weight)")
+@query(
+    "grf2_edge_weights",
+    f"WITH {EDGES_SQL} SELECT type, CASE type WHEN 'implements' THEN 0.9 WHEN 'di_injects' THEN 0.75 WHEN 'tests' THEN 0.65 ELSE 0.1 END::DOUBLE AS weight, count(*) AS edges "
+    f"FROM (SELECT CASE WHEN f LIKE 'c%5' THEN 'hosted_service' ELSE type END AS type FROM edges) GROUP BY 1",
+)
 def grf2(spark, d):
-    return spark.createDataFrame([("implements",), ("di_injects",), ("hosted_service",)], "type string").withColumn("weight", graph.edge_weight(F.col("type")))
+    kind = F.when(F.col("from").like("c%5"), "hosted_service").otherwise(F.col("type"))
+    return edges(spark, d).groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("edges")).select("type", graph.edge_weight(F.col("type")).alias("weight"), "edges")
 
 
 @query(

@@ -592,6 +592,21 @@ def grf10(spark, d):
     return graph.focus(fixtures.edges(spark, d), seeds, 1).select("node", "score")
 
 
+@query(
+    "grf10_budgeted_focus",
+    f"WITH RECURSIVE {EDGES_SQL}, e AS (SELECT f, t FROM edges UNION SELECT t, f FROM edges), a AS (SELECT DISTINCT t AS node FROM e WHERE f = 'n3'), "
+    "s AS (SELECT 'n3' AS node, 1.0::DOUBLE AS score UNION ALL SELECT node, 0.5 FROM a UNION ALL SELECT DISTINCT e.t, 0.25 FROM e JOIN a ON e.f = a.node), "
+    "o AS (SELECT node, max(score) AS score, length(node) * 10 AS cost, row_number() OVER (ORDER BY node <> 'n3', max(score) DESC, node) AS i FROM s GROUP BY node), "
+    "k AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, false AS kept UNION ALL SELECT o.i, CASE WHEN o.i = 1 OR used + cost <= 905 THEN used + cost ELSE used END, o.i = 1 OR used + cost <= 905 "
+    "FROM k JOIN o ON o.i = k.i + 1) SELECT node, score, cost FROM o JOIN k USING (i) WHERE kept",
+)
+def grf10_budget(spark, d):
+    """Two hops around a nation, as far as a budget of tokens goes; rows that do not fit are passed over."""
+    seeds = spark.createDataFrame([("n3", 1.0)], "node string, score double")
+    costs = fixtures.nodes(spark, d).select("node", (F.length("node") * 10).alias("cost"))
+    return graph.focus(fixtures.edges(spark, d), seeds, 2, costs=costs, budget=905).select("node", "score", "cost")
+
+
 @query("grf13_project_neighbours", "SELECT 'p' || n_regionkey || '/n' || n_nationkey || '.cs' AS file_path FROM nation WHERE n_regionkey IN (0, 2) ORDER BY 1 LIMIT 48")
 def grf13(spark, d):
     inside = table(spark, d, "nation").select(F.concat(F.lit("p"), "n_regionkey", F.lit("/n"), "n_nationkey", F.lit(".cs")).alias("file_path"))

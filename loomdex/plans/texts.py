@@ -395,11 +395,12 @@ def str1_batches(spark, d):
 @query("str1_stream_of_changes", f"WITH {_WORKSPACE_SQL}")
 def str1_stream(spark, d):
     """The same from a stream in several micro-batches, state by workspace; an event a day later closes the last batches."""
-    e = _workspaces(spark, d)
+    kind = table(spark, d, "events").schema["ts"].dataType
+    e = _workspaces(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     last = e.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).where("ts IS NOT NULL").select(F.lit(-1).cast("long").alias("workspace"), F.lit("-").alias("path"), "ts", F.lit(0).cast("long").alias("seq"), F.lit("Changed").alias("kind"))
     stream = _in_batches(spark, e.withColumn("workspace", F.col("workspace").cast("long")).unionByName(last), "ts")
     found = stateful.debounced_changes(stream, datetime.timedelta(minutes=10))
-    return _collected(spark, found)
+    return _collected(spark, found).withColumns({c: F.col(c).cast(kind) for c in ("start", "end")})
 
 
 @query(

@@ -51,10 +51,6 @@ def project_references(projects: DataFrame) -> DataFrame:
     return projects.select("project", F.explode(found).alias("reference")).withColumn("reference", F.replace("reference", F.lit("\\"), F.lit("/")))
 
 
-def newest_first(rows: DataFrame, by: str, date: str) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(date))))
-
-
 def _git(root: str, *arguments: str) -> str:
     """Output of git in a folder of the driver's machine; git reads, and nothing else is run."""
     return subprocess.run(["git", "-C", root, *arguments], capture_output=True, text=True, check=True).stdout

@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 import subprocess
 
 import pytest
@@ -356,3 +357,20 @@ def test_coalesced_changes_equal_a_fold(spark, sf_dir):
             want[user] = (fold(kinds), len(kinds))
     assert {r["user_id"]: (r["kind"], r["events"]) for r in plans.queries()["str2_coalesced_changes"](spark, sf_dir).collect()} == want
     assert changes.NOTHING == "Nothing"
+
+
+def test_prefixes_over_ranges_equal_a_running_sum(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", None]), f"p{i:04}", rng.randrange(9), rng.choice([None, 0.5, 1.5])) for i in range(700)]
+    frame = spark.createDataFrame(rows, "plan string, path string, cost long, score double").repartition(7)
+    want, n, total = {}, Counter(), Counter()
+    for plan, path, cost, _ in sorted(rows, key=lambda r: r[1]):
+        n[plan] += 1
+        total[plan] += cost
+        want[path] = (n[plan], total[plan])
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    got = packing.prefixed(frame, [F.col("path")], "cost")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r["path"]: (r["n"], r["total"]) for r in got.collect()} == want
+    plan = packing.emit_prefix(frame, 70, ["path"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -59,3 +59,29 @@ def test_cochange_leaves_out_large_commits(spark):
 def test_degrees_count_self_loops_twice(spark):
     edges = spark.createDataFrame([("a", "a", "x"), ("a", "b", "x")], "from string, to string, type string")
     assert {r["node"]: r["degree"] for r in graph.degrees(edges).collect()} == {"a": 3, "b": 1}
+
+
+def test_hubs_are_cut_into_shares(spark):
+    rng = random.Random(3)
+    edges = [("hub", f"n{i}", "x") for i in range(40)] + [(f"n{rng.randrange(40)}", rng.choice(["hub", "n1", "n2"]), "x") for _ in range(30)]
+    frame = spark.createDataFrame(edges, "from string, to string, type string")
+    whole, cut = ({r["node"]: round(r["rank"], 12) for r in graph.pagerank(frame, hub_links=most).collect()} for most in (1000, 3))
+    assert whole == cut and max(whole.values()) == 1.0
+
+
+def test_expansion_joins_changed_labels_alone(spark, monkeypatch):
+    """The offers of a round come from the labels that the round before has changed."""
+    edges = [(f"a{i}", f"a{i + 1}", "route_handles") for i in range(6)] + [("a0", f"b{i}", "tests") for i in range(50)]
+    made = []
+    monkeypatch.setattr(graph, "saved", lambda df, name="t", f=graph.saved: made.append((name, f(df, name))) or made[-1][1])
+    got = graph.expand(spark.createDataFrame(edges, "from string, to string, type string"), spark.createDataFrame([("a0", 1.0)], "node string, score double"), 6, 0.0)
+    assert got.count() == 57
+    fresh = [frame.count() for name, frame in made if name == "fresh"]
+    assert fresh[0] == 51 and all(n <= 55 for n in fresh[1:]) and len(fresh) <= 9
+
+
+def test_budget_passes_over_what_does_not_fit(spark):
+    edges = spark.createDataFrame([("s", x, "tests") for x in "abc"], "from string, to string, type string")
+    costs = spark.createDataFrame([("s", 900), ("a", 60), ("b", 500), ("c", 40)], "node string, cost long")
+    got = graph.focus(edges, spark.createDataFrame([("s", 1.0)], "node string, score double"), 1, costs=costs, budget=1000)
+    assert {r["node"] for r in got.collect()} == {"s", "a", "c"}
