@@ -98,7 +98,7 @@ def title_bucket(title: Column) -> Column:
     out = F.when(t == "", F.lit("no-signal"))
     for name, pattern in BUCKETS:
         out = out.when(t.rlike(pattern), F.lit(name))
-    return out.otherwise(F.lit("natural-language"))
+    return out.otherwise(F.lit("nl-domain"))
 
 
 def low_signal(title: Column, structured: Column | None = None) -> Column:

@@ -222,9 +222,15 @@ def rnk1(spark, d):
     return table(spark, d, "documents").select("doc_id", text.low_signal(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("low"))
 
 
-@query("rnk7_source_weights", "SELECT * FROM (VALUES ('diff_changed_file', 1.0::DOUBLE), ('fts_body', 0.55::DOUBLE), ('other', 0.5::DOUBLE)) v(source, weight)")
+@query(
+    "rnk7_source_weights",
+    "SELECT source, CASE source WHEN 'diff_changed_file' THEN 1.0 WHEN 'fts_body' THEN 0.55 ELSE 0.5 END::DOUBLE AS weight, count(*) AS candidates "
+    "FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'diff_changed_file' WHEN 1 THEN 'fts_body' ELSE o_orderstatus END AS source FROM orders) GROUP BY 1",
+)
 def rnk7(spark, d):
-    return spark.createDataFrame([("diff_changed_file",), ("fts_body",), ("other",)], "source string").withColumn("weight", fusion.source_weight(F.col("source")))
+    source = F.when(F.col("o_orderkey") % 3 == 0, "diff_changed_file").when(F.col("o_orderkey") % 3 == 1, "fts_body").otherwise(F.col("o_orderstatus"))
+    counted = table(spark, d, "orders").groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("candidates"))
+    return counted.withColumn("weight", fusion.source_weight(F.col("source")))
 
 
 def candidates(spark, d):

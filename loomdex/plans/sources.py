@@ -367,12 +367,11 @@ def pck2(spark, d):
 
 @query(
     "pck4_tiers",
-    "SELECT * FROM (VALUES ('config', 'full', 'skeleton'), ('test', 'skeleton', 'skeleton'), "
-    "('exact-seed', 'reduced', 'skeleton')) v(role, auto, fixed)",
+    "SELECT doc_id, CASE lang WHEN 'en' THEN 'full' WHEN 'fr' THEN 'skeleton' ELSE 'reduced' END AS auto, 'skeleton' AS fixed FROM documents",
 )
 def pck4(spark, d):
-    rows = spark.createDataFrame([("config",), ("test",), ("exact-seed",)], "role string")
-    return rows.select("role", packing.tier(F.col("role")).alias("auto"), packing.tier(F.col("role"), "skeleton").alias("fixed"))
+    role = F.when(F.col("lang") == "en", "config").when(F.col("lang") == "fr", "test").otherwise("exact-seed")
+    return table(spark, d, "documents").select("doc_id", packing.tier(role).alias("auto"), packing.tier(role, "skeleton").alias("fixed"))
 
 
 @query(

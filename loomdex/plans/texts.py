@@ -116,12 +116,17 @@ def pck16(spark, d):
 
 @query(
     "pck3_roles",
-    "SELECT * FROM (VALUES ('tests', 'test', 'skeleton'), ('di_resolves_to', 'di-implementation', 'reduced'), "
-    "('options_binds', 'config', 'full'), ('x', 'dependency', 'skeleton')) v(via, role, tier)",
+    "SELECT l_shipmode AS via, role, CASE role WHEN 'exact-seed' THEN 'reduced' WHEN 'config' THEN 'full' WHEN 'di-implementation' THEN 'reduced' WHEN 'route-handler' THEN 'reduced' ELSE 'skeleton' END AS tier, n "
+    "FROM (SELECT CASE l_linenumber WHEN 1 THEN 'tests' WHEN 2 THEN 'di_resolves_to' WHEN 3 THEN 'options_binds' WHEN 4 THEN 'route_handles' WHEN 5 THEN 'di_injects' ELSE 'x' END AS l_shipmode, "
+    "CASE WHEN l_orderkey % 5 = 0 THEN 'exact-seed' ELSE CASE l_linenumber WHEN 1 THEN 'test' WHEN 2 THEN 'di-implementation' WHEN 3 THEN 'config' WHEN 4 THEN 'route-handler' WHEN 5 THEN 'consumer' ELSE 'dependency' END END AS role, "
+    "count(*) AS n FROM lineitem GROUP BY 1, 2)",
 )
 def pck3(spark, d):
-    rows = spark.createDataFrame([("tests",), ("di_resolves_to",), ("options_binds",), ("x",)], "via string")
-    return rows.withColumn("role", packing.role(F.col("via"), F.lit(False))).withColumn("tier", packing.tier(F.col("role")))
+    """Roles and tiers of links whose type follows from the line's number; every fifth order's are seeds."""
+    kinds = F.lit(["tests", "di_resolves_to", "options_binds", "route_handles", "di_injects"])
+    rows = table(spark, d, "lineitem").select(F.coalesce(F.get(kinds, F.col("l_linenumber").cast("int") - 1), F.lit("x")).alias("via"), (F.col("l_orderkey") % 5 == 0).alias("seed"))
+    counted = rows.withColumn("role", packing.role(F.col("via"), F.col("seed"))).groupBy("via", "role").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("tier", packing.tier(F.col("role")))
 
 
 @query(
@@ -195,7 +200,7 @@ _BUCKETS = " ".join(f"WHEN regexp_matches(t, '{_sql_pattern(pattern)}') THEN '{n
 
 @query(
     "met5_title_buckets",
-    f"SELECT CASE WHEN t = '' THEN 'no-signal' {_BUCKETS} ELSE 'natural-language' END AS bucket, count(*) AS titles "
+    f"SELECT CASE WHEN t = '' THEN 'no-signal' {_BUCKETS} ELSE 'nl-domain' END AS bucket, count(*) AS titles "
     f"FROM (SELECT {_TITLE} AS t FROM documents) GROUP BY 1",
 )
 def met5(spark, d):

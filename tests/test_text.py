@@ -31,7 +31,7 @@ def test_comments_and_tokens(spark):
 
 
 def test_buckets(spark):
-    for title, bucket in (("Merge branch x", "no-signal"), ("", "no-signal"), ("Bump a from 1.0 to 2.0", "dependency-bump"), ("ci: x", "config-ci"), ("Fix typo", "formatting"), ("add route", "route-api"), ("more tests", "test-only"), ("fix OrderService", "identifier-rich"), ("make it good", "natural-language")):
+    for title, bucket in (("Merge branch x", "no-signal"), ("", "no-signal"), ("Bump a from 1.0 to 2.0", "dependency-bump"), ("ci: x", "config-ci"), ("Fix typo", "formatting"), ("add route", "route-api"), ("more tests", "test-only"), ("fix OrderService", "identifier-rich"), ("make it good", "nl-domain")):
         assert one(spark, title, text.title_bucket) == bucket
 
 
