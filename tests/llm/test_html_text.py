@@ -36,7 +36,8 @@ def test_template_texts_are_deduced_where_no_element_tells(spark):
     got = {(r["page_id"], r["text"]) for r in extract_main_text(frame).collect()}
     assert got == {(i, f"Story {i} begins and ends {i * 7}") for i in range(8)} | {(9, ""), (None, "x")}
     assert extract_main_text(frame.limit(0)).count() == 0
-    assert deduce_templates(frame.selectExpr("1L AS host", "page_id AS page", "html").where("page < 8")).count() >= 4
+    deduced = deduce_templates(frame.selectExpr("1L AS host", "page_id AS page", "html").where("page < 8"))
+    assert deduced.count() >= 4 and deduced.where("container").count() == 1
 
 
 def extracted(spark, pages):
@@ -68,3 +69,37 @@ def test_templates_nest(spark):
 
 def test_main_beside_a_teaser():
     assert main_text("<main><article><p>Tease</p></article><p>A long body text that is the page's own matter and goes on</p></main>", set()) == "Tease A long body text that is the page's own matter and goes on"
+
+
+def neutral(page):
+    """A page whose elements tell nothing: those of articles and asides are plain ones, and there are no names."""
+    plain = re.sub(r"<(/?)(?:article|main|nav|footer|header|aside|form|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"""\s(?:class|id|role)=(?:"[^"]*"|'[^']*')""", "", plain)
+
+
+def test_classes_find_the_article_where_elements_tell_nothing(spark, sf_dir):
+    """On the given pages without telling elements the template's container holds the article, and without the template nothing does."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    frame = spark.createDataFrame([(r["page_id"], r["url"], neutral(r["html"])) for r in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_main_text(frame).collect()}
+    want = {r["page_id"]: main_text(r["html"], set()) for r in pages}
+    right = sum(got[i] == want[i] for i in want) / len(want)
+    empty = sum(main_text(neutral(r["html"]), set()) == want[r["page_id"]] for r in pages) / len(want)
+    assert right >= 0.9 and empty == 0, (right, empty)
+
+
+def test_small_hosts_are_pooled_by_layout(spark):
+    """No host has enough pages for a template, but their pages have one layout."""
+    page = lambda i: f"<body><div>Menu {i} of links</div><div><h2>Tale {i}</h2><p>Once upon a time there were {i} tales.</p><p>They went on and on, {i} times, to the end.</p></div><div>Imprint {i}</div></body>"
+    frame = spark.createDataFrame([(i, f"http://h{i}.example/", page(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_main_text(frame).collect()}
+    assert got == {i: f"Tale {i} Once upon a time there were {i} tales. They went on and on, {i} times, to the end." for i in range(12)}
+
+
+def test_joined_templates_give_what_broadcast_ones_do(spark, sf_dir, monkeypatch):
+    import loomdex.llm.html_text as module
+
+    rows = lambda: sorted(tuple(r) for r in op9_main_text(spark, sf_dir).collect())
+    broadcast = rows()
+    monkeypatch.setattr(module, "BROADCAST_TOKENS", 0)
+    assert rows() == broadcast
