@@ -3,13 +3,16 @@
 Every text is streamed through the automaton, which gives at each word the longest run of
 words ending there that stands in some template (matching statistics). Long matches with one
 template are chained in the order of both text and template, so that a chain covers a span of
-the template and counts each of its words once; a template covered well enough gives its label.
+the template and counts each of its words once; a template covered well enough gives its label. Templates are short notices, and whole licence texts from
+the folder ``licences``, whose files are named by label and version.
 Three short phrases label a text wherever their words stand consecutively.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
+import importlib.resources
 from typing import NamedTuple
 
 import numpy as np
@@ -21,6 +24,8 @@ from .common import kind_of
 
 #: Fixed phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+#: What a phrase says of a text's licence where no template is covered, as part of the score.
+PHRASE_EVIDENCE = 0.9
 #: Fixed opening passages of public license notices, lower case and without punctuation.
 TEMPLATES = {
     "mit": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
@@ -78,6 +83,24 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_SEPARATORS).split()
 
 
+def label_of(name: str) -> str:
+    """The label of a template: its name up to the first dot."""
+    return name.partition(".")[0]
+
+
+@functools.cache
+def whole_templates() -> dict[str, str]:
+    """The notices, and the words of the whole licence texts of the package."""
+    texts = {f"{p.name.removesuffix('.txt')}.text": p.read_text() for p in (importlib.resources.files(__package__) / "licences").iterdir() if p.name.endswith(".txt")}
+    return TEMPLATES | {name: b" ".join(words_of(t)).decode() for name, t in sorted(texts.items())}
+
+
+@functools.lru_cache(maxsize=4)
+def scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
+    """The automaton of some templates; a worker builds it once."""
+    return Scanner(dict(templates))
+
+
 class Match(NamedTuple):
     """Words ``start`` to ``end`` of a text that stand in a template up to its word ``to``."""
 
@@ -237,7 +260,7 @@ class Scanner:
         spans = []
         for t, found in matches.items():
             least = min(COVER * self.sizes[t], COVER_WORDS)
-            spans += [(self.names[t], start, end, covered, covered / self.sizes[t]) for start, end, covered in chains(found, least)]
+            spans += [(label_of(self.names[t]), start, end, covered, covered / self.sizes[t]) for start, end, covered in chains(found, least)]
         # of templates that share words, the one that is covered best
         spans.sort(key=lambda s: s[1])
         worse = set()
@@ -250,20 +273,21 @@ class Scanner:
         return sorted(s for i, s in enumerate(spans) if i not in worse)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """(id_col, n_words, hits array of (word, label), spans array of (label, first, end, covered, share)) for each row.
 
     Words are numbered from 0 over the whole text; ``covered`` counts words of the template, ``share``
     is their part of it. Null text has no words. Ids have any type. Overlapping phrases all
     count. Repeated rows and null ids are scanned like others; an empty table gives no rows; other
-    columns are ignored.
+    columns are ignored. ``templates`` (text by name) default to all of the package; a name's part before a dot is the label.
     """
+    given = tuple((whole_templates() if templates is None else templates).items())
 
     def run(batches):
-        scanner = Scanner(templates)
+        found_by = scanner(given)
         hit, span = pa.struct([("word", pa.int64()), ("label", pa.string())]), pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("covered", pa.int64()), ("share", pa.float64())])
         for batch in batches:
-            found = [scanner.scan(t.as_py()) for t in batch.column(1)]
+            found = [found_by.scan(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -290,6 +314,6 @@ def op6_license_scan(spark, sf_dir):
         F.array_max("hits.word").alias("last_word"),
         label(F.col("hits.label")).alias("base_labels"),
         label(F.concat("hits.label", "spans.label")).alias("labels"),
-        # a phrase is sure; else the largest part of a template that a span covers
-        F.when(F.size("hits") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("spans.share"), F.lit(0.0))).alias("score"),
+        # the largest part of a template that a span covers, and the phrase as one more piece of evidence
+        (1 - (1 - F.when(F.size("hits") > 0, PHRASE_EVIDENCE).otherwise(0.0)) * (1 - F.coalesce(F.array_max("spans.share"), F.lit(0.0)))).alias("score"),
     )

@@ -2,7 +2,7 @@ import itertools
 import random
 import re
 
-from loomdex.llm.licenses import GAP, PHRASES, SKIP, TEMPLATES, Match, Scanner, chained, chains, op6_license_scan, scan_licenses, words_of
+from loomdex.llm.licenses import GAP, PHRASES, SKIP, TEMPLATES, Match, Scanner, chained, chains, op6_license_scan, scan_licenses, whole_templates, words_of
 
 
 def brute(text):
@@ -82,3 +82,17 @@ def test_words_of_a_template_count_once():
     assert max((x[3] for x in s.scan(" ".join(words[20:30] + words[5:16]))[2]), default=0) <= 11
     # the better covered one of two templates that share words
     assert {x[0] for x in s.scan(TEMPLATES["lgpl"])[2]} == {"lgpl"} and {x[0] for x in s.scan(TEMPLATES["gpl"])[2]} == {"gpl"}
+
+
+def test_bodies_of_licences_without_their_phrases(spark, tmp_path):
+    """Parts of whole licence texts that hold none of the phrases give the label, and the score follows what they cover."""
+    whole = whole_templates()
+    part = lambda name, a, b: " ".join(whole[name].split()[a:b])
+    bodies = {"mit": part("mit.text", 115, 175), "apache": part("apache.2.0.text", 300, 420), "gpl": part("gpl.3.text", 900, 1100), "mpl": part("mpl.2.0.text", 400, 520), "bsd": part("bsd.3.text", 130, 200), "lgpl": part("lgpl.2.1.text", 1500, 1600)}
+    assert not any(p in text for text in bodies.values() for p in PHRASES)
+    rows = [(i, f"before all, {text.upper()} and after") for i, text in enumerate(bodies.values())] + [(90, "an mit license here"), (91, "a text of its own that speaks of permission and of software, and of nothing else"), (92, whole["isc.text"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op6_license_scan(spark, str(tmp_path)).collect()}
+    assert [got[i]["labels"] for i in range(len(bodies))] == list(bodies) and not any(got[i]["base_labels"] for i in range(len(bodies)))
+    assert all(0 < got[i]["score"] < 1 for i in range(len(bodies))) and got[0]["score"] > got[2]["score"]
+    assert (got[90]["labels"], round(got[90]["score"], 9)) == ("mit", 0.9) and (got[91]["labels"], got[91]["score"]) == ("", 0.0) and (got[92]["labels"], got[92]["score"]) == ("isc", 1.0)
