@@ -45,6 +45,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def kind_of(df: DataFrame, column: str) -> str:
     """The column's type as SQL text, for the schemas of Python stages that pass it on."""
     return df.schema[column].dataType.simpleString()

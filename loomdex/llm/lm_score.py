@@ -32,6 +32,8 @@ HOT_WORDS = 150_000
 #: Distinct words and pairs of words that a task adds up before it passes them on; tokens scored at a time.
 WORDS_AT_A_TIME, PAIRS_AT_A_TIME, CHUNK = 1 << 17, 1 << 20, 1 << 17
 TOKENS_PER_PART = 1 << 21
+#: Key ranges that an input task parts its counts into at most, and tokens of a range that a task cuts into the filter's parts.
+RANGE_BITS, RANGE_TOKENS = 10, 1 << 26
 #: Weight of the word's own probability against that given the word before.
 KAPPA = 4.0
 _A, _B, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -124,10 +126,16 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def runs_of(parts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, first, end) of the parts that occur, in rising order."""
+    first = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]) if len(parts) else np.zeros(0, np.int64)
+    return list(zip(parts[first].tolist(), first.tolist(), [*first[1:].tolist(), len(parts)][: len(first)], strict=True))
+
+
 def blobs(keys: np.ndarray, counts: np.ndarray, part_bits: int):
-    """One (part, keys, counts) row for each part, from summed keys."""
-    bounds = np.searchsorted(part_of(keys, part_bits), np.arange((1 << part_bits) + 1))
-    rows = [(p, keys[a:b].tobytes(), counts[a:b].astype(np.int64).tobytes() if counts[a:b].max() > 255 else counts[a:b].astype(np.uint8).tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+    """One (part, keys, counts) row for each part that occurs, from summed keys."""
+    small = lambda c: c.astype(np.uint8 if c.max() <= 255 else np.int64).tobytes()
+    rows = [(p, keys[a:b].tobytes(), small(counts[a:b])) for p, a, b in runs_of(part_of(keys, part_bits))]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "keys", "counts"])
 
 
@@ -199,15 +207,48 @@ def word_blobs(words: DataFrame, part_bits: int) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, BLOB)
 
 
-def build_segments(texts: DataFrame, words: DataFrame, part_bits: int) -> DataFrame:
-    """(part, bits): the filter's segments, a row for each key range that has n-grams, written in the shared folder."""
+def refined(ranges: DataFrame, part_bits: int, tasks: int) -> DataFrame:
+    """Blobs of RANGE_BITS parts as blobs of ``part_bits`` parts, each with the keys of many: a task has some blobs of a range, and adds them up a million keys at a time."""
+
+    def run(batches):
+        held, size, now = [], 0, None
+
+        def out():
+            table = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            return blobs(*summed(*table), part_bits)
+
+        for batch in batches:
+            for part, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if held and (part != now or size > PAIRS_AT_A_TIME):
+                    yield out()
+                    size = 0
+                now = part
+                held.append(_read(k.as_py(), c.as_py()))
+                size += len(held[-1][0])
+        if held:
+            yield out()
+
+    spread = F.pmod(F.xxhash64("keys"), F.lit(tasks))
+    return ranges.repartition("part", spread).sortWithinPartitions("part").mapInArrow(run, BLOB)
+
+
+def build_segments(texts: DataFrame, words: DataFrame, part_bits: int, range_bits: int = RANGE_BITS, range_tokens: int = RANGE_TOKENS, n: int = 0) -> DataFrame:
+    """(part, bits): the filter's segments, a row for each key range that has n-grams, written in the shared folder.
+
+    Input tasks pass on at most 2^range_bits blobs at a time. Where the filter has more parts than these, the
+    blobs of a range meet in tasks of about ``range_tokens`` tokens and are cut into parts there.
+    """
 
     def merge(table: pa.Table) -> pa.Table:
         read = [_read(k.as_py(), c.as_py()) for k, c in zip(table.column("keys"), table.column("counts"), strict=True)]
         keys, counts = summed(np.concatenate([k for k, _ in read]), np.concatenate([c for _, c in read]))
         return pa.table({"part": table.column("part")[:1], "bits": pa.array([segment(keys, levels_of(counts), BITS_PER_ENTRY)], pa.binary())})
 
-    blobbed = pair_blobs(texts, part_bits).unionByName(word_blobs(words, part_bits))
+    first = min(part_bits, range_bits)
+    blobbed = pair_blobs(texts, first).unionByName(word_blobs(words, first))
+    if first < part_bits:
+        blobbed = refined(blobbed, part_bits, max(1, math.ceil(n / range_tokens) >> first))
     return stage(blobbed.groupBy("part").applyInArrow(merge, "part int, bits binary"), "lm-segments")
 
 
@@ -311,7 +352,6 @@ def scored_by_segment(rows: DataFrame, segments: DataFrame, part_bits: int, hot:
     task holds one after the other, and the levels found go back to those texts' tokens.
     """
     shared = rows.sparkSession.sparkContext.broadcast(hot)
-    bounds = np.arange((1 << part_bits) + 1)
 
     def tokenise(batches):
         for batch in batches:
@@ -323,8 +363,7 @@ def scored_by_segment(rows: DataFrame, segments: DataFrame, part_bits: int, hot:
                 number = batch.column(0)[a].as_py()
                 base = base_columns(batch, a, b, chunk, shared.value)
                 yield pa.RecordBatch.from_arrays([*base, pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], [*BASE, "chunk", "part", "data"])
-                cuts = np.searchsorted(part_of(keys, part_bits), bounds)
-                parts = [(p, keys[i:j].tobytes()) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                parts = [(p, keys[i:j].tobytes()) for p, i, j in runs_of(part_of(keys, part_bits))]
                 # the tokens' places among the keys and the texts' sizes come before all parts
                 parts += [(-1, places), (-2, np.array(batch.column(0)[a:b].to_pylist(), np.int64).tobytes() + chunk.sizes.astype(np.int64).tobytes())]
                 none = [pa.nulls(len(parts), x.type) for x in base]
@@ -408,13 +447,15 @@ def score_texts(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", tex
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     part_bits = max(4, math.ceil(math.log2(max(1, n / TOKENS_PER_PART))) + 1)
-    segments = build_segments(texts, words, part_bits)
-    lengths = segments.select("part", F.octet_length("bits").cast("long").alias("size")).toArrow()  # a row per 2**20 tokens
-    sizes = np.zeros(1 << part_bits, np.int64)
-    sizes[lengths["part"].to_numpy()] = lengths["size"].to_numpy()
+    segments = build_segments(texts, words, part_bits, n=n)
+    each = segments.select("part", F.octet_length("bits").cast("long").alias("size"))
+    whole = each.agg(F.sum("size")).first()[0] or 0
     hot = hot_counts(words, hot_words)
     asked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    if sizes.sum() <= max_filter_bytes:
+    if whole <= max_filter_bytes:
+        lengths = each.toArrow()  # a row per 2**20 tokens, of at most max_filter_bytes
+        sizes = np.zeros(1 << part_bits, np.int64)
+        sizes[lengths["part"].to_numpy()] = lengths["size"].to_numpy()
         rows = scored_by_broadcast(asked, gathered(segments, sizes, part_bits), hot, n, v)
     else:
         # numbered once: a row that is read again must keep its number

@@ -195,9 +195,13 @@ def links_of(distinct: DataFrame, max_bits: int, heavy: int = HEAVY) -> DataFram
     return out.distinct()
 
 
-def block_pairs(members: DataFrame, key: str, value: str, block: int) -> DataFrame:
-    """``members`` of each ``key`` dealt into hashed blocks of about ``block``, once for every pair of blocks they are in; the key names the pair."""
-    sizes = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+def block_pairs(members: DataFrame, key: str, value: str, block: int, weight: str | None = None, heaviest: int = 1) -> DataFrame:
+    """``members`` of each ``key`` dealt into hashed blocks, once for every pair of blocks they are in; the key names the pair.
+
+    A block has about ``block`` members, and if they have a ``weight``, members of about ``heaviest`` together.
+    """
+    count = F.count(F.lit(1)) / block
+    sizes = members.groupBy(key).agg(F.ceil(count if weight is None else F.greatest(count, F.sum(weight) / heaviest)).alias("blocks"))
     dealt = members.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(value, F.lit(3)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return dealt.withColumn(key, F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
 

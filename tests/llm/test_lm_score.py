@@ -115,3 +115,20 @@ def test_a_filter_beyond_the_broadcast_gives_the_same(spark, sf_dir):
     small, large = rows(0), rows(1 << 30)
     assert [r[:4] for r in small] == [r[:4] for r in large]
     assert all(math.isclose(a[4], b[4], rel_tol=1e-12) and math.isclose(a[5], b[5], rel_tol=1e-12) for a, b in zip(small, large, strict=True))
+
+
+def test_blobs_iterate_over_the_parts_that_occur():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1_000_000, np.uint64))
+    counts = np.ones(len(keys), np.int64)
+    few = lm_score.blobs(keys, counts, lm_score.RANGE_BITS)
+    assert few.num_rows <= 1 << lm_score.RANGE_BITS and b"".join(few.column(1).to_pylist()) == keys.tobytes()
+    assert lm_score.runs_of(np.array([3, 3, 7, 9, 9])) == [(3, 0, 2), (7, 2, 3), (9, 3, 5)] and lm_score.runs_of(np.zeros(0, np.int64)) == []
+
+
+def test_segments_in_two_steps_are_those_of_one(spark, sf_dir):
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    words = lm_score.word_counts(texts)
+    read = lambda frame: {r["part"]: bytes(r["bits"]) for r in frame.collect()}
+    one = read(lm_score.build_segments(texts, words, 6))
+    assert read(lm_score.build_segments(texts, words, 6, range_bits=2)) == one
+    assert read(lm_score.build_segments(texts, words, 6, range_bits=2, range_tokens=5000, n=200_000)) == one and len(one) == 64
