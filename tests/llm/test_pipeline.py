@@ -97,3 +97,9 @@ def test_columns_that_clash_with_those_of_stages(spark, sf_dir):
             assert docs.columns == frame.columns
     assert {(r["copies"], r["__row"], r["times"], r["component_id"], r["size"], r["row"]) for r in docs.collect()} == {(3, 4, 5, 6, 7, 8)}
     assert len({r["shard"] for r in docs.collect()}) == corpus_pipeline.SHARDS
+
+
+def test_no_language_at_all_keeps_documents_with_a_letter(spark, sf_dir):
+    rows = [(1, "words of a text"), (2, None), (3, "123"), (4, "é")]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, sf_dir).collect()} == {1, 4}
