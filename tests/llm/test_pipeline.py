@@ -35,7 +35,7 @@ def test_null_and_repeated_ids_and_empty_tables(spark, sf_dir):
     for name, step in corpus_pipeline.STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
         sizes[name] = docs.count()
-    assert sizes["language_id"] == 4 and sizes["simhash_dedup"] == 3 == sizes["decontamination"]
+    assert sizes["language_id"] == 4 and sizes["near_dedup"] == 3 == sizes["decontamination"]
     docs = frame.limit(0)
     for name, step in corpus_pipeline.STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
