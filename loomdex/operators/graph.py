@@ -140,19 +140,34 @@ def resolve(edges: DataFrame, kind: str, source: str) -> DataFrame:
     return edges.where((F.col("type") == kind) & (F.col("from") == source)).select("to").distinct()
 
 
-def cochanges(changes: DataFrame, least: int = 2, most_files: int = 40) -> DataFrame:
-    """Pairs of paths changed together: (a, b, count, pmi, jaccard, last_seen) from (commit, path, date).
+#: Files of a commit that counts for pairs, at most.
+MOST_FILES = 40
+
+
+def pairs_and_paths(changes: DataFrame, most_files: int = MOST_FILES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts of (commit, path, date) that add up over commits: pairs (a, b, count, last_seen), paths (path, c) and commits (n).
 
     Commits of more than ``most_files`` files are left out, which bounds the pairs of a commit.
     """
     distinct = changes.groupBy("commit", "path").agg(F.max("date").alias("date"))
     sets = distinct.groupBy("commit").agg(F.sort_array(F.collect_set("path")).alias("paths"), F.max("date").alias("date")).where((F.size("paths") > 0) & (F.size("paths") <= most_files))
-    n = sets.agg(F.count(F.lit(1)).alias("n"))
     ends = F.explode(F.flatten(F.transform("paths", lambda a: F.transform(F.filter("paths", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
-    pairs = sets.select("date", ends.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("count"), F.max("date").alias("last_seen")).where(F.col("count") >= least)
+    pairs = sets.select("date", ends.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("count"), F.max("date").alias("last_seen"))
     alone = sets.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("c"))
-    named = pairs.join(alone.select(F.col("path").alias("a"), F.col("c").alias("ca")), "a").join(alone.select(F.col("path").alias("b"), F.col("c").alias("cb")), "b").crossJoin(F.broadcast(n))
-    return named.select("a", "b", "count", F.log2(F.col("count") * F.col("n") / (F.col("ca") * F.col("cb"))).alias("pmi"), (F.col("count") / (F.col("ca") + F.col("cb") - F.col("count"))).alias("jaccard"), "last_seen")
+    return pairs, alone, sets.agg(F.count(F.lit(1)).alias("n"))
+
+
+def couplings(pairs: DataFrame, paths: DataFrame, commits: DataFrame, least: int = 2) -> DataFrame:
+    """Pairs of ``least`` commits or more with their strength, from the counts of ``pairs_and_paths``."""
+    ends = lambda end, n: paths.select(F.col("path").alias(end), F.col("c").alias(n))
+    named = pairs.where(F.col("count") >= least).join(ends("a", "ca"), "a").join(ends("b", "cb"), "b").crossJoin(F.broadcast(commits))  # one row
+    pmi = F.log2(F.col("count") * F.col("n") / (F.col("ca") * F.col("cb")))
+    return named.select("a", "b", "count", pmi.alias("pmi"), (F.col("count") / (F.col("ca") + F.col("cb") - F.col("count"))).alias("jaccard"), "last_seen")
+
+
+def cochanges(changes: DataFrame, least: int = 2, most_files: int = MOST_FILES) -> DataFrame:
+    """Pairs of paths changed together: (a, b, count, pmi, jaccard, last_seen) from (commit, path, date); see ``pairs_and_paths``."""
+    return couplings(*pairs_and_paths(changes, most_files), least)
 
 
 def proximity_edges(files: DataFrame, smallest: int = 3, group: tuple[int, int] = (2, 4)) -> DataFrame:

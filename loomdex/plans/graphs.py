@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, history
 from .fixtures import EDGES_SQL, FILES_SQL, NODES_SQL, edges, files, nodes, table
 
 QUERIES, SQL = {}, {}
@@ -117,6 +117,20 @@ def grf15(spark, d):
     return graph.cochanges(changes).select("a", "b", "count", F.round("pmi", 6).alias("pmi"), F.round("jaccard", 6).alias("jaccard"))
 
 
+def in_batches(spark, d, batches=4):
+    """The history of all orders, added in batches of whole ones."""
+    changes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path"), F.col("l_shipdate").alias("date"))
+    held = history.started(changes)
+    for i in range(batches):
+        held = history.added(held, changes.where(F.col("commit") % batches == i))
+    return held
+
+
+@query("grf15_cochanges_by_batches", SQL["grf15_cochanges"])
+def grf15_batches(spark, d):
+    return history.cochanges(spark, in_batches(spark, d)).select("a", "b", "count", F.round("pmi", 6).alias("pmi"), F.round("jaccard", 6).alias("jaccard"))
+
+
 @query(
     "grf12_proximity_edges",
     "WITH s AS (SELECT p_partkey::VARCHAR AS file_path, p_brand || '/' || p_type AS st FROM part), "

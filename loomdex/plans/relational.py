@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import store, substrings
+from ..operators import manifests, store, substrings
 from .fixtures import EDGES_SQL, FILES_SQL, NODES_SQL, SYMBOLS_SQL, edges, files, nodes, path_trigrams, stored, symbols, table
 
 QUERIES, SQL = {}, {}
@@ -213,6 +213,15 @@ def set1(spark, d):
     return store.manifest_difference(f.where("doc_id % 10 <> 3"), new, "doc_id", "n_chars")
 
 
+@query("set1_difference_of_trees", SQL["set1_manifest_difference"])
+def set1_trees(spark, d):
+    """The same from two hash trees, of which the leaves that differ are read."""
+    f = table(spark, d, "documents").select("doc_id", "n_chars")
+    new = f.where("doc_id % 10 <> 4").withColumn("n_chars", F.col("n_chars") + (F.col("doc_id") % 10 == 5).cast("int"))
+    trees = [manifests.build(x, "doc_id", "n_chars") for x in (f.where("doc_id % 10 <> 3"), new)]
+    return manifests.difference(spark, *trees)
+
+
 @query(
     "union5_canonical_union",
     "SELECT o_custkey, arg_min(o_orderkey, k) AS o_orderkey, count(DISTINCT o_orderpriority) AS targets "

@@ -9,9 +9,10 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import delta, extract, metrics, packing, reduce
+from ..operators import delta, extract, history, manifests, metrics, packing, reduce
 from ..operators.shared import new_path
 from ..streaming import changes, stateful
+from . import graphs
 from .fixtures import SYMBOLS_SQL, table
 
 QUERIES, SQL = {}, {}
@@ -298,6 +299,13 @@ def dif5(spark, d):
     return delta.freshness(t.where("doc_id % 10 <> 3"), t.where("doc_id % 10 <> 4").withColumn("n_chars", F.col("n_chars") + F.col("doc_id") % 2), "doc_id", "n_chars")
 
 
+@query("dif5_freshness_by_trees", SQL["dif5_freshness"])
+def dif5_trees(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "n_chars")
+    now = t.where("doc_id % 10 <> 4").withColumn("n_chars", F.col("n_chars") + F.col("doc_id") % 2)
+    return manifests.freshness(spark, manifests.build(t.where("doc_id % 10 <> 3"), "doc_id", "n_chars"), manifests.build(now, "doc_id", "n_chars"))
+
+
 @query(
     "dif6_nearest_names",
     "SELECT asked, name, distance, rank FROM (SELECT asked, name, levenshtein(lower(asked), "
@@ -329,6 +337,13 @@ def git1(spark, d):
     return delta.git_stats(table(spark, d, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_shipdate").alias("date")), datetime.datetime(1998, 1, 1))
 
 
+@query("git1_stats_by_batches", SQL["git1_change_stats"])
+def git1_batches(spark, d):
+    """The same from a history that has been added to in batches and merged."""
+    held = history.merged(spark, graphs.in_batches(spark, d))
+    return history.stats(spark, held, datetime.datetime(1998, 1, 1))
+
+
 def _changes(spark, d):
     return table(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, "Created").when(F.col("event_id") % 4 == 1, "Deleted").otherwise("Changed").alias("kind"))
 

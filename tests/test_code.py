@@ -5,7 +5,7 @@ import subprocess
 
 import pytest
 from loomdex.functions import csharp
-from loomdex.operators import code, delta, localize, packing, postings, search, store, substrings
+from loomdex.operators import code, delta, graph, history, localize, manifests, packing, postings, search, store, substrings
 from loomdex.operators.shared import new_path, numbered
 from loomdex.sources import templates, version_control
 from loomdex.streaming import changes
@@ -374,3 +374,40 @@ def test_prefixes_over_ranges_equal_a_running_sum(spark):
     assert {r["path"]: (r["n"], r["total"]) for r in got.collect()} == want
     plan = packing.emit_prefix(frame, 70, ["path"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_trees_tell_what_differs_from_where_it_does(spark, monkeypatch):
+    monkeypatch.setattr(manifests, "LEAF_ROWS", 4)
+    monkeypatch.setattr(manifests, "STEP", 3)
+    rng = random.Random(9)
+    old = {f"f{i}": rng.choice([None, "a", "b"]) for i in range(900)}
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), "path string, digest string")
+    first = manifests.build(frame(old), "path", "digest")
+    assert first.levels == 3
+    plain = lambda found: sorted([tuple(r) for r in found.collect()], key=str)
+    for new in (dict(old), {k: v for k, v in old.items() if k not in ("f3", "f5")} | {"f7": "x", "f8": None, "new": "a"}, {"other": "a"}, {k: v for k, v in old.items() if int(k[1:]) % 2}):
+        second = manifests.build(frame(new), "path", "digest")
+        want = plain(store.manifest_difference(frame(old), frame(new), "path", "digest"))
+        assert plain(manifests.difference(spark, first, second)) == want
+        assert plain(manifests.freshness(spark, first, second, 5)) == plain(delta.freshness(frame(old), frame(new), "path", "digest", 5))
+    same, level, compared = manifests.differing(spark, first, manifests.build(frame(old), "path", "digest"))
+    assert same is None and level == 0 and compared == 1
+    one = manifests.build(frame(old | {"f9": "changed"}), "path", "digest")
+    found, level, compared = manifests.differing(spark, first, one)
+    assert found.count() == 1 and level == 3 and compared <= 1 + 3 * 8
+    plan = manifests.within(spark, one, found, level)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(leaf" in plan
+
+
+def test_a_history_adds_up(spark):
+    rng = random.Random(5)
+    rows = [(c, f"p{rng.randrange(6)}", rng.randrange(100)) for c in range(40) for _ in range(rng.randrange(1, 4))] + [(99, f"q{i}", 5) for i in range(50)]
+    frame = lambda part: spark.createDataFrame(part, "commit long, path string, date long")
+    held = history.started(frame(rows))
+    for i in range(3):
+        held = history.added(held, frame([r for r in rows if r[0] % 3 == i]))
+    plain = lambda found: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in found.collect())
+    for state in (held, history.merged(spark, held), history.replaced(held, frame(rows))):
+        assert plain(history.cochanges(spark, state)) == plain(graph.cochanges(frame(rows)))
+        assert state.days(spark).groupBy("path").agg(F.sum("changes").alias("n")).where("path = 'p1'").first()["n"] == sum(r[1] == "p1" for r in rows)
+    assert len(held.segments) == 3 and not plain(history.cochanges(spark, history.replaced(held, frame([(1, "a", 1)]))))
