@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,15 +35,36 @@ def summary(values: DataFrame, column: str, by: list[str]) -> DataFrame:
     return values.groupBy(*by).agg(F.avg(column).alias("mean"), F.expr(f"percentile({column}, 0.5)").alias("median"), F.expr(f"percentile({column}, 0.95)").alias("p95"), F.count(F.lit(1)).alias("n"))
 
 
+#: Chances of a weight of 0, at most 1, and so on in a Poisson draw of mean 1.
+POISSON = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563])
+#: Rows that a task draws weights for at a time.
+ROWS_AT_A_TIME = 256
+
+
 def bootstrap_interval(values: DataFrame, column: str, resamples: int = 2000, seed: int = 1469, level: float = 0.95) -> DataFrame:
-    """Interval of the mean by Poisson resampling: every row draws its weight for every resample from a hash, so nothing is collected.
+    """Interval of the mean by Poisson resampling: every row draws its weight for every resample from a hash of its id.
 
-    ``values`` has an id column; equal input gives equal intervals.
+    ``values`` has an id column; equal input gives equal intervals. A task adds up two sums for each resample, so
+    rows are neither copied nor collected.
     """
-    u = F.shiftrightunsigned(F.xxhash64("id", "resample", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    weight = F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).when(u < 0.9963401531726563, 4).otherwise(5)
-    drawn = values.select("id", F.col(column).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample")).withColumn("w", weight)
-    means = drawn.groupBy("resample").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
+
+    def run(batches):
+        v, w = np.zeros(resamples), np.zeros(resamples)
+        turns = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            ids, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for at in range(0, len(ids), ROWS_AT_A_TIME):
+                x = ids[at : at + ROWS_AT_A_TIME, None] + turns
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                drawn = np.searchsorted(POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), "right")
+                v += values[at : at + ROWS_AT_A_TIME] @ drawn
+                w += drawn.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(v), pa.array(w)], ["resample", "v", "w"])
+
+    rows = values.where(F.col(column).isNotNull()).select(F.xxhash64("id", F.lit(seed)).alias("h"), F.col(column).cast("double").alias("v"))
+    sums = rows.mapInArrow(run, "resample long, v double, w double").groupBy("resample").agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
+    means = sums.select((F.col("v") / F.nullif("w", F.lit(0.0))).alias("mean"))
     tail = (1 - level) / 2
     return means.agg(F.expr(f"percentile(mean, {tail})").alias("low"), F.expr(f"percentile(mean, {1 - tail})").alias("high"))
 

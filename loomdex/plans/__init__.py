@@ -1,8 +1,8 @@
 """The registered queries with the SQL that checks them."""
 
-from . import graphs, ranking, relational, requests, sources, texts
+from . import graphs, ranking, relational, requests, shapes, sources, texts
 
-MODULES = (graphs, ranking, relational, requests, texts, sources)
+MODULES = (graphs, ranking, relational, requests, texts, sources, shapes)
 
 
 def queries():
