@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packing import pack_plan
@@ -199,10 +199,21 @@ def grouped_links(links: DataFrame) -> DataFrame:
     return links.groupBy("from_file", "to_file").agg(F.count(F.lit(1)).alias("links"), F.min("type").alias("type"))
 
 
+def directory_of(path) -> Column:
+    """The folder of a path; a file at the root is in ``.``."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"^(.+)/[^/]*$", 1), F.lit("")), F.lit("."))
+
+
 def directory_rollup(links: DataFrame) -> DataFrame:
-    """Links between different folders, counted."""
-    folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
-    return links.select(folder("from_file").alias("from_dir"), folder("to_file").alias("to_dir")).where("from_dir <> to_dir").groupBy("from_dir", "to_dir").agg(F.count(F.lit(1)).alias("links"))
+    """Links between different folders, counted; folders that differ in case alone are one."""
+    ends = links.select(directory_of("from_file").alias("from_dir"), directory_of("to_file").alias("to_dir"))
+    return ends.where(F.lower("from_dir") != F.lower("to_dir")).groupBy("from_dir", "to_dir").agg(F.count(F.lit(1)).alias("links"))
+
+
+def directory_totals(files: DataFrame) -> DataFrame:
+    """(directory, files, tokens, centrality): sums over the files (file_path, tokens, centrality) of each folder, its name in any case; named by its first spelling."""
+    sums = [F.count(F.lit(1)).alias("files"), F.sum("tokens").alias("tokens"), F.round(F.sum("centrality"), 4).alias("centrality")]
+    return files.withColumn("folder", directory_of("file_path")).groupBy(F.lower("folder").alias("low")).agg(F.min("folder").alias("directory"), *sums).drop("low")
 
 
 def seed_cascade(files: DataFrame, types: DataFrame, seed: str) -> DataFrame:

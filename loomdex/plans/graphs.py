@@ -192,3 +192,14 @@ def oth2(spark, d):
     f = files(spark, d)
     links = f.select((F.col("file_id") + 1).alias("file_id"), F.col("file_path").alias("from_file")).join(f.select("file_id", F.col("file_path").alias("to_file")), "file_id")
     return graph.directory_rollup(links)
+
+
+@query(
+    "oth2_directory_totals",
+    f"WITH {FILES_SQL} SELECT min(dir) AS directory, count(*) AS files, sum(size_bytes)::BIGINT AS tokens, round(sum(file_id % 7 / 8.0), 4)::DOUBLE AS centrality "
+    "FROM (SELECT *, CASE WHEN file_id % 2 = 0 THEN upper(string_split(file_path, '/')[1]) ELSE string_split(file_path, '/')[1] END AS dir FROM files) GROUP BY lower(dir)",
+)
+def oth2_totals(spark, d):
+    """Files, tokens and centrality of each folder; every second path is in capitals."""
+    f = files(spark, d).withColumn("file_path", F.when(F.col("file_id") % 2 == 0, F.upper("file_path")).otherwise(F.col("file_path")))
+    return graph.directory_totals(f.select("file_path", F.col("size_bytes").alias("tokens"), (F.col("file_id") % 7 / 8.0).alias("centrality")))

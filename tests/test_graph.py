@@ -85,3 +85,10 @@ def test_budget_passes_over_what_does_not_fit(spark):
     costs = spark.createDataFrame([("s", 900), ("a", 60), ("b", 500), ("c", 40)], "node string, cost long")
     got = graph.focus(edges, spark.createDataFrame([("s", 1.0)], "node string, score double"), 1, costs=costs, budget=1000)
     assert {r["node"] for r in got.collect()} == {"s", "a", "c"}
+
+
+def test_directories(spark):
+    links = spark.createDataFrame([("a/x", "b/y"), ("a/x", "A/z"), ("root", "a/b/c"), ("a/q", "b/y")], "from_file string, to_file string")
+    assert {tuple(r) for r in graph.directory_rollup(links).collect()} == {("a", "b", 2), (".", "a/b", 1)}
+    files = spark.createDataFrame([("a/x", 3, 0.1), ("A/y", 4, 0.25), ("root", 5, 0.0), ("/top", 6, 0.0)], "file_path string, tokens long, centrality double")
+    assert {tuple(r) for r in graph.directory_totals(files).collect()} == {("A", 2, 7, 0.35), (".", 2, 11, 0.0)}
