@@ -73,7 +73,7 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def _is_scan(docs: DataFrame) -> bool:
+def is_scan(docs: DataFrame) -> bool:
     """Whether ``docs`` are the rows of files, each once, with columns chosen or renamed at most."""
     plan = docs._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "SubqueryAlias"):
@@ -88,7 +88,7 @@ def numbered_rows(docs: DataFrame, name: str) -> DataFrame:
     numbers of the files are broadcast, at most MAX_FILES. Rows from elsewhere are written once.
     """
     rows = None
-    if _is_scan(docs):
+    if is_scan(docs):
         place = docs.metadataColumn("_metadata")
         path, taken = unused([*docs.columns, name], "path"), place["file_path"]
         files = docs.select(taken.alias(path)).distinct().limit(MAX_FILES + 1).toArrow()

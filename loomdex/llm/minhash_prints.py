@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import JAVA_SPACE, numbered_rows, text_of
+from .common import JAVA_SPACE, is_scan, stage, text_of
 
 BINS, BITS, WORDS = 512, 4, 5
 #: Probes of a bin that are tried one by one; bins still empty then compare the places of all filled bins in their order.
@@ -129,12 +129,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Every text beside its edited text, whose last half is the start of the next document.
 
     Returns ``id_col``, n_chars, edited (text), fingerprint, edited_fingerprint (packed), near_edited and
-    near_next. Documents follow each other by descending id, null ids last, rows of the same id in the
-    order of their files; the first one follows the last one. Null texts count as empty; an empty table
+    near_next. Documents follow each other by descending id, null ids last, rows of the same id by the
+    names of their files, descending, and by their order in a file; the first one follows the last one. Null texts count as empty; an empty table
     gives no rows and one document follows itself. Other columns are ignored. Each text is shuffled once.
     """
-    rows = numbered_rows(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), "row")
-    keyed = rows.select("text", F.struct("id", (-F.col("row")).alias("row")).alias("order"))
+    named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    # a row's place in its file makes the order unique; rows from elsewhere are written once
+    named = named if is_scan(named) else stage(named, "prints-rows")
+    place = named.metadataColumn("_metadata")
+    keyed = named.select("text", F.struct("id", place["file_path"].alias("file"), (-place["row_index"]).alias("row")).alias("order"))
     printed_ = with_next(keyed, "order").withColumn("fingerprint", fingerprint(F.col("text"), bins, bits, words))
     follows = Window.partitionBy("range").orderBy("guest", F.desc("order"))  # ROWS_PER_RANGE rows, spilled by Spark where they are long
     beside = printed_.select("*", F.lead("text").over(follows).alias("next"), F.lead("fingerprint").over(follows).alias("next_fingerprint")).where("NOT guest")
