@@ -335,6 +335,7 @@ def reduce_code(text: str, options: Reduction = Reduction()) -> str:
         return f"\0{len(kept) - 1}\0"
 
     text = _SPANS.sub(aside, text)
+    # The patterns of each step and what takes their place.
     steps = []
     if options.aggressive:
         steps += [(r"(?m)^\s*#.*", "")]

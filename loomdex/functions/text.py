@@ -85,10 +85,15 @@ def reduced_token_cost(raw: Column, extension: Column, level: str) -> Column:
     return F.floor((raw * percent + 50) / 100).cast("long")
 
 
+#: What is a comment, and its markers.
+COMMENT = r"/\*[\s\S]*?\*/|(?://[^\n]*\n?)+|(?:#[^\n]*\n?)+"
+COMMENT_MARKERS = r"(?m)/\*+|\*+/|^\s*\*|///?|#"
+
+
 def comments(text: Column) -> Column:
     """Prose of the comments: block comments, runs of // lines, runs of # lines; markers and tags removed, white space as one space."""
-    found = F.regexp_extract_all(text, F.lit(r"/\*[\s\S]*?\*/|(?://[^\n]*\n?)+|(?:#[^\n]*\n?)+"), F.lit(0))
-    plain = F.transform(found, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?m)/\*+|\*+/|^\s*\*|///?|#", " "), r"<[^>]+>", " "), r"\s+", " ")))
+    found = F.regexp_extract_all(text, F.lit(COMMENT), F.lit(0))
+    plain = F.transform(found, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, COMMENT_MARKERS, " "), r"<[^>]+>", " "), r"\s+", " ")))
     return F.array_join(F.filter(plain, lambda c: c != ""), " ")
 
 
