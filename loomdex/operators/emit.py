@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,9 +109,25 @@ def load_tier(projects: Column, loaded: Column, errors: Column) -> Column:
     return F.when(loaded == 0, "syntax").when((loaded < projects) | (errors > 0), "graph-grade").otherwise("oracle-grade")
 
 
-def test_filter(names: list[str]) -> str:
-    """An OR of exact names for a test runner; characters with a meaning are escaped."""
-    return "|".join("FullyQualifiedName~" + re.sub(r"([\\()&|=!~])", r"\\\1", n) for n in sorted(set(names)))
+def runner_filters(names: DataFrame, by: str, name: str = "name", exact: bool = False) -> DataFrame:
+    """(by, filter): for each group the OR of its names for a test runner, equal or contained, each once and in order.
+
+    Characters with a meaning are escaped; blank names are left out, and a group of these alone has an empty filter,
+    which means that nothing is to run.
+    """
+    bare = F.trim(F.coalesce(F.col(name), F.lit("")))
+    escaped_name = F.regexp_replace(bare, r"([\\()&|=!~])", r"\\$1")
+    clause = F.when(bare != "", F.concat(F.lit("FullyQualifiedName=" if exact else "FullyQualifiedName~"), escaped_name))
+    return names.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(clause)), "|").alias("filter"))  # a run's names
+
+
+def appended_claims(claims: DataFrame, new: DataFrame) -> DataFrame:
+    """``claims`` and after them the ``new`` ones (ledger, seq, claim, path, grade), numbered on from each ledger's last."""
+    last = claims.groupBy("ledger").agg(F.max("seq").alias("last"))
+    order = F.row_number().over(Window.partitionBy("ledger").orderBy("seq"))  # what a session adds
+    numbered_on = new.withColumn("place", order).join(last, "ledger", "left")
+    seq = (F.coalesce("last", F.lit(0)) + F.col("place")).cast(claims.schema["seq"].dataType)
+    return claims.unionByName(numbered_on.withColumn("seq", seq).select(claims.columns))
 
 
 def write_parts(rows: DataFrame, budget: int, path: str, kind: str = "xml", plan: str = "plan") -> DataFrame:

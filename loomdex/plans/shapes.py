@@ -181,3 +181,25 @@ def snk7(spark, d):
     rows = lines.select(F.col("o").alias("part"), "seq", F.concat(F.lit("l"), F.substring_index("x", " ", 1)).alias("path"), F.substring_index("x", " ", -1).alias("body"))
     digest = lambda kind: emit.emit(rows, kind).select(F.col("part").alias("o"), "entries", F.md5(F.col("text").cast("binary")).alias(kind))
     return digest("markdown").join(digest("json").drop("entries"), "o")
+
+
+@query(
+    "dif9_runner_filters",
+    "SELECT c_nationkey, string_agg(DISTINCT 'FullyQualifiedName~' || k, '|' ORDER BY 'FullyQualifiedName~' || k) AS filter "
+    "FROM (SELECT c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 'T\\(' || c_custkey % 40 || '\\)' ELSE 'A.B' || c_custkey % 40 || '\\=x' END AS k FROM customer) GROUP BY 1",
+)
+def dif9(spark, d):
+    """A filter for each nation, of its customers' names with characters that need escaping."""
+    n = (F.col("c_custkey") % 40).cast("string")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" T("), n, F.lit(")"))).otherwise(F.concat(F.lit("A.B"), n, F.lit("=x ")))
+    return emit.runner_filters(table(spark, d, "customer").select("c_nationkey", name.alias("name")), "c_nationkey")
+
+
+@query(
+    "ses4_appended_ledger",
+    "SELECT o_custkey AS ledger, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey)::INTEGER AS line_no, '[proven] ' || o_orderstatus || ' (' || o_orderkey || ')' AS line FROM orders",
+)
+def ses4(spark, d):
+    """The ledger of each customer: even orders first, then odd ones appended."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("ledger"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("claim"), F.col("o_orderkey").cast("string").alias("path"), F.lit("proven").alias("grade"))
+    return emit.render_ledger(emit.appended_claims(o.where("seq % 2 = 0"), o.where("seq % 2 = 1"))).select("ledger", "line_no", "line")
