@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ MAX_FILTER_BYTES = 128 << 20
 BITS_PER_ENTRY, PROBES = 8.0, 4
 #: Words whose exact counts are broadcast as (hash, count), 16 bytes each; the others' are joined.
 HOT_WORDS = 150_000
-#: Distinct words and pairs of words that a task adds up before it passes them on; tokens scored at a time.
-WORDS_AT_A_TIME, PAIRS_AT_A_TIME, CHUNK = 1 << 17, 1 << 20, 1 << 17
+#: Words and pairs of words that a task adds up before it passes them on; tokens scored at a time.
+WORDS_AT_A_TIME, PAIRS_AT_A_TIME, CHUNK = 1 << 21, 1 << 20, 1 << 17
 TOKENS_PER_PART = 1 << 21
 #: Key ranges that an input task parts its counts into at most, and tokens of a range that a task cuts into the filter's parts.
 RANGE_BITS, RANGE_TOKENS = 10, 1 << 26
@@ -147,23 +148,31 @@ def _read(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return k, np.frombuffer(counts, np.uint8 if len(counts) == len(k) else np.int64).astype(np.int64)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word binary, n) over a frame of one text column; each task adds up its own words first."""
+def coded(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(codes, words, sizes): the tokens of the texts in turn as places among their distinct words, the last of which is the end, and the tokens of each text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    doc = pc.list_parent_indices(split).to_numpy().astype(np.int64)
+    found = split.flatten().dictionary_encode()
+    code, words = found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.binary())
+    empty = pc.index(words, b"").as_py()  # before and after white space at a text's ends
+    if empty >= 0:
+        kept = code != empty
+        doc, code = doc[kept], code[kept] - (code[kept] > empty)
+        words = words.filter(pa.array(np.arange(len(words)) != empty))
+    sizes = np.bincount(doc, minlength=len(texts)) + 1
+    codes = np.full(len(code) + len(texts), len(words))
+    codes[np.arange(len(code)) + doc] = code
+    return codes, pa.concat_arrays([words, pa.array([END], pa.binary())]), sizes
 
-    def run(batches):
-        seen: dict[bytes, int] = {}
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word binary, n) over a frame of one text column; some texts' words are added up at a time."""
 
+    def run(batches):
         for batch in batches:
-            for text in batch.column(0):
-                for t in tokens_of(text.as_py()):
-                    seen[t] = seen.get(t, 0) + 1
-                if len(seen) > WORDS_AT_A_TIME:
-                    yield out()
-                    seen.clear()
-        yield out()
+            for a, b in chunks(batch.column(0), WORDS_AT_A_TIME):
+                codes, words, _ = coded(batch.column(0)[a:b])
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes, minlength=len(words)))], ["word", "n"])
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -184,10 +193,9 @@ def pair_blobs(texts: DataFrame, part_bits: int) -> DataFrame:
             return blobs(*summed(found, np.ones(len(found), np.int32)), part_bits)
 
         for batch in batches:
-            for text in batch.column(0):
-                h = hashes_of(tokens_of(text.as_py()))
-                keys.append(pair_keys(np.r_[START, h[:-1]], h))
-                size += len(h)
+            for a, b in chunks(batch.column(0)):
+                keys.append(Chunk(batch.column(0)[a:b]).pairs)
+                size += len(keys[-1])
                 if size > PAIRS_AT_A_TIME:
                     yield out()
                     size = 0
@@ -278,21 +286,16 @@ def log_probabilities(seen: np.ndarray, pair: np.ndarray, first: np.ndarray, n:
 class Chunk:
     """The tokens of some texts: hashes, distinct words, and the keys of words and pairs."""
 
-    def __init__(self, texts: list[str | None]):
-        self.tokens: list[bytes] = []
-        sizes = []
-        for text in texts:
-            found = tokens_of(text)
-            self.tokens += found
-            sizes.append(len(found))
-        self.sizes = np.array(sizes)
+    def __init__(self, texts: pa.Array):
+        codes, self.names, self.sizes = coded(texts)
         self.first = np.r_[0, np.cumsum(self.sizes)[:-1]]
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        h = hashes_of(self.tokens)
-        self.words, self.where, self.word = np.unique(h, return_index=True, return_inverse=True)
-        before = np.r_[START, h[:-1]]
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        each = hashes_of(self.names.to_pylist())  # a word is hashed once
+        self.words, self.where, number = np.unique(each, return_index=True, return_inverse=True)
+        self.word = number[codes]
+        before = np.r_[START, each[codes[:-1]]]
         before[self.first] = START
-        self.pairs = pair_keys(before, h)
+        self.pairs = pair_keys(before, each[codes])
 
     def base(self, hot: np.ndarray, counts: np.ndarray):
         """Sum of log10(c + 1) and number of the tokens that are hot words, and (text, word, times) of the others."""
@@ -301,17 +304,16 @@ class Chunk:
         logs = np.where(known, np.log10(counts[at] + 1.0), 0.0) if len(hot) else np.zeros(len(self.words))
         known, n = known[self.word], len(self.sizes)
         code, times = np.unique(self.doc[~known] * len(self.words) + self.word[~known], return_counts=True)
-        names = [self.tokens[i] for i in self.where[code % max(len(self.words), 1)].tolist()]
+        names = self.names.take(pa.array(self.where[code % max(len(self.words), 1)]))
         return np.bincount(self.doc, logs[self.word], n), np.bincount(self.doc[known], minlength=n), code // max(len(self.words), 1), names, times
 
 
-def chunks(texts: pa.Array):
-    """(first, end) of runs of texts of about CHUNK characters."""
-    size = 0
-    first = 0
-    for i, t in enumerate(texts):
-        size += len(t.as_py() or "")
-        if size >= CHUNK * 4:
+def chunks(texts: pa.Array, words: int = CHUNK):
+    """(first, end) of runs of texts of about four bytes for each of so many words."""
+    size, first = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        size += n
+        if size >= words * 4:
             yield first, i + 1
             first, size = i + 1, 0
     if first < len(texts):
@@ -325,7 +327,7 @@ BASE_TYPES = "row long, id {}, n_tokens long, hot_log double, hot_known long, wo
 def base_columns(batch: pa.RecordBatch, a: int, b: int, chunk: Chunk, hot: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
     base, known, doc, names, times = chunk.base(*hot)
     offsets = pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32))
-    words, times = (pa.ListArray.from_arrays(offsets, x) for x in (pa.array(names, pa.binary()), pa.array(times, pa.int64())))
+    words, times = (pa.ListArray.from_arrays(offsets, x) for x in (names, pa.array(times, pa.int64())))
     return [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(chunk.sizes, pa.int64()), pa.array(base.astype(float)), pa.array(known, pa.int64()), words, times]
 
 
@@ -337,7 +339,7 @@ def scored_by_broadcast(rows: DataFrame, model: Filter, hot: tuple[np.ndarray, n
         for batch in batches:
             model, hot = shared.value
             for a, b in chunks(batch.column(2)):
-                chunk = Chunk(batch.column(2)[a:b].to_pylist())
+                chunk = Chunk(batch.column(2)[a:b])
                 seen = model.count(word_keys(chunk.words))[chunk.word]
                 score = np.bincount(chunk.doc, log_probabilities(seen, model.count(chunk.pairs), chunk.first, n, v), b - a)
                 yield pa.RecordBatch.from_arrays([*base_columns(batch, a, b, chunk, hot), pa.array(score)], [*BASE, "score"])
@@ -356,7 +358,7 @@ def scored_by_segment(rows: DataFrame, segments: DataFrame, part_bits: int, hot:
     def tokenise(batches):
         for batch in batches:
             for a, b in chunks(batch.column(2)):
-                chunk = Chunk(batch.column(2)[a:b].to_pylist())
+                chunk = Chunk(batch.column(2)[a:b])
                 keys, back = np.unique(np.r_[word_keys(chunk.words), chunk.pairs], return_inverse=True)
                 size = len(chunk.words)
                 places = np.c_[back[:size][chunk.word], back[size:]].astype(np.int32).tobytes()
