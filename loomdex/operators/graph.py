@@ -142,6 +142,8 @@ def resolve(edges: DataFrame, kind: str, source: str) -> DataFrame:
 
 #: Files of a commit that counts for pairs, at most.
 MOST_FILES = 40
+#: Pairs of files of commits that a task adds up, at most about.
+PAIRS_A_TASK = 500_000
 
 
 def pairs_and_paths(changes: DataFrame, most_files: int = MOST_FILES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,12 +151,16 @@ def pairs_and_paths(changes: DataFrame, most_files: int = MOST_FILES) -> tuple[D
 
     Commits of more than ``most_files`` files are left out, which bounds the pairs of a commit.
     """
-    distinct = changes.groupBy("commit", "path").agg(F.max("date").alias("date"))
-    sets = distinct.groupBy("commit").agg(F.sort_array(F.collect_set("path")).alias("paths"), F.max("date").alias("date")).where((F.size("paths") > 0) & (F.size("paths") <= most_files))
-    ends = F.explode(F.flatten(F.transform("paths", lambda a: F.transform(F.filter("paths", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
-    pairs = sets.select("date", ends.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("count"), F.max("date").alias("last_seen"))
-    alone = sets.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("c"))
-    return pairs, alone, sets.agg(F.count(F.lit(1)).alias("n"))
+    sets = changes.groupBy("commit").agg(F.sort_array(F.collect_set("path")).alias("paths"), F.max("date").alias("date"))
+    held = saved(sets.where((F.size("paths") > 0) & (F.size("paths") <= most_files)), "commits")
+    later = F.transform("paths", lambda a, i: F.transform(F.slice("paths", i + 2, F.size("paths")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    all_pairs = held.agg(F.sum((F.size("paths") * (F.size("paths") - 1) / 2).cast("long"))).first()[0] or 0
+    tasks = max(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + all_pairs // PAIRS_A_TASK)
+    # few pairs come twice, so that sums before the shuffle would hold nearly all of a task's pairs in memory
+    dealt = held.select("date", F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b", "date").repartition(tasks, "a", "b")
+    pairs = dealt.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.max("date").alias("last_seen"))
+    alone = held.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("c"))
+    return pairs, alone, held.agg(F.count(F.lit(1)).alias("n"))
 
 
 def couplings(pairs: DataFrame, paths: DataFrame, commits: DataFrame, least: int = 2) -> DataFrame:
