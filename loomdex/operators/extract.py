@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -110,6 +112,12 @@ WIRING = [
     ("grpc_endpoint", r"MapGrpcService\s*<\s*([\w.]+)", "service:grpc", "1", 0.95),
     ("signalr_endpoint", r"MapHub\s*<\s*([\w.]+)", "service:signalr", "1", 0.95),
 ]
+#: What every match of a wiring pattern, and of CSHARP_TYPE, has in it.
+ANCHORS = {
+    "mediatr_handles": "IRequestHandler", "sends_request": "new", "options_binds": "GetSection", "options_consumes": "IOptions", "hosted_service": "AddHostedService",
+    "pipeline_behavior": "IPipelineBehavior", "ef_entity": "DbSet", "ef_configures": "IEntityTypeConfiguration", "grpc_endpoint": "MapGrpcService", "signalr_endpoint": "MapHub",
+}
+TYPE_WORDS = ("class", "interface", "record", "struct", "enum")
 
 
 def wiring_edges(files: DataFrame) -> DataFrame:
@@ -117,8 +125,11 @@ def wiring_edges(files: DataFrame) -> DataFrame:
 
     The enclosing type of a line is the nearest declaration at or above it in its file.
     """
-    name = F.nullif(F.regexp_extract("line", CSHARP_TYPE, 3), F.lit(""))
-    inside = lines(files).withColumn("inside", F.last(name, ignorenulls=True).over(Window.partitionBy("file_path").orderBy("line_no")))
+    has = lambda words: reduce(Column.__or__, [F.contains("line", F.lit(w)) for w in words])
+    # a pattern is tried on lines that have its fixed word, and lines without any are left out before the window
+    name = F.when(has(TYPE_WORDS), F.nullif(F.regexp_extract("line", CSHARP_TYPE, 3), F.lit("")))
+    some = lines(files).where(has([*TYPE_WORDS, *ANCHORS.values()]))
+    inside = some.withColumn("inside", F.last(name, ignorenulls=True).over(Window.partitionBy("file_path").orderBy("line_no")))
     hits = []
     for kind, pattern, start, end, weight in WIRING:
         group = F.regexp_extract("line", pattern, 1)
@@ -127,7 +138,7 @@ def wiring_edges(files: DataFrame) -> DataFrame:
         def node(side: str, group=group, asked=asked):
             return {"": F.col("inside"), "1": group, "type": asked, "config:1": F.concat(F.lit("config:"), group)}.get(side, F.lit(side))
 
-        hits.append(F.when(group != "", F.struct(node(start).alias("from"), node(end).alias("to"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"))))
+        hits.append(F.when(has([ANCHORS[kind]]) & (group != ""), F.struct(node(start).alias("from"), node(end).alias("to"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"))))
     each = inside.select("file_path", "line_no", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("e"))
     return each.select("e.from", "e.to", "e.type", "e.weight", "file_path", "line_no").where("`from` IS NOT NULL AND `to` IS NOT NULL").distinct()
 
