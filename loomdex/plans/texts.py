@@ -373,23 +373,17 @@ def str2(spark, d):
     return changes.coalesce_changes(_changes(spark, d), ["user_id"])
 
 
-def _in_batches(spark, source, time, parts=4):
-    """``source`` as a stream of files in the order of ``time``, a micro-batch each."""
+def _streamed(spark, source, time, make, parts=4):
+    """What ``make`` gives of ``source`` as a stream, from the shared folder: micro-batches in the order of ``time``, a run each."""
     out = new_path(spark, "stream")
     low, high = source.agg(F.min(time), F.max(time)).first()
-    if low is not None:
-        step = (high - low) / parts
-        for i in range(parts):
-            inside = (F.col(time) >= F.lit(low + i * step)) & (F.col(time) < F.lit(low + (i + 1) * step) if i + 1 < parts else F.lit(True))
-            source.where(inside).coalesce(1).write.mode("append").parquet(out)
-    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(out)
-
-
-def _collected(spark, stream):
-    """What a stream gives of all there is, from the shared folder."""
-    out = new_path(spark, "streamed")
-    query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+    bounds = [F.lit(low + i * ((high - low) / parts)) for i in range(parts)] if low is not None else []
+    for begin, end in zip(bounds or [None], [*bounds[1:], None], strict=True):
+        inside = F.lit(True) if begin is None else F.col(time) >= begin
+        source.where(inside if end is None else inside & (F.col(time) < end)).write.mode("append").parquet(f"{out}/in")
+        stream = make(spark.readStream.schema(source.schema).parquet(f"{out}/in"))
+        query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
@@ -418,9 +412,9 @@ def str1_stream(spark, d):
     kind = table(spark, d, "events").schema["ts"].dataType
     e = _workspaces(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     last = e.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).where("ts IS NOT NULL").select(F.lit(-1).cast("long").alias("workspace"), F.lit("-").alias("path"), "ts", F.lit(0).cast("long").alias("seq"), F.lit("Changed").alias("kind"))
-    stream = _in_batches(spark, e.withColumn("workspace", F.col("workspace").cast("long")).unionByName(last), "ts")
-    found = stateful.debounced_changes(stream, datetime.timedelta(minutes=10))
-    return _collected(spark, found).withColumns({c: F.col(c).cast(kind) for c in ("start", "end")})
+    source = e.withColumn("workspace", F.col("workspace").cast("long")).unionByName(last)
+    found = _streamed(spark, source, "ts", lambda s: stateful.debounced_changes(s, datetime.timedelta(minutes=10)))
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("start", "end")})
 
 
 @query(
@@ -432,8 +426,7 @@ def ses1_stream(spark, d):
     """Turns as what a session (a conversation) is given of a path (a role), a minute after each other."""
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.coalesce("role", F.lit("")).alias("path"), F.timestamp_seconds(F.col("turn").cast("long") * 60 + 1_700_000_000).alias("ts"), F.col("turn").cast("long").alias("seq"), "text")
     end = turns.agg((F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts")).where("ts IS NOT NULL").select(F.lit(-1).cast(turns.schema["session"].dataType).alias("session"), F.lit("-").alias("path"), "ts", F.lit(0).cast("long").alias("seq"), F.lit("").alias("text"))
-    stream = _in_batches(spark, turns.unionByName(end), "ts")
-    found = _collected(spark, stateful.session_deltas(stream, retained=200)).where("session >= 0")
+    found = _streamed(spark, turns.unionByName(end), "ts", lambda s: stateful.session_deltas(s, retained=200)).where("session >= 0")
     return found.select(F.col("session").alias("conv_id"), F.col("seq").cast(table(spark, d, "conversations").schema["turn"].dataType).alias("turn"), "state")
 
 

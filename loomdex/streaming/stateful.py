@@ -11,7 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,7 +24,10 @@ from .changes import NOTHING, coalesced
 
 #: The provider that keeps lists and maps of a key as rows of their own. Fixed value.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-EVENT = "at long, seq long, path string, kind string"
+#: Buckets that the paths of a workspace are dealt out over, a bit of a long each. Fixed value.
+BUCKETS = 32
+PACKED = pa.schema([("at", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("kind", pa.string())])
+CHANGES = ["workspace", "start", "end", "path", "kind", "events"]
 
 
 def prepared(spark: SparkSession) -> None:
@@ -29,57 +35,111 @@ def prepared(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class Debounce(StatefulProcessor):
-    """Events of a workspace, held until ``gap`` microseconds of silence; then one row for each path that has changed."""
+class Silences(StatefulProcessor):
+    """Spans of a workspace's events, as their times and the buckets of their paths; a span is given to each of its buckets after ``gap`` microseconds of silence."""
 
     def __init__(self, gap: int):
         self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", EVENT)
+        self.spans = handle.getValueState("spans", "spans binary")
+
+    def held(self) -> np.ndarray:
+        return np.frombuffer(self.spans.get()[0], np.int64).reshape(-1, 3) if self.spans.exists() else np.empty((0, 3), np.int64)
+
+    def keep(self, spans: np.ndarray) -> None:
+        """Spans in their order; the first one is the first to end."""
+        self.spans.update((spans.tobytes(),))
+        self.handle.registerTimer(-(-(int(spans[0, 1]) + self.gap) // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = None
+        spans = self.held()
         for frame in rows:
-            held = list(frame[["at", "seq", "path", "kind"]].itertuples(index=False, name=None))
-            self.events.appendList(held)
-            last = max([r[0] for r in held] + [last] * (last is not None), default=None)
-        if last is not None:
-            self.handle.registerTimer(-(-(last + self.gap) // 1000))
+            at = frame["at"].to_numpy(np.int64)
+            fresh = np.column_stack([at, at, np.int64(1) << frame["bucket"].to_numpy(np.int64)])
+            spans = merged(np.concatenate([spans, fresh]), self.gap)
+        if len(spans):
+            self.keep(spans)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        open_, out = [], []
-        for batch in sessions(sorted(tuple(r) for r in self.events.get()), self.gap):
-            end = batch[-1][0] + self.gap
-            if end > passed:
-                open_ += batch
-                continue
-            for path, kind, n in coalesced(batch):
+        spans = self.held()
+        over = spans[:, 1] + self.gap <= passed
+        if not over.any() and len(spans):
+            self.keep(spans)
+        elif over.all():
+            self.spans.clear()
+        else:
+            self.keep(spans[~over])
+        for begin in range(0, int(over.sum()), 10_000):
+            some = spans[over][begin : begin + 10_000]
+            row, bucket = np.nonzero(some[:, 2:] >> np.arange(BUCKETS) & 1)
+            # what closes a span comes after all that could be late
+            yield pd.DataFrame({"workspace": key[0], "bucket": bucket, "seen": passed + 1000, "at": some[row, 0], "until": some[row, 1] + self.gap})
+
+    def close(self) -> None:
+        pass
+
+
+def merged(spans: np.ndarray, gap: int) -> np.ndarray:
+    """Spans (first, last, bits) in time order, those less than ``gap`` apart as one."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    last = np.maximum.accumulate(spans[:, 1])
+    begins = np.flatnonzero(np.concatenate([[True], spans[1:, 0] >= last[:-1] + gap]))[: len(spans)]
+    if not len(begins):
+        return spans
+    return np.column_stack([spans[begins, 0], np.maximum.reduceat(spans[:, 1], begins), np.bitwise_or.reduceat(spans[:, 2], begins)])
+
+
+class SpanChanges(StatefulProcessor):
+    """Events of a workspace's bucket of paths, in packed lists, held until the workspace's span is over; then one row for each path that has changed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.events = handle.getListState("events", "events binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        over = []
+        for frame in rows:
+            closing = frame["closing"].to_numpy(bool)
+            over += zip(frame["at"][closing].tolist(), frame["until"][closing].tolist(), strict=True)
+            if not closing.all():
+                self.events.appendValue((packed(pa.Table.from_pandas(frame.loc[~closing, PACKED.names], PACKED, preserve_index=False)),))
+        if over:
+            yield from self.changes(key, sorted(over))
+
+    def changes(self, key, over: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+        held = pa.concat_tables(pa.ipc.open_stream(r[0]).read_all() for r in self.events.get())
+        held = held.take(pc.sort_indices(held, [(c, "ascending") for c in PACKED.names]))
+        at = held["at"].to_numpy()
+        open_, out = np.ones(len(at), bool), []
+        for start, until in over:
+            i, j = np.searchsorted(at, [start, until])
+            open_[i:j] = False
+            batch = held.slice(i, j - i)
+            for path, kind, n in coalesced(list(zip(*(batch[c].to_pylist() for c in PACKED.names), strict=True))):
                 if kind != NOTHING:
-                    out.append((*key, batch[0][0], end, path, kind, n))
-        self.events.clear()
-        if open_:
-            self.events.appendList(open_)
-            self.handle.registerTimer(-(-(open_[-1][0] + self.gap) // 1000))
+                    out.append((key[0], start, until, path, kind, n))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=CHANGES)
+                out = []
+        if open_.any():
+            self.events.put([(packed(held.filter(pa.array(open_))),)])
+        else:
+            self.events.clear()
         if out:
-            yield pd.DataFrame(out, columns=["workspace", "start", "end", "path", "kind", "events"])
+            yield pd.DataFrame(out, columns=CHANGES)
 
     def close(self) -> None:
         pass
 
 
-def sessions(events: list[tuple], gap: int) -> list[list[tuple]]:
-    """Events in time order, parted where ``gap`` or more lies between two."""
-    out: list[list[tuple]] = []
-    for e in events:
-        if out and e[0] < out[-1][-1][0] + gap:
-            out[-1].append(e)
-        else:
-            out.append([e])
-    return out
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def debounced_changes(events: DataFrame, gap: timedelta = timedelta(milliseconds=500), late: str = "10 seconds") -> DataFrame:
@@ -87,11 +147,16 @@ def debounced_changes(events: DataFrame, gap: timedelta = timedelta(milliseconds
 
     ``events``: workspace, ts, seq, path, kind (see ``changes.split_renames`` for renames). Start is the
     first event's time and end the last one's plus the gap; changes of a path that cancel are left out.
+    A workspace's state has only the times of its spans; its events are dealt out by their paths.
     """
     prepared(events.sparkSession)
-    marked = events.withWatermark("ts", late).select("workspace", "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"), F.col("path").cast("string").alias("path"), "kind")
+    bucket = F.pmod(F.xxhash64(F.col("path").cast("string")), F.lit(BUCKETS))
+    marked = events.withWatermark("ts", late).select("workspace", bucket.alias("bucket"), "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"), F.col("path").cast("string").alias("path"), "kind")
     kind = events.schema["workspace"].dataType.simpleString()
-    found = marked.groupBy("workspace").transformWithStateInPandas(Debounce(int(gap / timedelta(microseconds=1))), f"workspace {kind}, start long, end long, path string, kind string, events long", "Append", "EventTime")
+    spans = marked.select("workspace", "bucket", "ts", "at").groupBy("workspace").transformWithStateInPandas(Silences(int(gap / timedelta(microseconds=1))), f"workspace {kind}, bucket long, seen long, at long, until long", "Append", "EventTime")
+    closing = spans.select("workspace", "bucket", F.timestamp_micros("seen").alias("ts"), "at", F.lit(0).cast("long").alias("seq"), F.lit("").alias("path"), F.lit("").alias("kind"), "until", F.lit(True).alias("closing"))
+    both = marked.withColumns({"until": F.lit(0).cast("long"), "closing": F.lit(False)}).unionByName(closing)
+    found = both.groupBy("workspace", "bucket").transformWithStateInPandas(SpanChanges(), f"workspace {kind}, start long, end long, path string, kind string, events long", "Append", "EventTime")
     return found.withColumns({c: F.timestamp_micros(c) for c in ("start", "end")})
 
 
