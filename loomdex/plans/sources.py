@@ -296,7 +296,7 @@ def snk5(spark, d):
     rows = plan_rows(spark, d).select("plan", F.col("path").alias("seq"), F.col("path").cast("string").alias("path"), F.lit("body").alias("body"), "cost")
     root = new_path(spark, "output")
     parts = emit.write_parts(rows, 9000, root, "json")
-    written = spark.read.schema("value string, plan string, part int").text(root).groupBy("plan", "part").agg(F.count(F.lit(1)).alias("lines"))
+    written = spark.read.schema("plan string, part int, value string").json(root).groupBy("plan", "part").agg(F.sum(F.size(F.split("value", "\n"))).alias("lines"))
     return parts.join(written, ["plan", "part"])
 
 
