@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.delta import RETAINED, diff_of
@@ -26,6 +27,8 @@ from .changes import NOTHING, coalesced
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Buckets that the paths of a workspace are dealt out over, a bit of a long each. Fixed value.
 BUCKETS = 32
+#: Buckets that sessions' paths are dealt out over. Fixed value.
+DEALT = 256
 PACKED = pa.schema([("at", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("kind", pa.string())])
 CHANGES = ["workspace", "start", "end", "path", "kind", "events"]
 
@@ -161,46 +164,74 @@ def debounced_changes(events: DataFrame, gap: timedelta = timedelta(milliseconds
 
 
 class SessionDelta(StatefulProcessor):
-    """What a session was last given of a path, by hash, and by text where that is short enough; gone after ``silence`` microseconds."""
+    """What sessions of a bucket were last given of their paths, by hash, and by text where that is short enough; gone at the first sweep after ``silence`` microseconds.
 
-    def __init__(self, retained: int, silence: int):
-        self.retained, self.silence = retained, silence
+    Texts wait in packed lists until no earlier one can come; a session's path has a row of its own in the state.
+    """
+
+    def __init__(self, retained: int, silence: int, kinds: list[str], schema: pa.Schema):
+        self.retained, self.silence, self.kinds, self.schema = retained, silence, kinds, schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, seq long, text string")
-        self.given = handle.getValueState("given", "at long, hash string, text string")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.given = handle.getMapState("given", f"session {self.kinds[0]}, path {self.kinds[1]}", "at long, hash string, text string")
+        self.sweep = handle.getValueState("sweep", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = []
         for frame in rows:
-            held = list(frame[["at", "seq", "text"]].itertuples(index=False, name=None))
-            self.waiting.appendList(held)
-            for at in {r[0] for r in held}:
-                self.handle.registerTimer(at // 1000 + 1)
+            self.waiting.appendValue((packed(pa.Table.from_pandas(frame[self.schema.names], self.schema, preserve_index=False)),))
+            first.append(int(frame["at"].min()))
+        if first:
+            self.handle.registerTimer(min(first) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(tuple(r) for r in self.waiting.get())
-        ready, rest = [e for e in events if e[0] < passed], [e for e in events if e[0] >= passed]
-        before = self.given.get() if self.given.exists() else None
-        out = []
-        for at, seq, text in ready:
+        chunks = [pa.ipc.open_stream(r[0]).read_all() for r in self.waiting.get()]
+        if chunks:
+            held = pa.concat_tables(chunks)
+            ready = pc.less(held["at"], passed)
+            rest = held.filter(pc.invert(ready))
+            yield from self.deltas(held.filter(ready))
+            if not len(rest):
+                self.waiting.clear()
+            elif len(rest) < len(held):
+                self.waiting.put([(packed(rest),)])
+            if len(rest):
+                self.handle.registerTimer(pc.min(rest["at"]).as_py() // 1000 + 1)
+        self.swept(passed)
+
+    def deltas(self, ready: pa.Table) -> Iterator[pd.DataFrame]:
+        ready = ready.take(pc.sort_indices(ready, [(c, "ascending") for c in ("at", "seq", "text")]))
+        last, out = {}, []
+        for session, path, at, seq, text in zip(*(ready[c].to_pylist() for c in ("session", "path", "at", "seq", "text")), strict=True):
+            k = session, path
+            before = last[k] if k in last else self.given.getValue(k)
             if before is not None and at >= before[0] + self.silence:
                 before = None
             digest, state, diff = diff_of(None if before is None else tuple(before)[1:], text)
-            out.append((*key, at, seq, state, diff))
-            before = (at, digest, text if len(text) <= self.retained else None)
-        if ready:
-            self.waiting.clear()
-            if rest:
-                self.waiting.appendList(rest)
-            self.given.update(before)
-            self.handle.registerTimer((before[0] + self.silence) // 1000 + 1)
-        elif before is not None and before[0] + self.silence < passed:
-            self.given.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["session", "path", "at", "seq", "state", "diff"])
+            out.append((session, path, at, seq, state, diff))
+            last[k] = at, digest, text if len(text) <= self.retained else None
+        for k, value in last.items():
+            self.given.updateValue(k, value)
+        for begin in range(0, len(out), 10_000):
+            yield pd.DataFrame(out[begin : begin + 10_000], columns=["session", "path", "at", "seq", "state", "diff"])
+
+    def swept(self, passed: int) -> None:
+        """Drops what has been silent, once in a time of silence."""
+        due = self.sweep.get()[0] if self.sweep.exists() else None
+        if due is not None and passed <= due:
+            return
+        if due is not None:
+            for k in [tuple(k) for k, value in self.given.iterator() if value[0] + self.silence < passed]:
+                self.given.removeKey(k)
+        if due is None or self.given.exists():
+            self.sweep.update((passed + self.silence,))
+            self.handle.registerTimer((passed + self.silence) // 1000 + 1)
+        else:
+            self.sweep.clear()
 
     def close(self) -> None:
         pass
@@ -210,10 +241,14 @@ def session_deltas(given: DataFrame, retained: int = RETAINED, silence: timedelt
     """Stream of (session, path, ts, seq, state, diff): each text that a session is given against the one before of its path.
 
     ``given``: session, path, ts, seq, text; states as ``delta.session_delta``. A path that a session has not asked for
-    since ``silence`` is new again, and its state is dropped.
+    since ``silence`` is new again, and its state is dropped within twice that time. Sessions' paths are dealt out over
+    ``DEALT`` buckets, so that state is asked for by bucket and not by event.
     """
     prepared(given.sparkSession)
-    kind = lambda c: given.schema[c].dataType.simpleString()
-    marked = given.withWatermark("ts", late).select("session", "path", "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
-    found = marked.groupBy("session", "path").transformWithStateInPandas(SessionDelta(retained, int(silence / timedelta(microseconds=1))), f"session {kind('session')}, path {kind('path')}, at long, seq long, state string, diff string", "Append", "EventTime")
+    types = [given.schema[c].dataType for c in ("session", "path")]
+    kinds = [t.simpleString() for t in types]
+    schema = pa.schema([("session", to_arrow_type(types[0])), ("path", to_arrow_type(types[1])), ("at", pa.int64()), ("seq", pa.int64()), ("text", pa.string())])
+    marked = given.withWatermark("ts", late).select(F.pmod(F.xxhash64("session", "path"), F.lit(DEALT)).alias("bucket"), "session", "path", "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
+    deltas = SessionDelta(retained, int(silence / timedelta(microseconds=1)), kinds, schema)
+    found = marked.groupBy("bucket").transformWithStateInPandas(deltas, f"session {kinds[0]}, path {kinds[1]}, at long, seq long, state string, diff string", "Append", "EventTime")
     return found.select("session", "path", F.timestamp_micros("at").alias("ts"), "seq", "state", "diff")
