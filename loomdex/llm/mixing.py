@@ -76,7 +76,8 @@ def solve_dual(counts: DataFrame, sources: DataFrame, max_rate: int = MAX_RATE,
     full = F.col("target") >= F.col("words") * max_rate * (1 - 1e-12)
     number = lambda x: F.lit(float(x))
     state = sources.where("words > 0").select("s", "mean", "target", F.when(~full, number(0)).alias("m"), number(-OPEN).alias("low"), number(OPEN).alias("high"), full.alias("settled"))
-    state = stage(state, "mix-dual")
+    n = counts.count()  # a step handles as many rows at most
+    state = stage(state, "mix-dual", n)
     for _ in range(MAX_STEPS):
         if not state.where("NOT settled").limit(1).count():
             break
@@ -91,7 +92,7 @@ def solve_dual(counts: DataFrame, sources: DataFrame, max_rate: int = MAX_RATE,
         closed = (F.col("low") > -OPEN) & (F.col("high") < OPEN)
         step = F.when(near, newton).when(closed, (F.col("low") + F.col("high")) / 2).otherwise(F.col("m") + F.when(F.col("gap") > 0, number(-2)).otherwise(number(2)))
         moved = bound.select("s", "mean", "target", F.when(F.col("settled"), F.col("m")).otherwise(step).alias("m"), "low", "high", "settled")
-        state = stage(state.where("settled").unionByName(moved), "mix-dual")
+        state = stage(state.where("settled").unionByName(moved), "mix-dual", n)
     return state.select("s", "m")
 
 
@@ -107,14 +108,15 @@ def balanced_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
     measured = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(hash_col or id_col), F.lit(seed)).alias("hash"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(JAVA_WORD)).cast("long").alias("size"))
     rows = stage(measured.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     counts = stage(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    n = counts.count()  # sources are fewer
     totals = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("n"))
     totals = totals.withColumn("mean", F.greatest(F.col("words") / F.col("n"), F.lit(1e-9))).drop("n")
-    sources = stage(with_targets(ranked(totals), weights, max_rate).withColumnRenamed("source", "named"), "mix-targets")
+    sources = stage(with_targets(ranked(totals), weights, max_rate).withColumnRenamed("source", "named"), "mix-targets", n)
     by_source = F.col("source").eqNullSafe(F.col("named"))
-    numbered = stage(counts.where("size > 0").join(sources.select("named", "s"), by_source).select("s", "size", "n"), "mix-numbered")
+    numbered = stage(counts.where("size > 0").join(sources.select("named", "s"), by_source).select("s", "size", "n"), "mix-numbered", n)
     multipliers = solve_dual(numbered, sources, max_rate)
     # a source without words has no multiplier to solve for: 0, hence the rate 1
-    solved = stage(sources.join(multipliers.withColumn("solved", F.lit(True)), "s", "left").withColumn("m", F.when(F.col("solved").isNull(), F.lit(0.0)).otherwise(F.col("m"))).drop("solved"), "mix-solved")
+    solved = stage(sources.join(multipliers.withColumn("solved", F.lit(True)), "s", "left").withColumn("m", F.when(F.col("solved").isNull(), F.lit(0.0)).otherwise(F.col("m"))).drop("solved"), "mix-solved", n)
 
     chance = F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))
     rated = rows.join(solved, by_source).select("row", "id", "source", "s", "size", F.col("words").alias("source_size"), "target", rate_of(max_rate).alias("rate"), chance.alias("u"))

@@ -48,8 +48,8 @@ def keyed_points(groups: DataFrame, dimensions: list[str]) -> DataFrame:
     return groups.crossJoin(F.broadcast(ranges)).select("group", "weight", *[key(d).alias(d) for d in dimensions])  # one row
 
 
-def median_cuts(points: DataFrame, nodes: DataFrame, dimensions: list[str]) -> DataFrame:
-    """``nodes`` (node, dim, leaves, w) with ``cut``: the key of ``dim`` up to which a point goes to the lower child.
+def median_cuts(points: DataFrame, nodes: DataFrame, dimensions: list[str], count: int) -> DataFrame:
+    """The ``count`` ``nodes`` (node, dim, leaves, w) with ``cut``: the key of ``dim`` up to which a point goes to the lower child.
 
     The cut leaves to the lower child as near to its part of the leaves as whole points allow. A node
     has at most 2**BIN_BITS bins in a pass.
@@ -68,7 +68,7 @@ def median_cuts(points: DataFrame, nodes: DataFrame, dimensions: list[str]) -> D
         under = F.col("at.upto") - F.col("at.own")
         # at the last step the bin is one key: it goes to the lower child if that lands nearer to the aim
         back = F.when((under > 0) & (F.col("aim") - under < F.col("at.upto") - F.col("aim")), 1).otherwise(0) if not bits else F.lit(0)
-        cuts = stage(kept.select("node", "dim", "leaves", "w", (F.col("start") + F.shiftleft("at.bin", bits) - back).alias("start"), under.alias("before"), "aim"), "shard-cuts")
+        cuts = stage(kept.select("node", "dim", "leaves", "w", (F.col("start") + F.shiftleft("at.bin", bits) - back).alias("start"), under.alias("before"), "aim"), "shard-cuts", count << BIN_BITS)
     return cuts.select("node", "dim", "leaves", F.col("start").alias("cut"))
 
 
@@ -103,9 +103,10 @@ def tree_leaves(groups: DataFrame, dimensions: list[str], n_leaves: int | None =
         boxes = stage(boxes.select("node", "w", F.col("wide.dim").alias("dim"), leaves.cast("long").alias("leaves")), "shard-nodes")
         done = done.unionByName(boxes.where("leaves <= 1").select("node"))
         nodes = boxes.where("leaves > 1")
-        if not nodes.limit(1).count():
+        count = nodes.count()
+        if not count:
             break
-        cuts = median_cuts(points, nodes, dimensions)
+        cuts = median_cuts(points, nodes, dimensions, count)
         child = F.when(F.col("cut").isNull(), F.col("node")).when(which <= F.col("cut"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
         placed = points.join(cuts.select("node", "dim", "cut"), "node", "left").withColumn("child", child)
         # leaves that are done keep their points, which later passes no longer read

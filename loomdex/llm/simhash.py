@@ -214,12 +214,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids are null. An empty table gives no rows. Other columns are ignored.
     """
     rows = stage(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash-rows")
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    links = stage(links_of(distinct, max_bits, heavy), "simhash-links")
-    rooted = components(links, "simhash-stars")
+    n = rows.count()
+    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct", n)
+    # a posting has fewer links than fingerprints
+    links = stage(links_of(distinct, max_bits, heavy), "simhash-links", n * len(position_sets(max_bits)))
+    rooted = components(links, "simhash-stars", links.count())
     classes = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stage(classes.join(smallest, "root").select("fp", "component_id"), "simhash-classes")
+    named = stage(classes.join(smallest, "root").select("fp", "component_id"), "simhash-classes", n)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
