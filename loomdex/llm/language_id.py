@@ -13,10 +13,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, kind_of, stage
+from .common import held_out, kind_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = re.compile(r"[^\W\d_]+")
@@ -141,7 +142,8 @@ def train(docs: DataFrame, pieces: list[str], docs_per_language: int = 4000, rou
     """Languages and their piece probabilities [pieces + 1, languages] from the labelled rows of ``docs``.
 
     About ``docs_per_language`` documents of each language are read, those with the lowest hashes of
-    their ids: the documented bound of the fit. The E step runs where the word counts are.
+    their ids: the documented bound of the fit. The E step runs where the word counts are, which
+    executors keep on their disks until the last round.
     """
     spark = docs.sparkSession
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -165,7 +167,7 @@ def train(docs: DataFrame, pieces: list[str], docs_per_language: int = 4000, rou
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
     counted = labelled.where(taken).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    words = stage(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    words = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
     ids = spark.sparkContext.broadcast(numbered(pieces))
     number, size = {lang: i for i, lang in enumerate(languages)}, len(pieces)
     model = np.full((size + 1, len(languages)), 1 / (size + 1))
@@ -194,6 +196,7 @@ def train(docs: DataFrame, pieces: list[str], docs_per_language: int = 4000, rou
         known = found[:size] + 0.01
         model = np.vstack([known / known.sum(axis=0), np.full((1, len(languages)), UNKNOWN)])
         now.destroy()
+    words.unpersist()
     ids.destroy()
     return languages, model
 

@@ -4,10 +4,13 @@ import random
 
 import pytest
 from loomdex.llm import common
+from loomdex.llm import language_id as language
 from loomdex.llm.components import components
 from loomdex.llm.mixing import balanced_copies
 from loomdex.llm.sharding import kd_shards
 
+PIECES = sorted([language.MARK, *"abcdeno", "▁a", "ab", "▁ab"])
+
 
 @pytest.fixture
 def dealt(spark):
@@ -72,3 +75,12 @@ def test_a_stage_of_many_rows_keeps_its_tasks(dealt):
     rows = dealt.range(1000).selectExpr("id % 500 AS k").groupBy("k").count()
     few = len(common.stage(rows, "few", 1000).inputFiles())
     assert few <= dealt.sparkContext.defaultParallelism < len(common.stage(rows, "many", 60 * common.ROWS_PER_TASK).inputFiles())
+
+
+def test_language_model_leaves_neither_files_nor_cached_counts(dealt, written):
+    docs = [(i, w * 5, lang) for i in range(40) for w, lang in (("abc ", "x"), ("dead one ", "y"))]
+    frame = dealt.createDataFrame(docs, "doc_id long, text string, lang string")
+    languages, model = language.train(frame, PIECES)
+    assert languages == ["x", "y"] and model.shape == (len(PIECES) + 1, 2)
+    assert written(dealt) == []
+    assert not dealt.sparkContext._jsc.getPersistentRDDs()
