@@ -33,6 +33,8 @@ HOT_WORDS = 150_000
 #: Words and pairs of words that a task adds up before it passes them on; tokens scored at a time.
 WORDS_AT_A_TIME, PAIRS_AT_A_TIME, CHUNK = 1 << 21, 1 << 20, 1 << 17
 TOKENS_PER_PART = 1 << 21
+#: Keys of a chunk that travel to a segment of the filter together, as far as chunks of MAX_CHUNK words allow.
+KEYS_ASKED, MAX_CHUNK = 1 << 10, 1 << 20
 #: Key ranges that an input task parts its counts into at most, and tokens of a range that a task cuts into the filter's parts.
 RANGE_BITS, RANGE_TOKENS = 10, 1 << 26
 #: Weight of the word's own probability against that given the word before.
@@ -127,6 +129,13 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each stands."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
 def runs_of(parts: np.ndarray) -> list[tuple[int, int, int]]:
     """(part, first, end) of the parts that occur, in rising order."""
     first = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]) if len(parts) else np.zeros(0, np.int64)
@@ -177,10 +186,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def hashes_of(tokens: list[bytes]) -> np.ndarray:
+def hashes_of(tokens: list[bytes] | np.ndarray) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
 
 
+def hashes_of_array(tokens: pa.Array) -> np.ndarray:
+    return hashes_of(tokens.to_numpy(zero_copy_only=False))  # much faster than to_pylist
+
+
 def pair_blobs(texts: DataFrame, part_bits: int) -> DataFrame:
     """Counts of word pairs (the start of a text counts as a word before) as blobs by key range."""
 
@@ -190,7 +203,7 @@ def pair_blobs(texts: DataFrame, part_bits: int) -> DataFrame:
         def out():
             found = np.concatenate(keys)
             keys.clear()
-            return blobs(*summed(found, np.ones(len(found), np.int32)), part_bits)
+            return blobs(*tallied(found), part_bits)
 
         for batch in batches:
             for a, b in chunks(batch.column(0)):
@@ -208,9 +221,8 @@ def pair_blobs(texts: DataFrame, part_bits: int) -> DataFrame:
 def word_blobs(words: DataFrame, part_bits: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            h = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in batch.column(0)), np.uint64, batch.num_rows)
-            if len(h):
-                yield blobs(*summed(word_keys(h), batch.column(1).to_numpy()), part_bits)
+            if batch.num_rows:
+                yield blobs(*summed(word_keys(hashes_of_array(batch.column(0))), batch.column(1).to_numpy()), part_bits)
 
     return words.select("word", "n").mapInArrow(run, BLOB)
 
@@ -290,7 +302,7 @@ class Chunk:
         codes, self.names, self.sizes = coded(texts)
         self.first = np.r_[0, np.cumsum(self.sizes)[:-1]]
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        each = hashes_of(self.names.to_pylist())  # a word is hashed once
+        each = hashes_of_array(self.names)  # a word is hashed once
         self.words, self.where, number = np.unique(each, return_index=True, return_inverse=True)
         self.word = number[codes]
         before = np.r_[START, each[codes[:-1]]]
@@ -351,13 +363,15 @@ def scored_by_segment(rows: DataFrame, segments: DataFrame, part_bits: int, hot:
     """What ``scored_by_broadcast`` gives, for a filter of any size.
 
     Texts are tokenised once. The distinct keys of some texts at a time go to their segment, which a
-    task holds one after the other, and the levels found go back to those texts' tokens.
+    task holds one after the other, and the levels found go back to those texts' tokens. Chunks grow with the
+    number of segments, so that the rows that travel grow with the tokens, and a segment is probed for many chunks at once.
     """
+    size_of_chunk = min(MAX_CHUNK, max(CHUNK, KEYS_ASKED << part_bits))
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def tokenise(batches):
         for batch in batches:
-            for a, b in chunks(batch.column(2)):
+            for a, b in chunks(batch.column(2), size_of_chunk):
                 chunk = Chunk(batch.column(2)[a:b])
                 keys, back = np.unique(np.r_[word_keys(chunk.words), chunk.pairs], return_inverse=True)
                 size = len(chunk.words)
@@ -376,17 +390,30 @@ def scored_by_segment(rows: DataFrame, segments: DataFrame, part_bits: int, hot:
     there = segments.select("part", F.lit(0).alias("asked"), F.lit(0).cast("long").alias("chunk"), F.col("bits").alias("data"))
 
     def probe(batches):
-        model, held = None, -1
+        model, held, waiting, size = None, -1, [], 0
+
+        def out():
+            chunk, part, data = zip(*waiting, strict=True)
+            keys = np.frombuffer(b"".join(data), np.uint64)
+            level = model.levels(keys).tobytes() if held == part[0] else bytes(len(keys))
+            ends = np.cumsum([len(d) // 8 for d in data]).tolist()
+            found = [level[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array(found, pa.binary())], ["chunk", "part", "data"])
+
         for batch in batches:
-            chunk, part, found = [], [], []
-            for p, is_asked, c, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if not is_asked:
-                    model, held = Filter(np.frombuffer(data, np.uint8), np.array([len(data)]), 0), p
-                    continue
-                keys = np.frombuffer(data, np.uint64)
-                level = model.levels(keys) if held == p else np.zeros(len(keys), np.uint8)
-                chunk.append(c), part.append(p), found.append(level.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array(found, pa.binary())], ["chunk", "part", "data"])
+            for p, is_asked, c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if waiting and (not is_asked or p != waiting[0][1] or size > PAIRS_AT_A_TIME):
+                    yield out()
+                    size = 0
+                if is_asked:
+                    waiting.append((c, p, data.as_py()))
+                    size += len(waiting[-1][2]) // 8
+                else:
+                    bits = data.as_py()
+                    model, held = Filter(np.frombuffer(bits, np.uint8), np.array([len(bits)]), 0), p
+        if waiting:
+            yield out()
 
     together = there.unionByName(asked).repartition("part").sortWithinPartitions("part", "asked")
     levels = stage(together.mapInArrow(probe, "chunk long, part int, data binary"), "lm-levels")
@@ -428,7 +455,7 @@ def hot_counts(words: DataFrame, hot_words: int) -> tuple[np.ndarray, np.ndarray
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(hashes_of(batch.column(0).to_pylist()).view(np.int64)), batch.column(1)], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes_of_array(batch.column(0)).view(np.int64)), batch.column(1)], ["h", "n"])
 
     found = words.where(F.col("n") >= int(counts["n"][fit - 1].as_py())).select("word", "n").mapInArrow(run, "h long, n long").toArrow()
     h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
